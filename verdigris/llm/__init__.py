@@ -2,11 +2,15 @@
 
 
 def queries():
-    from . import quality_rules, secrets
+    from . import decontaminate, language_id, mixing, quality_rules, secrets, url_filter
 
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op5_url_filter": url_filter.op5_url_filter,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
