@@ -2,12 +2,14 @@
 
 
 def queries():
-    from . import decontaminate, language_id, mixing, quality_rules, secrets, url_filter
+    from . import binary_output, decontaminate, language_id, mixing, quality_rules, secrets, token_counts, url_filter
 
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_edit_aware_counts": token_counts.op4_edit_aware_counts,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_binary_output": binary_output.op6_binary_output,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_language_id": language_id.op10_language_id,

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,8 +151,6 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            import pandas as pd
-
             m = Matcher(shared.value, rate_percent, min_chars)
             for pdf in batches:
                 rows = [(k, *h) for k, t in zip(pdf["k"], pdf["t"]) for h in m.hits(normalise(t))]
@@ -172,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         shared = spark.sparkContext.broadcast(block)
 
         @F.pandas_udf("boolean")
-        def dirty(parts: Iterator, shared=shared) -> Iterator:
+        def dirty(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
             m = Matcher(shared.value, rate_percent, min_chars)
             for texts in parts:
                 yield texts.map(lambda t: bool(m.hits(normalise(t)))).astype(bool)
