@@ -2,15 +2,17 @@
 
 
 def queries():
-    from . import binary_output, decontaminate, language_id, mixing, quality_rules, secrets, token_counts, url_filter
+    from . import binary_output, brown_lm, decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, token_counts, url_filter
 
     return {
+        "op1_brown_lm": brown_lm.op1_brown_lm,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_edit_aware_counts": token_counts.op4_edit_aware_counts,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_binary_output": binary_output.op6_binary_output,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_language_id": language_id.op10_language_id,
     }

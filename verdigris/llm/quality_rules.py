@@ -199,6 +199,12 @@ def quality_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     return docs.withColumn("failed_rule", failed_rule(F.col(text))).withColumn("kept", F.col("failed_rule").isNull())
 
 
+def passing(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that no rule rejects, columns as they are."""
+    judged = quality_cascade(docs.select(F.col(text).alias("t"), F.struct(*docs.columns).alias("row")), "t", **options)
+    return judged.where("kept").select("row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(common.table(spark, sf_dir, "documents"), with_features=True)
 
