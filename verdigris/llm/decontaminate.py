@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,21 +163,25 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def holds(items: Broadcast, rate_percent: int, min_chars: int):
+    """A UDF: does the text hold any of the items?"""
+
+    @F.pandas_udf("boolean")
+    def dirty(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(items.value, rate_percent, min_chars)
+        for texts in parts:
+            yield texts.map(lambda t: bool(m.hits(normalise(t)))).astype(bool)
+
+    return dirty
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   rate_percent: int = RATE_PERCENT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no item, all columns as they are; judged in place, without a join."""
     spark = docs.sparkSession
     common.small_batches(spark)
     for block in item_blocks(benchmark, item_key, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def dirty(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            m = Matcher(shared.value, rate_percent, min_chars)
-            for texts in parts:
-                yield texts.map(lambda t: bool(m.hits(normalise(t)))).astype(bool)
-
-        docs = docs.where(~dirty(F.col(text)))
+        docs = docs.where(~holds(spark.sparkContext.broadcast(block), rate_percent, min_chars)(F.col(text)))
     return docs
 
 
