@@ -253,9 +253,9 @@ CLEAN_STEPS = [
     (r"\'ll", " 'll"),
     (r",", " , "),
     (r"!", " ! "),
-    (r"\(", r" \\\\( "),
-    (r"\)", r" \\\\) "),
-    (r"\?", r" \\\\? "),
+    (r"\(", r" \\( "),
+    (r"\)", r" \\) "),
+    (r"\?", r" \\? "),
     (r"\s{2,}", " "),
 ]
 

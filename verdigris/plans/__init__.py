@@ -1 +1,8 @@
-"""Verdigris plans."""
+"""Verdigris plans: registered queries, jobs and pipelines."""
+
+
+def library():
+    """The registry, with all query modules loaded."""
+    from . import registry, scoring  # noqa: F401
+
+    return registry
