@@ -44,7 +44,7 @@ def run_of_path(path: Column) -> dict[str, Column]:
     return {
         "category": F.nullif(category, F.lit("")),
         "model": F.nullif(F.regexp_replace(category, "(" + "|".join(SUFFIXES) + ")$", ""), F.lit("")),
-        "action": F.nullif(F.ltrim(F.lit("_"), suffix), F.lit("")),
+        "action": F.nullif(F.regexp_replace(suffix, "^_", ""), F.lit("")),
         "dataset": F.nullif(F.regexp_extract(run, form, 1), F.lit("")),
         "length": F.nullif(F.regexp_extract(run, form, 2), F.lit("")),
         "ratio": F.nullif(F.regexp_extract(run, form, 3), F.lit("")).try_cast("double"),
