@@ -10,7 +10,8 @@ When a source has run out its slots stay empty and close up; the others keep the
 Every row gets a place: sources beyond `max_streams` (by rows) share one pooled stream, a null source
 is a stream of its own. Rows are numbered within a source by hash, in salted chunks, so a source that
 holds a third of all rows is spread over many tasks. Repeated rows get neighbouring places; empty
-tables give empty results. Extra columns pass through; added names start with `mix_`.
+tables give empty results. Extra columns pass through; added names start with `mix_` and replace
+columns of those names.
 """
 
 from __future__ import annotations
@@ -87,6 +88,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     scaled to sum to one; sources without one get the least share, 1/q.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     top = docs.groupBy(F.col(source).alias("s")).count().orderBy(F.desc("count"), "s").limit(max_streams).collect()
     if not top:
         return docs.select("*", *[F.lit(None).cast("long").alias(f"mix_{n}") for n in ("block", "slot", "release", "deadline", "position", "order")])
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     stream = F.lit(names.index(POOLED) if POOLED in names else None).cast("int")
     known = [(i, s) for i, s in enumerate(names) if s != POOLED]
     stream = reduce(lambda c, x: F.when(F.col(source).eqNullSafe(F.lit(x[1])), F.lit(x[0])).otherwise(c), known, stream)
-    ties = [F.col(key), *[F.xxhash64(F.col(c)) if t.startswith(("string", "bin")) else F.hash(F.col(c)) for c, t in docs.dtypes if c != key and not t.startswith(("map", "variant"))]]
+    ties = [F.col(key), *[F.xxhash64(F.col(c)) for c, t in docs.dtypes if c != key and "map<" not in t and "variant" not in t]]
     numbered = number_rows(docs.withColumn("mix_stream", stream), "mix_stream", ties, chunk_rows, rows)
 
     e = F.array(*[F.lit(p) for p in parts])
@@ -127,9 +129,10 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     return out.select(*docs.columns, *[F.col(f"mix_{n}").cast("long").alias(f"mix_{n}") for n in ("block", "slot", "release", "deadline", "position", "order")])
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """docs in the mixed order, range-partitioned, with its own columns only."""
-    return mix(docs, **options).orderBy("mix_order").select(*docs.columns)
+def in_mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """docs in the mixed order, range-partitioned, with its own columns only, whatever their names."""
+    nested = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.struct(*docs.columns).alias("row"))
+    return mix(nested, "source", "key", **options).orderBy("mix_order").select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

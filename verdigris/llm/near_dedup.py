@@ -178,11 +178,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)))
     )
     buckets = common.written(buckets.select("pos", "value", "size", "part", "id", "halves"), "buckets")
+    # rows that share an id but not a text: their classes are one node
+    own = member.where("n > 0").select("id", "class_id").distinct()
+    shared_ids = own.groupBy("id").agg(F.min("class_id").alias("v"), F.count("*").alias("c")).where("c > 1")
+    same_id = own.join(shared_ids, "id").select(F.col("class_id").alias("u"), "v").where("u <> v")
     ids = buckets.select("id").distinct()
     n_ids = ids.count()
     if not n_ids:
-        return finish(member, None, key)
-    sets = common.written(shingle_sets(docs, ids, n_ids, text, key, k).dropDuplicates(["id"]), "sets")
+        return finish(member, components(same_id), key)
+    sets = common.written(shingle_sets(docs, ids, n_ids, text, key, k), "sets")
 
     # round 1: hubs
     edge = "id long, hub long, agree long"
@@ -209,15 +213,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     more = outside.join(others, ["pos", "value"]).where((F.col("cu") != F.col("cv")) & (agree >= MIN_AGREE) & (second > 0))
     more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links2 = verified(more, sets, percent)
-    found = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links2)
+    found = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links2).unionByName(same_id)
     return finish(member, components(found), key)
 
 
-def finish(member: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
-    if labels is None:
-        out = member.withColumn("component", F.col("class_id"))
-    else:
-        out = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+def finish(member: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    out = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
@@ -225,11 +226,11 @@ def finish(member: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
     """docs without the documents whose component has a lesser id, and one row per id; null ids stay."""
-    drop = near_duplicates(docs, text, key, k, percent, tables).where(~F.col("kept")).select(key).distinct()
-    left = docs.join(drop, key, "left_anti")
-    salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    w = Window.partitionBy(key, "salt_").orderBy(F.xxhash64(F.col(text)))
-    return left.withColumn("salt_", salt).withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").select(*docs.columns)
+    drop = near_duplicates(docs, text, key, k, percent, tables).where(~F.col("kept")).select(F.col(key).alias("id_")).distinct()
+    rows = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_"), F.struct(*docs.columns).alias("row_"))
+    left = rows.join(drop, "id_", "left_anti").withColumn("salt_", F.when(F.col("id_").isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy("id_", "salt_").orderBy(F.xxhash64("text_"))
+    return left.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").select("row_.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

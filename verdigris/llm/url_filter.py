@@ -133,11 +133,8 @@ class Boosted:
 
     def score(self, df: DataFrame, url: str, out: str) -> DataFrame:
         """df plus the probability of `block`."""
-        binned = df.select("*", *[c.alias(f"gbt_{i}") for i, c in enumerate(self.bins(F.col(url)))])
-        inner = binned.select(*df.columns, *[F.col(f"gbt_{i}").alias(f"f{i}") for i in range(len(self.names))]) if not {f"f{i}" for i in range(len(self.names))} & set(df.columns) else None
-        if inner is None:
-            raise ValueError("columns named f0, f1, ... clash with the model's")
-        return inner.select(*df.columns, (1 / (1 + F.exp(-self.margin()))).alias(out))
+        binned = df.select(F.struct(*df.columns).alias("row"), *self.bins(F.col(url)))
+        return binned.select("row.*", (1 / (1 + F.exp(-self.margin()))).alias(out))
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees: int = 10, depth: int = 3, n_bins: int = 16,
