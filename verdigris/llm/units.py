@@ -56,6 +56,8 @@ class UnitCache(dict):
         self.make, self.limit = make, limit
 
     def __missing__(self, unit: str):
+        if len(unit) > 256:
+            return self.make(self.encode(unit))  # rare, and large to keep
         if len(self) >= self.limit:
             self.clear()
         got = self[unit] = self.make(self.encode(unit))
