@@ -40,9 +40,9 @@ def zip_pairs(df: DataFrame, keys: list[str], side: Column, order: str, columns:
     """
     kept = df.withColumn("side_", side).where("side_ is not null")
     w = Window.partitionBy(*keys, "side_").orderBy(order)
-    n = kept.withColumn("k", F.row_number().over(w))
+    n = kept.withColumn("nth", F.row_number().over(w))
     row = F.struct(*columns)
-    both = n.groupBy(*keys, "k").agg(F.max(F.when(F.col("side_"), row)).alias("before"), F.max(F.when(~F.col("side_"), row)).alias("after"))
+    both = n.groupBy(*keys, "nth").agg(F.max(F.when(F.col("side_"), row)).alias("before"), F.max(F.when(~F.col("side_"), row)).alias("after"))
     return both.where("before is not null and after is not null")
 
 

@@ -140,7 +140,7 @@ def _(t: Tables):
 @query("j18_zip_pairs", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')) SELECT u.conv_id, u.k AS k, u.turn AS before_turn, a.turn AS after_turn FROM n u JOIN n a ON u.conv_id = a.conv_id AND u.k = a.k AND u.role = 'user' AND a.role = 'assistant'")
 def _(t: Tables):
     side = F.when(F.col("role") == "user", True).when(F.col("role") == "assistant", False)
-    return Q.zip_pairs(t.conversations, ["conv_id"], side, "turn", ["turn"]).select("conv_id", F.col("k").cast("long").alias("k"), F.col("before.turn").alias("before_turn"), F.col("after.turn").alias("after_turn"))
+    return Q.zip_pairs(t.conversations, ["conv_id"], side, "turn", ["turn"]).select("conv_id", F.col("nth").cast("long").alias("k"), F.col("before.turn").alias("before_turn"), F.col("after.turn").alias("after_turn"))
 
 
 @query("j19_adjacent_pairs", f"WITH {SAMPLES}, r AS (SELECT index, label, row_number() OVER (ORDER BY index) - 1 AS i FROM s) SELECT CAST(a.i // 2 AS BIGINT) AS pair, a.index AS first_index, b.index AS second_index FROM r a JOIN r b ON b.i = a.i + 1 AND a.i % 2 = 0 WHERE a.label <> b.label")
@@ -423,7 +423,7 @@ def _(t: Tables):
 @query("c1_changed_ranges")
 def _(t: Tables):
     pairs = Q.zip_pairs(t.conversations, ["conv_id"], F.when(F.col("role") == "user", True).when(F.col("role") == "assistant", False), "turn", ["text"])
-    return pairs.select("conv_id", "k", K.changed_ranges(F.col("before.text"), F.col("after.text")).alias("ranges")).select("conv_id", "k", "ranges.*")
+    return pairs.select("conv_id", F.col("nth").alias("k"), K.changed_ranges(F.col("before.text"), F.col("after.text")).alias("ranges")).select("conv_id", "k", "ranges.*")
 
 
 @query("c3_split_oversized")
