@@ -285,6 +285,32 @@ def test_op8_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none).collect() == [] and near_dedup.deduplicate(none).collect() == []
 
 
+def test_op8_family_components_on_any_order():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 40, (rng.integers(1, 4), 30))
+        sets = []
+        for _ in range(rng.integers(1, 25)):
+            x = base[rng.integers(len(base))].copy()
+            x[rng.integers(0, 30, rng.integers(0, 9))] = rng.integers(0, 1 << 40)
+            sets.append(np.unique(x))
+        n = len(sets)
+        par = list(range(n))
+
+        def find(x):
+            while par[x] != x:
+                x = par[x]
+            return x
+
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    par[find(i)] = find(j)
+        got = near_dedup.family_components(sets, 80)
+        assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(n) for j in range(n))
+
+
 def test_op8_rows_that_share_an_id_are_one_node(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     df = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (9, c)], "doc_id long, text string")

@@ -9,12 +9,13 @@ keyed by half-key i of the first collection and j of the second, so tables**2 ta
 4 * tables minhash functions. At similarity 0.8 and ten half-keys a pair shares none of the 100 tables
 with probability 7e-5.
 
-Inside a table nobody compares all pairs. First each document is verified against a hub of its
-buckets (the member closest to the bucket's commonest half-keys), and hubs against hubs; connected
-components follow. Then, in each bucket, every document outside the bucket's largest component is
-compared with all members of other components, so no link between components is lost, while pairs
-inside one component, whose links change nothing, are skipped. A pair reaches verification if at
-least MIN_AGREE of the half-keys agree (fewer: 1e-4 at similarity 0.8).
+Tables are not expanded into pairs. Inside each, everyone is tied to one hub (the member closest to the
+bucket's commonest half-keys); what hangs together so is a family, and every pair that shares a table
+lies in one. A family's full sets meet in one task, which verifies on an inverted index: first a central
+document against all, then each document outside the family's largest component against all. Pairs
+inside one component, whose links change nothing, are skipped; no link between components is lost, and
+only a family's components leave the task. Families of more than PART documents or PART_SHINGLES
+shingles are dealt into parts, and every two parts meet in a task of their own.
 
 Null and empty texts form components of their own; equal rows fall in one class; rows that share an
 id are one node. Extra columns are ignored by `near_duplicates` and passed on by `deduplicate`.
@@ -22,8 +23,6 @@ id are one node. Extra columns are ignored by `near_duplicates` and passed on by
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -34,9 +33,9 @@ from . import common
 from .components import components
 
 TABLES = 10
-MIN_AGREE = 5
-#: A bucket of more members is worked on in parts of about this size.
+#: A bucket or family of more members is worked on in parts of about this size.
 PART = 4096
+PART_SHINGLES = 4_000_000
 #: Ids broadcast to pick the candidates' texts; beyond it, a shuffled semi-join.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 400_000
@@ -126,34 +125,91 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, text: str, key: st
 
 
 def hub_edges(pdf: pd.DataFrame, tables: int) -> pd.DataFrame:
-    """(id, hub, agree) inside one bucket of a first half-key; the second half-keys split it into tables."""
+    """(u, v): members and hubs inside one bucket of a first half-key; the second half-keys split it into tables."""
     h = np.stack(pdf["halves"].to_numpy())
     ids = pdf["id"].to_numpy()
+    if len(ids) == 2:
+        n = int((h[0, tables:] == h[1, tables:]).any())  # does any table hold both?
+        return pd.DataFrame({"u": ids[:n], "v": ids[1 : 1 + n]})
     agree = np.zeros(len(ids), np.int64)
     for c in range(h.shape[1]):
-        values, inverse, count = np.unique(h[:, c], return_inverse=True, return_counts=True)
+        _, inverse, count = np.unique(h[:, c], return_inverse=True, return_counts=True)
         agree += inverse.ravel() == count.argmax()
     order = np.lexsort((ids, -agree))  # the closest to the commonest half-keys first
     out = []
     for j in range(tables):
-        col = h[order, tables + j]
-        _, first, inverse, count = np.unique(col, return_index=True, return_inverse=True, return_counts=True)
-        inverse = inverse.ravel()
-        hub = order[first[inverse]]
-        use = (count[inverse] > 1) & (hub != order)
+        _, first, inverse = np.unique(h[order, tables + j], return_index=True, return_inverse=True)
+        hub = order[first[inverse.ravel()]]
+        use = hub != order
         out.append(np.stack([order[use], hub[use]]))
     pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-    same = (h[pairs[0]] == h[pairs[1]]).sum(axis=1)
-    return pd.DataFrame({"id": ids[pairs[0]], "hub": ids[pairs[1]], "agree": same})[same >= MIN_AGREE]
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets meet the similarity, exactly."""
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    ok = 100 * both >= percent * (F.size("s") + F.size("t") - both)
-    return pairs.join(left, "u").join(right, "v").where(ok).select("u", "v")
+    return pd.DataFrame({"u": ids[pairs[0]], "v": ids[pairs[1]]})
+
+
+def family_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A component number per set: sets of at least that Jaccard similarity are linked, exactly."""
+    n = len(sets)
+    sizes = np.array(list(map(len, sets)), np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    flat, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    shingle = shingle.ravel()
+    posting = owner[np.argsort(shingle, kind="stable")]
+    count = np.bincount(shingle, minlength=len(flat))
+    start = np.cumsum(count) - count
+    begin = np.cumsum(sizes) - sizes
+    comp = np.arange(n)
+    members = {i: [i] for i in range(n)}
+
+    def visit(i: int) -> None:
+        """Merges the components of all that i is linked with."""
+        c = shingle[begin[i] : begin[i] + sizes[i]]
+        c = c[count[c] > 1]
+        if not len(c):
+            return
+        k = count[c]
+        at = np.repeat(start[c] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        both = np.bincount(posting[at], minlength=n)
+        for other in np.unique(comp[100 * both >= percent * (sizes + sizes[i] - both)]):
+            a, b = comp[i], other
+            if a != b and b in members:
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                comp[members[b]] = a
+                members[a] += members.pop(b)
+
+    weight = np.bincount(owner, count[shingle], minlength=n) / np.maximum(sizes, 1)
+    order = np.argsort(-weight, kind="stable").tolist()
+    visit(order[0])  # the most central
+    todo = order[1:]
+    while todo:
+        # whoever is outside the largest component is compared with all; the rest wait, should another become the largest
+        largest, wait = max(members, key=lambda c: len(members[c])), []
+        for i in todo:
+            if comp[i] == largest:
+                wait.append(i)
+                continue
+            visit(i)
+            if comp[i] != largest and len(members[comp[i]]) >= len(members.get(largest, ())):
+                largest = comp[i]
+        largest = max(members, key=lambda c: len(members[c]))
+        todo = [i for i in wait if comp[i] != largest]
+    return comp
+
+
+def link_family(group, percent: int):
+    """(u, v): each document of a family (or of two parts of one) and the least id of its component there."""
+    import pyarrow as pa
+
+    ids = group["id"].to_numpy()
+    flat = group["shingles"].combine_chunks()
+    values, off = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
+    comp = family_components([values[a:b] for a, b in zip(off, off[1:])], percent)
+    least: dict[int, int] = {}
+    for i, c in zip(ids.tolist(), comp.tolist()):
+        least[c] = min(least.get(c, i), i)
+    v = np.array([least[c] for c in comp.tolist()], np.int64)
+    use = ids != v
+    return pa.table({"u": pa.array(ids[use], pa.int64()), "v": pa.array(v[use], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
@@ -163,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     full = sig.where("n > 0")
     classes = full.groupBy("set_hash", "n").agg(F.min("id").alias("class_id"))
     member = sig.select("id", "n", "set_hash").join(classes, ["set_hash", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
-    reps = full.groupBy("set_hash", "n").agg(F.min_by(F.struct("id", "halves"), "id").alias("r")).select("r.id", "r.halves")
+    reps = full.groupBy("set_hash", "n").agg(F.min_by(F.struct("id", "halves"), "id").alias("r")).select("r.id", "n", "r.halves")
 
     # half-keys that two or more classes share; a document needs one of each collection
     reps = common.written(reps, "representatives")
@@ -186,35 +242,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     n_ids = ids.count()
     if not n_ids:
         return finish(member, components(same_id), key)
-    sets = common.written(shingle_sets(docs, ids, n_ids, text, key, k), "sets")
-
-    # round 1: hubs
-    edge = "id long, hub long, agree long"
+    # families: what hangs together by hubs
+    edge = "u long, v long"
     stars = common.written(buckets.groupBy("pos", "value", "part").applyInPandas(lambda pdf: hub_edges(pdf, tables), edge).distinct(), "stars")
-    hubs = stars.select(F.col("hub").alias("id")).distinct()
-    top = F.max_by("hub", F.struct("agree", -F.col("hub")))
-    pairs = stars.groupBy("id").agg(top.alias("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    between = stars.join(hubs, "id", "left_semi").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    hubs = stars.select(F.col("v").alias("id")).distinct()
     split = buckets.where(F.col("size") > PART).join(hubs, "id", "left_semi")
-    across = split.groupBy("pos", "value").applyInPandas(lambda pdf: hub_edges(pdf, tables), edge).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    pairs = pairs.unionByName(between).unionByName(across).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = common.written(verified(pairs, sets, percent), "links")
-    labels = components(links)
-
-    # round 2: whoever is outside a bucket's largest component, against all other components in it
-    placed = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = common.written(placed, "placed")
-    sizes = placed.groupBy("pos", "value", "component").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("pos", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    outside = placed.join(largest, ["pos", "value"]).where("component <> largest").select("pos", "value", F.col("id").alias("u"), F.col("component").alias("cu"), *[F.element_at("halves", i + 1).alias(f"x{i}") for i in range(2 * tables)])
-    others = placed.select("pos", "value", F.col("id").alias("v"), F.col("component").alias("cv"), *[F.element_at("halves", i + 1).alias(f"y{i}") for i in range(2 * tables)])
-    same = [(F.col(f"x{i}") == F.col(f"y{i}")).cast("int") for i in range(2 * tables)]
-    agree, second = reduce(lambda a, b: a + b, same), reduce(lambda a, b: a + b, same[tables:])
-    more = outside.join(others, ["pos", "value"]).where((F.col("cu") != F.col("cv")) & (agree >= MIN_AGREE) & (second > 0))
-    more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links2 = verified(more, sets, percent)
-    found = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links2).unionByName(same_id)
-    return finish(member, components(found), key)
+    across = split.groupBy("pos", "value").applyInPandas(lambda pdf: hub_edges(pdf, tables), edge)
+    family = components(stars.unionByName(across)).withColumnsRenamed({"node": "id", "component": "family"})
+    family = family.join(reps.select("id", "n"), "id")
+    sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    member_of = family.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    member_of = common.written(member_of, "families")
+    in_family = member_of.select("id")
+    sets = shingle_sets(docs, in_family, n_ids, text, key, k).join(member_of, "id")
+    met_with = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = sets.select("family", "id", "shingles", "mine", met_with.alias("other")).select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "id", "shingles")
+    links = dealt.groupBy("family", "a", "b").applyInArrow(lambda g: link_family(g, percent), "u bigint, v bigint")
+    return finish(member, components(links.unionByName(same_id)), key)
 
 
 def finish(member: DataFrame, labels: DataFrame, key: str) -> DataFrame:
