@@ -3,6 +3,6 @@
 
 def library():
     """The registry, with all query modules loaded."""
-    from . import building, registry, scoring  # noqa: F401
+    from . import building, lookups, registry, scoring  # noqa: F401
 
     return registry
