@@ -24,7 +24,6 @@ id are one node. Extra columns are ignored by `near_duplicates` and passed on by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,13 +123,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, text: str, key: st
     return common.map_rows(picked, make, "id long, shingles array<bigint>")
 
 
-def hub_edges(pdf: pd.DataFrame, tables: int) -> pd.DataFrame:
-    """(u, v): members and hubs inside one bucket of a first half-key; the second half-keys split it into tables."""
-    h = np.stack(pdf["halves"].to_numpy())
-    ids = pdf["id"].to_numpy()
-    if len(ids) == 2:
-        n = int((h[0, tables:] == h[1, tables:]).any())  # does any table hold both?
-        return pd.DataFrame({"u": ids[:n], "v": ids[1 : 1 + n]})
+def hub_pairs(ids: np.ndarray, h: np.ndarray, tables: int) -> np.ndarray:
+    """[2, pairs]: members and hubs inside one bucket of a first half-key; the second half-keys split it into tables."""
     agree = np.zeros(len(ids), np.int64)
     for c in range(h.shape[1]):
         _, inverse, count = np.unique(h[:, c], return_inverse=True, return_counts=True)
@@ -142,8 +136,44 @@ def hub_edges(pdf: pd.DataFrame, tables: int) -> pd.DataFrame:
         hub = order[first[inverse.ravel()]]
         use = hub != order
         out.append(np.stack([order[use], hub[use]]))
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pd.DataFrame({"u": ids[pairs[0]], "v": ids[pairs[1]]})
+    return ids[np.unique(np.concatenate(out, axis=1), axis=1)]
+
+
+def hub_edges(buckets: DataFrame, keys: list[str], tables: int) -> DataFrame:
+    """(u, v) of every bucket: rows come sorted by bucket, and many small buckets are worked on at once."""
+    spark = buckets.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for b in _and_end(batches):
+            if b is not None:
+                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            if held is None or not len(held):
+                continue
+            k = np.stack([held[c].to_numpy() for c in keys])
+            change = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            upto = len(held) if b is None else (int(change[-1]) if len(change) else 0)  # the last bucket may go on
+            bounds = np.concatenate([[0], change[change < upto], [upto]]) if upto else np.zeros(1, np.int64)
+            ids = held["id"].to_numpy()
+            h = held["halves"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), 2 * tables)
+            size = np.diff(bounds)
+            two = bounds[:-1][size == 2]
+            two = two[(h[two, tables:] == h[two + 1, tables:]).any(axis=1)]  # some table holds both
+            found = [np.stack([ids[two], ids[two + 1]])] + [hub_pairs(ids[a : a + m], h[a : a + m], tables) for a, m in zip(bounds[:-1], size) if m > 2]
+            pairs = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["u", "v"])
+            held = held.slice(upto).combine_chunks()
+
+    dealt = buckets.select(*keys, "id", "halves").repartition(n, *keys).sortWithinPartitions(*keys, "id")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def family_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -243,12 +273,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     if not n_ids:
         return finish(member, components(same_id), key)
     # families: what hangs together by hubs
-    edge = "u long, v long"
-    stars = common.written(buckets.groupBy("pos", "value", "part").applyInPandas(lambda pdf: hub_edges(pdf, tables), edge).distinct(), "stars")
+    stars = common.written(hub_edges(buckets, ["pos", "value", "part"], tables).distinct(), "stars")
     hubs = stars.select(F.col("v").alias("id")).distinct()
     split = buckets.where(F.col("size") > PART).join(hubs, "id", "left_semi")
-    across = split.groupBy("pos", "value").applyInPandas(lambda pdf: hub_edges(pdf, tables), edge)
-    family = components(stars.unionByName(across)).withColumnsRenamed({"node": "id", "component": "family"})
+    family = components(stars.unionByName(hub_edges(split, ["pos", "value"], tables))).withColumnsRenamed({"node": "id", "component": "family"})
     family = family.join(reps.select("id", "n"), "id")
     sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
     member_of = family.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
