@@ -5,8 +5,8 @@ The trees are grown on histograms: features are binned, every level of a tree is
 stay in generated JVM code. Training reads at most `max_train` labelled URLs, drawn by hash.
 
 Null urls and urls without `://` have an empty host and path, fit no rule, and are judged by the
-model. Repeated urls are judged alike. With fewer than two classes among the labels the model is the
-constant prior; without labels it allows.
+model. Repeated urls are judged alike. With one class among the labels the model always says that
+class; without labels it allows.
 """
 
 from __future__ import annotations
@@ -106,8 +106,7 @@ class Boosted:
             out[kind] = F.coalesce(F.try_element_at(F.create_map(*pairs), c), F.lit(0.0)) if pairs else F.lit(0.0)
         return out
 
-    def bins(self, url: Column) -> list[Column]:
-        f = self.features(url)
+    def binned(self, f: dict[str, Column]) -> list[Column]:
         return [
             reduce(lambda a, b: a + b, [(f[n] > F.lit(x)).cast("int") for x in self.edges[n]], F.lit(0)).alias(f"f{i}")
             for i, n in enumerate(self.names)
@@ -133,7 +132,9 @@ class Boosted:
 
     def score(self, df: DataFrame, url: str, out: str) -> DataFrame:
         """df plus the probability of `block`."""
-        binned = df.select(F.struct(*df.columns).alias("row"), *self.bins(F.col(url)))
+        feats = self.features(F.col(url))
+        known = df.select(F.struct(*df.columns).alias("row"), *[feats[n].alias(n) for n in self.names])  # each feature once
+        binned = known.select("row", *self.binned({n: F.col(n) for n in self.names}))
         return binned.select("row.*", (1 / (1 + F.exp(-self.margin()))).alias(out))
 
 
@@ -144,8 +145,8 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
     sample = rows.orderBy(F.xxhash64("u"), "u", "y").limit(max_train).persist()
     try:
         n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-        if not n or pos in (0.0, n):
-            return Boosted([], {}, 0.0 if n and pos else -5.0, [], {}) if pos != n or not n else Boosted([], {}, 5.0, [], {})
+        if not pos or pos == n:
+            return Boosted([], {}, 5.0 if pos else -5.0, [], {})
         base = math.log(pos / (n - pos))
         odds = {}
         for kind, c in (("suffix_odds", suffix_of(host_of(F.col("u")))), ("segment_odds", first_segment(path_of(F.col("u"))))):
@@ -154,15 +155,18 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
         model = Boosted([], {}, round(base, 6), [], odds)
         feats = model.features(F.col("u"))
         names = sorted(feats)
+        # the features are computed once, by several tasks
+        known = sample.repartition(8).select("y", *[feats[x].alias(x) for x in names]).persist()
         cuts = [k / n_bins for k in range(1, n_bins)]
-        quantiles = sample.agg(*[F.percentile(feats[x], F.array(*map(F.lit, cuts))).alias(x) for x in names]).first()
-        tops = sample.agg(*[F.max(feats[x]).alias(x) for x in names]).first()
-        model.edges = {x: [v for v in sorted({round(v, 9) for v in quantiles[x]}) if v < tops[x]] for x in names}
+        facts = known.agg(*[F.percentile(x, F.array(*map(F.lit, cuts))).alias(x) for x in names], *[F.max(x).alias(f"top_{x}") for x in names]).first()
+        model.edges = {x: [v for v in sorted({round(v, 9) for v in facts[x]}) if v < facts[f"top_{x}"]] for x in names}
         model.names = [x for x in names if model.edges[x]]
         if not model.names:
             return model
         width = range(len(model.names))
-        binned = sample.select("y", *model.bins(F.col("u"))).groupBy(*[f"f{i}" for i in width]).agg(F.sum("y").alias("y"), F.count("*").alias("n")).persist()
+        binned = known.select("y", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum("y").alias("y"), F.count("*").alias("n")).persist()
+        binned.count()
+        known.unpersist()
         try:
             for _ in range(n_trees):
                 grow(model, binned, depth, rate, l2)
