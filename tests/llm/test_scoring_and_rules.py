@@ -73,6 +73,37 @@ def test_op1_odd_rows(odd, none):
     assert brown_lm.score(none, train).collect() == []
 
 
+def test_op1_words_outside_the_top_table_take_the_class_of_their_context(spark):
+    # rare words stand between a and b or between c and d, and so do their endings, but for the first four
+    word = [f"w{i}{'xyz' if i % 2 == (i > 3) else 'uvw'}" for i in range(40)]
+    rows = [(j * 40 + i, (f"a {w} b " if i % 2 else f"c {w} d ") * 3) for i, w in enumerate(word) for j in range(4)]
+    df = spark.createDataFrame([*rows, (900, f"a {word[1]} b"), (901, f"c {word[1]} d")], "doc_id long, text string")
+    got = {r.doc_id: r for r in brown_lm.score(df, F.col("doc_id") < 900, top_words=5, shapes=16, classes=7).collect()}
+    assert got[900].n_known == got[901].n_known == 4 and got[900].base_score == got[901].base_score
+    assert got[900].score > got[901].score + 1
+
+
+def test_op1_best_classes_are_those_of_the_greatest_likelihood():
+    rng = np.random.default_rng(3)
+    words, classes = 30, 4
+    b = rng.poisson(rng.gamma(0.5, 4, (words, words))).astype(float)
+    np.fill_diagonal(b, 0)
+    cls = np.arange(words) % classes
+
+    def tables(cls):
+        m = np.eye(classes)[cls]
+        return m.T @ b @ m, np.hstack([b @ m, b.T @ m])
+
+    def likelihood(cls):
+        t = tables(cls)[0]
+        return brown_lm.xlogx(t).sum() - brown_lm.xlogx(t.sum(0)).sum() - brown_lm.xlogx(t.sum(1)).sum()
+
+    t, vectors = tables(cls)
+    new = brown_lm.best_classes(vectors, cls, t)
+    moved = [likelihood(np.where(np.arange(words) == w, new[w], cls)) - likelihood(cls) for w in range(words)]
+    assert sum(new != cls) > 5 and np.mean(np.array(moved)[new != cls] > 0) > 0.8
+
+
 BASE = {
     "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),

@@ -1,30 +1,30 @@
 """Scoring by a Brown class-based bigram model.
 
-Every word belongs to a unit: the `top_words` most frequent training words are units of their own, all
-others share a unit by their shape (a hash of their last characters, so endings stay together). Units
-are put into classes by exchange clustering: in turn, each unit moves to the class that raises the
-likelihood of the training text's class bigrams most. A token then has the probability
+Every training word has a class by exchange clustering. The `top_words` most frequent words, and units
+of shape (a hash of the last characters) that hold all others, are clustered first, on the table of
+their bigrams: in turn, each unit moves to the class that raises the likelihood of the training text's
+class bigrams most. Then every other training word, with the class of its shape unit as its start, moves
+by the same gain in distributed passes over its own left and right class counts; a pass moves all words
+against the tables of its start. Unseen words keep the class of their shape. A token then has the probability
 
-    P(class | previous class) * P(unit | class) * P(word | unit)
+    P(class | previous class) * P(word | class)
 
-with the transition interpolated between bigram and unigram, and one added to every count, so that unseen
-words of each shape have their share. All counts cover the whole training corpus. The unit bigrams are
-a table of at most units**2 numbers, whatever the corpus; word counts stay distributed: documents are
-dealt into blocks of bounded size, a block asks once for each of its words, and only words that other
-blocks hold too are answered.
+with the transition interpolated between bigram and unigram, and one added to every count and one unseen
+word to every class. All counts cover the whole training corpus and stay distributed: documents are dealt
+into blocks of bounded size and numbered there word by word once, words meet by key, and a block is
+answered the class and count of each of its words. The tables are of a fixed size, whatever the corpus.
 
 Null texts are empty and consist of their end token. Repeated rows are scored alike. Without training
-rows every count is zero and the model is uniform over its units. Extra columns are ignored.
+rows every count is zero and the model is uniform over its classes. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ TOP_WORDS = 1792
 SHAPES = 256
 CLASSES = 48
 ROUNDS = 4
+#: Distributed passes over the words outside the top table.
+PASSES = 1
 BLOCK_BYTES = 8_000_000
 END = b""  # the end token; no word is empty
 
@@ -51,19 +53,8 @@ def shape_of(word: bytes, shapes: int = SHAPES) -> int:
     return (h ^ (h >> 13)) % shapes
 
 
-class Units(dict):
-    """word -> unit; a bounded cache over the fixed table of top words."""
-
-    def __init__(self, top: list[bytes], shapes: int, limit: int = 300_000):
-        super().__init__((w, i) for i, w in enumerate(top))
-        self.top, self.n_top, self.shapes, self.limit = top, len(top), shapes, limit + len(top)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.top))
-        u = self[word] = self.n_top + shape_of(word, self.shapes)
-        return u
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
 
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -81,9 +72,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     member[np.arange(n), cls] = 1
     table = member.T @ (bigrams @ member)
 
-    def xlogx(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -147,118 +135,221 @@ def blocked(docs: DataFrame, text: str, key: str, train: Column, block_bytes: in
     return docs.select(block.alias("block"), k.alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train")), n
 
 
-def block_words(group: pa.Table) -> pa.Table:
-    """(block, word, n): training count of every distinct word of one block, 0 for words of other rows only."""
-    c: Counter = Counter()
-    seen: set = set()
-    for t, train in zip(group["t"].cast(pa.binary()).to_pylist(), group["train"].to_pylist()):
-        if train:
-            c.update(tokens(t))
-        else:
-            seen.update(tokens(t))
-    words = list(c) + [w for w in seen if w not in c]
-    counts = list(c.values()) + [0] * (len(words) - len(c))
-    return pa.table({"block": pa.array([group["block"][0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "n": pa.array(counts, pa.int64())})
+def encode_block(group: pa.Table, shapes: int) -> pa.Table:
+    """One block's distinct words (i, word, n: training count, shape) and its documents (k, train, ids: word numbers i)."""
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in group["t"].cast(pa.binary()).to_pylist()]
+    train = [x for x, t in zip(ids, group["train"].to_pylist()) if t]
+    words, m, d = list(number), len(number), len(ids)
+    n = np.bincount(np.concatenate(train), minlength=m) if train else np.zeros(m, np.int64)
+    k = group["k"].combine_chunks()
+    return pa.table({
+        "block": pa.array(np.full(m + d, group["block"][0].as_py(), np.int32)),
+        "i": pa.array([*range(m), *[None] * d], pa.int32()),
+        "word": pa.array(words + [None] * d, pa.binary()),
+        "n": pa.array([*n.tolist(), *[None] * d], pa.int64()),
+        "shape": pa.array([*[shape_of(w, shapes) for w in words], *[None] * d], pa.int32()),
+        "k": pa.concat_arrays([pa.nulls(m, k.type), k]),
+        "train": pa.array([None] * m + group["train"].to_pylist(), pa.bool_()),
+        "ids": pa.array([None] * m + ids, pa.list_(pa.int32())),
+    })
+
+
+class Block:
+    """What encode_block wrote of one block, with arrays by word number: unit, class and count."""
+
+    def __init__(self, group: pa.Table, at: dict[bytes, int], n_top: int, cls: np.ndarray | None = None, answers: pa.Table | None = None):
+        is_word = pc.is_valid(group["i"])
+        words, self.docs = group.filter(is_word).sort_by("i"), group.filter(pc.invert(is_word))
+        self.words, self.n = words["word"].to_pylist(), words["n"].to_numpy()
+        self.unit = np.array([at.get(w, -1) for w in self.words], np.int64)
+        self.unit = np.where(self.unit < 0, n_top + words["shape"].to_numpy(), self.unit)
+        self.count = np.zeros(len(self.unit), np.int64)
+        if cls is not None:
+            self.cls = cls[self.unit]
+        if answers is not None and len(answers):
+            i = answers["i"].to_numpy()
+            self.cls[i], self.count[i] = answers["cls"].to_numpy(), answers["c"].to_numpy()
+
+    def train_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(left, right) word numbers of every bigram of the training rows; END precedes each text."""
+        ids = self.docs.filter(self.docs["train"])["ids"].combine_chunks()
+        off = ids.offsets.to_numpy()
+        right = ids.values.to_numpy()[off[0] : off[-1]] if len(ids) else np.zeros(0, np.int32)
+        left = np.roll(right, 1)  # every text ends with END, which also precedes the next
+        return left, right
+
+
+def tally(codes: np.ndarray) -> pa.Table:
+    p, n = np.unique(codes, return_counts=True)
+    return pa.table({"p": pa.array(p, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def square(pairs: DataFrame, n: int) -> np.ndarray:
+    """The n x n table of counts of the codes left * n + right."""
+    out = np.zeros(n * n)
+    got = pairs.groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # at most n ** 2 rows
+    out[got["p"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(n, n)
+
+
+def contexts(block: Block, n_top: int, classes: int) -> pa.Table:
+    """(word, own, ctx) of the training words outside the top table: own class, and n * 2 * classes + neighbour
+    for each right neighbour's class (0..classes-1) and left one's (classes..)."""
+    left, right = block.train_pairs()
+    rest = block.unit >= n_top
+    a, b = rest[left], rest[right]
+    wide = 2 * classes
+    codes = np.concatenate([left[a].astype(np.int64) * wide + block.cls[right[a]], right[b].astype(np.int64) * wide + classes + block.cls[left[b]]])
+    p, n = np.unique(codes, return_counts=True)
+    who, first = np.unique(p // wide, return_index=True)
+    ctx = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), pa.array(n * wide + p % wide, pa.int64()))
+    return pa.table({"word": pa.array([block.words[i] for i in who], pa.binary()), "own": pa.array(block.cls[who], pa.int32()), "ctx": ctx})
 
 
-def unit_bigrams(docs: DataFrame, text: str, train: Column, top: list[bytes], shapes: int) -> np.ndarray:
-    """The square table of unit bigrams of the training rows; the unit of END precedes each text."""
-    n = len(top) + shapes
-    shared = docs.sparkSession.sparkContext.broadcast(top)
+def best_classes(vectors: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word (a row: counts of right, then left neighbours' classes) of the greatest gain.
+
+    The gain is that of exchange(), each word taken out of its own class in the tables; a word's bigrams
+    with itself count as bigrams with its old class.
+    """
+    classes = len(table)
+    g, a = vectors.nonzero()
+    v = vectors[g, a]
+    by = np.concatenate([table.T, table])  # by[d]: counts of each class before d; by[classes + d]: after d
+    logs, at, home = xlogx(by), by[a], own[g]
+    gain = xlogx(at + v[:, None]) - logs[a]
+    x = at[np.arange(len(a)), home]
+    gain[np.arange(len(a)), home] = xlogx(x) - xlogx(np.maximum(x - v, 0))
+    total = np.zeros((len(vectors), classes))
+    some, first = np.unique(g, return_index=True)
+    if len(some):
+        total[some] = np.add.reduceat(gain, first, axis=0)
+    every = np.arange(len(vectors))
+    for sums, part in ((table.sum(axis=1), vectors[:, :classes]), (table.sum(axis=0), vectors[:, classes:])):
+        m = part.sum(axis=1)
+        loss = xlogx(sums + m[:, None]) - xlogx(sums)
+        loss[every, own] = xlogx(sums[own]) - xlogx(np.maximum(sums[own] - m, 0))
+        total -= loss
+    best = total.argmax(axis=1)
+    return np.where(total[every, best] > total[every, own] + 1e-9, best, own)
+
+
+def assign(vectors: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, cls, c) of every word of `contexts`: rows come sorted by word, and many words are worked on at once."""
+    spark = vectors.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(table)
+    wide = 2 * len(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value, shapes)
-        total = np.zeros(n * n, np.int64)
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                u = np.fromiter(map(units.__getitem__, [END, *tokens(t)]), np.int64)
-                np.add.at(total, u[:-1] * n + u[1:], 1)
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            p = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(total[p], pa.int64())], names=["p", "n"])
-
-    rows = docs.where(train).select(F.col(text)).mapInArrow(run, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
-    out = np.zeros(n * n)
-    got = rows.toArrow()  # at most (top_words + shapes) ** 2 rows
-    out[got["p"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(n, n)
+        held: list[pa.RecordBatch] = []
+        batch = next(batches, None)
+        while batch is not None:
+            held.append(batch)
+            batch = next(batches, None)
+            if batch is not None and sum(map(len, held)) < 20_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            word = t["word"].combine_chunks()
+            change = np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1
+            upto = len(t) if batch is None else (int(change[-1]) if len(change) else 0)  # the last word may go on
+            held = t.slice(upto).to_batches() if upto < len(t) else []
+            if not upto:
+                continue
+            first = np.concatenate([[0], change[change < upto]])
+            ctx = t["ctx"].combine_chunks().slice(0, upto)
+            off = ctx.offsets.to_numpy()
+            x = ctx.values.to_numpy()[off[0] : off[-1]]
+            word_no = np.searchsorted(first, np.arange(upto), side="right") - 1
+            code = np.repeat(word_no, np.diff(off)) * wide + x % wide
+            sums = np.bincount(code, x // wide, len(first) * wide).reshape(len(first), wide)
+            own = t["own"].to_numpy()[first]
+            cls = np.concatenate([best_classes(sums[i : i + 2000], own[i : i + 2000], shared.value) for i in range(0, len(first), 2000)])
+            c = sums[:, wide // 2 :].sum(axis=1).astype(np.int64)  # a token has one left neighbour
+            yield pa.RecordBatch.from_arrays([word.take(pa.array(first)), pa.array(cls, pa.int32()), pa.array(c)], names=["word", "cls", "c"])
+
+    return vectors.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "word binary, cls int, c bigint")
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", top_words: int = TOP_WORDS, shapes: int = SHAPES,
-          classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score for every row; rows where train holds are learnt from."""
     spark = docs.sparkSession
     common.small_batches(spark)
+    kind = docs.schema[key].dataType.simpleString()
     dealt, _ = blocked(docs, text, key, train, block_bytes)
-    words = common.written(dealt.groupBy("block").applyInArrow(block_words, "block int, word binary, n bigint"), "words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks"))
-
-    @F.pandas_udf("int")
-    def shape(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: shape_of(bytes(x), shapes))
-
-    counts = common.written(counts.withColumn("shape", shape("word")), "counts")
-    best = counts.where("c > 0").orderBy(F.desc("c"), "word").limit(top_words).collect()
-    top = [bytes(r["word"]) for r in best]
-    if END not in top:
-        top = [END, *top[: top_words - 1]]
-    total, vocabulary = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_units = len(top) + shapes
-    distinct = np.zeros(n_units)
-    for r in counts.where("c > 0").groupBy("shape").count().collect():
-        distinct[len(top) + r["shape"]] = r["count"]
-    for w in top:
-        distinct[len(top) + shape_of(w, shapes)] -= 1  # they have units of their own
-    distinct[len(top) :] = np.maximum(distinct[len(top) :], 0)
-    bigrams = unit_bigrams(docs, text, train, top, shapes)
-    model = Model(bigrams, exchange(bigrams, classes, rounds), classes, distinct, len(top), total, vocabulary)
-    top_counts = [int(r["c"]) for r in best]
-    if len(best) < len(top) or (best and bytes(best[0]["word"]) != top[0]):
-        at = {bytes(r["word"]): int(r["c"]) for r in best}
-        top_counts = [at.get(w, 0) for w in top]
-    shared = spark.sparkContext.broadcast((model, top, top_counts))
-    # answers: words of two or more blocks, unless every block has the top table
-    replies = words.join(counts.where("blocks > 1").select("word", "c"), "word").where("c <> n").select("block", "word", "c")
+    encoded = dealt.groupBy("block").applyInArrow(lambda g: encode_block(g, shapes), f"block int, i int, word binary, n bigint, shape int, k {kind}, train boolean, ids array<int>")
+    encoded = common.written(encoded, "encoded")
+    words = encoded.where("i is not null").select("block", "i", "word", "n")
+    counts = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+    counts = common.written(counts, "counts")
+    at = {bytes(r["word"]): int(r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(top_words).collect()}
+    if END not in at:
+        at = {END: 0, **dict(list(at.items())[: top_words - 1])}
+    top, top_counts, n_top = list(at), np.array(list(at.values())), len(at)
+    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+
+    n_units = n_top + shapes
+    numbered = {w: u for u, w in enumerate(top)}
+
+    def unit_pairs(group: pa.Table) -> pa.Table:
+        block = Block(group, numbered, n_top)
+        left, right = block.train_pairs()
+        return tally(block.unit[left] * n_units + block.unit[right])
+
+    bigrams = square(encoded.groupBy("block").applyInArrow(unit_pairs, "p bigint, n bigint"), n_units)
+    seed = exchange(bigrams, classes, rounds)
+    member = np.zeros((n_units, classes))
+    member[np.arange(n_units), seed] = 1
+    table = member.T @ (bigrams @ member)
 
-    kind = docs.schema[key].dataType.simpleString()
+    def by_block(run, answers: DataFrame, ddl: str) -> DataFrame:
+        return encoded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda g, a: run(Block(g, numbered, n_top, seed, a)), ddl)
+
+    def class_pairs(block: Block) -> pa.Table:
+        left, right = block.train_pairs()
+        return tally(block.cls[left].astype(np.int64) * classes + block.cls[right])
+
+    answers = None
+    for _ in range(passes):
+        ddl = "word binary, own int, ctx array<bigint>"
+        if answers is None:
+            vectors = encoded.groupBy("block").applyInArrow(lambda g: contexts(Block(g, numbered, n_top, seed), n_top, classes), ddl)
+        else:
+            vectors = by_block(lambda b: contexts(b, n_top, classes), answers, ddl)
+        found = common.written(assign(vectors, table), "classes")
+        answers = common.written(words.select("block", "i", "word").join(found, "word").select("block", "i", "cls", "c"), "answers")
+        table = square(by_block(class_pairs, answers, "p bigint, n bigint"), classes)
+
+    distinct = np.bincount(seed[:n_top][top_counts > 0], minlength=classes).astype(float)
+    for r in found.groupBy("cls").count().collect():
+        distinct[r["cls"]] += r["count"]
+    model = Model(table, np.arange(classes), classes, distinct, 0, total, vocabulary)  # its units are the classes
+    shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("k", common.schema_of(f"k {kind.replace('bigint', 'long')}").field(0).type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        model, top, top_counts = shared.value
-        rows = [(k, tokens(t), tr) for k, t, tr in zip(group["k"].to_pylist(), group["t"].cast(pa.binary()).to_pylist(), group["train"].to_pylist())]
-        counts: dict[bytes, int] = Counter()
-        for _, ts, tr in rows:
-            if tr:
-                counts.update(ts)
-        for w, c in zip(answers["word"].to_pylist(), answers["c"].to_pylist()):
-            counts[w] = c
-        counts.update(zip(top, top_counts))
-        units = Units(top, shapes)
-        # by word number: log10 terms
-        number: dict[bytes, int] = {}
-        for _, ts, _ in rows:
-            for w in ts:
-                if w not in number:
-                    number[w] = len(number)
-        ws = list(number)
-        c = np.fromiter((counts.get(w, 0) for w in ws), np.float64, len(ws))
-        u = np.fromiter(map(units.__getitem__, ws), np.int64, len(ws))
+    def run(block: Block) -> pa.Table:
+        model = shared.value
+        if not len(block.docs):
+            return schema.empty_table()
+        is_top = block.unit < n_top
+        c = block.count.astype(float)
+        c[is_top] = top_counts[block.unit[is_top]]
+        cls = block.cls
         base = np.log10((c + 1) / (model.total + model.vocabulary + 1))
-        inside = np.where(u < model.n_top, 0.0, np.log10((c + 1) / model.unit_total[u]))
-        term = model.emission[u] + inside
-        cls = model.cls[u]
-        end = model.cls[units[END]]
-        out = []
-        for k, ts, _ in rows:
-            i = np.fromiter(map(number.__getitem__, ts), np.int64, len(ts))
-            g = cls[i]
-            before = np.concatenate([[end], g[:-1]])
-            out.append((k, len(ts), int((c[i] > 0).sum()), model.total, float(base[i].sum()), float((term[i] + model.transition[before, g]).sum())))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        term = model.emission[cls] + np.log10((c + 1) / model.unit_total[cls])
+        ids = block.docs["ids"].combine_chunks()
+        off = ids.offsets.to_numpy()
+        i = ids.values.to_numpy()[off[0] : off[-1]]
+        off = off - off[0]
+        full = term[i] + model.transition[cls[np.roll(i, 1)], cls[i]]  # END ends each text and precedes the next
+        sums = [np.add.reduceat(x, off[:-1]) for x in (c[i] > 0, base[i], full)]
+        rows = [block.docs["k"].combine_chunks(), np.diff(off), sums[0], np.full(len(off) - 1, model.total), sums[1], sums[2]]
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(rows, schema)], schema=schema)
 
     ddl = f"k {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, ddl).withColumnRenamed("k", key)
+    return by_block(run, answers, ddl).withColumnRenamed("k", key)
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
