@@ -67,6 +67,25 @@ def test_op3_odd_rows(odd, none):
     assert mixing.mix(none).collect() == [] and mixing.in_mixed_order(none).collect() == []
 
 
+def test_op3_lag_is_below_one_for_weights_that_thousandths_cannot_express():
+    sizes = {"hot": 400_000, **{f"s{i:02}": 40_000 for i in range(19)}}
+    part = list(mixing.shares(sizes, 1000, 0.5, None).values())
+    weight = [n**0.5 / sum(n**0.5 for n in sizes.values()) for n in sizes.values()]
+    blocks = [-(-n // 16) for n in sizes.values()]
+    stream, _, slot, release, deadline = mixing.schedule(part, blocks)
+    assert len(stream) == 72_500 and all(r <= t < d for r, t, d in zip(release, slot, deadline))
+    done = [0] * 20
+    for t, (s, at) in enumerate(zip(stream, slot), 1):
+        if at != t - 1:
+            break
+        done[s] += 1
+        assert all(abs(d - t * w) < 1 for d, w in zip(done, weight)) or any(map(int.__eq__, done, blocks))
+    assert t > 40_000
+    tiny = mixing.shares({"a": 1, "b": 1}, 1000, 0.5, {"a": 0.9999, "b": 0.0001})
+    assert tiny == {"a": 9999, "b": 1}
+    assert len(mixing.schedule([10**12, 1], [3, 50])[0]) == 53  # weights far from sizes end soon
+
+
 # ---- op4 ------------------------------------------------------------------------------------
 
 

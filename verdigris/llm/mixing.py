@@ -1,46 +1,74 @@
-"""Mixing sources to target weights by Pfair scheduling, as one DataFrame plan.
-
-A source's documents form blocks of `block_docs`. Block b of a source with weight e/Q is released at
-slot floor(b*Q/e) and due at ceil((b+1)*Q/e); each slot takes, among the released blocks, the one with
-the earliest deadline. With integer shares e that sum to Q the schedule repeats every Q slots, so one
-cycle (a SQL fold over Q slots, independent of the data) places every block in closed form. Before any
-source runs out, each source's blocks among the first t slots differ from t*e/Q by less than one.
-When a source has run out its slots stay empty and close up; the others keep their proportions.
-
-Every row gets a place: sources beyond `max_streams` (by rows) share one pooled stream, a null source
-is a stream of its own. Rows are numbered within a source by hash, in salted chunks, so a source that
-holds a third of all rows is spread over many tasks. Repeated rows get neighbouring places; empty
-tables give empty results. Extra columns pass through; added names start with `mix_` and replace
-columns of those names.
+"""Mixing sources to target weights by Pfair scheduling.
+
+A source's documents form blocks of `block_docs`. Block b of a source of weight w is released at slot
+floor(b/w) and due at ceil((b+1)/w); each slot takes, among the released blocks, the one with the earliest
+deadline. Weights are exact fractions, so before any source runs out, each source's blocks among the first t
+slots differ from t*w by less than one, however long the table. When a source has run out its slots stay
+empty and close up (beyond four slots a block, later ones are given to who is released); the others keep
+their proportions. The schedule has one row per block and comes from the driver, which takes a heap step a slot.
+
+Every row gets a place, a null source is a source of its own. Rows are numbered within a source by hash,
+in salted chunks, so a source that holds a third of all rows is spread over many tasks. Repeated rows get
+neighbouring places; empty tables give empty results. Extra columns pass through; added names start with
+`mix_` and replace columns of those names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-POOLED = "\x00pooled"
+#: Schedules and source lists of up to this many rows are broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shares(sizes: dict, q: int, temperature: float, weights: dict | None) -> dict:
-    """Integer parts of q, one at least each: given weights, else rows ** temperature."""
-    raw = {s: float(weights.get(s, 0.0)) if weights else float(n) ** temperature for s, n in sizes.items()}
-    total = sum(raw.values()) or 1.0
-    exact = {s: v / total * q for s, v in raw.items()}
-    part = {s: max(1, int(v)) for s, v in exact.items()}
-    order = sorted(part, key=lambda s: (part[s] - exact[s], str(s)))
-    i = 0
-    while sum(part.values()) != q:
-        over = sum(part.values()) > q
-        s = order[-1 - i % len(order)] if over else order[i % len(order)]
-        if not over or part[s] > 1:
-            part[s] += -1 if over else 1
-        i += 1
-    return part
+    """Exact weights as integers of one common sum: given weights, else rows ** temperature.
+
+    Sources without a given weight have 1/q of the given ones' sum.
+    """
+    if weights:
+        raw = {s: Fraction(repr(float(weights.get(s, 0.0)))) for s in sizes}
+        least = (sum(raw.values()) or Fraction(1)) / q
+        raw = {s: v or least for s, v in raw.items()}
+    else:
+        raw = {s: Fraction(repr(float(n) ** temperature)) for s, n in sizes.items()}
+    unit = lcm(*(v.denominator for v in raw.values()))
+    return {s: int(v * unit) for s, v in raw.items()}
+
+
+def schedule(parts: list[int], blocks: list[int]) -> list[list[int]]:
+    """Columns stream, block, slot, release, deadline of every block, in slot order: earliest deadline first."""
+    q, total = sum(parts), sum(blocks)
+    waiting = [(0, s, 0) for s in range(len(parts))]
+    ready: list[tuple[int, int, int, int]] = []
+    out: list[list[int]] = [[], [], [], [], []]
+    t = steps = 0
+    while len(out[0]) < total:
+        while waiting and waiting[0][0] <= t:
+            release, s, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(b + 1) * q // parts[s]), s, b, release))
+        if not ready:
+            t = waiting[0][0]
+            continue
+        deadline, s, b, release = heapq.heappop(ready)
+        if b < blocks[s]:
+            for column, x in zip(out, (s, b, t, release, deadline)):
+                column.append(x)
+        elif steps > 4 * total:
+            continue  # a stream that has run out leaves its slot to the next
+        if b + 1 < blocks[s] or steps <= 4 * total:
+            heapq.heappush(waiting, ((b + 1) * q // parts[s], s, b + 1))
+        t += 1
+        steps += 1
+    return out
 
 
 def cycle(spark: SparkSession, parts: list[int]) -> DataFrame:
@@ -89,44 +117,37 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    top = docs.groupBy(F.col(source).alias("s")).count().orderBy(F.desc("count"), "s").limit(max_streams).collect()
-    if not top:
-        return docs.select("*", *[F.lit(None).cast("long").alias(f"mix_{n}") for n in ("block", "slot", "release", "deadline", "position", "order")])
-    rows = docs.count()
-    sizes = {r["s"]: r["count"] for r in top}
-    if (rest := rows - sum(sizes.values())) > 0:
-        sizes[POOLED] = rest
+    added = ("block", "slot", "release", "deadline", "position", "order")
+    found = docs.groupBy(F.col(source).alias("s")).count().orderBy(F.desc("count"), "s").collect()
+    if not found:
+        return docs.select("*", *[F.lit(None).cast("long").alias(f"mix_{n}") for n in added])
+    sizes = {r["s"]: r["count"] for r in found}
+    rows = sum(sizes.values())
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    part = shares(sizes, q, temperature, weights)
-    parts = [part[s] for s in names]
-    blocks = [-(-sizes[s] // block_docs) for s in names]
-
-    stream = F.lit(names.index(POOLED) if POOLED in names else None).cast("int")
-    known = [(i, s) for i, s in enumerate(names) if s != POOLED]
-    stream = reduce(lambda c, x: F.when(F.col(source).eqNullSafe(F.lit(x[1])), F.lit(x[0])).otherwise(c), known, stream)
+    top = {r["s"] for r in found[:max_streams]}
+    # one stream a source; those beyond max_streams share the last
+    stream = {s: i for i, s in enumerate(n for n in names if n in top)}
+    stream |= {s: len(top) for s in names if s not in top}
+    held = [0] * (1 + max(stream.values()))
+    for s, i in stream.items():
+        held[i] += sizes[s]
+    parts = list(shares(dict(enumerate(held)), q, temperature, weights and {stream[s]: w for s, w in weights.items() if s in top}).values())
+    blocks = [-(-n // block_docs) for n in held]
+
+    def small(df: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+    named = spark.createDataFrame([(s, i) for s, i in stream.items()], f"mix_source {docs.schema[source].dataType.simpleString()}, mix_stream int")
+    docs_in = docs.join(small(named, len(names)), F.col(source).eqNullSafe(F.col("mix_source"))).drop("mix_source")
     ties = [F.col(key), *[F.xxhash64(F.col(c)) for c, t in docs.dtypes if c != key and "map<" not in t and "variant" not in t]]
-    numbered = number_rows(docs.withColumn("mix_stream", stream), "mix_stream", ties, chunk_rows, rows)
-
-    e = F.array(*[F.lit(p) for p in parts])
-    share = F.element_at(e, F.col("mix_stream") + 1)
-    numbered = (
-        numbered.withColumn("mix_block", F.floor(F.col("mix_nth") / F.lit(block_docs)))
-        .withColumn("mix_cycle", F.floor(F.col("mix_block") / share))
-        .withColumn("mix_j", (F.col("mix_block") - F.col("mix_cycle") * share).cast("int"))
-    )
-    # the cycle has q rows whatever the data
-    plan = F.broadcast(cycle(spark, parts).select(F.col("slot").alias("mix_r"), F.col("stream").alias("mix_stream"), F.col("nth").alias("mix_j"), F.col("before").alias("mix_before")))
-    out = numbered.join(plan, ["mix_stream", "mix_j"])
-    left = F.zip_with(F.col("mix_before"), e, lambda b, p: F.col("mix_cycle") * p + b)
-    position = F.aggregate(F.zip_with(left, F.array(*[F.lit(n).cast("long") for n in blocks]), lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = (
-        out.withColumn("mix_slot", F.col("mix_cycle") * q + F.col("mix_r"))
-        .withColumn("mix_release", F.floor(F.col("mix_block") * F.lit(q) / share))
-        .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * F.lit(q) / share))
-        .withColumn("mix_position", position)
-        .withColumn("mix_order", F.col("mix_position") * block_docs + F.pmod(F.col("mix_nth"), F.lit(block_docs)))
-    )
-    return out.select(*docs.columns, *[F.col(f"mix_{n}").cast("long").alias(f"mix_{n}") for n in ("block", "slot", "release", "deadline", "position", "order")])
+    numbered = number_rows(docs_in, "mix_stream", ties, chunk_rows, rows).withColumn("mix_block", F.floor(F.col("mix_nth") / F.lit(block_docs)))
+
+    columns = schedule(parts, blocks)
+    kinds = [pa.int32(), *[pa.int64()] * 5]
+    plan = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k) for c, k in zip([*columns, range(len(columns[0]))], kinds)], names=[f"mix_{n}" for n in ("stream", "block", "slot", "release", "deadline", "position")]))
+    out = numbered.join(small(plan, len(columns[0])), ["mix_stream", "mix_block"])
+    out = out.withColumn("mix_order", F.col("mix_position") * block_docs + F.pmod(F.col("mix_nth"), F.lit(block_docs)))
+    return out.select(*docs.columns, *[F.col(f"mix_{n}").cast("long").alias(f"mix_{n}") for n in added])
 
 
 def in_mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
