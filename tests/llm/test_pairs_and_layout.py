@@ -86,6 +86,17 @@ def test_op3_lag_is_below_one_for_weights_that_thousandths_cannot_express():
     assert len(mixing.schedule([10**12, 1], [3, 50])[0]) == 53  # weights far from sizes end soon
 
 
+def test_op3_schedules_every_source(spark):
+    rows = [(i, f"s{i % 150:03}") for i in range(150 * 8)]
+    df = spark.createDataFrame([*rows, *[(10_000 + i, "tail") for i in range(6)]], "doc_id long, source string")
+    got = mixing.mix(df, weights={f"s{i:03}": 0.004 for i in range(150)} | {"tail": 0.4}, block_docs=1).collect()
+    assert len(got) == len({r.mix_order for r in got}) == len(rows) + 6
+    # each by its own windows, the smallest source at its given weight
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    assert [r.mix_release for r in sorted(got, key=lambda r: r.mix_block) if r.source == "tail"] == [0, 2, 5, 7, 10, 12]
+    assert all(len({r.mix_block for r in got if r.source == s}) == 8 for _, s in rows[:150])
+
+
 # ---- op4 ------------------------------------------------------------------------------------
 
 

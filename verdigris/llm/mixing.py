@@ -108,7 +108,7 @@ def number_rows(df: DataFrame, stream: str, ties: list[Column], chunk_rows: int,
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, temperature: float = 0.5,
-        block_docs: int = 16, q: int = 1000, max_streams: int = 100, chunk_rows: int = 20_000) -> DataFrame:
+        block_docs: int = 16, q: int = 1000, max_streams: int | None = None, chunk_rows: int = 20_000) -> DataFrame:
     """docs plus mix_block, mix_slot, mix_release, mix_deadline, mix_position and mix_order.
 
     mix_slot is the schedule's slot, mix_position the block's place once empty slots are closed up,
@@ -124,14 +124,15 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     sizes = {r["s"]: r["count"] for r in found}
     rows = sum(sizes.values())
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    # one stream a source; if max_streams is given, those beyond share the last, with the sum of their weights
     top = {r["s"] for r in found[:max_streams]}
-    # one stream a source; those beyond max_streams share the last
     stream = {s: i for i, s in enumerate(n for n in names if n in top)}
     stream |= {s: len(top) for s in names if s not in top}
-    held = [0] * (1 + max(stream.values()))
+    part = shares(sizes, q, temperature, weights)
+    held, parts = [0] * (1 + max(stream.values())), [0] * (1 + max(stream.values()))
     for s, i in stream.items():
         held[i] += sizes[s]
-    parts = list(shares(dict(enumerate(held)), q, temperature, weights and {stream[s]: w for s, w in weights.items() if s in top}).values())
+        parts[i] += part[s]
     blocks = [-(-n // block_docs) for n in held]
 
     def small(df: DataFrame, n: int) -> DataFrame:
