@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's
 docs. All but the last return the columns of documents. Near-dedup takes five-word shingles at a
-similarity of 0.8; mixing keeps every document and fixes their order; the last stage returns one row
-per shard. Stages accept nulls, empty tables and extra columns as their operators document.
+similarity of 0.8; mixing keeps every document and fixes their order. A stored table has no order, so the last
+stage, which returns one row per shard, takes the same order again from its rows before it packs them. Stages accept nulls, empty tables and extra columns as their operators document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import binary_output, common, decontaminate, mixing, near_dedup, quality_rules
 
+SHARDS_MIXED = 8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what a quality rule rejects."""
@@ -34,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride shards of token ids in training order."""
-    return binary_output.materialise(docs)
+    """Fixed-stride shards of token ids in training order: mixed, and permuted within windows of SHARDS_MIXED shards."""
+    return binary_output.materialise(mixing.in_mixed_order(docs), window=SHARDS_MIXED * binary_output.PER_SHARD)
 
 
 STAGES = [

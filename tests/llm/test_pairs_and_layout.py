@@ -431,3 +431,18 @@ def test_pipeline_stages(spark, sf, odd, none):
     for table in (odd, none):
         for _, stage in p.STAGES:
             stage(spark, table, sf).count()
+
+
+def test_pipeline_shards_have_the_target_proportions(spark, sf):
+    import corpus_pipeline as p
+
+    # 5/8 of the rows are hot, 0.427 by weight; a document fills a sequence or so, and no source runs out in the first window
+    kind = lambda i: "hot" if i % 8 < 5 else f"s{i % 8}"
+    df = spark.range(8000).selectExpr("id AS doc_id", "repeat('word ', 1020) AS text", "CASE WHEN id % 8 < 5 THEN 'hot' ELSE concat('s', id % 8) END AS source")
+    weight = 5**0.5 / (5**0.5 + 3)
+    got = {r.shard: r.doc_ids for r in p.shards(spark, df, sf).select("shard", "doc_ids").collect()}
+    assert sorted(d for ids in got.values() for d in ids) == list(range(8000))
+    for s in range(8):
+        assert abs(sum(kind(d) == "hot" for d in got[s]) / len(got[s]) - weight) < 0.08
+    # the windows together are a permutation of what was packed
+    assert got[0] != sorted(got[0])

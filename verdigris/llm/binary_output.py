@@ -5,7 +5,8 @@ number i of N gets the global slot P(i): P is a keyed Feistel permutation of the
 walked along its cycle until it falls below N, so it is a bijection of 0..N-1 and needs no sort or
 table. Shard s holds the slots [s * per_shard, (s + 1) * per_shard) in order, each of the same number
 of bytes: a reader finds slot t at byte (t % per_shard) * stride of shard t // per_shard, and resumes
-anywhere.
+anywhere. With a `window`, sequences are permuted inside consecutive windows of that many instead, which
+keeps the proportions of a mixed input in every window.
 
 Packing runs along the input's own partitions, and the packed sequences are written once to the
 shared folder, so no text is shuffled and a lost executor repeats only its tasks. Null and empty texts
@@ -115,10 +116,11 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "part int, k long, ids binary, n_tokens int, doc_ids array<bigint>")
 
 
-def place(sequences: DataFrame, key: int = KEY) -> DataFrame:
-    """sequences plus `slot`; sequences is a stored table (part, k, ...)."""
+def place(sequences: DataFrame, key: int = KEY, window: int | None = None) -> DataFrame:
+    """sequences plus `slot`; sequences is a stored table (part, k, ...), numbered by part and k."""
     sizes = sequences.groupBy("part").agg(F.count("*").alias("n"))
     n = sequences.count()
+    width = window or max(n, 1)
     offset = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per input partition
     starts = sizes.select("part", F.coalesce(F.sum("n").over(offset), F.lit(0)).alias("start"))
 
@@ -126,7 +128,12 @@ def place(sequences: DataFrame, key: int = KEY) -> DataFrame:
     def slot(index):
         import pandas as pd
 
-        return pd.Series(slot_of(index.to_numpy(), n, key))
+        x = index.to_numpy()
+        out = np.empty(len(x), np.int64)
+        for w in np.unique(x // width):
+            at, first = x // width == w, w * width
+            out[at] = first + slot_of(x[at] - first, int(min(width, n - first)), key + int(w))
+        return pd.Series(out)
 
     return sequences.join(starts, "part").withColumn("slot", slot(F.col("start") + F.col("k"))).drop("start")
 
@@ -154,9 +161,9 @@ def shards(placed: DataFrame, per_shard: int = PER_SHARD, stride: int = 2 * LENG
 
 
 def materialise(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD,
-                order_key: int = KEY, vocabulary: str | None = None) -> DataFrame:
+                order_key: int = KEY, vocabulary: str | None = None, window: int | None = None) -> DataFrame:
     sequences = common.written(pack(docs, text, key, length, vocabulary), "sequences")
-    return shards(place(sequences, order_key), per_shard, 2 * length)
+    return shards(place(sequences, order_key, window), per_shard, 2 * length)
 
 
 def read_slots(store: DataFrame, first: int, n: int, per_shard: int = PER_SHARD) -> Iterator[tuple[int, np.ndarray]]:
