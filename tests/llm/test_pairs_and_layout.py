@@ -303,6 +303,23 @@ def test_op8_parts_of_large_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_op8_pairs_that_are_alone_in_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 6)
+    tables = near_dedup.TABLES
+    signatures = near_dedup.signatures
+
+    def crafted(*args):
+        # one first half-key for all, one second half-key for each pair, the other half-keys unique
+        own = F.transform(F.sequence(F.lit(0), F.lit(2 * tables - 1)), lambda i: F.col("id") * 1000 + i + 1)
+        halves = F.transform(own, lambda x, i: F.when(i == 0, F.lit(-1)).when(i == tables, -2 - F.floor(F.col("id") / 2)).otherwise(x))
+        return signatures(*args).withColumn("halves", halves.cast("array<bigint>"))
+
+    monkeypatch.setattr(near_dedup, "signatures", crafted)
+    texts = [" ".join(f"p{d // 2}w{i}" for i in range(60)) + (" more" if d % 2 else "") for d in range(40)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d in range(40)}
+
+
 def test_op8_odd_rows(odd, none):
     rows = near_dedup.near_duplicates(odd, k=4).collect()
     assert len(rows) == odd.count()

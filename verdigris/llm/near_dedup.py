@@ -10,7 +10,7 @@ keyed by half-key i of the first collection and j of the second, so tables**2 ta
 with probability 7e-5.
 
 Tables are not expanded into pairs. Inside each, everyone is tied to one hub (the member closest to the
-bucket's commonest half-keys); what hangs together so is a family, and every pair that shares a table
+bucket's commonest half-keys; large buckets are dealt into parts, and one member a part ties them); what hangs together so is a family, and every pair that shares a table
 lies in one. A family's full sets meet in one task, which verifies on an inverted index: first a central
 document against all, then each document outside the family's largest component against all. Pairs
 inside one component, whose links change nothing, are skipped; no link between components is lost, and
@@ -171,6 +171,14 @@ def hub_edges(buckets: DataFrame, keys: list[str], tables: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def across_parts(split: DataFrame, tables: int) -> DataFrame:
+    """(u, v) that tie the parts of buckets: of every table, one member a part, lone ones included, to the least of all parts."""
+    second = F.posexplode(F.slice("halves", tables + 1, tables)).alias("table", "second")
+    one = split.select("pos", "value", "part", "id", second).groupBy("pos", "value", "table", "second", "part").agg(F.min("id").alias("u"))
+    least = F.min("u").over(Window.partitionBy("pos", "value", "table", "second"))  # a row per part
+    return one.select("u", least.alias("v")).where("u <> v")
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -274,9 +282,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         return finish(member, components(same_id), key)
     # families: what hangs together by hubs
     stars = common.written(hub_edges(buckets, ["pos", "value", "part"], tables).distinct(), "stars")
-    hubs = stars.select(F.col("v").alias("id")).distinct()
-    split = buckets.where(F.col("size") > PART).join(hubs, "id", "left_semi")
-    family = components(stars.unionByName(hub_edges(split, ["pos", "value"], tables))).withColumnsRenamed({"node": "id", "component": "family"})
+    family = components(stars.unionByName(across_parts(buckets.where(F.col("size") > PART), tables))).withColumnsRenamed({"node": "id", "component": "family"})
     family = family.join(reps.select("id", "n"), "id")
     sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
     member_of = family.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
