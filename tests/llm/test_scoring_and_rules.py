@@ -147,6 +147,19 @@ def test_op2_hand_made(spark):
     assert "random" not in got[4].spans + got[5].spans
 
 
+def test_op2_ratio_decides_for_every_alphabet(spark):
+    rng = np.random.default_rng(7)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"letters": low + up, "base32": up + "234567", "lower": low + "0123456789", "base64": low + up + "0123456789+/"}
+    rows = [(a, "".join(rng.choice(list(chars), 32))) for a, chars in alphabets.items() for _ in range(200)]
+    df = spark.createDataFrame([(i, f"key {x} end") for i, (_, x) in enumerate(rows)], "doc_id long, text string")
+    found = Counter(rows[r.doc_id][0] for r in secrets.scan_secrets(df).collect() if "random:4:36" in r.spans)
+    assert all(found[a] >= 190 for a in alphabets), found
+    names = ["2024-01-15-12-30-45-report", "some_long_identifier_name_42", "CamelCaseIdentifierName7", "-" * 40, "release/2024/01/15/notes"]
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()
+    assert all(r.spans == "" for r in got)
+
+
 def test_op2_odd_rows(odd, none):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == odd.count()

@@ -2,8 +2,8 @@
 
 Random strings cost a byte-pair vocabulary many tokens: a run of base64-like characters with few
 characters per token is reported as kind `random`, unless it is a known digest (hex of 32, 40, 56,
-64, 96 or 128 digits), an identifier (UUID, number, date, words joined by case, dots, dashes or
-underscores) or lies inside a base span.
+64, 96 or 128 digits), a UUID, a run without letters, an identifier (at least half of it parts that are
+cheap in tokens themselves: words, digit groups between separators) or lies inside a base span.
 
 Null texts are scanned as empty. Empty texts have no spans. Offsets are code points, end exclusive.
 """
@@ -51,17 +51,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def is_known(run: str) -> bool:
-    """Digests and identifiers, which are not secrets by themselves."""
+    """Digests, UUIDs and runs without letters (numbers, dates, rules), which are not secrets by themselves."""
     if DIGEST.fullmatch(run):
         return len(run) in DIGEST_LENGTHS or run.isdigit()
-    if UUID.fullmatch(run):
-        return True
-    core = run.strip("=+/_-")
-    if not (re.search("[0-9]", core) and re.search("[A-Za-z]", core)):
-        return True  # letters alone or numbers alone: words, names, rules, counters
-    # an identifier is mostly long word parts; a random string changes class every few characters
-    parts = PARTS.findall(core)
-    return sum(map(len, parts)) / len(parts) >= 4
+    return bool(UUID.fullmatch(run)) or not re.search("[A-Za-z]", run)
+
+
+def is_identifier(run: str, count_tokens, max_ratio: float) -> bool:
+    """Whether at least half of the letters and digits lie in parts that are cheap in tokens themselves."""
+    cheap = 0
+    for m in PARTS.finditer(run):
+        part, around = m[0], run[max(m.start() - 1, 0) : m.start()] + run[m.end() : m.end() + 1]
+        if part.isdigit():
+            cheap += len(part) * (not any(map(str.isalnum, around)))
+        elif len(part) >= 4 and len(part) > max_ratio * count_tokens(part):
+            cheap += len(part)
+    return 2 * cheap >= sum(map(str.isalnum, run))
 
 
 def random_spans(text: str, count_tokens, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -70,7 +75,7 @@ def random_spans(text: str, count_tokens, max_ratio: float, taken: list[tuple[in
         s, e = m.span()
         if is_known(m[0]) or any(a < e and s < b for a, b, _ in taken):
             continue
-        if (e - s) <= max_ratio * count_tokens(m[0]):
+        if (e - s) <= max_ratio * count_tokens(m[0]) and not is_identifier(m[0], count_tokens, max_ratio):
             out.append((s, e, "random"))
     return out
 
