@@ -41,20 +41,69 @@ def test_op1_base_score_is_the_brute_force_sum(spark, sf):
     assert better > 0.8 * len(got)
 
 
-def test_op1_model_is_a_distribution():
+def test_op1_score_is_the_sum_over_tokens():
     rng = np.random.default_rng(1)
-    n_top, shapes, classes = 12, 4, 3
-    b = rng.integers(0, 30, (n_top + shapes, n_top + shapes)).astype(float)
-    cls = brown_lm.exchange(b, classes)
-    distinct = np.array([0] * n_top + [5, 0, 2, 7], float)
-    m = brown_lm.Model(b, cls, classes, distinct, n_top, int(b.sum()), 30)
+    classes = 3
+    table = rng.integers(1, 30, (classes, classes)).astype(float)
+    count, distinct = table.sum(axis=0), np.array([5, 2, 7], float)
+    m = brown_lm.Model(table, distinct, int(count.sum()), 14)
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    for c in range(classes):
-        assert np.isclose((10 ** m.emission[cls == c]).sum(), 1)
-    # inside a shape: its words, each with its count plus one, and one unseen word
-    count = b.sum(axis=0)
-    for u in range(n_top, n_top + shapes):
-        assert np.isclose((count[u] + distinct[u] + 1) / m.unit_total[u], 1)
+    # inside a class: its words, each with its count plus one, and one unseen word
+    assert np.allclose((count + distinct + 1) / 10**m.class_total, 1)
+
+
+def brute_brown(docs, held, top_words, shapes, classes):
+    """score by plain counting, with the classes of the operator's own steps."""
+    toks = {d: [*words(lower(t)), ""] for d, t in docs}
+    train = [ws for d, ws in toks.items() if not held(d)]
+    c = Counter(w for ws in train for w in ws)
+    pairs = Counter(p for ws in train for p in zip(["", *ws], ws))
+    top = sorted(c, key=lambda w: (-c[w], w.encode()))[:top_words]
+    unit = {w: top.index(w) if w in top else len(top) + brown_lm.shape_of(w.encode(), shapes) for ws in toks.values() for w in ws}
+    b = np.zeros((len(top) + shapes,) * 2)
+    for (x, y), n in pairs.items():
+        b[unit[x], unit[y]] += n
+    seed = brown_lm.exchange(b, classes)
+    start = {w: seed[u] for w, u in unit.items()}
+    t0 = np.zeros((classes, classes))
+    for (x, y), n in pairs.items():
+        t0[start[x], start[y]] += n
+    cls = dict(start)
+    for w in c:
+        if w not in top:
+            v = np.zeros((1, 2 * classes))
+            for (x, y), n in pairs.items():
+                if x == w:
+                    v[0, start[y]] += n
+                if y == w:
+                    v[0, classes + start[x]] += n
+            cls[w] = brown_lm.best_classes(v, np.array([start[w]]), t0)[0]
+    t = np.zeros((classes, classes))
+    for (x, y), n in pairs.items():
+        t[cls[x], cls[y]] += n
+    size, distinct = t.sum(axis=0), Counter(cls[w] for w in c)
+    uni = (size + 1) / (size.sum() + classes)
+
+    def p(x, y):
+        a, g = cls[x], cls[y]
+        return (t[a, g] + 10 * uni[g]) / (t[a].sum() + 10) * (c[y] + 1) / (size[g] + distinct[g] + 1)
+
+    return {d: sum(math.log10(p(x, y)) for x, y in zip(["", *ws], ws)) for d, ws in toks.items()}
+
+
+def test_op1_score_equals_plain_counting(spark):
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}{'abcdefgh'[i % 8]}" for i in range(120)]
+    docs = [(d, " ".join(rng.choice(vocab, rng.integers(0, 60), p=1 / np.arange(1, 121) / (1 / np.arange(1, 121)).sum()))) for d in range(60)]
+    docs += [(100, None), (101, "never seen w1b"), (102, "w0a W0A\x0bw2c")]
+    held = lambda d: d % 7 == 2 or d == 101
+    want = brute_brown(docs, held, 12, 8, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    train = ~((F.col("doc_id") % 7 == 2) | (F.col("doc_id") == 101))
+    got = brown_lm.score(df, train, top_words=12, shapes=8, classes=5, block_bytes=500, bucket_bytes=1000).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r
 
 
 def test_op1_exchange_raises_the_likelihood():

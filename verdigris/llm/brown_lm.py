@@ -4,15 +4,18 @@ Every training word has a class by exchange clustering. The `top_words` most fre
 of shape (a hash of the last characters) that hold all others, are clustered first, on the table of
 their bigrams: in turn, each unit moves to the class that raises the likelihood of the training text's
 class bigrams most. Then every other training word, with the class of its shape unit as its start, moves
-by the same gain in distributed passes over its own left and right class counts; a pass moves all words
-against the tables of its start. Unseen words keep the class of their shape. A token then has the probability
+by the same gain in a distributed pass over its own left and right class counts, all words against the
+tables of the pass's start. Unseen words keep the class of their shape. A token then has the probability
 
     P(class | previous class) * P(word | class)
 
 with the transition interpolated between bigram and unigram, and one added to every count and one unseen
-word to every class. All counts cover the whole training corpus and stay distributed: documents are dealt
-into blocks of bounded size and numbered there word by word once, words meet by key, and a block is
-answered the class and count of each of its words. The tables are of a fixed size, whatever the corpus.
+word to every class. All counts cover the whole training corpus and stay distributed. Texts stay where
+they are read: each task numbers the words of its rows in blocks of bounded bytes, once, and only
+compressed columns move afterwards, a row per block and bucket of words (a bucket is a hash range of the
+vocabulary): the words with their counts, the neighbours' classes of rare words, and back the class and
+count of each word. A task works on one block or bucket at a time and adds up as it reads, so neither a
+frequent word nor a large corpus fills it. The driver holds tables of a fixed size.
 
 Null texts are empty and consist of their end token. Repeated rows are scored alike. Without training
 rows every count is zero and the model is uniform over its classes. Extra columns are ignored.
@@ -20,11 +23,12 @@ rows every count is zero and the model is uniform over its classes. Extra column
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,10 @@ TOP_WORDS = 1792
 SHAPES = 256
 CLASSES = 48
 ROUNDS = 4
-#: Distributed passes over the words outside the top table.
-PASSES = 1
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
+#: Text bytes a bucket of the vocabulary stands for; fixes what a task holds of words.
+BUCKET_BYTES = 32_000_000
+MIN_BUCKETS = 24
 END = b""  # the end token; no word is empty
 
 
@@ -47,10 +52,10 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def shape_of(word: bytes, shapes: int = SHAPES) -> int:
     """A fixed hash of the word's last three characters, punctuation included."""
-    h = 2166136261
-    for b in word.decode("utf-8", "replace")[-3:].encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 13)) % shapes
+    end = word[-3:]
+    if not end.isascii():
+        end = word[-12:].decode("utf-8", "ignore")[-3:].encode()
+    return zlib.crc32(end) % shapes
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -110,101 +115,140 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
 
 
 class Model:
-    """Log10 probabilities: of a class after a class, and of a unit in its class; and each unit's word total."""
-
-    def __init__(self, bigrams: np.ndarray, cls: np.ndarray, classes: int, distinct: np.ndarray, n_top: int, total: int, vocabulary: int, trust: float = 10.0):
-        member = np.zeros((len(cls), classes))
-        member[np.arange(len(cls)), cls] = 1
-        count = bigrams.sum(axis=0).astype(float)  # tokens of each unit
-        table = member.T @ (bigrams @ member)
-        class_count = member.T @ count
-        uni = (class_count + 1) / (class_count.sum() + classes)
+    """Log10 probabilities: of a class after a class, and of each count of a word within its class."""
+
+    def __init__(self, table: np.ndarray, distinct: np.ndarray, total: int, vocabulary: int, trust: float = 10.0):
+        count = table.sum(axis=0)  # tokens of each class
+        uni = (count + 1) / (count.sum() + len(table))
         rows = table.sum(axis=1, keepdims=True)
         self.transition = np.log10((table + trust * uni) / (rows + trust))
-        self.emission = np.log10((count + 1) / (class_count + member.sum(axis=0))[cls])
-        # words within a unit: a top word is alone; a shape has its distinct words and one unseen
-        self.unit_total = count + distinct + 1
-        self.cls, self.n_top, self.total, self.vocabulary = cls, n_top, total, vocabulary
-
-
-def blocked(docs: DataFrame, text: str, key: str, train: Column, block_bytes: int) -> tuple[DataFrame, int]:
-    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8)).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    k = F.col(key)
-    block = F.pmod(F.xxhash64(k, F.col(text)), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), k.alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train")), n
-
-
-def encode_block(group: pa.Table, shapes: int) -> pa.Table:
-    """One block's distinct words (i, word, n: training count, shape) and its documents (k, train, ids: word numbers i)."""
-    number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in group["t"].cast(pa.binary()).to_pylist()]
-    train = [x for x, t in zip(ids, group["train"].to_pylist()) if t]
-    words, m, d = list(number), len(number), len(ids)
-    n = np.bincount(np.concatenate(train), minlength=m) if train else np.zeros(m, np.int64)
-    k = group["k"].combine_chunks()
-    return pa.table({
-        "block": pa.array(np.full(m + d, group["block"][0].as_py(), np.int32)),
-        "i": pa.array([*range(m), *[None] * d], pa.int32()),
-        "word": pa.array(words + [None] * d, pa.binary()),
-        "n": pa.array([*n.tolist(), *[None] * d], pa.int64()),
-        "shape": pa.array([*[shape_of(w, shapes) for w in words], *[None] * d], pa.int32()),
-        "k": pa.concat_arrays([pa.nulls(m, k.type), k]),
-        "train": pa.array([None] * m + group["train"].to_pylist(), pa.bool_()),
-        "ids": pa.array([None] * m + ids, pa.list_(pa.int32())),
-    })
+        # a class has its distinct words, each with its count plus one, and one unseen word
+        self.class_total = np.log10(count + distinct + 1)
+        self.total, self.vocabulary = total, vocabulary
+
+
+class Numbers(dict):
+    """word -> number in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def spread(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def join_words(words: list[bytes]) -> bytes:
+    """Words hold no space; the list must not be empty."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words))
+
+
+def split_words(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
+def encode(batches: Iterator[pa.RecordBatch], n_buckets: int, shapes: int, block_bytes: int) -> Iterator[dict]:
+    """Blocks of a task's rows (k, t, train). A block's words are numbered in the order of their buckets:
+    per bucket its words, their training counts and shapes; per document its key and length, and all ids."""
+    part, seq = TaskContext.get().partitionId(), 0
+    number, ids, keys, train, size = Numbers(), [], [], [], 0
+
+    def block() -> dict:
+        words, m = list(number), len(number)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, m) % n_buckets
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(m, np.int32)
+        rank[order] = np.arange(m, dtype=np.int32)
+        flat = rank[np.concatenate(ids)]
+        ends = np.array(list(map(len, ids)), np.int32)
+        n = np.bincount(flat[np.repeat(np.array(train, bool), ends)], minlength=m).astype("<u4")
+        words = [words[i] for i in order]
+        shape = np.fromiter((shape_of(w, shapes) for w in words), np.uint16, m)
+        found, first = np.unique(bucket[order], return_index=True)
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), m]))
+        return {
+            "block": (part << 32) + seq, "bucket": found.tolist(), "words": [join_words(words[a:b]) for a, b in spans], "n": [squeeze(n[a:b]) for a, b in spans],
+            "shape": [squeeze(shape[a:b]) for a, b in spans], "k": keys, "train": np.array(train, bool).tobytes(), "ends": squeeze(ends), "ids": squeeze(flat),
+        }
+
+    for b in batches:
+        for k, t, is_train in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+            ws = tokens(t)
+            ids.append(np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)))
+            keys.append(k)
+            train.append(bool(is_train))
+            size += len(t or b"") + 8
+            if size >= block_bytes:
+                yield block()
+                seq += 1
+                number, ids, keys, train, size = Numbers(), [], [], [], 0
+    if ids:
+        yield block()
 
 
 class Block:
-    """What encode_block wrote of one block, with arrays by word number: unit, class and count."""
-
-    def __init__(self, group: pa.Table, at: dict[bytes, int], n_top: int, cls: np.ndarray | None = None, answers: pa.Table | None = None):
-        is_word = pc.is_valid(group["i"])
-        words, self.docs = group.filter(is_word).sort_by("i"), group.filter(pc.invert(is_word))
-        self.words, self.n = words["word"].to_pylist(), words["n"].to_numpy()
-        self.unit = np.array([at.get(w, -1) for w in self.words], np.int64)
-        self.unit = np.where(self.unit < 0, n_top + words["shape"].to_numpy(), self.unit)
-        self.count = np.zeros(len(self.unit), np.int64)
-        if cls is not None:
-            self.cls = cls[self.unit]
-        if answers is not None and len(answers):
-            i = answers["i"].to_numpy()
-            self.cls[i], self.count[i] = answers["cls"].to_numpy(), answers["c"].to_numpy()
-
-    def train_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(left, right) word numbers of every bigram of the training rows; END precedes each text."""
-        ids = self.docs.filter(self.docs["train"])["ids"].combine_chunks()
-        off = ids.offsets.to_numpy()
-        right = ids.values.to_numpy()[off[0] : off[-1]] if len(ids) else np.zeros(0, np.int32)
-        left = np.roll(right, 1)  # every text ends with END, which also precedes the next
-        return left, right
-
-
-def tally(codes: np.ndarray) -> pa.Table:
-    p, n = np.unique(codes, return_counts=True)
-    return pa.table({"p": pa.array(p, pa.int64()), "n": pa.array(n, pa.int64())})
-
-
-def square(pairs: DataFrame, n: int) -> np.ndarray:
-    """The n x n table of counts of the codes left * n + right."""
-    out = np.zeros(n * n)
-    got = pairs.groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # at most n ** 2 rows
-    out[got["p"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(n, n)
-
-
-def contexts(block: Block, n_top: int, classes: int) -> pa.Table:
-    """(word, own, ctx) of the training words outside the top table: own class, and n * 2 * classes + neighbour
-    for each right neighbour's class (0..classes-1) and left one's (classes..)."""
-    left, right = block.train_pairs()
-    rest = block.unit >= n_top
-    a, b = rest[left], rest[right]
-    wide = 2 * classes
-    codes = np.concatenate([left[a].astype(np.int64) * wide + block.cls[right[a]], right[b].astype(np.int64) * wide + classes + block.cls[left[b]]])
-    p, n = np.unique(codes, return_counts=True)
-    who, first = np.unique(p // wide, return_index=True)
-    ctx = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), pa.array(n * wide + p % wide, pa.int64()))
-    return pa.table({"word": pa.array([block.words[i] for i in who], pa.binary()), "own": pa.array(block.cls[who], pa.int32()), "ctx": ctx})
+    """A stored block's words, and the bigrams of its training rows."""
+
+    def __init__(self, row: dict, at: dict[bytes, int], n_top: int):
+        self.words = [w for x in row["words"] for w in split_words(x)]
+        unit = np.array([at.get(w, -1) for w in self.words], np.int64)
+        shape = np.concatenate([spread(x, "<u2") for x in row["shape"]])
+        self.rest = unit < 0
+        self.unit = np.where(self.rest, n_top + shape, unit)
+        self.bounds = np.cumsum([0, *(len(spread(x, "<u2")) for x in row["shape"])])
+        ids, ends = spread(row["ids"], "<i4"), spread(row["ends"], "<i4")
+        self.right = ids[np.repeat(np.frombuffer(row["train"], bool), ends)]
+        self.left = np.roll(self.right, 1)  # every text ends with END, which also precedes the next
+
+
+def contexts(row: dict, block: Block, cls: np.ndarray, classes: int) -> Iterator[dict]:
+    """Per bucket, the neighbours of its words outside the top table: word (step from the one before), class
+    (0..classes-1 right, classes.. left) and count."""
+    left, right, wide = block.left, block.right, 2 * classes
+    a, b = block.rest[left], block.rest[right]
+    codes = np.concatenate([left[a].astype(np.int64) * wide + cls[right[a]], right[b].astype(np.int64) * wide + classes + cls[left[b]]])
+    code, n = np.unique(codes, return_counts=True)
+    at = np.searchsorted(code, block.bounds * wide)
+    for i, bucket in enumerate(row["bucket"]):
+        some = slice(at[i], at[i + 1])
+        if at[i] < at[i + 1]:
+            word = code[some] // wide - block.bounds[i]
+            yield {"block": row["block"], "bucket": bucket, "step": squeeze(np.diff(word, prepend=0).astype("<u4")), "ctx": squeeze((code[some] % wide).astype("<u2")), "times": squeeze(n[some].astype("<u4"))}
+
+
+def tables(sums: np.ndarray) -> Iterator[dict]:
+    """The rows that hold anything of a square table."""
+    for u in np.flatnonzero(sums.any(axis=1)).tolist():
+        yield {"u": u, "vec": squeeze(sums[u].astype("<i8"))}
+
+
+def added(parts: DataFrame, n: int) -> np.ndarray:
+    """The n x n sum of what tasks gave as `tables`."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(n, "<i8")
+        for v in group["vec"].to_pylist():
+            total += spread(v, "<i8")
+        return pa.table({"u": group["u"].slice(0, 1), "vec": pa.array([squeeze(total)], pa.binary())})
+
+    out = np.zeros((n, n))
+    got = parts.groupBy("u").applyInArrow(add, "u int, vec binary").toArrow()  # at most n rows
+    for u, v in zip(got["u"].to_pylist(), got["vec"].to_pylist()):
+        out[u] = spread(v, "<i8")
+    return out
 
 
 def best_classes(vectors: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -235,121 +279,179 @@ def best_classes(vectors: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.
     return np.where(total[every, best] > total[every, own] + 1e-9, best, own)
 
 
-def assign(vectors: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, cls, c) of every word of `contexts`: rows come sorted by word, and many words are worked on at once."""
-    spark = vectors.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(table)
+def vocabulary(bucket: int, rows: Iterator[dict], n_top: int) -> Iterator[dict]:
+    """A bucket's words over all blocks: for each block, where its words lie among them; then, as block -1, the
+    words with their training counts and shapes, the most frequent ones, and the sums of counts and of words."""
+    number, c, shape = Numbers(), np.zeros(1024, np.int64), np.zeros(1024, np.uint16)
+    for r in rows:
+        ws = split_words(r["words"])
+        at = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
+        while len(number) > len(c):
+            c, shape = np.concatenate([c, np.zeros_like(c)]), np.concatenate([shape, np.zeros_like(shape)])
+        c[at] += spread(r["n"], "<u4")
+        shape[at] = spread(r["shape"], "<u2")
+        yield {"bucket": bucket, "block": r["block"], "idx": squeeze(at)}
+    words, c, shape = list(number), c[: len(number)], shape[: len(number)]
+    least = np.partition(c, -n_top)[-n_top] if len(c) > n_top else 0
+    top = sorted(((-int(c[i]), words[i]) for i in np.flatnonzero(c >= max(least, 1))))[:n_top]
+    yield {
+        "bucket": bucket, "block": -1, "words": join_words(words), "c": squeeze(c), "shape": squeeze(shape), "total": int(c.sum()), "distinct": int((c > 0).sum()),
+        "top": [w for _, w in top], "top_c": [-n for n, _ in top],
+    }
+
+
+def move_words(bucket: int, rows: Iterator[dict], at: dict[bytes, int], seed: np.ndarray, table: np.ndarray, n_top: int) -> Iterator[dict]:
+    """The class and count of each word of a bucket, for each block in its own order; then, as block -1, the
+    number of distinct training words of each class. rows are those of `vocabulary`, each block's before its `contexts`."""
+    head = next(rows)
+    words, c, shape = split_words(head["words"]), spread(head["c"], "<i8"), spread(head["shape"], "<u2")
+    unit = np.array([at.get(w, -1) for w in words], np.int64)
+    cls = seed[np.where(unit < 0, n_top + shape, unit)]
     wide = 2 * len(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        batch = next(batches, None)
-        while batch is not None:
-            held.append(batch)
-            batch = next(batches, None)
-            if batch is not None and sum(map(len, held)) < 20_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            word = t["word"].combine_chunks()
-            change = np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1
-            upto = len(t) if batch is None else (int(change[-1]) if len(change) else 0)  # the last word may go on
-            held = t.slice(upto).to_batches() if upto < len(t) else []
-            if not upto:
-                continue
-            first = np.concatenate([[0], change[change < upto]])
-            ctx = t["ctx"].combine_chunks().slice(0, upto)
-            off = ctx.offsets.to_numpy()
-            x = ctx.values.to_numpy()[off[0] : off[-1]]
-            word_no = np.searchsorted(first, np.arange(upto), side="right") - 1
-            code = np.repeat(word_no, np.diff(off)) * wide + x % wide
-            sums = np.bincount(code, x // wide, len(first) * wide).reshape(len(first), wide)
-            own = t["own"].to_numpy()[first]
-            cls = np.concatenate([best_classes(sums[i : i + 2000], own[i : i + 2000], shared.value) for i in range(0, len(first), 2000)])
-            c = sums[:, wide // 2 :].sum(axis=1).astype(np.int64)  # a token has one left neighbour
-            yield pa.RecordBatch.from_arrays([word.take(pa.array(first)), pa.array(cls, pa.int32()), pa.array(c)], names=["word", "cls", "c"])
-
-    return vectors.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "word binary, cls int, c bigint")
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    kept: list[tuple[int, bytes]] = []
+
+    def merged():
+        every = np.concatenate([code, *(x for x, _ in waiting)])
+        u, inverse = np.unique(every, return_inverse=True)
+        return u, np.bincount(inverse, np.concatenate([n, *(x for _, x in waiting)]), len(u)).astype(np.int64)
+
+    for r in rows:
+        if r["idx"] is not None:
+            kept.append((r["block"], r["idx"]))
+            continue
+        word = spread(kept[-1][1], "<i4")[np.cumsum(spread(r["step"], "<u4"))]
+        waiting.append((word.astype(np.int64) * wide + spread(r["ctx"], "<u2"), spread(r["times"], "<u4")))
+        if sum(len(x) for x, _ in waiting) > 2_000_000 + len(code):
+            code, n = merged()
+            waiting = []
+    code, n = merged()
+    who, first = np.unique(code // wide, return_index=True)
+    first = np.append(first, len(code))
+    for i in range(0, len(who), 2000):
+        some, a, b = who[i : i + 2000], first[i], first[min(i + 2000, len(who))]
+        vectors = np.zeros((len(some), wide))
+        vectors[np.searchsorted(some, code[a:b] // wide), code[a:b] % wide] = n[a:b]
+        cls[some] = best_classes(vectors, cls[some], table)
+    yield {"bucket": bucket, "block": -1, "distinct": np.bincount(cls[c > 0], minlength=len(table)).tolist()}
+    for block, idx in kept:
+        i = spread(idx, "<i4")
+        yield {"bucket": bucket, "block": block, "cls": squeeze(cls[i].astype(np.uint8)), "c": squeeze(c[i])}
+
+
+def read_back(rows: Iterator[dict]) -> Iterator[dict]:
+    """A block's documents as sequences of classes, from its stored row and the answers of its buckets in order."""
+    row = next(rows)
+    answers = [(spread(r["cls"], "u1"), spread(r["c"], "<i8")) for r in rows]
+    cls, c = (np.concatenate(x) for x in zip(*answers))
+    ids, ends = spread(row["ids"], "<i4"), spread(row["ends"], "<i4")
+    starts = np.cumsum(ends) - ends
+    known = np.add.reduceat((c > 0).astype(np.int64)[ids], starts)
+    logs = np.add.reduceat(np.log10(c + 1.0)[ids], starts)
+    seq = cls[ids].tobytes()
+    train = np.frombuffer(row["train"], bool)
+    for k, t, s, m, kn, lg in zip(row["k"], train.tolist(), starts.tolist(), ends.tolist(), known.tolist(), logs.tolist()):
+        yield {"k": k, "train": t, "n_tokens": m, "n_known": kn, "log_c": lg, "seq": seq[s : s + m]}
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", top_words: int = TOP_WORDS, shapes: int = SHAPES,
-          classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score, score for every row; rows where train holds are learnt from."""
+          classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score, score for every row; rows where train holds are learnt from.
+
+    classes is at most 256. The returned rows read one stored table of class sequences; the others are removed.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    dealt, _ = blocked(docs, text, key, train, block_bytes)
-    encoded = dealt.groupBy("block").applyInArrow(lambda g: encode_block(g, shapes), f"block int, i int, word binary, n bigint, shape int, k {kind}, train boolean, ids array<int>")
-    encoded = common.written(encoded, "encoded")
-    words = encoded.where("i is not null").select("block", "i", "word", "n")
-    counts = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = common.written(counts, "counts")
-    at = {bytes(r["word"]): int(r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(top_words).collect()}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    n_buckets = max(MIN_BUCKETS, -(-size // bucket_bytes))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
+    ddl = f"block long, bucket array<int>, words array<binary>, n array<binary>, shape array<binary>, k array<{kind}>, train binary, ends binary, ids binary"
+    encoded = common.written(common.map_dicts(rows, lambda batches: encode(batches, n_buckets, shapes, block_bytes), ddl), "encoded")
+
+    def by_bucket(df: DataFrame, *order: str | Column) -> DataFrame:
+        return df.repartitionById(min(parts, n_buckets), F.pmod(F.col("bucket"), F.lit(min(parts, n_buckets)))).sortWithinPartitions("bucket", "block", *order)
+
+    # the vocabulary, and its most frequent words
+    per_bucket = encoded.select("block", F.explode(F.arrays_zip("bucket", "words", "n", "shape")).alias("x")).select("block", "x.*")
+    ddl = "bucket int, block long, idx binary, words binary, c binary, shape binary, total long, distinct long, top array<binary>, top_c array<long>"
+    words = common.written(common.map_groups(by_bucket(per_bucket), "bucket", lambda b, rs: vocabulary(b, rs, top_words), ddl), "vocabulary")
+    heads = words.where("block = -1")
+    most = heads.select(F.explode(F.arrays_zip("top", "top_c")).alias("x")).select("x.*").orderBy(F.desc("top_c"), "top").limit(top_words)
+    at = {bytes(r["top"]): r["top_c"] for r in most.collect()}
     if END not in at:
         at = {END: 0, **dict(list(at.items())[: top_words - 1])}
-    top, top_counts, n_top = list(at), np.array(list(at.values())), len(at)
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    at, n_top = {w: u for u, w in enumerate(at)}, len(at)
+    total, distinct_words = heads.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
+    # classes of the top words and the shapes
     n_units = n_top + shapes
-    numbered = {w: u for u, w in enumerate(top)}
+    shared_at = spark.sparkContext.broadcast(at)
 
-    def unit_pairs(group: pa.Table) -> pa.Table:
-        block = Block(group, numbered, n_top)
-        left, right = block.train_pairs()
-        return tally(block.unit[left] * n_units + block.unit[right])
+    def unit_pairs(batches):
+        sums = np.zeros(n_units * n_units, np.int64)
+        for r in common.dicts(batches):
+            block = Block(r, shared_at.value, n_top)
+            sums += np.bincount(block.unit[block.left] * n_units + block.unit[block.right], minlength=n_units * n_units)
+        yield from tables(sums.reshape(n_units, n_units))
 
-    bigrams = square(encoded.groupBy("block").applyInArrow(unit_pairs, "p bigint, n bigint"), n_units)
+    in_block = encoded.select("block", "bucket", "words", "shape", "train", "ends", "ids")
+    bigrams = added(common.map_dicts(in_block, unit_pairs, "u int, vec binary"), n_units)
     seed = exchange(bigrams, classes, rounds)
     member = np.zeros((n_units, classes))
     member[np.arange(n_units), seed] = 1
     table = member.T @ (bigrams @ member)
 
-    def by_block(run, answers: DataFrame, ddl: str) -> DataFrame:
-        return encoded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda g, a: run(Block(g, numbered, n_top, seed, a)), ddl)
-
-    def class_pairs(block: Block) -> pa.Table:
-        left, right = block.train_pairs()
-        return tally(block.cls[left].astype(np.int64) * classes + block.cls[right])
-
-    answers = None
-    for _ in range(passes):
-        ddl = "word binary, own int, ctx array<bigint>"
-        if answers is None:
-            vectors = encoded.groupBy("block").applyInArrow(lambda g: contexts(Block(g, numbered, n_top, seed), n_top, classes), ddl)
-        else:
-            vectors = by_block(lambda b: contexts(b, n_top, classes), answers, ddl)
-        found = common.written(assign(vectors, table), "classes")
-        answers = common.written(words.select("block", "i", "word").join(found, "word").select("block", "i", "cls", "c"), "answers")
-        table = square(by_block(class_pairs, answers, "p bigint, n bigint"), classes)
-
-    distinct = np.bincount(seed[:n_top][top_counts > 0], minlength=classes).astype(float)
-    for r in found.groupBy("cls").count().collect():
-        distinct[r["cls"]] += r["count"]
-    model = Model(table, np.arange(classes), classes, distinct, 0, total, vocabulary)  # its units are the classes
-    shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("k", common.schema_of(f"k {kind.replace('bigint', 'long')}").field(0).type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(block: Block) -> pa.Table:
+    # every other word's class
+    def all_contexts(batches):
+        for r in common.dicts(batches):
+            block = Block(r, shared_at.value, n_top)
+            yield from contexts(r, block, seed[block.unit], classes)
+
+    met = common.map_dicts(in_block, all_contexts, "block long, bucket int, step binary, ctx binary, times binary")
+    met = words.select("bucket", "block", "idx", "words", "c", "shape").unionByName(met, allowMissingColumns=True)
+    moved = common.map_groups(by_bucket(met, F.col("idx").isNull()), "bucket", lambda b, rs: move_words(b, rs, shared_at.value, seed, table, n_top), "bucket int, block long, cls binary, c binary, distinct array<long>")
+    answers = common.written(moved, "answers")
+    distinct = np.zeros(classes)
+    for r in answers.where("block = -1").select(F.posexplode("distinct").alias("cls", "n")).groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        distinct[r["cls"]] = r["n"]
+
+    # back to the documents
+    back = encoded.select("block", F.lit(-1).alias("bucket"), "k", "train", "ends", "ids").unionByName(answers.where("block >= 0").select("block", "bucket", "cls", "c"), allowMissingColumns=True)
+    back = back.repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    ddl = f"k {kind}, train boolean, n_tokens long, n_known long, log_c double, seq binary"
+    ready = common.written(common.map_groups(back, "block", lambda _, rs: read_back(rs), ddl), "sequences")
+    for stored in (encoded, words, answers):
+        common.drop_written(stored)
+
+    def class_pairs(batches):
+        sums = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            right = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8)
+            sums += np.bincount(np.roll(right, 1).astype(np.int64) * classes + right, minlength=classes * classes)
+        yield from tables(sums.reshape(classes, classes))
+
+    table = added(common.map_dicts(ready.where("train").select("seq"), class_pairs, "u int, vec binary"), classes)
+    shared = spark.sparkContext.broadcast(Model(table, distinct, total, distinct_words))
+
+    def make():
         model = shared.value
-        if not len(block.docs):
-            return schema.empty_table()
-        is_top = block.unit < n_top
-        c = block.count.astype(float)
-        c[is_top] = top_counts[block.unit[is_top]]
-        cls = block.cls
-        base = np.log10((c + 1) / (model.total + model.vocabulary + 1))
-        term = model.emission[cls] + np.log10((c + 1) / model.unit_total[cls])
-        ids = block.docs["ids"].combine_chunks()
-        off = ids.offsets.to_numpy()
-        i = ids.values.to_numpy()[off[0] : off[-1]]
-        off = off - off[0]
-        full = term[i] + model.transition[cls[np.roll(i, 1)], cls[i]]  # END ends each text and precedes the next
-        sums = [np.add.reduceat(x, off[:-1]) for x in (c[i] > 0, base[i], full)]
-        rows = [block.docs["k"].combine_chunks(), np.diff(off), sums[0], np.full(len(off) - 1, model.total), sums[1], sums[2]]
-        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(rows, schema)], schema=schema)
-
-    ddl = f"k {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return by_block(run, answers, ddl).withColumnRenamed("k", key)
+        step_of = (model.transition - model.class_total).ravel()
+        unit = np.log10(model.total + model.vocabulary + 1)
+
+        def step(c):
+            m, logs = c["n_tokens"].to_numpy(), c["log_c"].to_numpy()
+            i = np.frombuffer(b"".join(c["seq"].to_pylist()), np.uint8).astype(np.int64)
+            steps = step_of[np.roll(i, 1) * classes + i]  # END ends each text and precedes the next
+            full = np.add.reduceat(steps, np.cumsum(m) - m) if len(m) else np.zeros(0)
+            return {"k": c["k"], "n_tokens": m, "n_known": c["n_known"], "train_tokens": np.full(len(m), model.total), "base_score": logs - m * unit, "score": logs + full}
+
+        return step
+
+    ddl = f"k {kind.replace('bigint', 'long')}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return common.map_rows(ready, make, ddl).withColumnRenamed("k", key)
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

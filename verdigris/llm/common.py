@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import os
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from here on (only ever lowered)."""
+    """Arrow batches of at most BATCH_ROWS rows from here on (only ever lowered).
+
+    Batches are made when a frame runs, after its maker has returned, so the setting stays; batches are
+    bounded in bytes too, by the session's spark.sql.execution.arrow.maxBytesPerBatch.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -42,14 +49,14 @@ def fold(key: Column, mod: int) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (local tests), a folder under /tmp is set first.
+    Where the setting is absent, one machine in local mode (as in tests) uses its temporary folder; a cluster must set it.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        root = "file:///tmp/verdigris-checkpoints"
+        root = f"file://{tempfile.gettempdir()}/verdigris-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -62,20 +69,71 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back; later stages reread files, not lineage."""
+    """Writes df to the shared folder as Parquet and reads it back; later stages reread files, not lineage.
+
+    drop_written() removes the files of the returned frame.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
     """Removes what written() stored, once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(parent)
-        p.getFileSystem(conf).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dicts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+
+
+def in_batches(rows: Iterable[dict], schema: pa.Schema, max_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded length and size; absent fields are null."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in held], f.type) for f in schema], schema=schema)
+
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) if isinstance(v, bytes) else 8 * len(v) if isinstance(v, list) else 8 for v in r.values())
+        if len(held) >= BATCH_ROWS or size >= max_bytes:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def map_dicts(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
+    """mapInArrow whose function gives rows as dicts."""
+    small_batches(df.sparkSession)
+    schema = arrow_schema(ddl)
+    return df.mapInArrow(lambda batches: in_batches(make(batches), schema), ddl)
+
+
+def map_groups(df: DataFrame, key: str, make: Callable[..., Iterator[dict]], ddl: str) -> DataFrame:
+    """map_dicts by groups of equal key: make(key, rows). df is partitioned and sorted by key already, and rows
+    arrive one by one, so a group need not fit in memory."""
+
+    def run(batches):
+        for value, rows in itertools.groupby(dicts(batches), lambda r: r[key]):
+            yield from make(value, rows)
+
+    return map_dicts(df, run, ddl)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, **options) -> DataFrame:
@@ -107,6 +165,4 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def tokenizer_path(name: str) -> str:
     """Where the public vocabularies lie; override with the environment variable VERDIGRIS_TOKENIZERS."""
-    import os
-
     return os.path.join(os.environ.get("VERDIGRIS_TOKENIZERS", "/opt/tokenizers"), name)
