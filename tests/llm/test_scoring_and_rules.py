@@ -254,24 +254,63 @@ def test_op7_order_changes_no_verdict(spark, sf, odd, none):
 def brute_forward(word, prob):
     a = [1.0] + [0.0] * len(word)
     for j in range(1, len(word) + 1):
-        a[j] = sum(a[i] * prob.get(word[i:j], 0.0) for i in range(max(0, j - language_id.MAX_PIECE), j))
+        a[j] = sum(a[i] * prob.get(word[i:j], 0.0) for i in range(j))
     return a[-1]
 
 
 def test_op10_forward_sums_all_segmentations():
-    ranks = {p: i for i, p in enumerate([b"ab", b"abc", b"bc", b"c", b" a", b"the", b" the"])}
+    ranks = {p: i for i, p in enumerate([b"ab", b"abc", b"bc", b"c", b" a", b"the", b" the", b"segmentation", "日本語の".encode()])}
     pieces = language_id.Pieces(ranks)
     rng = np.random.default_rng(0)
     prob = rng.random((pieces.size + 1, 2)) / 100
     prob[-1] = 0
-    table = {}
-    for k, codes in pieces.codes.items():
-        for i, c in enumerate(codes):
-            table[int(c).to_bytes(k, "big")] = prob[pieces.first[k] + i]
-    for w in (b" abc", b" the", b" abcab", b" tabcthec"):
-        got = language_id.forward(pieces.lookup([w]), prob)[-1][0]
+    scorer = language_id.Scorer(pieces, prob)
+    words = ["abc", "the", "abcab", "tabcthec", "resegmentations", "segmentation" * 4, "日本語の日本語", "x" * 31 + "abc", "日本語の" * 9]
+    words = [w.encode() for w in words]
+    got = scorer.score([[w] for w in words])
+    for w, row in zip(words, got):
         for g in range(2):
-            assert np.isclose(got[g], brute_forward(w, {p: v[g] for p, v in table.items()}))
+            assert np.isclose(row[g], np.log(brute_forward(b" " + w, {p: v[g] for p, v in zip(pieces.pieces, prob)}))), w
+    assert np.allclose(scorer.score([words, []]), [got.sum(axis=0), [0, 0]])
+    assert np.isfinite(scorer.score([[b"z" * 20_000]])).all()
+
+
+def test_op10_expectation_is_the_share_of_all_segmentations(monkeypatch):
+    pieces = language_id.Pieces({p: i for i, p in enumerate([b"ab", b"abc", b"bc", b" a"])})
+    counts = {b" abc": np.array([3.0]), b" ababcab": np.array([2.0])}
+
+    def expected(prob):
+        out = dict.fromkeys(pieces.pieces, 0.02)
+        for w, n in counts.items():
+            ways = [[]]
+            every = []
+            while ways:
+                way = ways.pop()
+                at = len(b"".join(way))
+                if at == len(w):
+                    every.append(way)
+                ways += [[*way, p] for p in prob if w.startswith(p, at) and at < len(w)]
+            weights = [math.prod(prob[p] for p in way) for way in every]
+            for way, x in zip(every, weights):
+                for p in way:
+                    out[p] += float(n[0]) * x / sum(weights)
+        total = sum(out.values())
+        return {p: x / total for p, x in out.items()}
+
+    want = dict.fromkeys(pieces.pieces, 1 / pieces.size)
+    for _ in range(3):
+        want = expected(want)
+    for short in (language_id.SHORT, 0):  # together, and one by one
+        monkeypatch.setattr(language_id, "SHORT", short)
+        got = language_id.fit(counts, 1, pieces)
+        assert np.allclose(got[:-1, 0], [want[p] for p in pieces.pieces])
+
+
+def test_op10_texts_without_a_letter_are_und(spark):
+    texts = ["½ ² ³ 12", "!!", "the house and the garden", "\u0300", "ª la"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, df).collect()}
+    assert got == {0: "und", 1: "und", 2: "en", 3: "und", 4: "en"}
 
 
 def test_op10_held_out_accuracy(spark):

@@ -3,17 +3,19 @@
 Every language has a unigram distribution over the pieces of a fixed public vocabulary. A text's
 likelihood under a language is the product over its words of the sum over all segmentations of the
 word into pieces (forward algorithm); the probabilities are fitted by expectation maximisation over
-the same sums. Words are lower-cased, prefixed by one space, and words of over 31 bytes are scored in
-consecutive parts of 31, which bounds the cost of texts without white space.
+the same sums. Words are lower-cased and prefixed by one space. Every piece takes part, however long, and
+every word is summed whole: words of up to SHORT bytes together with all of their length, longer ones
+(also texts without white space) one by one in logarithms, in time and memory linear in their length.
 
 Training reads at most `docs_per_language` rows per language, drawn by hash (a documented sample);
-scoring reads every whole text. Texts that are null or hold no letter get `und` and score 0. Repeated
-rows are scored alike; without any labelled row every text is `und`.
+scoring reads every whole text. The languages are the distinct labels, and the model is a table of pieces
+by languages on the driver and in every task: lang must be a label column, not free text. Texts that are
+null or hold no letter (Unicode category L) get `und` and score 0. Repeated rows are scored alike; without
+any labelled row every text is `und`. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,55 +24,97 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_PIECE = 8  # bytes; a piece then fits one 64-bit code
-MAX_PART = 32
+#: Bytes of a word, with its space, up to which its sums cannot underflow.
+SHORT = 32
 CACHE_WORDS = 400_000
-LETTER = re.compile(r"[^\W\d_]")
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary's pieces of up to MAX_PIECE bytes, by length, as sorted 64-bit codes."""
+    """The vocabulary's lower-case pieces and all single bytes, by length, as sorted 64-bit codes.
+
+    A code is a polynomial of the bytes modulo 2**64; no two pieces of one length share one (checked), and any
+    other string shares one with a chance of about 2**-50.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        by_len: dict[int, list[bytes]] = {n: [] for n in range(1, MAX_PIECE + 1)}
+        by_len: dict[int, list[bytes]] = {}
         for p in {*ranks, *(bytes([b]) for b in range(256))}:
-            if 1 <= len(p) <= MAX_PIECE and p == p.lower():
-                by_len[len(p)].append(p)
-        self.codes, self.first, n = {}, {}, 0
-        for k, ps in by_len.items():
-            self.codes[k] = np.sort(np.array([int.from_bytes(p, "big") for p in ps], np.uint64))
-            self.first[k] = n
-            n += len(ps)
-        self.size = n
-
-    def lookup(self, words: list[bytes]) -> list[np.ndarray]:
-        """For words of one length n: for each piece length k, the piece ids at each start, -1 for none."""
+            if p and p == p.lower():
+                by_len.setdefault(len(p), []).append(p)
+        self.codes, self.first, self.pieces = {}, {}, []
+        for k, ps in sorted(by_len.items()):
+            chars = np.frombuffer(b"".join(ps), np.uint8).reshape(len(ps), k)
+            code = np.zeros(len(ps), np.uint64)
+            for i in range(k):
+                code = code * FACTOR + chars[:, i] + np.uint64(1)
+            order = np.argsort(code)
+            self.codes[k] = code[order]
+            if len(np.unique(code)) < len(code):
+                raise ValueError("two pieces share a code")
+            self.first[k] = len(self.pieces)
+            self.pieces += [ps[i] for i in order]
+        self.size, self.longest = len(self.pieces), max(by_len)
+
+    def lookup(self, words: list[bytes]) -> list[np.ndarray | None]:
+        """For words of one length n: for each piece length k, the piece ids at each start, -1 for none; None if all are."""
         n = len(words[0])
-        chars = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).astype(np.uint64)
+        chars = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         out, code = [], np.zeros((len(words), n + 1), np.uint64)
-        for k in range(1, min(MAX_PIECE, n) + 1):
-            code = (code[:, : n - k + 1] << np.uint64(8)) | chars[:, k - 1 :]
-            table = self.codes[k]
-            if not len(table):
-                out.append(np.full(code.shape, -1, np.int32))
+        for k in range(1, min(self.longest, n) + 1):
+            code = code[:, : n - k + 1] * FACTOR + chars[:, k - 1 :]
+            table = self.codes.get(k)
+            if table is None:
+                out.append(None)
                 continue
-            at = np.minimum(np.searchsorted(table, code.ravel()), len(table) - 1)
-            ids = np.where(table[at] == code.ravel(), at + self.first[k], -1)
-            out.append(ids.reshape(code.shape).astype(np.int32))
+            flat = code.ravel()
+            at = np.minimum(np.searchsorted(table, flat), len(table) - 1)
+            found = table[at] == flat
+            out.append(np.where(found, at + self.first[k], -1).reshape(code.shape).astype(np.int32) if found.any() else None)
         return out
 
+    def matches(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and id of every piece in a word, by end."""
+        found = []
+        for k, ids in enumerate(self.lookup([word]), 1):
+            if ids is not None:
+                i = np.flatnonzero(ids[0] >= 0)
+                found.append(np.stack([i, i + k, ids[0][i]]))
+        start, end, ids = np.concatenate(found, axis=1)
+        order = np.lexsort((start, end))
+        return start[order], end[order], ids[order]
+
 
-def forward(ids: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]; prob has a last row of zeros for absent pieces."""
+def forward(ids: list[np.ndarray | None], prob: np.ndarray) -> np.ndarray:
+    """alpha[position, word, language] of words of one length; prob has a last row of zeros for absent pieces."""
     u, n = ids[0].shape
     alpha = np.zeros((n + 1, u, prob.shape[1]))
     alpha[0] = 1.0
     for j in range(1, n + 1):
         for k in range(1, min(len(ids), j) + 1):
-            alpha[j] += alpha[j - k] * prob[ids[k - 1][:, j - k]]
+            if ids[k - 1] is None:
+                continue
+            p = ids[k - 1][:, j - k]
+            if k <= 3:
+                alpha[j] += alpha[j - k] * prob[p]
+            elif len(some := np.flatnonzero(p >= 0)):  # long pieces are rare
+                alpha[j, some] += alpha[j - k, some] * prob[p[some]]
     return alpha
 
 
+def log_sums(n: int, start: np.ndarray, end: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """log alpha[position, language] of one word: terms are its pieces' log probabilities, in the order of their ends."""
+    out = np.full((n + 1, terms.shape[1]), -np.inf)
+    out[0] = 0.0
+    bounds = np.searchsorted(end, np.arange(1, n + 2)).tolist()
+    for j in range(1, n + 1):
+        a, b = bounds[j - 1], bounds[j]
+        x = out[start[a:b]] + terms[a:b]
+        top = x.max(axis=0)
+        out[j] = top + np.log(np.exp(x - top).sum(axis=0))
+    return out
+
+
 def by_length(words: list[bytes]) -> dict[int, list[int]]:
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -78,24 +122,19 @@ def by_length(words: list[bytes]) -> dict[int, list[int]]:
     return groups
 
 
-def parts_of(word: bytes) -> list[bytes]:
-    """One leading space, parts of at most MAX_PART bytes."""
-    w = b" " + word
-    return [w] if len(w) <= MAX_PART else [w[i : i + MAX_PART] for i in range(0, len(w), MAX_PART)]
-
-
 def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: int = 3, floor: float = 0.02) -> np.ndarray:
     """prob[piece, language] by EM; every piece keeps `floor` pseudo-counts, so nothing is impossible."""
-    words = list(counts)
-    weight = np.array([counts[w] for w in words]).reshape(len(words), n_lang)
-    groups = [(idx, pieces.lookup([words[i] for i in idx])) for _, idx in sorted(by_length(words).items())]
+    short = [w for w in counts if len(w) <= SHORT]
+    weight = np.array([counts[w] for w in short]).reshape(len(short), n_lang)
+    groups = [(idx, pieces.lookup([short[i] for i in idx])) for _, idx in sorted(by_length(short).items())]
+    long = [(counts[w], len(w), *pieces.matches(w)) for w in counts if len(w) > SHORT]
     prob = np.full((pieces.size + 1, n_lang), 1.0 / pieces.size)
     prob[-1] = 0
     for _ in range(rounds):
         expected = np.full((pieces.size + 1, n_lang), floor)
         for idx, ids in groups:
             for a in range(0, len(idx), 20_000):
-                part = [x[a : a + 20_000] for x in ids]
+                part = [x if x is None else x[a : a + 20_000] for x in ids]
                 w = weight[idx[a : a + 20_000]]
                 n = part[0].shape[1]
                 alpha = forward(part, prob)
@@ -103,14 +142,26 @@ def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: in
                 beta[n] = 1.0
                 for j in range(n - 1, -1, -1):
                     for k in range(1, min(len(part), n - j) + 1):
-                        beta[j] += beta[j + k] * prob[part[k - 1][:, j]]
+                        if part[k - 1] is not None:
+                            beta[j] += beta[j + k] * prob[part[k - 1][:, j]]
                 scale = w / alpha[n]
                 for k in range(1, len(part) + 1):
+                    if part[k - 1] is None:
+                        continue
                     for i in range(n - k + 1):
-                        p = part[k - 1][:, i]
-                        share = alpha[i] * prob[p] * beta[i + k] * scale
+                        some = np.flatnonzero(part[k - 1][:, i] >= 0)
+                        p = part[k - 1][some, i]
+                        share = alpha[i, some] * prob[p] * beta[i + k, some] * scale[some]
                         for g in range(n_lang):
-                            expected[:, g] += np.bincount(p, share[:, g], len(expected)) if p.min() >= 0 else np.bincount(np.where(p < 0, pieces.size, p), share[:, g], len(expected))
+                            expected[:, g] += np.bincount(p, share[:, g], len(expected))
+        for w, n, start, end, ids in long:
+            terms = np.log(prob[ids])
+            ahead = log_sums(n, start, end, terms)
+            turned = np.lexsort((-end, n - start))  # the same sums from the end
+            behind = log_sums(n, (n - end)[turned], (n - start)[turned], terms[turned])[::-1]
+            share = np.exp(ahead[start] + terms + behind[end] - ahead[n]) * w
+            for g in range(n_lang):
+                expected[:, g] += np.bincount(ids, share[:, g], len(expected))
         expected[-1] = 0
         prob = expected / expected.sum(axis=0)
     return prob
@@ -121,6 +172,8 @@ class Scorer:
 
     def __init__(self, pieces: Pieces, prob: np.ndarray):
         self.pieces, self.prob = pieces, prob
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(prob)
         self.reset()
 
     def reset(self) -> None:
@@ -129,54 +182,38 @@ class Scorer:
 
     def learn(self, words: list[bytes]) -> None:
         new = np.zeros((len(words), self.prob.shape[1]))
-        for _, idx in by_length(words).items():
+        spaced = [b" " + w for w in words]
+        for n, idx in by_length(spaced).items():
+            if n > SHORT:
+                for i in idx:
+                    start, end, ids = self.pieces.matches(spaced[i])
+                    new[i] = log_sums(n, start, end, self.logs[ids])[-1]
+                continue
             for a in range(0, len(idx), 20_000):
                 some = idx[a : a + 20_000]
-                new[some] = np.log(forward(self.pieces.lookup([words[i] for i in some]), self.prob)[-1])
-        for i, w in enumerate(words, len(self.rows)):
-            self.known[w] = i
+                new[some] = np.log(forward(self.pieces.lookup([spaced[i] for i in some]), self.prob)[-1])
+        self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.rows = np.concatenate([self.rows, new])
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """Log likelihood [text, language]; a text is a list of words, none empty."""
         if len(self.known) > CACHE_WORDS:
             self.reset()
-        fresh = set().union(*texts) - self.known.keys()
-        long = [w for w in fresh if len(w) >= MAX_PART]
-        short = [w for w in fresh if len(w) < MAX_PART]
-        if short:
-            self.learn_words(short)
-        for w in long:
-            ps = parts_of(w)
-            self.learn_parts(w, ps)
+        if fresh := set().union(*texts) - self.known.keys():
+            self.learn(sorted(fresh))
         out = np.zeros((len(texts), self.prob.shape[1]))
         for i, ws in enumerate(texts):
             if ws:
                 out[i] = self.rows[list(map(self.known.__getitem__, ws))].sum(axis=0)
         return out
 
-    def learn_words(self, words: list[bytes]) -> None:
-        at = len(self.rows)
-        self.learn([b" " + w for w in words])
-        for i, w in enumerate(words, at):
-            del self.known[b" " + w]
-            self.known[w] = i
-
-    def learn_parts(self, word: bytes, parts: list[bytes]) -> None:
-        total = np.zeros((1, self.prob.shape[1]))
-        for _, idx in by_length(parts).items():
-            for a in range(0, len(idx), 20_000):
-                total[0] += np.log(forward(self.pieces.lookup([parts[i] for i in idx[a : a + 20_000]]), self.prob)[-1]).sum(axis=0)
-        self.known[word] = len(self.rows)
-        self.rows = np.concatenate([self.rows, total])
-
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
 def training_counts(docs: DataFrame, lang: str, text: str, key: str, docs_per_language: int) -> tuple[list[str], dict[bytes, np.ndarray], np.ndarray]:
-    """Languages, word-part counts of the sample, and the share of each language among all labelled rows."""
+    """Languages, word counts of the sample, and the share of each language among all labelled rows."""
     labelled = docs.where(F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     langs = sorted(sizes)
@@ -196,9 +233,7 @@ def training_counts(docs: DataFrame, lang: str, text: str, key: str, docs_per_la
         for pdf in batches:
             c: Counter = Counter()
             for g, t in zip(pdf["g"], pdf["t"]):
-                for w in words_of(t):
-                    for p in parts_of(w):
-                        c[g, p] += 1
+                c.update((g, b" " + w) for w in words_of(t))
             yield pd.DataFrame([(g, p, n) for (g, p), n in c.items()], columns=["g", "p", "n"])
 
     counts: dict[bytes, np.ndarray] = {}
@@ -225,7 +260,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
 
         def step(c):
             texts = c["t"].to_pylist()
-            known = [bool(langs) and bool(t) and LETTER.search(t) is not None for t in texts]
+            known = [bool(langs) and any(map(str.isalpha, t or "")) for t in texts]
             preds, scores = [], []
             for a in range(0, len(texts), 200):
                 ll = scorer.score([words_of(t) if k else [] for t, k in zip(texts[a : a + 200], known[a : a + 200])]) + prior
