@@ -134,6 +134,29 @@ def test_op4_counts_equal_a_full_encoding(encode):
             assert tree.tokens[1] == len(encode(t)) and tree.chars[1] == len(t), repr(t)
 
 
+def test_op4_edits_stay_local(encode):
+    rng = random.Random(4)
+    cache = units.UnitCache(units.load(None), units.pattern(), len)
+    t = " ".join(rng.choice(["word", "other", "thing."]) for _ in range(20_000))
+    tree = token_counts.Tree(*token_counts.cut_leaves(t, cache))
+    for _ in range(20):
+        t = tree.edit(t, at := rng.randrange(len(t)), at, " inserted", cache)
+    assert tree.moved == 0 and tree.reencoded < 40 * 64 * 8  # no leaf split, nothing balanced
+    for _ in range(3000):  # all in one place: leaves split there, and the depth stays logarithmic
+        t = tree.edit(t, 50_000, 50_000, " at this place", cache)
+    assert tree.tokens[1] == len(encode(t)) and tree.chars[1] == len(t)
+    assert tree.moved < 10_000
+
+    def depth(i):
+        return 1 + max(depth(tree.left[i]), depth(tree.right[i])) if tree.left[i] else 0
+
+    assert depth(1) < 30 and max(tree.leaves()[1]) < 6 * 64
+    while len(t) > 100:
+        a = rng.randrange(len(t))
+        t = tree.edit(t, a, a + rng.randrange(9000), "", cache)
+    assert tree.tokens[1] == len(encode(t)) and tree.chars[1] == len(t)
+
+
 def test_op4_query_and_odd_rows(spark, sf, odd, none, encode):
     docs = common.table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text").union(odd.select("doc_id", "text")).toDF("doc_id", "text")
     trees = token_counts.build_trees(docs)

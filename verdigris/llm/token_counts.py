@@ -26,11 +26,13 @@ LEAF_UNITS = 64
 EDIT_TYPE = "array<struct<start:int,end:int,replacement:string>>"
 
 
-def cut_leaves(text: str, cache, leaf_units: int = LEAF_UNITS) -> tuple[list[int], list[int]]:
-    """Characters and tokens of each leaf of a text."""
+def cut_leaves(text: str, cache, leaf_units: int = LEAF_UNITS, held: int = 0) -> tuple[list[int], list[int]]:
+    """Characters and tokens of each leaf of a text; where it fits `held` leaves of up to 2 * leaf_units, of as many at most."""
     us = units.split_units(text)
     if not us:
         return [], []
+    if held and len(us) <= 2 * leaf_units * held:
+        leaf_units = max(leaf_units, -(-len(us) // held))
     cuts = [0]
     at = leaf_units
     while at < len(us):
@@ -46,65 +48,110 @@ def cut_leaves(text: str, cache, leaf_units: int = LEAF_UNITS) -> tuple[list[int
 
 
 class Tree:
-    """A heap-shaped segment tree: node 1 is the root, leaves start at `width`."""
+    """A segment tree: node 1 is the root; an inner node has two children, and node 0 is none. Leaves may be empty."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
-        self.shape(chars, tokens)
-        self.reencoded = 0
-
-    def shape(self, chars: list[int], tokens: list[int]) -> None:
-        self.n = len(chars)
-        self.width = 1 << max(0, (self.n - 1).bit_length())
-        pad = [0] * (self.width - self.n)
-        self.chars = [0] * self.width + chars + pad
-        self.tokens = [0] * self.width + tokens + pad
-        for i in range(self.width - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.left, self.right, self.up, self.chars, self.tokens, self.count = ([0, 0] for _ in range(6))
+        self.reencoded = self.moved = 0  # characters encoded again; leaves placed again by splits and balancing
+        self.fill(1, list(zip(chars, tokens)))
+
+    def node(self, up: int) -> int:
+        for x in (self.left, self.right, self.chars, self.tokens, self.count):
+            x.append(0)
+        self.up.append(up)
+        return len(self.up) - 1
+
+    def fill(self, i: int, leaves: list[tuple[int, int]]) -> None:
+        """Makes node i the root of a balanced subtree of leaves."""
+        self.count[i] = max(1, len(leaves))
+        if len(leaves) < 2:
+            self.left[i] = self.right[i] = 0
+            self.chars[i], self.tokens[i] = leaves[0] if leaves else (0, 0)
+            return
+        half = (len(leaves) + 1) // 2
+        a = self.left[i] = self.node(i)
+        b = self.right[i] = self.node(i)
+        self.fill(a, leaves[:half])
+        self.fill(b, leaves[half:])
+        self.chars[i], self.tokens[i] = self.chars[a] + self.chars[b], self.tokens[a] + self.tokens[b]
 
     def find(self, offset: int) -> tuple[int, int]:
         """The leaf that holds a character, and where the leaf begins."""
         i, start = 1, 0
-        while i < self.width:
-            i *= 2
-            if offset - start >= self.chars[i]:
-                start += self.chars[i]
-                i += 1
-        return i - self.width, start
-
-    def put(self, leaf: int, chars: int, tokens: int) -> None:
-        i = leaf + self.width
-        dc, dt = chars - self.chars[i], tokens - self.tokens[i]
+        while self.left[i]:
+            first = self.chars[self.left[i]]
+            if offset - start >= first:
+                start += first
+                i = self.right[i]
+            else:
+                i = self.left[i]
+        return i, start
+
+    def after(self, i: int) -> int:
+        """The next leaf."""
+        while i == self.right[self.up[i]]:
+            i = self.up[i]
+        i = self.right[self.up[i]]
+        while self.left[i]:
+            i = self.left[i]
+        return i
+
+    def below(self, i: int) -> list[tuple[int, int]]:
+        """The leaves under a node that are not empty, in order."""
+        out, todo = [], [i]
+        while todo:
+            i = todo.pop()
+            if self.left[i]:
+                todo += [self.right[i], self.left[i]]
+            elif self.chars[i]:
+                out.append((self.chars[i], self.tokens[i]))
+        return out
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        found = self.below(1)
+        return [c for c, _ in found], [t for _, t in found]
+
+    def put(self, leaf: int, new: list[tuple[int, int]]) -> None:
+        """Replaces a leaf by one or more; the sums above it follow, and the highest lopsided subtree is balanced."""
+        before = self.chars[leaf], self.tokens[leaf], self.count[leaf]
+        self.fill(leaf, new)
+        dc, dt, dn = (x - y for x, y in zip((self.chars[leaf], self.tokens[leaf], self.count[leaf]), before))
+        i, lopsided = self.up[leaf], 0
         while i:
             self.chars[i] += dc
             self.tokens[i] += dt
-            i //= 2
-
-    def leaves(self) -> tuple[list[int], list[int]]:
-        w = self.width
-        return self.chars[w : w + self.n], self.tokens[w : w + self.n]
+            self.count[i] += dn
+            if dn and 4 * max(self.count[self.left[i]], self.count[self.right[i]]) > 3 * self.count[i] + 16:
+                lopsided = i
+            i = self.up[i]
+        self.moved += len(new) * (len(new) > 1)
+        if lopsided:
+            found = self.below(lopsided)
+            lost = self.count[lopsided] - len(found)
+            self.moved += len(found)
+            self.fill(lopsided, found)
+            i = self.up[lopsided]
+            while i:
+                self.count[i] -= lost
+                i = self.up[i]
 
     def edit(self, text: str, start: int, end: int, replacement: str, cache, leaf_units: int = LEAF_UNITS) -> str:
         start = min(max(start, 0), len(text))
         end = min(max(end, start), len(text))
-        new = text[:start] + replacement + text[end:]
-        if not self.n:
-            self.reencoded += len(new)
-            self.shape(*cut_leaves(new, cache, leaf_units))
-            return new
         a, lo = self.find(max(0, start - 1))
-        b, hi = self.find(min(end, len(text) - 1))
-        hi += self.chars[self.width + b]
+        b, hi = self.find(min(end, max(0, len(text) - 1)))
+        hi += self.chars[b]
+        touched = [a]
+        while touched[-1] != b:
+            touched.append(self.after(touched[-1]))
+        held = [i for i in touched if self.chars[i]] or [a]
         region = text[lo:start] + replacement + text[end:hi]
         self.reencoded += len(region)
-        chars, tokens = cut_leaves(region, cache, leaf_units)
-        if len(chars) == b - a + 1:
-            for i, x in enumerate(zip(chars, tokens), a):
-                self.put(i, *x)
-        else:
-            old_c, old_t = self.leaves()
-            self.shape(old_c[:a] + chars + old_c[b + 1 :], old_t[:a] + tokens + old_t[b + 1 :])
-        return new
+        new = list(zip(*cut_leaves(region, cache, leaf_units, len(held))))
+        # the last leaf takes what is over (and comes last, since it may move others); leaves without a part are empty
+        for k, leaf in enumerate(held):
+            self.put(leaf, new[k:] if k == len(held) - 1 else new[k : k + 1])
+        return text[:start] + replacement + text[end:]
 
 
 def build_trees(docs: DataFrame, text: str = "text", vocabulary: str | None = None, leaf_units: int = LEAF_UNITS) -> DataFrame:
@@ -120,7 +167,8 @@ def build_trees(docs: DataFrame, text: str = "text", vocabulary: str | None = No
             got = [cut_leaves(t or "", cache, leaf_units) for t in texts]
             yield pd.DataFrame({"n_tokens": [sum(t) for _, t in got], "leaf_chars": [c for c, _ in got], "leaf_tokens": [t for _, t in got]})
 
-    return docs.drop("n_tokens", "leaf_chars", "leaf_tokens").withColumn("tree_", tree(F.col(text))).select("*", "tree_.*").drop("tree_")
+    docs = docs.drop("n_tokens", "leaf_chars", "leaf_tokens")
+    return docs.select(F.struct("*").alias("row"), tree(F.col(text)).alias("tree")).select("row.*", "tree.*")
 
 
 def apply_edits(trees: DataFrame, edits: Column | str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
