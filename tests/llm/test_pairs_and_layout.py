@@ -240,34 +240,62 @@ def test_op6_permutation(n):
 
 def test_op6_round_trip(spark, odd, none, encode, tmp_path):
     length, per = 64, 8
-    docs = odd.where("doc_id is null or doc_id <> 11").repartition(3)
+    docs = odd.repartition(3)
     store = binary_output.materialise(docs, length=length, per_shard=per).persist()
     rows = sorted(store.collect(), key=lambda r: r.shard)
     n = sum(r.n_sequences for r in rows)
     assert [r.first_slot for r in rows] == [i * per for i in range(len(rows))] and all(r.n_sequences == per for r in rows[:-1])
     assert all(len(r.payload) == r.n_sequences * r.stride == r.n_sequences * length * 2 for r in rows)
-    want = sum(len(encode(r.text or "")) + 1 for r in docs.collect())
-    assert sum(r.n_tokens for r in rows) == want
-    assert sorted(d for r in rows for d in r.doc_ids) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
+    units_of = units.UnitCache(units.load(None), units.pattern(), list)
+    ids = lambda t: [i for u in units.split_units(t or "") for i in units_of[u]]
+    assert all(ids(r.text) == encode(r.text or "") for r in docs.collect() if len(r.text or "") < 100_000)
+    want = [(r.doc_id, *ids(r.text)) for r in docs.collect()]
+    assert sum(r.n_tokens for r in rows) == sum(map(len, want)) and n == -(-sum(map(len, want)) // length)
+    key = lambda d: -1 if d is None else d
+    assert sorted((d for r in rows for d in r.doc_ids), key=key) == sorted((x[0] for x in want), key=key)
     got = dict(binary_output.read_slots(store, 0, n, per))
     assert sorted(got) == list(range(n))
     assert [t for t, _ in binary_output.read_slots(store, 5, 9, per)] == list(range(5, 14))
-    # undo the permutation: sequence i of the packed order is at slot P(i); its texts come back
-    back = binary_output.slot_of(np.arange(n), n)
-    flat = np.concatenate([got[int(s)] for s in back]).tolist()
+    # undo the permutation: sequence i of the packed order is at slot P(i); the texts come back
+    flat = np.concatenate([got[int(s)] for s in binary_output.slot_of(np.arange(n), n)]).tolist()
     texts, cur = [], []
-    for t in flat:
+    for t in flat[: sum(map(len, want))]:
         if t == binary_output.END_ID:
             texts.append(tuple(cur))
             cur = []
         else:
             cur.append(t)
-    assert {tuple(encode(r.text or "")) for r in docs.collect()} <= set(texts)
+    assert sorted(texts) == sorted(x[1:] for x in want)
     files = binary_output.export_files(store, str(tmp_path)).collect()
     assert len(files) == len(rows) and (tmp_path / "shard-000000000.bin").read_bytes() == bytes(rows[0].payload)
     assert binary_output.materialise(none).collect() == []
 
 
+def test_op6_shards_depend_on_the_rows_alone(spark, sf):
+    docs = common.table(spark, sf, "documents").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for files, parts, window in ((1, 2, None), (5, 7, None), (2, 3, 16), (4, 5, 16)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = binary_output.materialise(docs.repartition(files), length=256, per_shard=32, window=window).collect()
+            got.append(sorted((r.shard, r.n_sequences, r.n_tokens, tuple(r.doc_ids), bytes(r.payload)) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] != got[2] == got[3]
+
+
+def test_op6_ids_of_four_bytes_and_keys_of_text(spark, encode):
+    docs = spark.createDataFrame([("b", "some words here"), ("a", "x"), (None, "y")], "doc_id string, text string")
+    store = binary_output.materialise(docs, length=4, per_shard=2, end_id=70_000)
+    rows = store.collect()
+    assert all(r.stride == 16 for r in rows) and sorted(d or "" for r in rows for d in r.doc_ids) == ["", "a", "b"]
+    n = sum(r.n_sequences for r in rows)
+    got = dict(binary_output.read_slots(store, 0, n, 2))
+    flat = np.concatenate([got[int(s)] for s in binary_output.slot_of(np.arange(n), n)]).tolist()
+    want = [i for t in ("y", "x", "some words here") for i in [*encode(t), 70_000]]
+    assert flat[: len(want)] == want and set(flat[len(want) :]) <= {70_000}
+
+
 # ---- op8 ------------------------------------------------------------------------------------
 
 

@@ -1,17 +1,20 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Texts are tokenised and packed, each followed by an end id, into sequences of `length` ids. Sequence
-number i of N gets the global slot P(i): P is a keyed Feistel permutation of the next power of four,
-walked along its cycle until it falls below N, so it is a bijection of 0..N-1 and needs no sort or
-table. Shard s holds the slots [s * per_shard, (s + 1) * per_shard) in order, each of the same number
-of bytes: a reader finds slot t at byte (t % per_shard) * stride of shard t // per_shard, and resumes
-anywhere. With a `window`, sequences are permuted inside consecutive windows of that many instead, which
-keeps the proportions of a mixed input in every window.
-
-Packing runs along the input's own partitions, and the packed sequences are written once to the
-shared folder, so no text is shuffled and a lost executor repeats only its tasks. Null and empty texts
-contribute their end id. The last sequence of each partition is padded with the end id (n_tokens has
-the real count). Repeated rows are packed as they come; empty tables give no shard.
+Texts are tokenised and laid end to end in the order of a column (the key, unless another is named; ties by a
+hash of the text), each followed by an end id, and cut into sequences of `length` ids. Sequence number i of N
+gets the global slot P(i): P is a keyed Feistel permutation of the next power of four, walked along its cycle
+until it falls below N, so it is a bijection of 0..N-1 and needs no sort or table. Shard s holds the slots
+[s * per_shard, (s + 1) * per_shard) in order, each of the same number of bytes: a reader finds slot t at byte
+(t % per_shard) * stride of shard t // per_shard, and resumes anywhere. With a `window`, sequences are permuted
+inside consecutive windows of that many instead, which keeps the proportions of a mixed input in every window.
+
+The result depends on the rows alone: texts are range-partitioned by their order, each task packs its range
+into pieces that are written once to the shared folder, the ranges' token totals place the pieces, pieces are
+cut at the sequences' bounds, and consecutive slots go to a task, which builds one shard at a time. Neither the
+number of cores nor of files changes a byte, and a lost executor repeats only its tasks. Ids take two bytes, or
+four if the vocabulary has more than 65,536. Null and empty texts contribute their end id. The last sequence is
+padded with the end id (n_tokens has the real count). Repeated rows are packed each; empty tables give no shard.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -66,111 +69,146 @@ def slot_of(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Sequences (part, k, ids, n_tokens, doc_ids): ids are length 16-bit little-endian numbers as one zstd frame
-    (which a third of the disk and shuffle bytes go without), doc_ids the documents that begin in it."""
+def slots_in_windows(index: np.ndarray, n: int, key: int = KEY, window: int | None = None) -> np.ndarray:
+    """Slots of sequences; each window of them is permuted by a key of its own."""
+    if not window:
+        return slot_of(index, n, key)
+    out = np.empty(len(index), np.int64)
+    for w in np.unique(index // window).tolist():
+        at, first = index // window == w, w * window
+        out[at] = first + slot_of(index[at] - first, min(window, n - first), key + w)
+    return out
+
+
+def id_type(ranks: dict[bytes, int], end_id: int) -> str:
+    return "<u2" if max(end_id, *ranks.values()) <= 0xFFFF else "<u4"
+
+
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID, order: str | None = None) -> DataFrame:
+    """Pieces (part, k, ids, n_tokens, starts, doc_ids) of each range of rows: ids are up to length little-endian
+    numbers as one zstd frame (which a third of the disk and shuffle bytes go without), doc_ids the documents that
+    begin in it, at starts."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     ranks = units.load(vocabulary)
-    if max(ranks.values()) > 0xFFFF or end_id > 0xFFFF:
-        raise ValueError("ids of more than 16 bits")
-    pattern = units.pattern()
+    pattern, id_kind = units.pattern(), id_type(ranks, end_id)
     shared = spark.sparkContext.broadcast(ranks)
-    schema = common.schema_of("part int, k long, ids binary, n_tokens int, doc_ids array<long>")
-    stride = 2 * length
+    width = np.dtype(id_kind).itemsize
+    stride = width * length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import zstandard
 
-        part = TaskContext.get().partitionId()
+        part, k = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=3).compress
-        cache = units.UnitCache(shared.value, pattern, lambda ids: np.array(ids, "<u2").tobytes())
-        end = np.array([end_id], "<u2").tobytes()
-        held, held_docs, k = b"", [], 0  # held_docs: (byte where it begins, doc_id)
-
-        def rows(data: bytes, starts: list, n: int, k: int) -> pa.RecordBatch:
-            ids = [data[i * stride : (i + 1) * stride] for i in range(n)]
-            found: list[list[int]] = [[] for _ in range(n)]
-            for at, d in starts:
-                if d is not None:
-                    found[at // stride].append(d)
-            real = [len(x) // 2 for x in ids]
-            ids = [press(x + end * ((stride - len(x)) // 2)) for x in ids]
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[part] * n, range(k, k + n), ids, real, found], schema)], schema=schema)
+        cache = units.UnitCache(shared.value, pattern, lambda ids: np.array(ids, id_kind).tobytes())
+        end = np.array([end_id], id_kind).tobytes()
+        held, begun = bytearray(), []  # begun: (byte where it begins, key)
+
+        def piece(a: int, b: int) -> dict:
+            here = [x for x in begun if a <= x[0] < b]
+            return {"part": part, "k": k, "ids": press(bytes(held[a:b])), "n_tokens": (b - a) // width, "starts": [(x - a) // width for x, _ in here], "doc_ids": [d for _, d in here]}
 
         for b in batches:
-            chunks, at = [held], len(held)
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = b"".join(map(cache.__getitem__, units.split_units(t or ""))) + end
-                held_docs.append((at, d))
-                at += len(got)
-                chunks.append(got)
-            data = b"".join(chunks)
-            n = len(data) // stride
-            if n:
-                yield rows(data[: n * stride], [x for x in held_docs if x[0] < n * stride], n, k)
-            held, held_docs, k = data[n * stride :], [(a - n * stride, d) for a, d in held_docs if a >= n * stride], k + n
+                begun.append((len(held), d))
+                held += b"".join(map(cache.__getitem__, units.split_units(t or "")))
+                held += end
+                full = len(held) // stride * stride
+                for a in range(0, full, stride):
+                    yield piece(a, a + stride)
+                    k += 1
+                if full:
+                    del held[:full]
+                    begun = [(a - full, x) for a, x in begun if a >= full]
         if held:
-            yield rows(held, held_docs, 1, k)
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "part int, k long, ids binary, n_tokens int, doc_ids array<bigint>")
-
-
-def place(sequences: DataFrame, key: int = KEY, window: int | None = None) -> DataFrame:
-    """sequences plus `slot`; sequences is a stored table (part, k, ...), numbered by part and k."""
-    sizes = sequences.groupBy("part").agg(F.count("*").alias("n"))
-    n = sequences.count()
-    width = window or max(n, 1)
-    offset = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per input partition
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(offset), F.lit(0)).alias("start"))
-
-    @F.pandas_udf("long")
-    def slot(index):
-        import pandas as pd
-
-        x = index.to_numpy()
-        out = np.empty(len(x), np.int64)
-        for w in np.unique(x // width):
-            at, first = x // width == w, w * width
-            out[at] = first + slot_of(x[at] - first, int(min(width, n - first)), key + int(w))
-        return pd.Series(out)
-
-    return sequences.join(starts, "part").withColumn("slot", slot(F.col("start") + F.col("k"))).drop("start")
-
-
-def shards(placed: DataFrame, per_shard: int = PER_SHARD, stride: int = 2 * LENGTH) -> DataFrame:
-    """One row per shard: its slots' ids one after the other, all of stride bytes."""
-    schema = common.schema_of("shard long, first_slot long, n_sequences int, stride int, n_tokens long, doc_ids array<long>, payload binary")
+            yield piece(0, len(held))
+
+    kind = docs.schema[key].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(order or key).alias("o"), F.xxhash64(text).alias("tie"))
+    ranged = rows.repartitionByRange(parts, "o", "tie").sortWithinPartitions("o", "tie", "k").select("k", "t")
+    return common.map_dicts(ranged, run, f"part int, k long, ids binary, n_tokens int, starts array<int>, doc_ids array<{kind}>")
+
+
+def place(pieces: DataFrame, length: int = LENGTH, id_kind: str = "<u2", key: int = KEY, window: int | None = None) -> tuple[DataFrame, int]:
+    """The parts (slot, at, ids, n_tokens, doc_ids) of sequences that stored pieces hold, and the number of sequences."""
+    sizes = pieces.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = -(-total // length)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each task that packed, so small enough to broadcast
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    kind = pieces.schema["doc_ids"].dataType.simpleString()
+    size = np.dtype(id_kind).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        import zstandard
 
-    def build(group: pa.Table) -> pa.Table:
+        press, unpress = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows = list(common.dicts([batch]))
+            seqs = np.array([(r["begin"] + r["k"] * length) // length for r in rows])
+            both = np.stack([seqs, np.minimum(seqs + 1, n - 1)])  # a piece lies in one sequence, or in two
+            slots = slots_in_windows(both.ravel(), n, key, window).reshape(both.shape)
+            for r, *slot in zip(rows, *slots.tolist()):
+                at = (r["begin"] + r["k"] * length) % length
+                cut = min(length - at, r["n_tokens"])
+                for i, (a, b) in enumerate([(0, cut), (cut, r["n_tokens"])]):
+                    if a == b:
+                        continue
+                    ids = r["ids"] if b - a == r["n_tokens"] else press(unpress(r["ids"])[a * size : b * size])
+                    docs = [d for s, d in zip(r["starts"], r["doc_ids"]) if a <= s < b]
+                    yield {"slot": slot[i], "at": at if i == 0 else 0, "ids": ids, "n_tokens": b - a, "doc_ids": docs}
+
+    placed = pieces.join(F.broadcast(starts), "part").select("begin", "k", "ids", "n_tokens", "starts", "doc_ids")
+    return common.map_dicts(placed, run, f"slot long, at int, ids binary, n_tokens int, doc_ids {kind}"), n
+
+
+def shards(placed: DataFrame, n: int, per_shard: int = PER_SHARD, length: int = LENGTH, id_kind: str = "<u2", end_id: int = END_ID) -> DataFrame:
+    """One row per shard of n sequences: its slots' ids one after the other, each of stride bytes. Ranges of shards go to a task."""
+    size = np.dtype(id_kind).itemsize
+    end = np.array([end_id], id_kind).tobytes()
+    kind = placed.schema["doc_ids"].dataType.simpleString()
+
+    def build(shard: int, rows: Iterator[dict]) -> Iterator[dict]:
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress
-        group = group.sort_by("slot")
-        shard = group["shard"][0].as_py()
-        ids = list(map(unpress, group["ids"].to_pylist()))
-        docs = [d for x in group["doc_ids"].to_pylist() for d in x or ()]
-        slots = group["slot"].to_pylist()
-        if slots != list(range(shard * per_shard, shard * per_shard + len(ids))) or any(len(x) != stride for x in ids):
-            raise ValueError(f"shard {shard} has a gap or a sequence of another stride")
-        row = [shard, shard * per_shard, len(ids), stride, sum(group["n_tokens"].to_pylist()), docs, b"".join(ids)]
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
-
-    keyed = placed.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "ids", "n_tokens", "doc_ids")
-    return keyed.groupBy("shard").applyInArrow(build, "shard long, first_slot long, n_sequences int, stride int, n_tokens long, doc_ids array<bigint>, payload binary")
-
-
-def materialise(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD,
-                order_key: int = KEY, vocabulary: str | None = None, window: int | None = None) -> DataFrame:
-    sequences = common.written(pack(docs, text, key, length, vocabulary), "sequences")
-    return shards(place(sequences, order_key, window), per_shard, 2 * length)
+        payload, docs, real = bytearray(), [], 0
+        slot, fill = shard * per_shard - 1, length
+        for r in rows:
+            if r["slot"] != slot:
+                payload += end * (length - fill)
+                slot, fill = slot + 1, 0
+            if (r["slot"], r["at"]) != (slot, fill):
+                raise ValueError(f"shard {shard} has a gap at slot {slot}")
+            payload += unpress(r["ids"])
+            fill += r["n_tokens"]
+            docs += r["doc_ids"]
+            real += r["n_tokens"]
+        payload += end * (length - fill)
+        yield {"shard": shard, "first_slot": shard * per_shard, "n_sequences": slot + 1 - shard * per_shard, "length": length, "stride": length * size, "n_tokens": real, "doc_ids": docs, "payload": bytes(payload)}
+
+    n_shards = max(1, -(-n // per_shard))
+    parts = min(n_shards, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    ranged = keyed.repartitionById(parts, F.floor(F.col("shard") * parts / n_shards).cast("int")).sortWithinPartitions("slot", "at")
+    return common.map_groups(ranged, "shard", build, f"shard long, first_slot long, n_sequences int, length int, stride int, n_tokens long, doc_ids {kind}, payload binary")
+
+
+def materialise(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD, order_key: int = KEY,
+                vocabulary: str | None = None, window: int | None = None, order: str | None = None, end_id: int = END_ID) -> DataFrame:
+    id_kind = id_type(units.load(vocabulary), end_id)
+    pieces = common.written(pack(docs, text, key, length, vocabulary, end_id, order), "pieces")
+    placed, n = place(pieces, length, id_kind, order_key, window)
+    return shards(placed, n, per_shard, length, id_kind, end_id)
 
 
 def read_slots(store: DataFrame, first: int, n: int, per_shard: int = PER_SHARD) -> Iterator[tuple[int, np.ndarray]]:
     """Slots first..first+n-1 in order, shard by shard: a resumable sequential read."""
     for s in range(first // per_shard, (first + n - 1) // per_shard + 1):
-        for r in store.where(F.col("shard") == s).select("first_slot", "stride", "payload").collect():
-            ids = np.frombuffer(r["payload"], "<u2").reshape(-1, r["stride"] // 2)
+        for r in store.where(F.col("shard") == s).select("first_slot", "length", "stride", "payload").collect():
+            ids = np.frombuffer(r["payload"], f"<u{r['stride'] // r['length']}").reshape(-1, r["length"])
             for t in range(max(first, r["first_slot"]), min(first + n, r["first_slot"] + len(ids))):
                 yield t, ids[t - r["first_slot"]]
 
