@@ -24,17 +24,35 @@ def edf(parts, n):
     return out
 
 
-def test_op3_cycle_is_earliest_deadline_first_with_lag_below_one(spark):
+def test_op3_schedule_is_earliest_deadline_first_with_lag_below_one():
     parts = [500, 250, 120, 77, 50, 2, 1]
-    rows = mixing.cycle(spark, parts).orderBy("slot").collect()
-    assert [r.stream for r in rows] == edf(parts, 1000)
+    stream, _, slot, _, _ = mixing.schedule(parts, [2 * p for p in parts])
+    assert stream[:1000] == edf(parts, 1000) and slot == list(range(2000))
     q, done = sum(parts), [0] * len(parts)
-    for t, r in enumerate(rows, 1):
-        assert list(r.before) == done and r.nth == done[r.stream]
-        done[r.stream] += 1
+    for t, s in enumerate(stream, 1):
+        done[s] += 1
         assert all(abs(d - t * p / q) < 1 for d, p in zip(done, parts))
 
 
+def test_op3_long_schedules_are_stored_in_pieces(spark, monkeypatch):
+    parts, blocks = [5, 3, 0, 2], [40, 70, 6, 10]
+    want = list(zip(*mixing.schedule(parts, blocks)))
+    assert len(want) == 126 and all(s == 2 for s, *_ in want[120:]) and [b for s, b, *_ in want if s == 2] == list(range(6))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 25)
+    got = mixing.stored_schedule(spark, parts, blocks).orderBy("mix_position").collect()
+    assert [tuple(r)[:5] for r in got] == want and [r.mix_position for r in got] == list(range(126))
+
+
+def test_op3_more_sources_than_shares_and_weights_of_zero(spark):
+    sizes = {f"s{i:04}": 3 for i in range(1500)} | {"none": 9}
+    part = mixing.shares(sizes, 1000, 0.5, {f"s{i:04}": 0.001 * (i % 3) for i in range(1200)} | {"none": 0.0})
+    assert part["none"] == part["s0000"] == 0 and part["s1499"] > 0 and part["s0002"] == 2 * part["s0001"] > 0
+    stream, block, *_ = mixing.schedule(list(part.values()), list(sizes.values()))
+    assert len(set(zip(stream, block))) == len(stream) == sum(sizes.values())
+    with pytest.raises(ValueError):
+        mixing.shares(sizes, 1000, 0.5, {"none": -1.0})
+
+
 def test_op3_places_every_row_once(spark):
     rows = [(i, f"s{min(i % 7, 3)}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string")

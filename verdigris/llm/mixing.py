@@ -16,6 +16,7 @@ neighbouring places; empty tables give empty results. Extra columns pass through
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 from math import lcm
 
@@ -35,70 +36,63 @@ def shares(sizes: dict, q: int, temperature: float, weights: dict | None) -> dic
     Sources without a given weight have 1/q of the given ones' sum.
     """
     if weights:
-        raw = {s: Fraction(repr(float(weights.get(s, 0.0)))) for s in sizes}
-        least = (sum(raw.values()) or Fraction(1)) / q
-        raw = {s: v or least for s, v in raw.items()}
+        raw = {s: None if weights.get(s) is None else Fraction(repr(float(weights[s]))) for s in sizes}
+        if any(v is not None and v < 0 for v in raw.values()):
+            raise ValueError("a weight is negative")
+        least = (sum(v for v in raw.values() if v) or Fraction(1)) / q
+        raw = {s: least if v is None else v for s, v in raw.items()}
     else:
         raw = {s: Fraction(repr(float(n) ** temperature)) for s, n in sizes.items()}
     unit = lcm(*(v.denominator for v in raw.values()))
     return {s: int(v * unit) for s, v in raw.items()}
 
 
-def schedule(parts: list[int], blocks: list[int]) -> list[list[int]]:
-    """Columns stream, block, slot, release, deadline of every block, in slot order: earliest deadline first."""
-    q, total = sum(parts), sum(blocks)
-    waiting = [(0, s, 0) for s in range(len(parts))]
-    ready: list[tuple[int, int, int, int]] = []
+def schedule_pieces(parts: list[int], blocks: list[int], rows: int) -> Iterator[list[list[int]]]:
+    """Columns stream, block, slot, release, deadline of every block, in slot order: earliest deadline first; `rows` a piece."""
+    first = [s for s, p in enumerate(parts) if p]
+    turn = [first, [s for s, p in enumerate(parts) if not p]]  # weight 0: afterwards, alike
     out: list[list[int]] = [[], [], [], [], []]
-    t = steps = 0
-    while len(out[0]) < total:
-        while waiting and waiting[0][0] <= t:
-            release, s, b = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(b + 1) * q // parts[s]), s, b, release))
-        if not ready:
-            t = waiting[0][0]
-            continue
-        deadline, s, b, release = heapq.heappop(ready)
-        if b < blocks[s]:
-            for column, x in zip(out, (s, b, t, release, deadline)):
-                column.append(x)
-        elif steps > 4 * total:
-            continue  # a stream that has run out leaves its slot to the next
-        if b + 1 < blocks[s] or steps <= 4 * total:
-            heapq.heappush(waiting, ((b + 1) * q // parts[s], s, b + 1))
-        t += 1
-        steps += 1
-    return out
-
-
-def cycle(spark: SparkSession, parts: list[int]) -> DataFrame:
-    """One hyperperiod: slot, stream, nth (of that stream in the cycle), before (each stream's count so far)."""
-    q, e = sum(parts), F.array(*[F.lit(p) for p in parts])
-    streams = F.sequence(F.lit(0), F.lit(len(parts) - 1))
-
-    def step(state: Column, t: Column) -> Column:
-        def due(i: Column) -> Column:
-            done, p = F.element_at(state["done"], i + 1), F.element_at(e, i + 1)
-            ready = (done < p) & (F.floor(done * F.lit(q) / p) <= t)
-            return F.when(ready, F.struct(F.ceil((done + 1) * F.lit(q) / p).alias("deadline"), i.alias("stream")))
-
-        pick = F.array_min(F.filter(F.transform(streams, due), lambda x: x.isNotNull()))["stream"]
-        row = F.struct(pick.cast("int").alias("stream"), F.element_at(state["done"], pick + 1).alias("nth"), state["done"].alias("before"))
-        done = F.transform(state["done"], lambda n, i: n + F.when(i == pick, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(parts)).alias("done"),
-        F.expr("cast(array() as array<struct<stream:int,nth:int,before:array<int>>>)").alias("rows"),
-    )
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(q - 1)), zero, step, lambda s: s["rows"])
-    return spark.range(1).select(F.posexplode(folded).alias("slot", "x")).select("slot", "x.*")
+    start = 0
+    for streams in turn:
+        part = {s: parts[s] or 1 for s in streams}
+        q, total, done = sum(part.values()), sum(blocks[s] for s in streams), 0
+        waiting = [(0, s, 0) for s in streams]
+        ready: list[tuple[int, int, int, int]] = []
+        t = steps = 0
+        while done < total:
+            while waiting and waiting[0][0] <= t:
+                release, s, b = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(b + 1) * q // part[s]), s, b, release))
+            if not ready:
+                t = waiting[0][0]
+                continue
+            deadline, s, b, release = heapq.heappop(ready)
+            if b < blocks[s]:
+                for column, x in zip(out, (s, b, start + t, start + release, start + deadline)):
+                    column.append(x)
+                done += 1
+                if len(out[0]) >= rows:
+                    yield out
+                    out = [[], [], [], [], []]
+            elif steps > 4 * total:
+                continue  # a stream that has run out leaves its slot to the next
+            if b + 1 < blocks[s] or steps <= 4 * total:
+                heapq.heappush(waiting, ((b + 1) * q // part[s], s, b + 1))
+            t += 1
+            steps += 1
+        start += t
+    yield out
+
+
+def schedule(parts: list[int], blocks: list[int]) -> list[list[int]]:
+    """schedule_pieces in one piece."""
+    return next(schedule_pieces(parts, blocks, sum(blocks) + 1))
 
 
 def number_rows(df: DataFrame, stream: str, ties: list[Column], chunk_rows: int, rows: int) -> DataFrame:
     """0-based `mix_nth` within each stream, dense, in hash order; no task handles more than a chunk or so."""
     chunks = max(1, -(-rows // chunk_rows))
-    h = F.xxhash64(*ties)
+    h = F.when(ties[0].isNull(), F.xxhash64(*ties)).otherwise(F.xxhash64(ties[0]))  # of the key, so whichever other columns there are
     df = df.withColumn("mix_hash", h).withColumn("mix_chunk", F.pmod(F.col("mix_hash"), F.lit(chunks)))
     w = Window.partitionBy(stream, "mix_chunk").orderBy("mix_hash", *ties)
     local = df.withColumn("mix_local", F.row_number().over(w))
@@ -107,8 +101,22 @@ def number_rows(df: DataFrame, stream: str, ties: list[Column], chunk_rows: int,
     return local.join(starts, [stream, "mix_chunk"]).withColumn("mix_nth", F.col("mix_start") + F.col("mix_local") - 1).drop("mix_hash", "mix_chunk", "mix_local", "mix_start")
 
 
+def stored_schedule(spark: SparkSession, parts: list[int], blocks: list[int]) -> DataFrame:
+    """The schedule as a table; the driver holds a piece of BROADCAST_ROWS at a time, further ones go to the shared folder."""
+    schema = pa.schema([("mix_stream", pa.int32()), *((f"mix_{n}", pa.int64()) for n in ("block", "slot", "release", "deadline", "position"))])
+    path, at = common.shared_dir(spark, "schedule"), 0
+    for columns in schedule_pieces(parts, blocks, BROADCAST_ROWS):
+        n = len(columns[0])
+        piece = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, range(at, at + n)], schema)], schema=schema))
+        if sum(blocks) <= BROADCAST_ROWS:
+            return piece
+        piece.write.mode("append").parquet(path)
+        at += n
+    return spark.read.schema(piece.schema).parquet(path)
+
+
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, temperature: float = 0.5,
-        block_docs: int = 16, q: int = 1000, max_streams: int | None = None, chunk_rows: int = 20_000) -> DataFrame:
+        block_docs: int = 16, q: int = 1000, max_streams: int | None = None, chunk_rows: int = 2_000) -> DataFrame:
     """docs plus mix_block, mix_slot, mix_release, mix_deadline, mix_position and mix_order.
 
     mix_slot is the schedule's slot, mix_position the block's place once empty slots are closed up,
@@ -143,10 +151,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     ties = [F.col(key), *[F.xxhash64(F.col(c)) for c, t in docs.dtypes if c != key and "map<" not in t and "variant" not in t]]
     numbered = number_rows(docs_in, "mix_stream", ties, chunk_rows, rows).withColumn("mix_block", F.floor(F.col("mix_nth") / F.lit(block_docs)))
 
-    columns = schedule(parts, blocks)
-    kinds = [pa.int32(), *[pa.int64()] * 5]
-    plan = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k) for c, k in zip([*columns, range(len(columns[0]))], kinds)], names=[f"mix_{n}" for n in ("stream", "block", "slot", "release", "deadline", "position")]))
-    out = numbered.join(small(plan, len(columns[0])), ["mix_stream", "mix_block"])
+    out = numbered.join(small(stored_schedule(spark, parts, blocks), sum(blocks)), ["mix_stream", "mix_block"])
     out = out.withColumn("mix_order", F.col("mix_position") * block_docs + F.pmod(F.col("mix_nth"), F.lit(block_docs)))
     return out.select(*docs.columns, *[F.col(f"mix_{n}").cast("long").alias(f"mix_{n}") for n in added])
 
