@@ -5,10 +5,12 @@ characters has an error budget e = floor(m * rate). Cut into e + 1 pieces, at le
 occurrence with at most e edits is intact, so an Aho-Corasick scan for all pieces misses none; each
 hit is verified by Myers' bit-parallel edit distance over the window it can lie in.
 
-Null and empty texts hold nothing. Items of fewer than `min_chars` normalised characters (null and
-empty ones too) identify nothing and never hit. Repeated documents are matched row by row; the
-items may be of any number: they are handled in blocks of `block_chars`, one pass over the documents
-each, so what a task holds is bounded.
+Null and empty texts hold nothing, null and empty items are never found. Items of fewer than `min_chars`
+normalised characters have a budget of 0 and must stand as whole words. Repeated documents and items are
+matched row by row; empty tables give empty results. The items may be of any number: they are handled in blocks
+of `block_chars`, so what a task holds is bounded; `decontaminate` judges all blocks in one pass over the
+documents, `match_benchmark` takes one pass a block. Extra columns are passed on by `decontaminate`, whatever their
+names, and ignored by `match_benchmark`, whose keys must differ in name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import common
 
 RATE_PERCENT = 5
 MIN_CHARS = 16
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 2_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -80,11 +82,12 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             t = normalise(raw)
-            if len(t) < min_chars:
+            if not t:
                 continue
-            budget = len(t) * rate_percent // 100
+            words = len(t) < min_chars
+            budget = 0 if words else len(t) * rate_percent // 100
             n = len(self.items)
-            self.items.append((item_id, t, budget, Myers(t), Myers(t[::-1])))
+            self.items.append((item_id, t, budget, None if words else Myers(t), None if words else Myers(t[::-1])))
             cuts = [len(t) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(t[a:b], []).append((n, a))
@@ -112,6 +115,10 @@ class Matcher:
                 got = best.get(n)
                 if got and got[0] == 0:
                     continue
+                if forward is None:  # short: the whole item, on word bounds
+                    if not text[at - 1 : at].isalnum() and not text[last + 1 : last + 2].isalnum():
+                        best[n] = (0, at, last + 1)
+                    continue
                 lo = max(0, diagonal - budget)
                 d, end = forward.search(text[lo : diagonal + len(t) + budget])
                 if d > budget or got and (got[0], got[2]) <= (d, lo + end):
