@@ -2,11 +2,13 @@
 
 The trees are grown on histograms: features are binned, every level of a tree is one aggregation over
 (leaf, feature, bin), and the model is a sum of nested CASE expressions, so training and scoring both
-stay in generated JVM code. Training reads at most `max_train` labelled URLs, drawn by hash.
+stay in generated JVM code. Training reads at most `max_train` distinct labelled URLs, drawn by hash, each
+with the number of its rows as weight.
 
 Null urls and urls without `://` have an empty host and path, fit no rule, and are judged by the
 model. Repeated urls are judged alike. With one class among the labels the model always says that
-class; without labels it allows.
+class; without labels it allows. Empty tables give empty results. Extra columns pass through, but the added
+host, path, rule, block_score and verdict replace columns of those names (unless one is the url itself).
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def lexical(url: Column) -> dict[str, Column]:
         "host_digits": count_of(host, "[0-9]"),
         "hyphens": count_of(u, "[-_]"),
         "escapes": count_of(u, "%"),
-        "parameters": F.when(u.contains("?"), count_of(F.substring_index(F.substring_index(u, "#", 1), "?", -1), "[^&]+")).otherwise(0.0),
+        "parameters": count_of(F.regexp_extract(F.substring_index(u, "#", 1), r"(?s)\?(.*)", 1), "[^&]+"),
         "secure": F.lower(u).startswith("https:").cast("double"),
         "url_entropy": entropy(u),
         "host_entropy": entropy(host),
@@ -139,32 +141,39 @@ class Boosted:
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees: int = 10, depth: int = 3, n_bins: int = 16,
-          rate: float = 0.3, l2: float = 1.0, max_train: int = 20_000, max_suffixes: int = 500) -> Boosted:
-    """Fits on at most max_train rows of (url, label); label 1.0 means block."""
+          rate: float = 0.3, l2: float = 1.0, max_train: int = 20_000, min_rows: int = 20) -> Boosted:
+    """Fits on at most max_train distinct rows of (url, label), weighted by their numbers; label 1.0 means block.
+
+    Suffixes and first segments of at least min_rows sampled rows have statistics of their own.
+    """
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(url), F.lit("")).alias("u"), F.col(label).cast("double").alias("y"))
-    sample = rows.orderBy(F.xxhash64("u"), "u", "y").limit(max_train).persist()
+    # a hash threshold lets through little more than max_train rows, and equal ones meet before they are sorted
+    every, span = rows.count(), 1 << 40
+    draw = F.pmod(F.xxhash64("u"), F.lit(span))
+    drawn = rows.where(draw < min(span, int((1.2 * max_train + 1000) / max(every, 1) * span) + 1)).groupBy("u", "y").agg(F.count("*").alias("w"))
+    sample = drawn.orderBy(draw, "u", "y").limit(max_train).persist()
     try:
-        n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        n, pos = sample.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("y") * F.col("w")), F.lit(0.0))).first()
         if not pos or pos == n:
             return Boosted([], {}, 5.0 if pos else -5.0, [], {})
         base = math.log(pos / (n - pos))
         odds = {}
         for kind, c in (("suffix_odds", suffix_of(host_of(F.col("u")))), ("segment_odds", first_segment(path_of(F.col("u"))))):
-            got = sample.groupBy(c.alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 20").orderBy(F.desc("n"), "k").limit(max_suffixes).collect()
+            got = sample.groupBy(c.alias("k")).agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("p")).where(F.col("n") >= min_rows).collect()  # at most max_train rows
             odds[kind] = {r["k"]: round(math.log((r["p"] + 1) / (r["n"] - r["p"] + 1)) - base, 6) for r in got}
         model = Boosted([], {}, round(base, 6), [], odds)
         feats = model.features(F.col("u"))
         names = sorted(feats)
         # the features are computed once, by several tasks
-        known = sample.repartition(8).select("y", *[feats[x].alias(x) for x in names]).persist()
+        known = sample.repartition(8).select("y", "w", *[feats[x].alias(x) for x in names]).persist()
         cuts = [k / n_bins for k in range(1, n_bins)]
-        facts = known.agg(*[F.percentile(x, F.array(*map(F.lit, cuts))).alias(x) for x in names], *[F.max(x).alias(f"top_{x}") for x in names]).first()
+        facts = known.agg(*[F.percentile(x, F.array(*map(F.lit, cuts)), F.col("w")).alias(x) for x in names], *[F.max(x).alias(f"top_{x}") for x in names]).first()
         model.edges = {x: [v for v in sorted({round(v, 9) for v in facts[x]}) if v < facts[f"top_{x}"]] for x in names}
         model.names = [x for x in names if model.edges[x]]
         if not model.names:
             return model
         width = range(len(model.names))
-        binned = known.select("y", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum("y").alias("y"), F.count("*").alias("n")).persist()
+        binned = known.select("y", "w", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n")).persist()
         binned.count()
         known.unpersist()
         try:
