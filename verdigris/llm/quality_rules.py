@@ -151,7 +151,7 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> lis
 
 
 def sample_texts(docs: DataFrame, text: str, sample_rows: int, sample_chars: int) -> list[str | None]:
-    """At most sample_rows texts of about the same expected spread, cut to sample_chars each.
+    """At most sample_rows texts of about the same expected spread, whole up to sample_chars each (which bounds the driver).
 
     The sample steers the order of the rules and nothing else.
     """
@@ -164,7 +164,7 @@ def sample_texts(docs: DataFrame, text: str, sample_rows: int, sample_chars: int
 
 
 def quality_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 300,
-                    sample_chars: int = 20_000, with_features: bool = False, key: str = "doc_id") -> DataFrame:
+                    sample_chars: int = 1_000_000, with_features: bool = False, key: str = "doc_id") -> DataFrame:
     """Adds `kept` (all rules passed) and `failed_rule` (the first of the cascade that rejects).
 
     with_features instead returns the key, the features of the base contract and the verdict, for
