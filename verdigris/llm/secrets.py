@@ -5,12 +5,14 @@ characters per token is reported as kind `random`, unless it is a known digest (
 64, 96 or 128 digits), a UUID, a run without letters, an identifier (at least half of it parts that are
 cheap in tokens themselves: words, digit groups between separators) or lies inside a base span.
 
-Null texts are scanned as empty. Empty texts have no spans. Offsets are code points, end exclusive.
+Null texts are scanned as empty. Empty texts have no spans. Offsets are code points, end exclusive. Repeated
+rows are scanned alike, empty tables give empty results, extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,10 +72,14 @@ def is_identifier(run: str, count_tokens, max_ratio: float) -> bool:
 
 
 def random_spans(text: str, count_tokens, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out = []
+    out, upto = [], 0
+    starts = sorted((a, b) for a, b, _ in taken)
+    ends = list(accumulate((b for _, b in starts), max))  # the furthest end of the base spans so far
     for m in RUN.finditer(text):
         s, e = m.span()
-        if is_known(m[0]) or any(a < e and s < b for a, b, _ in taken):
+        while upto < len(starts) and starts[upto][0] < e:
+            upto += 1
+        if is_known(m[0]) or upto and ends[upto - 1] > s:
             continue
         if (e - s) <= max_ratio * count_tokens(m[0]) and not is_identifier(m[0], count_tokens, max_ratio):
             out.append((s, e, "random"))
