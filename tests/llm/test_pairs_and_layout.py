@@ -427,6 +427,38 @@ def test_op8_family_components_on_any_order():
         assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(n) for j in range(n))
 
 
+def exact_components(texts):
+    hashes = near_dedup.WordHashes()
+    sets = {d: near_dedup.shingle_set((t or "").encode(), 4, hashes) for d, t in texts}
+    full = [d for d in sorted(sets) if len(sets[d])]
+    comp = near_dedup.family_components([sets[d] for d in full], 80)
+    least = {}
+    for d, c in zip(full, comp.tolist()):
+        least.setdefault(c, d)
+    return {d: d for d in sets} | {d: least[c] for d, c in zip(full, comp.tolist())}
+
+
+@pytest.mark.parametrize("part", [near_dedup.PART, 5])
+def test_op8_loses_no_link_of_a_thousand_documents(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dedup, "PART", part)
+    sf = "/root/testdata/sf0.01"
+    want = exact_components([(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()])
+    got = {r.doc_id: r.component_id for r in near_dedup.op8_near_dedup(spark, sf).collect()}
+    assert got == want and sum(d != c for d, c in want.items()) > 50
+
+
+def test_op8_boilerplate_makes_few_ties():
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    n = 400
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 62, 117).astype(np.uint64)])) for _ in range(n)]  # similarity 0.3
+    h = near_dedup.half_keys(sets, near_dedup.TABLES)
+    met = [(h[:, None, i] == h[None, :, i]) for i in range(h.shape[1])]
+    both = np.any(met[: near_dedup.TABLES], axis=0) & np.any(met[near_dedup.TABLES :], axis=0)
+    share = (both.sum() - n) / (n * (n - 1))
+    assert share < 0.2
+
+
 def test_op8_rows_that_share_an_id_are_one_node(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     df = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (9, c)], "doc_id long, text string")

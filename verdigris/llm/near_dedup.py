@@ -4,10 +4,10 @@ A document is the set of its distinct k-word shingles (all words as one shingle
 fewer than k; the empty set without words, which links with nothing). Documents with equal sets form
 one class and only its least id goes on.
 
-Tensored banding: two collections of `tables` half-keys, each of two minhash values. A table (i, j) is
+Tensored banding: two collections of `tables` half-keys, each of three minhash values. A table (i, j) is
 keyed by half-key i of the first collection and j of the second, so tables**2 tables cost
-4 * tables minhash functions. At similarity 0.8 and ten half-keys a pair shares none of the 100 tables
-with probability 7e-5.
+6 * tables minhash functions. At similarity 0.8 and 14 half-keys a pair shares none of the 196 tables
+with probability 9e-5; at 0.3 it shares one with 0.10, at 0.2 with 0.01.
 
 Tables are not expanded into pairs. Inside each, everyone is tied to one hub (the member closest to the
 bucket's commonest half-keys; large buckets are dealt into parts, and one member a part ties them); what hangs together so is a family, and every pair that shares a table
@@ -15,10 +15,12 @@ lies in one. A family's full sets meet in one task, which verifies on an inverte
 document against all, then each document outside the family's largest component against all. Pairs
 inside one component, whose links change nothing, are skipped; no link between components is lost, and
 only a family's components leave the task. Families of more than PART documents or PART_SHINGLES
-shingles are dealt into parts, and every two parts meet in a task of their own.
+shingles are dealt into parts: their commonest hub is compared with all, row by row; those linked to it form one
+component, and each part of the others meets each part of the family in a task of its own.
 
-Null and empty texts form components of their own; equal rows fall in one class; rows that share an
-id are one node. Extra columns are ignored by `near_duplicates` and passed on by `deduplicate`.
+Keys are integers. Null and empty texts form components of their own; equal rows fall in one class; rows that
+share an id are one node. Empty tables give empty results. Extra columns are ignored by `near_duplicates` and
+passed on by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-TABLES = 10
+TABLES = 14
+#: Minhash values of a half-key.
+ROWS = 3
 #: A bucket or family of more members is worked on in parts of about this size.
 PART = 4096
 PART_SHINGLES = 4_000_000
@@ -70,16 +74,17 @@ def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def half_keys(sets: list[np.ndarray], tables: int) -> np.ndarray:
-    """[set, 2 * tables] half-keys: two 32-bit minhash values each. All sets are non-empty."""
+    """[set, 2 * tables] half-keys: a hash of ROWS 32-bit minhash values each. All sets are non-empty."""
     rng = np.random.default_rng(20_24)
-    a = rng.integers(0, 1 << 63, 4 * tables, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, 4 * tables, np.uint64)
+    a = rng.integers(0, 1 << 63, 2 * ROWS * tables, np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, 2 * ROWS * tables, np.uint64)
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), 4 * tables), np.uint64)
-    for i in range(4 * tables):
-        out[:, i] = np.minimum.reduceat((flat * a[i] + b[i]) >> np.uint64(32), at)
-    return ((out[:, ::2] << np.uint64(32)) | out[:, 1::2]).astype(np.int64)
+    out = np.zeros((len(sets), 2 * tables), np.uint64)
+    for i in range(2 * ROWS * tables):
+        least = np.minimum.reduceat((flat * a[i] + b[i]) >> np.uint64(32), at)
+        out[:, i // ROWS] = mixed(out[:, i // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return out.astype(np.int64)
 
 
 def signatures(docs: DataFrame, text: str, key: str, k: int, tables: int) -> DataFrame:
@@ -184,8 +189,8 @@ def _and_end(batches):
     yield None
 
 
-def family_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """A component number per set: sets of at least that Jaccard similarity are linked, exactly."""
+def family_components(sets: list[np.ndarray], percent: int, core: np.ndarray | None = None) -> np.ndarray:
+    """A component number per set: sets of at least that Jaccard similarity are linked, exactly. Those of core are in one already."""
     n = len(sets)
     sizes = np.array(list(map(len, sets)), np.int64)
     owner = np.repeat(np.arange(n), sizes)
@@ -197,6 +202,10 @@ def family_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     comp = np.arange(n)
     members = {i: [i] for i in range(n)}
+    if core is not None and core.any():
+        one = np.flatnonzero(core).tolist()
+        comp[one] = one[0]
+        members = {i: [i] for i in range(n) if not core[i]} | {one[0]: one}
 
     def visit(i: int) -> None:
         """Merges the components of all that i is linked with."""
@@ -241,7 +250,8 @@ def link_family(group, percent: int):
     ids = group["id"].to_numpy()
     flat = group["shingles"].combine_chunks()
     values, off = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
-    comp = family_components([values[a:b] for a, b in zip(off, off[1:])], percent)
+    core = group["core"].to_numpy()
+    comp = family_components([values[a:b] for a, b in zip(off, off[1:])], percent, core)
     least: dict[int, int] = {}
     for i, c in zip(ids.tolist(), comp.tolist()):
         least[c] = min(least.get(c, i), i)
@@ -250,13 +260,34 @@ def link_family(group, percent: int):
     return pa.table({"u": pa.array(ids[use], pa.int64()), "v": pa.array(v[use], pa.int64())})
 
 
+def by_center(docs: DataFrame, big: DataFrame, n_big: int, stars: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """(family, id, mine, parts, center, linked) of the members of families in parts: the family's commonest hub, and whether it is linked with it."""
+    hubs = stars.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("tied"))
+    center = big.join(hubs, "id", "left").groupBy("family", "parts").agg(F.max_by("id", F.struct(F.coalesce("tied", F.lit(0)), -F.col("id"))).alias("center"))
+    of_center = shingle_sets(docs, center.select(F.col("center").alias("id")), n_big, text, key, k).withColumnRenamed("shingles", "central").dropDuplicates(["id"])
+    # a copy for each part, so that a family's rows need not meet in one task
+    copies = center.join(of_center, center["center"] == of_center["id"]).select("family", "center", "central", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("mine"))
+    sets = shingle_sets(docs, big.select("id"), n_big, text, key, k).join(big, "id")
+    both = F.size(F.array_intersect("shingles", "central"))
+    linked = 100 * both >= percent * (F.size("shingles") + F.size("central") - both)
+    return sets.join(copies, ["family", "mine"]).select("family", "id", "mine", "parts", "center", linked.alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
     """One row per row of docs: key, n_shingles, class_id (least id with the same set), component_id, kept."""
-    spark = docs.sparkSession
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("near-duplicates need a key column of integers")
     sig = common.written(signatures(docs, text, key, k, tables), "signatures")
     full = sig.where("n > 0")
-    classes = full.groupBy("set_hash", "n").agg(F.min("id").alias("class_id"))
-    member = sig.select("id", "n", "set_hash").join(classes, ["set_hash", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
+    classes = full.groupBy("set_hash", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    classes = common.written(classes, "classes")
+    # classes of over a thousandth of all rows, of which there are under a thousand, are broadcast: their rows meet nowhere
+    rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = F.broadcast(classes.where(F.col("size") * 1000 > rows).select("set_hash", "n", F.col("class_id").alias("large_id")))
+    small = classes.where((F.col("size") > 1) & (F.col("size") * 1000 <= rows)).select("set_hash", "n", "class_id")
+    named = sig.select("id", "n", "set_hash").join(large, ["set_hash", "n"], "left")
+    member = named.where("large_id IS NULL").drop("large_id").join(small, ["set_hash", "n"], "left").unionByName(named.where("large_id IS NOT NULL").withColumnRenamed("large_id", "class_id"))
+    member = member.select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
     reps = full.groupBy("set_hash", "n").agg(F.min_by(F.struct("id", "halves"), "id").alias("r")).select("r.id", "n", "r.halves")
 
     # half-keys that two or more classes share; a document needs one of each collection
@@ -286,13 +317,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     family = family.join(reps.select("id", "n"), "id")
     sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
     member_of = family.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    member_of = common.written(member_of, "families")
-    in_family = member_of.select("id")
-    sets = shingle_sets(docs, in_family, n_ids, text, key, k).join(member_of, "id")
-    met_with = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = sets.select("family", "id", "shingles", "mine", met_with.alias("other")).select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "id", "shingles")
-    links = dealt.groupBy("family", "a", "b").applyInArrow(lambda g: link_family(g, percent), "u bigint, v bigint")
-    return finish(member, components(links.unionByName(same_id)), key)
+    member_of = common.written(member_of.select("family", "id", "mine", "parts"), "families")
+    task = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    roles = member_of.where("parts = 1").select("family", "id", F.lit(False).alias("core"), F.array(task(F.lit(0), F.lit(0))).alias("tasks"))
+    links, stored = same_id, [reps, buckets, stars, member_of]
+    big = member_of.where("parts > 1")
+    if n_big := big.count():
+        # families in parts: who is not linked with the center, by parts, meets all parts
+        judged = common.written(by_center(docs, big, n_big, stars, text, key, k, percent), "judged")
+        stored.append(judged)
+        others = judged.where(~F.col("linked")).groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("rest"))
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        own = F.transform(every("rest"), lambda a: task(a, F.col("mine")))
+        all_parts = F.transform(every("parts"), lambda b: task(F.pmod(F.xxhash64("id"), F.col("rest")), b))
+        meets = F.when(F.col("linked"), own).otherwise(F.array_union(own, all_parts))
+        roles = roles.unionByName(judged.join(others, "family").select("family", "id", F.col("linked").alias("core"), meets.alias("tasks")))
+        links = links.unionByName(judged.where("linked AND id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")))
+    sets = shingle_sets(docs, member_of.select("id"), n_ids, text, key, k).join(roles, "id")
+    dealt = sets.select("family", "id", "core", "shingles", F.explode("tasks").alias("task")).select("family", "task.a", "task.b", "id", "core", "shingles")
+    found = dealt.groupBy("family", "a", "b").applyInArrow(lambda g: link_family(g, percent), "u bigint, v bigint")
+    labels = components(links.unionByName(found))
+    for table in stored:
+        common.drop_written(table)
+    return finish(member, labels, key)
 
 
 def finish(member: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -303,11 +350,11 @@ def finish(member: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
-    """docs without the documents whose component has a lesser id, and one row per id; null ids stay."""
+    """docs without the documents whose component has a lesser id, and without repeated rows of one id and text; null ids stay."""
     drop = near_duplicates(docs, text, key, k, percent, tables).where(~F.col("kept")).select(F.col(key).alias("id_")).distinct()
-    rows = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_"), F.struct(*docs.columns).alias("row_"))
+    rows = docs.select(F.col(key).alias("id_"), F.xxhash64(text).alias("text_"), F.struct(*docs.columns).alias("row_"))
     left = rows.join(drop, "id_", "left_anti").withColumn("salt_", F.when(F.col("id_").isNull(), F.monotonically_increasing_id()))
-    w = Window.partitionBy("id_", "salt_").orderBy(F.xxhash64("text_"))
+    w = Window.partitionBy("id_", "salt_", "text_").orderBy("text_")
     return left.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").select("row_.*")
 
 
