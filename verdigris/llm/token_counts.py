@@ -168,7 +168,10 @@ def build_trees(docs: DataFrame, text: str = "text", vocabulary: str | None = No
             yield pd.DataFrame({"n_tokens": [sum(t) for _, t in got], "leaf_chars": [c for c, _ in got], "leaf_tokens": [t for _, t in got]})
 
     docs = docs.drop("n_tokens", "leaf_chars", "leaf_tokens")
-    return docs.select(F.struct("*").alias("row"), tree(F.col(text)).alias("tree")).select("row.*", "tree.*")
+    name = "tree"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, tree(F.col(text))).select(*docs.columns, f"{name}.*")
 
 
 def apply_edits(trees: DataFrame, edits: Column | str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
@@ -192,7 +195,7 @@ def apply_edits(trees: DataFrame, edits: Column | str, key: str = "doc_id", text
                 before = tree.tokens[1]
                 for e in todo:
                     t = tree.edit(t, e["start"] or 0, e["end"] or 0, e["replacement"] or "", cache, leaf_units)
-                rows.append((before, len(todo), tree.tokens[1], tree.chars[1], tree.reencoded, *tree.leaves(), t))
+                rows.append((before, len(todo), tree.tokens[1], tree.chars[1], tree.reencoded, *tree.leaves(), t if keep_text else None))
             names = ("n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "reencoded_chars", "leaf_chars", "leaf_tokens", "text_after")
             return {"k": c["k"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
