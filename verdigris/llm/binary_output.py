@@ -34,6 +34,8 @@ LENGTH = 1024
 PER_SHARD = 512
 KEY = 0x5EED
 ROUNDS = 6
+#: Sequences a packed piece holds.
+RUN = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -85,7 +87,7 @@ def id_type(ranks: dict[bytes, int], end_id: int) -> str:
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID, order: str | None = None) -> DataFrame:
-    """Pieces (part, k, ids, n_tokens, starts, doc_ids) of each range of rows: ids are up to length little-endian
+    """Pieces (part, k, ids, n_tokens, starts, doc_ids) of each range of rows: ids are up to RUN * length little-endian
     numbers as one zstd frame (which a third of the disk and shuffle bytes go without), doc_ids the documents that
     begin in it, at starts."""
     spark = docs.sparkSession
@@ -93,13 +95,13 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     pattern, id_kind = units.pattern(), id_type(ranks, end_id)
     shared = spark.sparkContext.broadcast(ranks)
     width = np.dtype(id_kind).itemsize
-    stride = width * length
+    stride = width * length * RUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import zstandard
 
         part, k = TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=1).compress
         cache = units.UnitCache(shared.value, pattern, lambda ids: np.array(ids, id_kind).tobytes())
         end = np.array([end_id], id_kind).tobytes()
         held, begun = bytearray(), []  # begun: (byte where it begins, key)
@@ -144,21 +146,19 @@ def place(pieces: DataFrame, length: int = LENGTH, id_kind: str = "<u2", key: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import zstandard
 
-        press, unpress = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = list(common.dicts([batch]))
-            seqs = np.array([(r["begin"] + r["k"] * length) // length for r in rows])
-            both = np.stack([seqs, np.minimum(seqs + 1, n - 1)])  # a piece lies in one sequence, or in two
-            slots = slots_in_windows(both.ravel(), n, key, window).reshape(both.shape)
-            for r, *slot in zip(rows, *slots.tolist()):
-                at = (r["begin"] + r["k"] * length) % length
-                cut = min(length - at, r["n_tokens"])
-                for i, (a, b) in enumerate([(0, cut), (cut, r["n_tokens"])]):
-                    if a == b:
-                        continue
-                    ids = r["ids"] if b - a == r["n_tokens"] else press(unpress(r["ids"])[a * size : b * size])
-                    docs = [d for s, d in zip(r["starts"], r["doc_ids"]) if a <= s < b]
-                    yield {"slot": slot[i], "at": at if i == 0 else 0, "ids": ids, "n_tokens": b - a, "doc_ids": docs}
+        press, unpress = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for r in common.dicts(batches):
+            begin = r["begin"] + r["k"] * RUN * length
+            end = begin + r["n_tokens"]
+            first, last = begin // length, (end - 1) // length
+            slots = slots_in_windows(np.arange(first, last + 1), n, key, window).tolist()
+            ids = unpress(r["ids"])
+            found: list[list] = [[] for _ in slots]
+            for s, d in zip(r["starts"], r["doc_ids"]):
+                found[(begin + s) // length - first].append(d)
+            for i, slot in enumerate(slots):
+                a, b = max(begin, (first + i) * length), min(end, (first + i + 1) * length)
+                yield {"slot": slot, "at": a % length, "ids": press(ids[(a - begin) * size : (b - begin) * size]), "n_tokens": b - a, "doc_ids": found[i]}
 
     placed = pieces.join(F.broadcast(starts), "part").select("begin", "k", "ids", "n_tokens", "starts", "doc_ids")
     return common.map_dicts(placed, run, f"slot long, at int, ids binary, n_tokens int, doc_ids {kind}"), n

@@ -90,8 +90,8 @@ def drop_written(df: DataFrame) -> None:
 def dicts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of batches, one at a time."""
     for b in batches:
-        for i in range(b.num_rows):
-            yield {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            yield dict(zip(b.schema.names, row))
 
 
 def in_batches(rows: Iterable[dict], schema: pa.Schema, max_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
