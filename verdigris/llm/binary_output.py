@@ -102,7 +102,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
 
         part, k = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=1).compress
-        cache = units.UnitCache(shared.value, pattern, lambda ids: np.array(ids, id_kind).tobytes())
+        cache = units.UnitCache(shared.value, pattern, width)
         end = np.array([end_id], id_kind).tobytes()
         held, begun = bytearray(), []  # begun: (byte where it begins, key)
 
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 begun.append((len(held), d))
-                held += b"".join(map(cache.__getitem__, units.split_units(t or "")))
+                held += b"".join(cache.of(units.split_units(t or "")))
                 held += end
                 full = len(held) // stride * stride
                 for a in range(0, full, stride):
@@ -146,7 +146,7 @@ def place(pieces: DataFrame, length: int = LENGTH, id_kind: str = "<u2", key: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import zstandard
 
-        press, unpress = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        unpress = zstandard.ZstdDecompressor().decompress
         for r in common.dicts(batches):
             begin = r["begin"] + r["k"] * RUN * length
             end = begin + r["n_tokens"]
@@ -158,7 +158,7 @@ def place(pieces: DataFrame, length: int = LENGTH, id_kind: str = "<u2", key: in
                 found[(begin + s) // length - first].append(d)
             for i, slot in enumerate(slots):
                 a, b = max(begin, (first + i) * length), min(end, (first + i + 1) * length)
-                yield {"slot": slot, "at": a % length, "ids": press(ids[(a - begin) * size : (b - begin) * size]), "n_tokens": b - a, "doc_ids": found[i]}
+                yield {"slot": slot, "at": a % length, "ids": ids[(a - begin) * size : (b - begin) * size], "n_tokens": b - a, "doc_ids": found[i]}
 
     placed = pieces.join(F.broadcast(starts), "part").select("begin", "k", "ids", "n_tokens", "starts", "doc_ids")
     return common.map_dicts(placed, run, f"slot long, at int, ids binary, n_tokens int, doc_ids {kind}"), n
@@ -171,9 +171,6 @@ def shards(placed: DataFrame, n: int, per_shard: int = PER_SHARD, length: int =
     kind = placed.schema["doc_ids"].dataType.simpleString()
 
     def build(shard: int, rows: Iterator[dict]) -> Iterator[dict]:
-        import zstandard
-
-        unpress = zstandard.ZstdDecompressor().decompress
         payload, docs, real = bytearray(), [], 0
         slot, fill = shard * per_shard - 1, length
         for r in rows:
@@ -182,7 +179,7 @@ def shards(placed: DataFrame, n: int, per_shard: int = PER_SHARD, length: int =
                 slot, fill = slot + 1, 0
             if (r["slot"], r["at"]) != (slot, fill):
                 raise ValueError(f"shard {shard} has a gap at slot {slot}")
-            payload += unpress(r["ids"])
+            payload += r["ids"]
             fill += r["n_tokens"]
             docs += r["doc_ids"]
             real += r["n_tokens"]

@@ -42,7 +42,7 @@ def cut_leaves(text: str, cache, leaf_units: int = LEAF_UNITS, held: int = 0) ->
             at += leaf_units
         else:
             at += 1
-    n = np.array(list(map(cache.__getitem__, us)), np.int64)
+    n = np.array(cache.of(us), np.int64)
     c = np.array(list(map(len, us)), np.int64)
     return np.add.reduceat(c, cuts).tolist(), np.add.reduceat(n, cuts).tolist()
 
@@ -162,7 +162,7 @@ def build_trees(docs: DataFrame, text: str = "text", vocabulary: str | None = No
 
     @F.pandas_udf("struct<n_tokens:bigint,leaf_chars:array<int>,leaf_tokens:array<int>>")
     def tree(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = units.UnitCache(shared.value, pattern, len)
+        cache = units.UnitCache(shared.value, pattern)
         for texts in parts:
             got = [cut_leaves(t or "", cache, leaf_units) for t in texts]
             yield pd.DataFrame({"n_tokens": [sum(t) for _, t in got], "leaf_chars": [c for c, _ in got], "leaf_tokens": [t for _, t in got]})
@@ -185,7 +185,7 @@ def apply_edits(trees: DataFrame, edits: Column | str, key: str = "doc_id", text
     schema += ", text_after string" if keep_text else ""
 
     def make():
-        cache = units.UnitCache(shared.value, pattern, len)
+        cache = units.UnitCache(shared.value, pattern)
 
         def step(c):
             rows = []

@@ -9,6 +9,7 @@ before costs one dictionary look-up.
 from __future__ import annotations
 
 import re
+from array import array
 
 from . import common
 
@@ -16,7 +17,7 @@ from . import common
 WS = "\t-\r \x85\xa0  -     　"
 FAST = re.compile(r" ?\S+|\n")
 RUNS = re.compile(f"[{WS}]+|[^{WS}]+")
-CACHE_UNITS = 250_000
+CACHE_UNITS = 400_000
 
 
 def split_units(text: str) -> list[str]:
@@ -46,23 +47,32 @@ def split_units(text: str) -> list[str]:
 
 
 class UnitCache(dict):
-    """unit -> what `make` gives for its token ids; emptied when full, so a worker's memory is bounded."""
+    """unit -> its token ids as little-endian bytes of `width` each, or their number if there is no width.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, make, limit: int = CACHE_UNITS):
+    Emptied when full, so a worker's memory is bounded.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, width: int | None = None, limit: int = CACHE_UNITS):
         super().__init__()
         import tiktoken
 
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.make, self.limit = make, limit
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.code, self.limit = {None: None, 2: "H", 4: "I"}[width], limit
 
     def __missing__(self, unit: str):
+        ids = self.encode(unit)
+        got = len(ids) if self.code is None else array(self.code, ids).tobytes()
         if len(unit) > 256:
-            return self.make(self.encode(unit))  # rare, and large to keep
+            return got  # rare, and large to keep
         if len(self) >= self.limit:
             self.clear()
-        got = self[unit] = self.make(self.encode(unit))
+        self[unit] = got
         return got
 
+    def of(self, us: list[str]) -> list:
+        """What the units of a text give, in order."""
+        return list(map(self.__getitem__, us))
+
 
 def pattern() -> str:
     import public_tokenizers
