@@ -147,18 +147,21 @@ def place(pieces: DataFrame, length: int = LENGTH, id_kind: str = "<u2", key: in
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress
-        for r in common.dicts(batches):
-            begin = r["begin"] + r["k"] * RUN * length
-            end = begin + r["n_tokens"]
-            first, last = begin // length, (end - 1) // length
-            slots = slots_in_windows(np.arange(first, last + 1), n, key, window).tolist()
-            ids = unpress(r["ids"])
-            found: list[list] = [[] for _ in slots]
-            for s, d in zip(r["starts"], r["doc_ids"]):
-                found[(begin + s) // length - first].append(d)
-            for i, slot in enumerate(slots):
-                a, b = max(begin, (first + i) * length), min(end, (first + i + 1) * length)
-                yield {"slot": slot, "at": a % length, "ids": ids[(a - begin) * size : (b - begin) * size], "n_tokens": b - a, "doc_ids": found[i]}
+        for batch in batches:
+            rows = list(common.dicts([batch]))
+            begins = [r["begin"] + r["k"] * RUN * length for r in rows]
+            spans = [(b // length, (b + r["n_tokens"] - 1) // length + 1) for b, r in zip(begins, rows)]
+            every = slots_in_windows(np.concatenate([np.arange(a, b) for a, b in spans] or [np.zeros(0, np.int64)]), n, key, window).tolist()
+            at = 0
+            for r, begin, (first, last) in zip(rows, begins, spans):
+                ids = unpress(r["ids"])
+                found: list[list] = [[] for _ in range(first, last)]
+                for s, d in zip(r["starts"], r["doc_ids"]):
+                    found[(begin + s) // length - first].append(d)
+                for seq, slot, docs in zip(range(first, last), every[at : at + last - first], found):
+                    a, b = max(begin, seq * length), min(begin + r["n_tokens"], (seq + 1) * length)
+                    yield {"slot": slot, "at": a % length, "ids": ids[(a - begin) * size : (b - begin) * size], "n_tokens": b - a, "doc_ids": docs}
+                at += last - first
 
     placed = pieces.join(F.broadcast(starts), "part").select("begin", "k", "ids", "n_tokens", "starts", "doc_ids")
     return common.map_dicts(placed, run, f"slot long, at int, ids binary, n_tokens int, doc_ids {kind}"), n
