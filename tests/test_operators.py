@@ -207,7 +207,7 @@ def test_zip_pairs_truncates(spark):
 
 
 def test_scanners():
-    assert R.json_candidates('x {"a": 1} ```json\n{"b": {"c": "}"}}\n``` {bad') == ['{"b": {"c": "}"}}', '{"a": 1}']
+    assert R.json_candidates('x {"a": 1} ```json\n{"b": {"c": "}"}}\n``` {bad') == ['{"b": {"c": "}"}}', '{"a": 1}', '{"b": {"c": "}"}}', '{"c": "}"}']
     assert R.code_tokens("int fooBar = x_y1 + 2; // c\n{}") == ["int", "foo", "bar", "=", "x", "y1", "+", "2"]
 
 
@@ -259,3 +259,151 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination(120)
     last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
     assert {(r.k, r.ver) for r in spark.read.parquet(str(tmp_path / "out" / f"v={last}")).collect()} == {(i, 90 + i) for i in range(10)}
+
+
+def test_ranks_of_skewed_numbers(spark):
+    from verdigris.operators.ranking import rank_by_number
+
+    # an outlier, ids over the whole range of long, and one value that half of the rows share
+    values = [*range(3000), 10**12, -(1 << 63), (1 << 63) - 1, *[7] * 3000]
+    df = spark.createDataFrame([(i, v, "ab"[i % 2]) for i, v in enumerate(values)], "id long, v long, g string")
+    for by in ([], ["g"]):
+        rows = rank_by_number(df, by, "v", chunks=64).collect()
+        for g in {r.g if by else "" for r in rows}:
+            some = sorted((r for r in rows if not by or r.g == g), key=lambda r: r.rank_)
+            assert [r.rank_ for r in some] == list(range(1, len(some) + 1)) and all(r.size_ == len(some) for r in some)
+            assert [r.v for r in some] == sorted(r.v for r in some)
+    assert {(r.id, r.rank_) for r in rank_by_number(df, [], "v", 64).collect()} == {(r.id, r.rank_) for r in rank_by_number(df.repartition(7), [], "v", 64).collect()}
+    assert rank_by_number(df.limit(0), [], "v").collect() == []
+    nulls = rank_by_number(spark.createDataFrame([(None,), (3,), (1,), (None,)], "v long"), [], "v").collect()
+    assert sorted((r.rank_, r.v) for r in nulls)[2:] == [(3, 1), (4, 3)]
+
+
+def test_line_chunks_of_long_texts_are_linear(spark):
+    import time
+
+    from verdigris.operators import chunks as K
+
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    began = time.time()
+    rows = K.explode_chunks(df, "text", 80).select("chunk_id", "start_line", "end_line", "chunk_text").collect()
+    assert time.time() - began < 20
+    assert "\n".join(r.chunk_text for r in sorted(rows)) == text and max(r.end_line for r in rows) == 60_000
+
+
+def test_median_and_correlation(spark):
+    from verdigris.operators import calibration as C
+
+    rows = [(float(i % 5), 1.0 + 1e-9 * (i % 2)) for i in range(1001)]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "a double, b double")
+    assert C.spread(df, F.col("a")).first().median == 2.0
+    assert C.spread(df.where("a in (1, 4)"), F.col("a")).first().median == 2.5
+    assert abs(C.correlation(df, F.col("a"), F.col("b")).first().pearson) <= 1
+    assert C.spread(df.limit(0), F.col("a")).first().median is None
+
+
+def test_nearest_by_tokens_excludes_and_prefers(spark):
+    from verdigris.operators import similarity as V
+
+    base = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "x y"), (4, "a b")], "k long, t string")
+    plain = {r.k: r.neighbor for r in V.most_similar_by_tokens(base, base, "k", "t", "k", "t").collect()}
+    assert plain == {1: 1, 2: 2, 3: 3, 4: 2}
+    given = spark.createDataFrame([(1, 3)], "k long, neighbor long")
+    for block in (4096, 2):
+        got = {r.k: (r.neighbor, r.similarity) for r in V.most_similar_by_tokens(base, base, "k", "t", "k", "t", exclude_same=True, given=given, block=block).collect()}
+        assert got == {1: (3, None), 2: (4, 1.0), 4: (2, 1.0)}
+
+
+def test_sqlite_npy_and_named_files(spark, tmp_path):
+    import sqlite3
+
+    import numpy as np
+
+    from verdigris.sources import readers as S
+
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("CREATE TABLE method (id INTEGER, code TEXT, score REAL)")
+    rows = [(i, f"code {i}", i / 4) for i in range(1000)]
+    db.executemany("INSERT INTO method VALUES (?, ?, ?)", rows)
+    db.execute("CREATE TABLE empty (id INTEGER)")
+    db.commit()
+    db.close()
+    got = S.read_sqlite(spark, str(tmp_path / "x.db"), "method", "id long, code string, score double", parts=3, batch=70)
+    assert sorted(map(tuple, got.collect())) == rows
+    assert S.read_sqlite(spark, str(tmp_path / "x.db"), "empty", "id long").count() == 0
+    m = np.arange(30, dtype=np.float64).reshape(10, 3)
+    np.save(tmp_path / "m.npy", m)
+    assert [r.vector for r in S.read_npy(spark, str(tmp_path / "m.npy"), rows=4).orderBy("row").collect()] == m.tolist()
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "results.csv").write_text("x\n1\n")
+    (tmp_path / "a" / "other.csv").write_text("x\n1\n")
+    found = S.read_named(spark, [str(tmp_path), str(tmp_path / "missing")], {"results.csv"})
+    assert [r.path.split("/")[-1] for r in found.collect()] == ["results.csv"]
+    assert S.read_named(spark, [str(tmp_path / "missing")], {"x"}).count() == 0
+
+
+def test_ingest_arrays_reports_and_lines(spark, tmp_path):
+    import json
+
+    from verdigris.sources import readers as S
+    from verdigris.sources import sinks as K
+
+    path = S.ingest(spark, b'[{"a": 1}]', "up.json", str(tmp_path))
+    assert path.endswith("up.json") and json.loads((tmp_path / "up.json").read_text()) == [{"a": 1}]
+    for content, name, error in ((b"[]", "up.json", Exception), (b"[]", "../x.json", ValueError), (b"no", "y.json", ValueError), (b"[]", "y.exe", ValueError)):
+        with pytest.raises(error):
+            S.ingest(spark, content, name, str(tmp_path))
+    df = spark.createDataFrame([(2, "b", None), (1, "ä", 0.5)], "i long, s string, x double")
+    assert K.write_json_array(df, str(tmp_path / "all.json"), ["i"]) == 2
+    assert json.loads((tmp_path / "all.json").read_text()) == [{"i": 1, "s": "ä", "x": 0.5}, {"i": 2, "s": "b", "x": None}]
+    assert K.write_json_array(df.limit(0), str(tmp_path / "none.json")) == 0 and json.loads((tmp_path / "none.json").read_text()) == []
+    K.write_report({"t": df}, str(tmp_path / "rep"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "rep/t.csv")).count() == 2 and spark.read.json(str(tmp_path / "rep/t.json")).count() == 2
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n{"a": \n')
+    rows = K.lines_with_errors(spark, str(tmp_path / "l.jsonl"), "a long").orderBy("line").collect()
+    assert [(r.line, r.a, r.corrupt is not None) for r in rows] == [(1, 1, False), (3, 2, False), (4, None, True)]
+    with pytest.raises(Exception, match="line 4"):
+        K.convert_lines(spark, str(tmp_path / "l.jsonl"), "a long").collect()
+    (tmp_path / "ok.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert [r.a for r in K.convert_lines(spark, str(tmp_path / "ok.jsonl"), "a long").orderBy("a").collect()] == [1, 2]
+
+
+def test_judge_retries_parses_and_resumes(spark):
+    from verdigris.operators import judge as G
+
+    def make_client():
+        calls = {}
+
+        def client(prompt):
+            calls[prompt] = calls.get(prompt, 0) + 1
+            if prompt == "busy" and calls[prompt] < 3:
+                raise G.HttpError(429, "later")
+            if prompt == "bad":
+                raise G.HttpError(400, "no")
+            return '```json\n{"vulnerable": "yes", "why": {"a": 1}}\n```' if prompt == "busy" else "0"
+
+        return client
+
+    df = spark.createDataFrame([(1, "busy"), (2, "bad"), (3, "fine"), (4, "fine")], "Index long, prompt string")
+    done = spark.createDataFrame([(4, 1), (3, None)], "Index long, label int")
+    got = {r.Index: (r.label, r.attempts, r.status) for r in G.judge(df, make_client, wait=0.0, done=done).collect()}
+    assert got == {1: (1, 3, "json.vulnerable"), 2: (None, 1, "error:HttpError: HTTP 400: no"), 3: (0, 1, "exact.no")}
+
+
+def test_python_comments_token_length_and_expansion(spark):
+    from verdigris.functions import responses as R
+    from verdigris.plans import jobs
+
+    code = 'def f(x):\n    """Doc."""\n    # note\n    s = "# kept"  # gone\n    return s\n'
+    df = spark.createDataFrame([(1, code), (2, "def broken(:\n  '''"), (3, None)], "i long, c string")
+    got = [r[0] for r in df.select(R.strip_python_comments("c")).collect()]
+    assert [x.rstrip() for x in got[0].split("\n")] == ["def f(x):", '    s = "# kept"', "    return s"] and got[1] == "def broken(:\n  '''" and got[2] is None
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b" ab": 257}
+    text = spark.createDataFrame([("ab ab x",), (None,)], "t string")
+    assert [r[0] for r in text.select(R.token_length(F.col("t"), ranks, r"\s?\w+").alias("n")).collect()] == [4, 0]
+    assert text.select(R.token_length(F.col("t"))).first()[0] == 3
+    assert jobs.expand({"a": ["$X/${Y}", 1]}, {"X": "x", "Y": "y"}) == {"a": ["x/y", 1]}
+    assert jobs.expand("$Z", {}, strict=False) == ""
+    with pytest.raises(KeyError):
+        jobs.expand("$Z", {})

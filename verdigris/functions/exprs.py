@@ -271,9 +271,11 @@ def correct_spacing(text, pairs=((" .", "."), (" ,", ","), (" !", "!"), (" ?", "
 
 
 def binary_label(response) -> tuple[Column, Column]:
-    """(label, how it was found) of a reviewer's reply: a JSON object, the quoted field, the whole text, its last line."""
+    """(label, how it was found) of a reviewer's reply: the first JSON object in it, the quoted field, the whole text, its last line."""
     t = F.trim(F.coalesce(_c(response), F.lit("")))
-    obj = F.lower(F.trim(F.when(t.rlike(r"(?s)^\{.*\}$"), F.get_json_object(t, "$.vulnerable"))))
+    # the object is looked for anywhere, also in a fence; brackets inside it may nest once
+    block = F.regexp_extract(t, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
+    obj = F.lower(F.trim(F.when(block != "", F.get_json_object(block, "$.vulnerable"))))
     field = F.regexp_extract(F.lower(t), r'"vulnerable"\s*:\s*"?(yes|no|true|false|0|1)"?', 1)
     last = F.trim(F.regexp_extract(t, r"([^\n]*)$", 1))
 
@@ -289,12 +291,50 @@ def binary_label(response) -> tuple[Column, Column]:
     return label, how
 
 
+def first_char_label(reply) -> Column:
+    """M3: the label that a generated reply begins with, null for any other beginning."""
+    return F.substring(F.ltrim(_c(reply)), 1, 1).try_cast("int")
+
+
+def percent(x) -> Column:
+    """A share as text with one decimal."""
+    return F.concat(F.format_string("%.1f", _c(x).cast("double") * 100), F.lit("%"))
+
+
+def number_text(x) -> Column:
+    """Whole numbers without decimals, others with four."""
+    v = _c(x).cast("double")
+    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.4f", v))
+
+
+def xml_text(x) -> Column:
+    """Text that is safe inside an XML element."""
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), _c(x))
+
+
+# Short model names.
+MODEL_ALIASES = {
+    "llama2": "meta-llama/Llama-2-7b-hf",
+    "codellama": "codellama/CodeLlama-7b-hf",
+    "llama3": "meta-llama/Meta-Llama-3-8B",
+    "llama3.1": "meta-llama/Llama-3.1-8B",
+    "llama3.2": "meta-llama/Llama-3.2-1B",
+}
+
+
+def model_name(alias) -> Column:
+    """The full name of a short one; others stay."""
+    a = _c(alias)
+    m = F.create_map(*[F.lit(x) for kv in MODEL_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, F.lower(F.trim(a))), a)
+
+
 def error_summary(text, n: int = 200) -> Column:
     """T14."""
     return F.substring(collapse_space(text), 1, n)
 
 
-def start_line(location) -> Column:
+def start_line(location) -> Column:  # the pattern is a fixed value
     """The line number of a `line:col-line:col` location."""
     return F.nullif(F.regexp_extract(_c(location), r"\b(\d+):\d+-\d+:\d+\b", 1), F.lit("")).cast("int")
 

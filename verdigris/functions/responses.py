@@ -9,30 +9,39 @@ import pandas as pd
 
 from .lazy import arrow_udf
 
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
+# Fixed value: a JSON object in a fence.
+_FENCED_JSON = re.compile(r"```json\s*(\{.*?\})\s*```", re.S | re.I)
+# Fixed value: literals and comments of C-like languages.
 _STRING_OR_COMMENT = re.compile(r"""//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*\"""", re.S | re.M)
 
 
 def json_candidates(text: str | None) -> list[str]:
-    """Fenced blocks that decode to objects first, then every `{` from which an object decodes."""
+    """The texts of fenced JSON objects first, then of every object that decodes from any `{`, nested ones too."""
     text = text or ""
-    found = []
+    found = [m[1] for m in _FENCED_JSON.finditer(text)]
     decoder = json.JSONDecoder()
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found.append(text[at : decoder.raw_decode(text, at)[1]])
+        except ValueError:
+            pass
+        at = text.find("{", at + 1)
+    return found
+
+
+def decodes(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
 
-    def scan(t: str) -> None:
-        at = t.find("{")
-        while at >= 0:
-            try:
-                value, end = decoder.raw_decode(t, at)
-                found.append(json.dumps(value, sort_keys=True, ensure_ascii=False))
-                at = t.find("{", end)
-            except ValueError:
-                at = t.find("{", at + 1)
 
-    for m in _FENCE.finditer(text):
-        scan(m[1])
-    scan(_FENCE.sub("", text))
-    return list(dict.fromkeys(found))
+@arrow_udf("string")
+def final_response(texts: pd.Series) -> pd.Series:
+    """The last JSON object of a reply, or the whole reply where it has none."""
+    return texts.map(lambda t: next((c.strip() for c in reversed(json_candidates((t or "").strip())) if decodes(c)), (t or "").strip()))
 
 
 @arrow_udf("array<string>")
@@ -71,6 +80,55 @@ def strip_code_comments(codes: pd.Series) -> pd.Series:
     return codes.map(one)
 
 
+def _without_docstrings(code: str) -> str:
+    """Python source without comments and docstrings; broken source stays."""
+    import io
+    import tokenize
+
+    out, row, col, before = [], 1, 0, tokenize.INDENT
+    try:
+        for kind, text, (r0, c0), (r1, c1), _ in tokenize.generate_tokens(io.StringIO(code).readline):
+            if r0 > row:
+                col = 0
+            out.append(" " * (c0 - col) if c0 > col else "")
+            doc = kind == tokenize.STRING and before in (tokenize.INDENT, tokenize.NEWLINE, tokenize.NL, tokenize.DEDENT)
+            if kind != tokenize.COMMENT and not doc:
+                out.append(text)
+            before = before if kind in (tokenize.COMMENT, tokenize.NL) else kind
+            row, col = r1, c1
+    except (tokenize.TokenError, SyntaxError):
+        return code
+    return "".join(out)
+
+
+@arrow_udf("string")
+def strip_python_comments(codes: pd.Series) -> pd.Series:
+    """T8 for Python: comments and docstrings go, and so do lines left blank."""
+    return codes.map(lambda c: None if c is None else "\n".join(x for x in _without_docstrings(c).split("\n") if x.strip()))
+
+
+def token_length(text, ranks: dict[bytes, int] | None = None, pattern: str | None = None):
+    """The number of byte-pair tokens under a vocabulary (its ranks and splitting pattern); T1 without one."""
+    from collections.abc import Iterator
+
+    from pyspark.sql import functions as F
+
+    from .exprs import approx_tokens
+
+    if not ranks or not pattern:
+        return approx_tokens(text)
+
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+
+        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for texts in parts:
+            yield texts.map(lambda t: len(encode(t or ""))).astype("int32")
+
+    count.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(count, "int")(text)
+
+
 def code_tokens(code: str | None) -> list[str]:
     """T5: words split at case changes, numbers and operators; block and statement marks are dropped."""
     text = re.sub(r"(?s)/\*.*?\*/|//[^\n]*", "", code or "")
@@ -115,3 +173,11 @@ def symbolic_code(codes: pd.Series) -> pd.Series:
         return " ".join(out)
 
     return codes.map(one)
+
+
+@arrow_udf("array<int>")
+def solid_prefix(texts: pd.Series) -> pd.Series:
+    """For each character, how many solid ones (not ASCII white space) come up to and with it."""
+    import numpy as np
+
+    return texts.map(lambda t: None if t is None else np.cumsum([c not in " \t\n\r\x0b\x0c" for c in t], dtype=np.int32))

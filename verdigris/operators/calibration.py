@@ -8,6 +8,7 @@ pass per threshold.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +22,14 @@ def edges(lo: str, hi: str, step: str) -> list[float]:
     return [float(a + s * i) for i in range(int((b - a) / s) + 1)]
 
 
+def at_or_above(x: Column, bounds: list[float]) -> Column:
+    """How many bounds x reaches; 0 for null."""
+    return F.coalesce(reduce(lambda a, b: a + b, [(x >= F.lit(b)).cast("int") for b in bounds], F.lit(0)), F.lit(0))
+
+
 def bin_of(x: Column, bounds: list[float]) -> Column:
     """0-based bin, the last closed; null outside."""
-    inside = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(-1), lambda n, b: n + F.when(x >= b, 1).otherwise(0))
+    inside = at_or_above(x, bounds) - 1
     return F.when((x < bounds[0]) | (x > bounds[-1]), None).otherwise(F.least(inside, F.lit(len(bounds) - 2)))
 
 
@@ -71,7 +77,11 @@ def best_bucket(buckets: DataFrame, score: str = "gain") -> DataFrame:
 def sweep(df: DataFrame, steps: int = 100, prob: str = "Prob", label: str = "Label") -> DataFrame:
     """A-15: metrics of prob >= t for t = 0, 1/steps ... 1: a histogram, then reverse running sums over its few rows."""
     ts = [i / steps for i in range(steps + 1)]
-    bucket = F.aggregate(F.array(*[F.lit(t) for t in ts]), F.lit(-1), lambda n, t: n + F.when(F.col(prob) >= t, 1).otherwise(0))
+    # the step by arithmetic, put right by comparison with the steps beside it
+    x = F.col(prob)
+    guess = F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * steps).cast("int")
+    exact = F.when(x >= (guess + 1) / F.lit(float(steps)), guess + 1).when(x < guess / F.lit(float(steps)), guess - 1).otherwise(guess)
+    bucket = F.coalesce(F.greatest(F.least(exact, F.lit(steps)), F.lit(-1)), F.lit(-1))
     hist = df.groupBy(bucket.alias("b")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     grid = df.sparkSession.createDataFrame(list(enumerate(ts)), "b int, threshold double")
     full = grid.join(hist, "b", "full").select("b", "threshold", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -95,7 +105,7 @@ def best_thresholds(swept: DataFrame, max_fpr: float = 0.1) -> DataFrame:
 def coverage(df: DataFrame, thresholds: list[float], prob: str = "Prob", label: str = "Label", pred: str = "Prediction") -> DataFrame:
     """A-16, A-17: per threshold, the rows at least that confident: count, coverage, accuracy, error rate."""
     v = confidence(prob)
-    bucket = F.aggregate(F.array(*[F.lit(t) for t in thresholds]), F.lit(-1), lambda n, t: n + F.when(v >= t, 1).otherwise(0))
+    bucket = at_or_above(v, thresholds) - 1
     hist = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col(pred)).alias("ok"))
     grid = df.sparkSession.createDataFrame(list(enumerate(thresholds)), "b int, threshold double")
     full = grid.join(hist, "b", "full").select("b", "threshold", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ok", F.lit(0)).alias("ok"))
@@ -105,17 +115,33 @@ def coverage(df: DataFrame, thresholds: list[float], prob: str = "Prob", label:
 
 
 def correlation(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """A-18: Pearson's r from exact sums, null where either side is constant."""
-    s = df.select(a.cast("double").alias("x"), b.cast("double").alias("y")).agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
-    )
-    num = F.expr("n * sxy - sx * sy")
-    den = F.expr("sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)")
+    """A-18: Pearson's r, null where either side is constant; rows with a null on either side count for n alone."""
+    s = df.select(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = (F.when(both, F.col(c)) for c in ("x", "y"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    s = s.agg(F.count("*").alias("n"), r.alias("r"), *[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))])
     flat = (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
-    return s.select("n", F.when(~flat, F.round(F.try_divide(num, den), 6)).alias("pearson"))
+    return s.select("n", F.when(~flat, F.round("r", 6)).alias("pearson"))
 
 
 def spread(df: DataFrame, value: Column) -> DataFrame:
-    """A-19, A-20: mean, exact median, least and greatest."""
-    v = df.select(value.cast("double").alias("v"))
-    return v.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    """A-19, A-20: mean, exact median, least and greatest.
+
+    The median is looked for among the values between two approximate quantiles around it, with their
+    numbers; if they miss it (they are approximate), among all.
+    """
+    v = df.select(value.cast("double").alias("v")).where("v is not null")
+    n, lo, hi = v.agg(F.count("v"), F.percentile_approx("v", 0.499, 10_000), F.percentile_approx("v", 0.501, 10_000)).first()
+    whole = v.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    if not n:
+        return whole.select("n", "mean", F.lit(None).cast("double").alias("median"), "least", "greatest")
+    left, right = (n + 1) // 2, n // 2 + 1  # ranks of the one or two middle values
+    under, inside = v.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
+    if under < left and right <= under + inside:
+        counts = v.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("c"))
+    else:
+        under, counts = 0, v.groupBy("v").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("to", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + under)
+    middle = [F.min(F.when(F.col("to") >= r, F.col("v"))) for r in (left, right)]
+    return whole.crossJoin(F.broadcast(upto.agg(F.round((middle[0] + middle[1]) / 2, 6).alias("median")))).select("n", "mean", "median", "least", "greatest")  # one row each

@@ -16,15 +16,19 @@ RANGES = "array<struct<start:int,end:int>>"
 
 def line_chunks(text: Column | str, n: int = 80) -> Column:
     """Array of (chunk, text, start, end): runs of n lines, 1-based and inclusive."""
-    lines = E.lines_of(text)
-    count = F.ceil(F.size(lines) / n).cast("int")
 
-    def one(i: Column) -> Column:
-        start = i * n + 1
-        part = F.slice(lines, start, F.lit(n))
-        return F.struct(i.alias("chunk"), F.array_join(part, "\n").alias("text"), start.alias("start"), (i * n + F.size(part)).alias("end"))
+    def chunks(lines: Column) -> Column:
+        count = F.ceil(F.size(lines) / n).cast("int")
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<struct<chunk:int,text:string,start:int,end:int>>"))
+        def one(i: Column) -> Column:
+            start = i * n + 1
+            part = F.slice(lines, start, F.lit(n))
+            return F.struct(i.alias("chunk"), F.array_join(part, "\n").alias("text"), start.alias("start"), (i * n + F.size(part)).alias("end"))
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<struct<chunk:int,text:string,start:int,end:int>>"))
+
+    # the lines are bound by an outer lambda, so the text is split once, not once a chunk
+    return F.element_at(F.transform(F.array(E.lines_of(text)), chunks), 1)
 
 
 def explode_chunks(df: DataFrame, text: str, n: int = 80) -> DataFrame:

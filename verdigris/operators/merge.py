@@ -127,7 +127,25 @@ def vote(models: dict[str, DataFrame], strategy: str, keys: str = "intersection"
     return agg.withColumn("EnsemblePrediction", rule[strategy].cast("int")).withColumn("Strategy", F.lit(strategy))
 
 
-PRESETS = {"any": ("any", None), "majority": ("majority", None), "at_least_2": ("threshold", 2), "all": ("threshold", 3), "weighted": ("weighted", None)}
+# Name -> (models, strategy, threshold, weights).
+PRESETS = {
+    "majority3": (("deepseek", "baidu", "llama"), "majority", None, None),
+    "any3": (("deepseek", "baidu", "llama"), "any", None, None),
+    "threshold2of3": (("deepseek", "baidu", "llama"), "threshold", 2, None),
+    "all3": (("deepseek", "baidu", "llama"), "threshold", 3, None),
+    "weighted3_balanced": (("deepseek", "baidu", "llama"), "weighted", 1.8, {"deepseek": 1.0, "baidu": 1.3, "llama": 0.9}),
+    "weighted3_recall": (("deepseek", "baidu", "llama"), "weighted", 1.0, {"deepseek": 1.1, "baidu": 0.7, "llama": 1.2}),
+    "majority4": (("deepseek", "baidu", "llama", "dscoder"), "majority", None, None),
+    "any4": (("deepseek", "baidu", "llama", "dscoder"), "any", None, None),
+    "threshold2of4": (("deepseek", "baidu", "llama", "dscoder"), "threshold", 2, None),
+    "threshold3of4": (("deepseek", "baidu", "llama", "dscoder"), "threshold", 3, None),
+}
+
+
+def vote_preset(models: dict[str, DataFrame], preset: str, key: str = "Index") -> DataFrame:
+    """Q6: a named vote over the keys that all its models have; a missing model is an error."""
+    names, strategy, threshold, weights = PRESETS[preset]
+    return vote({m: models[m] for m in names}, strategy, "intersection", weights, threshold, key).withColumn("Preset", F.lit(preset))
 
 
 def majority_of_three(a, b, c) -> Column:

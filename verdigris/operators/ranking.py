@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 4096
+CHUNKS = 1024
 
 
 def rank(df: DataFrame, by: list[str], order: list[Column], chunk: Column) -> DataFrame:
@@ -34,9 +34,34 @@ def rank_by_hash(df: DataFrame, by: list[str], hashed: Column, key: str) -> Data
     return rank(df.withColumn("hash_", hashed), by, [F.col("hash_"), F.col(key)], F.substring("hash_", 1, 3)).drop("hash_")
 
 
-def rank_by_number(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """In the order of a number; equal shares of its range are the chunks."""
-    span = df.agg(F.min(order).alias("lo_"), F.max(order).alias("hi_"))  # one row
-    wide = df.crossJoin(F.broadcast(span))
-    chunk = F.floor((F.col(order) - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + F.lit(1)) * CHUNKS)
-    return rank(wide, by, [F.col(order)], chunk).drop("lo_", "hi_")
+def bin_among(x: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at or below x, by binary search."""
+    table, n = F.array(*map(F.lit, bounds)), len(bounds)
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = (s["lo"] < s["hi"]) & (F.element_at(table, F.least(mid + 1, F.lit(n))) <= x)
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(F.least(mid, s["hi"])).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, step, lambda s: s["lo"])
+
+
+def rank_by_number(df: DataFrame, by: list[str], order: str, chunks: int = CHUNKS) -> DataFrame:
+    """In the order of a number (nulls first), ties by a hash of the row; quantiles are the chunks.
+
+    A value that fills several quantiles is split along the hash, so neither outliers nor a frequent value
+    make a large chunk. The quantiles steer the chunks alone: the ranks are exact.
+    """
+    kinds = dict(df.dtypes)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns if "map<" not in kinds[c] and "variant" not in kinds[c]])
+    wide = df.withColumn("tie_", tie)
+    shares = [i / chunks for i in range(1, chunks)]
+    found = wide.agg(F.percentile_approx(order, shares, 10 * chunks).alias("q")).first()["q"] or []
+    bounds, heavy = sorted(set(found)), {a for a, b in zip(found, found[1:]) if a == b}
+    chunk = F.lit(0) if not bounds else bin_among(F.col(order), bounds)
+    # 0..63: parts of the frequent value that begins a chunk; 64: the values after it
+    part = F.lit(64) if not heavy else F.when(F.col(order).isin(*heavy), F.shiftrightunsigned("tie_", 58).cast("int")).otherwise(64)
+    whole = F.when(F.col(order).isNull(), F.lit(-1).cast("long")).otherwise(chunk.cast("long") * 65 + part)
+    signed = F.col("tie_").bitwiseXOR(F.lit(-(1 << 63)))  # the hash in the order of its first bits
+    return rank(wide, by, [F.col(order), signed], whole).drop("tie_")

@@ -42,6 +42,19 @@ def to_positive_ratio(df: DataFrame, ratio: float, label: str = "label", key: st
     return r.where((F.col(label) == 1) | (F.col("rank_") <= F.bround(F.col("pos_") / F.lit(ratio) - F.col("pos_")))).select(*df.columns)
 
 
+def buckets_to_ratio(df: DataFrame, ratio: float, bucket: str, limit: int | None = None, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
+    """Z3 in each bucket by itself, and then, with a limit, Z1."""
+    pos = df.groupBy(bucket).agg(F.count_if(F.col(label) == 1).alias("pos_"))
+    r = _shuffled(df, [bucket, label], key, seed).join(F.broadcast(pos), bucket)  # a row per bucket
+    kept = r.where((F.col(label) == 1) | (F.col("rank_") <= F.bround(F.col("pos_") / F.lit(ratio) - F.col("pos_")))).select(*df.columns)
+    if limit is None:
+        return kept
+    n = kept.groupBy(bucket).agg(F.count("*").alias("n_"))
+    r = _shuffled(kept, [bucket, label], key, seed).join(F.broadcast(n), bucket)
+    share = F.bround(F.col("size_") * ((F.lit(float(limit)) + 0.1) / F.col("n_")))
+    return r.where((F.col("n_") <= limit) | (F.col("rank_") <= share)).select(*df.columns)
+
+
 def one_to_n(df: DataFrame, n: int, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """N negatives per positive; fails where there are too few."""
     facts = df.agg(F.count_if(F.col(label) == 1).alias("pos_"), F.count_if(F.col(label) == 0).alias("neg_"))

@@ -71,20 +71,73 @@ def _unit(rows: list) -> np.ndarray:
     return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
 
-def most_similar_by_tokens(queries: DataFrame, base: DataFrame, q_key: str, q_text: str, b_key: str, b_text: str) -> DataFrame:
+def most_similar_by_tokens(queries: DataFrame, base: DataFrame, q_key: str, q_text: str, b_key: str, b_text: str, exclude_same: bool = False,
+                           given: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The base row of the greatest identifier Jaccard for each query; ties by key; queries that share none stay out.
 
-    A join on tokens through an inverted index: pairs are only made where a token is shared, and the
-    intersection is counted by aggregation.
+    The stated queries go in blocks of bounded size, each an inverted index that every task holds; a task reads
+    its base rows once, counts shared tokens by the index and keeps its own best row of each query, and only those
+    meet in a shuffle. exclude_same leaves out the base row with the query's own key. given, a table (q_key,
+    neighbor) of neighbours known beforehand, goes before: its queries get that neighbour and a null similarity.
     """
-    q = queries.select(F.col(q_key).alias("q"), E.identifiers(q_text).alias("t"))
-    b = base.select(F.col(b_key).alias("b"), E.identifiers(b_text).alias("t"))
-    qt = q.select("q", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    bt = b.select("b", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    both = qt.join(bt, "token").groupBy("q", "b", "nq", "nb").agg(F.count("*").alias("common"))
-    score = F.round(F.col("common") / (F.col("nq") + F.col("nb") - F.col("common")).cast("double"), 6)
-    best = both.withColumn("similarity", score).groupBy("q").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("x"))
-    return best.select(F.col("q").alias(q_key), F.col("x.b").alias("neighbor"), F.col("x.similarity").alias("similarity"))
+    q = queries.select(F.col(q_key).cast("long").alias("q"), E.identifiers(q_text).alias("t"))
+    if given is not None:
+        known = given.select(F.col(q_key).cast("long").alias("q"), F.col("neighbor").cast("long").alias("neighbor")).where("neighbor is not null").dropDuplicates(["q"])
+        q = q.join(known.select("q"), "q", "left_anti")
+    rows = base.select(F.col(b_key).cast("long").alias("b"), E.identifiers(b_text).alias("t")).where(F.size("t") > 0)
+    spark, out = base.sparkSession, None
+    for ids, sizes, index in _token_blocks(q, block):
+        shared = spark.sparkContext.broadcast((ids, sizes, index))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, sizes, index = shared.value
+            none = np.zeros(0, np.int64)
+            best = np.full(len(ids), -1, np.int64)  # similarity in whole millionths
+            found, common = np.full(len(ids), np.iinfo(np.int64).max), np.zeros((2, len(ids)), np.int64)
+            for pdf in batches:
+                for key, tokens in zip(pdf["b"].to_numpy(), pdf["t"]):
+                    hit = np.concatenate([index.get(x, none) for x in tokens])
+                    if not len(hit):
+                        continue
+                    who, n = np.unique(hit, return_counts=True)
+                    union = sizes[who] + len(tokens) - n
+                    score = np.floor(n / union * 1e6 + 0.5).astype(np.int64)
+                    use = (score > best[who]) | ((score == best[who]) & (key < found[who]))
+                    if exclude_same:
+                        use &= ids[who] != key
+                    who = who[use]
+                    best[who], found[who], common[0, who], common[1, who] = score[use], key, n[use], union[use]
+            some = best >= 0
+            yield pd.DataFrame({"q": ids[some], "neighbor": found[some], "common": common[0, some], "total": common[1, some]})
+
+        part = rows.mapInPandas(run, "q long, neighbor long, common long, total long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "q long, neighbor long, common long, total long")
+    score = F.round(F.col("common") / F.col("total").cast("double"), 6)
+    top = out.withColumn("similarity", score).groupBy("q").agg(F.max_by(F.struct("neighbor", "similarity"), F.struct("similarity", -F.col("neighbor"))).alias("x"))
+    top = top.select("q", "x.neighbor", "x.similarity")
+    if given is not None:
+        top = top.unionByName(known.join(queries.select(F.col(q_key).cast("long").alias("q")), "q", "left_semi").withColumn("similarity", F.lit(None).cast("double")))
+    return top.select(F.col("q").cast(queries.schema[q_key].dataType).alias(q_key), F.col("neighbor").cast(base.schema[b_key].dataType).alias("neighbor"), "similarity")
+
+
+def _token_blocks(q: DataFrame, block: int):
+    def made():
+        index: dict[str, list[int]] = {}
+        for i, (_, tokens) in enumerate(held):
+            for x in tokens:
+                index.setdefault(x, []).append(i)
+        return np.array([k for k, _ in held], np.int64), np.array([len(x) for _, x in held], np.int64), {x: np.array(v) for x, v in index.items()}
+
+    held = []
+    for r in q.where(F.size("t") > 0).toLocalIterator():
+        held.append((r["q"], r["t"]))
+        if len(held) == block:
+            yield made()
+            held = []
+    if held:
+        yield made()
 
 
 def co_occurrence(df: DataFrame, key: str, tokens: Column, window: int, distinct_positions: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -12,6 +11,7 @@ from ..operators import merge as J
 from ..operators import relational as Q
 from ..operators import sampling as Z
 from ..operators import similarity as V
+from ..operators import tables as L
 from ..sources import readers as S
 from ..sources import sinks
 from . import jobs
@@ -39,12 +39,9 @@ def _(t: Tables):
     return Z.truncate_buckets(_samples(t).select("index", "label", "lang"), 60, "lang")
 
 
-FEW = SAMPLES + ", f AS (SELECT * FROM s WHERE label = 0 OR index % 5 = 0)"
-
-
-@query("z3_positive_ratio", f"WITH {FEW}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS k, count(*) FILTER (WHERE label = 1) OVER () AS pos FROM f) SELECT index, label FROM r WHERE label = 1 OR k <= round_even(pos / CAST(0.7 AS DOUBLE) - pos, 0)")
+@query("z3_positive_ratio", f"WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS k, count(*) FILTER (WHERE label = 1) OVER () AS pos FROM s) SELECT index, label FROM r WHERE label = 1 OR k <= round_even(pos / CAST(0.9 AS DOUBLE) - pos, 0)")
 def _(t: Tables):
-    return Z.to_positive_ratio(_samples(t).where("label = 0 or index % 5 = 0").select("index", "label"), 0.7)
+    return Z.to_positive_ratio(_samples(t).select("index", "label"), 0.9)
 
 
 ONE_N = SAMPLES + ", f AS (SELECT index, CAST(1 - label AS INTEGER) AS label FROM s)"
@@ -164,11 +161,11 @@ def _(t: Tables):
     return m.select("supplier", F.size("r").cast("long").alias("n_ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1).alias("covered"))
 
 
-@query("j21_interval_overlap", "WITH r AS (SELECT l_suppkey AS g, l_partkey AS s, l_partkey + 2 AS e FROM lineitem WHERE l_linenumber = 1), x AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_partkey + 3 AS s, l_partkey + 5 AS e FROM lineitem WHERE l_linenumber = 2) SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS check_sum FROM x WHERE EXISTS (SELECT 1 FROM r WHERE r.g = x.g AND x.s <= r.e AND r.s <= x.e)")
+@query("j21_interval_overlap", "WITH r AS (SELECT l_suppkey AS g, l_partkey AS s, l_partkey + 2 AS e FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_partkey + 3 AS s, l_partkey + 5 AS e FROM lineitem) SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS check_sum FROM x WHERE EXISTS (SELECT 1 FROM r WHERE r.g = x.g AND x.s <= r.e AND r.s <= x.e)")
 def _(t: Tables):
     line = t.lineitem
-    ranges = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + 2).alias("e"))
-    rows = line.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("g"), (F.col("l_partkey") + 3).alias("s"), (F.col("l_partkey") + 5).alias("e"))
+    ranges = line.select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + 2).alias("e"))
+    rows = line.select("l_orderkey", F.col("l_suppkey").alias("g"), (F.col("l_partkey") + 3).alias("s"), (F.col("l_partkey") + 5).alias("e"))
     return Q.range_semi_join(rows, ranges, ["g"], "s", "e").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("check_sum"))
 
 
@@ -187,15 +184,13 @@ def _(t: Tables):
 
 @query("u1_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'doc' AS kind, doc_id FROM documents UNION ALL SELECT 'label', doc_id FROM labels) GROUP BY kind")
 def _(t: Tables):
-    both = t.documents.select(F.lit("doc").alias("kind"), "doc_id").unionByName(t.labels.select(F.lit("label").alias("kind"), "doc_id", "quality"), allowMissingColumns=True)
+    both = L.union_all([t.documents.select(F.lit("doc").alias("kind"), "doc_id"), t.labels.select(F.lit("label").alias("kind"), "doc_id", "quality")])
     return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("u2_key_sets", f'WITH {PA}, {PB} SELECT (SELECT count(*) FROM (SELECT "Index" FROM pa INTERSECT SELECT "Index" FROM pb)) AS n_common, (SELECT count(*) FROM (SELECT "Index" FROM pa UNION SELECT "Index" FROM pb)) AS n_all')
 def _(t: Tables):
-    a, b = t.pa.select("Index"), t.pb.select("Index")
-    common = a.join(b, "Index", "left_semi").agg(F.count("*").alias("n_common"))
-    return common.crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("n_all"))))  # one row each
+    return L.key_sets(t.pa, t.pb, "Index")
 
 
 @query("u6_a29_distinct_paths", "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host FROM pages")
@@ -208,11 +203,11 @@ def _(t: Tables):
     return J.strict_join(t.labels.select("doc_id", "quality"), t.documents.select("doc_id", "source"), "doc_id")
 
 
-@query("j2_position_fallback", """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 ELSE doc_id END AS "Index" FROM labels), s AS (SELECT doc_id AS "Index", row_number() OVER (ORDER BY doc_id) - 1 AS pos, source AS code FROM documents WHERE doc_id < 700)
+@query("j2_position_fallback", """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 ELSE doc_id END AS "Index" FROM labels), s AS (SELECT doc_id AS "Index", row_number() OVER (ORDER BY doc_id) - 1 AS pos, source AS code FROM documents WHERE doc_id % 4 <> 3)
 SELECT p."Index", p.pos, coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NOT NULL THEN 'index' WHEN b.code IS NOT NULL THEN 'position' ELSE 'unmatched' END AS matched_by FROM p LEFT JOIN s a ON p."Index" = a."Index" LEFT JOIN s b ON p.pos = b.pos""")
 def _(t: Tables):
     p = Z.dense_index(t.labels.select("doc_id"), "doc_id", name="pos").select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1000000).otherwise(F.col("doc_id")).alias("Index"), "pos")
-    s = Z.dense_index(t.documents.where("doc_id < 700").select(F.col("doc_id").alias("Index"), F.col("source").alias("code")), "Index", name="pos")
+    s = Z.dense_index(t.documents.where("doc_id % 4 <> 3").select(F.col("doc_id").alias("Index"), F.col("source").alias("code")), "Index", name="pos")
     return J.join_with_position_fallback(p, s)
 
 
@@ -241,46 +236,43 @@ def _(t: Tables):
 
 @query("a39_reconstruction_counters", f"WITH {PB} SELECT count(*) AS n, count(*) FILTER (WHERE pb.\"Index\" IS NULL) AS without_result FROM labels l LEFT JOIN pb ON pb.\"Index\" = l.doc_id")
 def _(t: Tables):
-    return t.labels.join(t.pb.select(F.col("Index").alias("doc_id"), "Prediction"), "doc_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("Prediction").isNull()).alias("without_result"))
+    return L.without_result(t.labels, t.pb.select(F.col("Index").alias("doc_id")), "doc_id")
 
 
-@query("j25_case_bundle", f'WITH {PA}, {PB} SELECT d.doc_id, source, pa."Prediction" AS a, pb."Prediction" AS b FROM documents d JOIN pa ON pa."Index" = d.doc_id JOIN pb ON pb."Index" = d.doc_id WHERE d.doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)')
+@query("j25_case_bundle", f'WITH {PA}, {PB} SELECT d.doc_id, source, pa."Prediction" AS a, pb."Prediction" AS b FROM documents d JOIN pa ON pa."Index" = d.doc_id JOIN pb ON pb."Index" = d.doc_id')
 def _(t: Tables):
-    keys = t.documents.where(F.col("doc_id").isin(1, 2, 3, 5, 8, 13, 21, 34, 55, 89)).select("doc_id", "source")
     a = t.pa.select(F.col("Index").alias("doc_id"), F.col("Prediction").alias("a"))
-    return keys.join(a, "doc_id").join(t.pb.select(F.col("Index").alias("doc_id"), F.col("Prediction").alias("b")), "doc_id")
+    return L.case_bundle(t.documents.select("doc_id", "source"), [a, t.pb.select(F.col("Index").alias("doc_id"), F.col("Prediction").alias("b"))], "doc_id")
 
 
 @query("a25_a26_sets_and_argmax", "SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, arg_max(doc_id, n_chars * 1000000 - doc_id) AS longest FROM documents GROUP BY source")
 def _(t: Tables):
-    return t.documents.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("longest"))
+    return t.documents.groupBy("source").agg(L.value_set("lang").alias("langs"), L.argmax("doc_id", "n_chars").alias("longest"))
 
 
 @query("f3_f4_probability_filters", f'WITH {PA} SELECT "Index", "Prob" BETWEEN 0.25 AND 0.75 AS in_range, "Prediction" = 1 AND "Prob" >= 0.6 AS matches FROM pa')
 def _(t: Tables):
-    return t.pa.select("Index", F.col("Prob").between(0.25, 0.75).alias("in_range"), ((F.col("Prediction") == 1) & (F.col("Prob") >= 0.6)).alias("matches"))
+    return t.pa.select("Index", L.between("Prob", 0.25, 0.75).alias("in_range"), L.called("Prediction", 1, "Prob", 0.6).alias("matches"))
 
 
-@query("f8_f12_row_filters", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND length(text) <= 2000 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY doc_id LIMIT 50")
+@query("f8_f12_row_filters", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND length(text) <= 2000 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _(t: Tables):
-    ok = F.col("text").isNotNull() & (F.trim("text") != "") & (F.length("text") <= 2000)
-    return t.documents.where(ok).join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").limit(50).select("doc_id")
+    return t.documents.where(L.valid_text("text", 2000)).join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id")
 
 
 @query("f16_min_group_size", "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 30")
 def _(t: Tables):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n")).where("n >= 30")
+    return L.min_group(t.documents, ["source"], 30)
 
 
 @query("o1_o10_sorted_top", "SELECT doc_id, n_chars FROM documents ORDER BY CASE WHEN lang = 'de' THEN 0 ELSE 1 END, n_chars DESC, doc_id LIMIT 25")
 def _(t: Tables):
-    return t.documents.orderBy(F.when(F.col("lang") == "de", 0).otherwise(1), F.desc("n_chars"), "doc_id").limit(25).select("doc_id", "n_chars")
+    return L.top(t.documents, [F.when(F.col("lang") == "de", 0).otherwise(1), F.desc("n_chars"), F.col("doc_id")], 25).select("doc_id", "n_chars")
 
 
 @query("o9_length_batches", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars * 10000000 + doc_id) - 1 AS i FROM documents) SELECT doc_id, CAST(i // 32 AS BIGINT) AS batch FROM r")
 def _(t: Tables):
-    r = Z.dense_index(t.documents.select("doc_id", (F.col("n_chars") * 10000000 + F.col("doc_id")).alias("o")), "o", name="i")
-    return r.select("doc_id", F.floor(F.col("i") / 32).alias("batch"))
+    return L.length_batches(t.documents, "n_chars", "doc_id", 32).select("doc_id", "batch")
 
 
 # ---- text -----------------------------------------------------------------------------------
@@ -313,9 +305,10 @@ def _(t: Tables):
     return t.documents.select("doc_id", E.preview(E.collapse_space("text"), 80).alias("preview"))
 
 
-@query("p5_p7_lenient_casts", "SELECT turn, conv_id, coalesce(try_cast(trim(substr(text, 1, 3)) AS INTEGER), -1) AS n, coalesce(try_cast(nullif(trim(substr(text, 1, 3)), '') AS DOUBLE), 0.0) AS x, round(coalesce(CAST(length(text) AS DOUBLE) / nullif(turn, 0), 0.0), 6) AS ratio FROM conversations")
+@query("p5_p7_lenient_casts", "SELECT turn, conv_id, coalesce(try_cast(trim(k) AS INTEGER), -1) AS n, coalesce(try_cast(nullif(trim(k), '') AS DOUBLE), 0.0) AS x, round(coalesce(CAST(length(text) AS DOUBLE) / nullif(turn, 0), 0.0), 6) AS ratio FROM (SELECT *, CASE turn % 4 WHEN 0 THEN ' ' || CAST(conv_id AS VARCHAR) || ' ' WHEN 1 THEN '' WHEN 2 THEN 'x' || CAST(conv_id AS VARCHAR) ELSE text END AS k FROM conversations)")
 def _(t: Tables):
-    head = F.substring("text", 1, 3)
+    m, c = F.col("turn") % 4, F.col("conv_id").cast("string")
+    head = F.when(m == 0, F.concat(F.lit(" "), c, F.lit(" "))).when(m == 1, "").when(m == 2, F.concat(F.lit("x"), c)).otherwise(F.col("text"))
     return t.conversations.select("turn", "conv_id", E.lenient_int(head, -1).alias("n"), E.lenient_float(head, 0.0).alias("x"), F.round(E.safe_div(F.length("text"), F.col("turn")), 6).alias("ratio"))
 
 
@@ -339,9 +332,9 @@ def _(t: Tables):
     return t.documents.select("doc_id", E.normalize_language("lang").alias("language"), E.is_before(flag).alias("before"), E.pair_key(F.when(d % 3 == 0, " ").otherwise(F.col("lang")), "source").alias("pair_key"), E.pair_id("doc_id", "source", F.when(d % 2 == 0, F.col("lang"))).alias("pair_id"))
 
 
-@query("p22_prompts", "SELECT doc_id, replace(replace('Language: {lang}. Judge: {code}', '{lang}', lang), '{code}', substr(text, 1, 40)) AS prompt FROM documents")
+@query("p22_prompts", "SELECT doc_id, replace(replace('Language: {lang}. Judge: {code}', '{lang}', lang), '{code}', text) AS prompt FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", E.prompt("Language: {lang}. Judge: {code}", {"lang": "lang", "code": F.substring("text", 1, 40)}).alias("prompt"))
+    return t.documents.select("doc_id", E.prompt("Language: {lang}. Judge: {code}", {"lang": "lang", "code": "text"}).alias("prompt"))
 
 
 @query("p1_p2_instructions", f"WITH {SAMPLES} SELECT 'Is it bad?' AS instruction, code AS input, CAST(label AS VARCHAR) AS output, index FROM s")
@@ -575,8 +568,7 @@ def _(t: Tables):
 
 @query("p31_tail_lines", "WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, text FROM r WHERE k <= 2")
 def _(t: Tables):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return t.conversations.withColumn("k", F.row_number().over(w)).where("k <= 2").select("conv_id", "turn", "text")
+    return L.tail(t.conversations, ["conv_id"], "turn", 2).select("conv_id", "turn", "text")
 
 
 @query("q1_corpus_build", f"WITH {SAMPLES}, b AS (SELECT *, CASE WHEN length(code) < 1024 THEN '0-1024' WHEN length(code) < 4096 THEN '1024-4096' ELSE '4096-*' END AS bucket FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY bucket, label ORDER BY {H}) AS k, count(*) OVER (PARTITION BY bucket, label) AS c FROM b), m AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM b GROUP BY bucket)), t AS (SELECT index, label, bucket FROM r, m WHERE m <= 80 OR k <= round_even(c * ((CAST(80 AS DOUBLE) + CAST(0.1 AS DOUBLE)) / m), 0)), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY index) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM t) SELECT bucket, CASE WHEN i < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN i < floor(n * CAST(0.9 AS DOUBLE)) THEN 'validate' ELSE 'test' END AS split, index, CAST(label AS VARCHAR) AS output FROM n")

@@ -70,3 +70,40 @@ def safe_path(root: str, relative: str) -> str:
     if full != root.rstrip("/") and not full.startswith(root.rstrip("/") + "/"):
         raise ValueError(f"{relative!r} leaves {root!r}")
     return full
+
+
+def latest_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Q7: per output folder, the checkpoint folder epoch-<n> of the greatest n."""
+    p = F.col(column)
+    n = F.nullif(F.regexp_extract(p, r"/epoch-(\d+)/?$", 1), F.lit("")).cast("long")
+    return paths.select(F.regexp_replace(p, r"/epoch-\d+/?$", "").alias("folder"), n.alias("epoch")).where("epoch is not null").groupBy("folder").agg(F.max("epoch").alias("epoch"))
+
+
+def catalogue(paths: DataFrame, column: str = "path") -> DataFrame:
+    """What the service lists: every output file with its run's facts and its kind."""
+    p = F.col(column)
+    facts = run_of_path(p)
+    kind = F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))
+    return paths.select(p.alias("path"), *[c.alias(n) for n, c in facts.items()], F.element_at(F.split(p, "/"), -1).alias("file"), F.nullif(kind, F.lit("")).alias("kind"))
+
+
+def log_tail(lines: DataFrame, n: int, line: str = "line") -> DataFrame:
+    """The last n lines of a job's log, in order."""
+    return lines.orderBy(F.desc(line)).limit(n).orderBy(line)
+
+
+def expand(value, environment: dict[str, str], strict: bool = True):
+    """${NAME} and $NAME in texts of a nested configuration; an unknown name is an error, or empty if not strict."""
+    import re
+
+    def one(m: re.Match) -> str:
+        name = m[1] or m[2]
+        if strict and name not in environment:
+            raise KeyError(f"{name} is not set")
+        return environment.get(name, "")
+
+    if isinstance(value, dict):
+        return {k: expand(v, environment, strict) for k, v in value.items()}
+    if isinstance(value, list):
+        return [expand(v, environment, strict) for v in value]
+    return re.sub(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)", one, value) if isinstance(value, str) else value

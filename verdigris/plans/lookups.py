@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import metrics as M
-from ..operators import sampling as Z
+from ..operators import tables as L
+from ..operators.ranking import rank_by_number
 from ..sources import readers as S
 from .registry import PA, PB, PC, Tables, cells_sql, query, rates_sql
 
@@ -15,47 +17,50 @@ from .registry import PA, PB, PC, Tables, cells_sql, query, rates_sql
 def _(t: Tables):
     c = t.conversations
     meta = c.where("turn % 3 <> 2").select("conv_id", "turn", F.length("text").cast("long").alias("length"))
-    return c.select("conv_id", "turn").join(meta, ["conv_id", "turn"], "left").withColumn("unmatched", F.col("length").isNull())
+    return L.composite_lookup(c.select("conv_id", "turn"), meta, ["conv_id", "turn"], "length")
 
 
 @query("j20_fold_zip", f'WITH {PA}, f AS (SELECT "Index", row_number() OVER (ORDER BY "Index") - 1 AS pos FROM pa), p AS (SELECT "Prediction", row_number() OVER (ORDER BY "Index") - 1 AS pos FROM pa) SELECT f."Index", f.pos AS source_order, p."Prediction" FROM f JOIN p ON f.pos = p.pos')
 def _(t: Tables):
-    meta = Z.dense_index(t.pa.select("Index"), "Index", name="source_order")
-    rows = Z.dense_index(t.pa.select("Index", "Prediction"), "Index", name="source_order").drop("Index")
-    return meta.join(rows, "source_order").select("Index", "source_order", "Prediction")
+    return L.fold_zip(t.pa.select("Index"), t.pa.select("Index", "Prediction"), "Index").select("Index", "source_order", "Prediction")
 
 
-@query("j26_lookup_by_priority", "WITH k AS (SELECT doc_id AS sample_id, source AS filename FROM documents WHERE doc_id < 40), w AS (SELECT o_orderkey AS q, o_orderkey % 80 AS sample_id, 'src' || CAST(o_orderkey % 25 AS VARCHAR) AS filename FROM orders WHERE o_orderkey < 500), f AS (SELECT filename, min(sample_id) AS sample_id FROM k GROUP BY filename) SELECT q, coalesce(k.sample_id, f.sample_id) AS found FROM w LEFT JOIN k ON k.sample_id = w.sample_id LEFT JOIN f ON f.filename = w.filename")
+@query("j26_lookup_by_priority", "WITH k AS (SELECT doc_id AS sample_id, source AS filename FROM documents WHERE doc_id % 3 <> 2), w AS (SELECT o_orderkey AS q, o_orderkey % 2000 AS sample_id, 'src' || CAST(o_orderkey % 25 AS VARCHAR) AS filename FROM orders), f AS (SELECT filename, min(sample_id) AS sample_id FROM k GROUP BY filename) SELECT q, coalesce(k.sample_id, f.sample_id) AS found FROM w LEFT JOIN k ON k.sample_id = w.sample_id LEFT JOIN f ON f.filename = w.filename")
 def _(t: Tables):
-    k = t.documents.where("doc_id < 40").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("filename"))
-    w = t.orders.where("o_orderkey < 500").select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") % 80).alias("sample_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 25).cast("string")).alias("filename"))
-    by_id = w.join(k.select("sample_id", F.col("sample_id").alias("a")), "sample_id", "left")
-    by_name = k.groupBy("filename").agg(F.min("sample_id").alias("b"))
-    return by_id.join(by_name, "filename", "left").select("q", F.coalesce("a", "b").alias("found"))
+    k = t.documents.where("doc_id % 3 <> 2").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("filename"))  # the catalogue lacks a third
+    w = t.orders.select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") % 2000).alias("sample_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 25).cast("string")).alias("filename"))
+    return L.lookup_by_priority(w, k.withColumn("id", F.col("sample_id")), "sample_id", "filename", "id", "found").select("q", "found")
 
 
-@query("o2_o3_mixed_order", "WITH x AS (SELECT conv_id, turn, substr(text, 1, 2) AS k FROM conversations) SELECT conv_id, turn, k, coalesce(try_cast(k AS INTEGER), 1000000000) AS as_int, try_cast(k AS INTEGER) IS NULL AS is_text FROM x ORDER BY is_text, as_int, k, conv_id, turn LIMIT 40")
+@query("o2_o3_mixed_order", "WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(conv_id % 100 AS VARCHAR) ELSE role END AS k FROM conversations) SELECT conv_id, turn, k, coalesce(try_cast(k AS INTEGER), 1000000000) AS as_int, try_cast(k AS INTEGER) IS NULL AS is_text FROM x")
 def _(t: Tables):
-    x = t.conversations.select("conv_id", "turn", F.substring("text", 1, 2).alias("k"))
-    x = x.withColumn("as_int", F.coalesce(F.col("k").try_cast("int"), F.lit(1000000000))).withColumn("is_text", F.col("k").try_cast("int").isNull())
-    return x.orderBy("is_text", "as_int", "k", "conv_id", "turn").limit(40)
+    k = F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 100).cast("string")).otherwise(F.col("role"))
+    x = t.conversations.select("conv_id", "turn", k.alias("k"))
+    is_text, as_int = L.mixed_order("k")
+    return x.select("conv_id", "turn", "k", as_int.alias("as_int"), is_text.alias("is_text")).orderBy(is_text, as_int, "k", "conv_id", "turn")
 
 
-@query("o7_o8_listing_order", "SELECT doc_id, lang, source FROM documents ORDER BY lang <> 'fr', lower(source), doc_id DESC LIMIT 30")
+@query("o7_o8_listing_order", "SELECT doc_id, lang, source, row_number() OVER (ORDER BY lang <> 'fr', lower(source), doc_id DESC) AS place FROM documents")
 def _(t: Tables):
-    return t.documents.orderBy(F.col("lang") != "fr", F.lower("source"), F.desc("doc_id")).limit(30).select("doc_id", "lang", "source")
+    d = t.documents.select("doc_id", "lang", "source", (F.col("lang") != "fr").alias("later"), F.lower("source").alias("name"))
+    # a listing's groups are few; inside them the rank is distributed
+    first = Window.orderBy("later", "name").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("later", "name").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(first), F.lit(0))).drop("n")
+    ranked = rank_by_number(d.withColumn("down", -F.col("doc_id")), ["later", "name"], "down")
+    return ranked.join(starts, ["later", "name"]).select("doc_id", "lang", "source", (F.col("start") + F.col("rank_")).alias("place"))
 
 
 @query("c11_interval_algebra", "SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey * 10 >= l_partkey AND l_suppkey * 10 + 5 <= l_partkey + 50 AS contained, l_suppkey * 10 < l_partkey + 50 AND l_partkey < l_suppkey * 10 + 5 AS overlapping FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def _(t: Tables):
     a, b, c, d = F.col("l_partkey"), F.col("l_partkey") + 50, F.col("l_suppkey") * 10, F.col("l_suppkey") * 10 + 5
     rows = t.lineitem.join(t.orders.select(F.col("o_orderkey")), F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.select("o_orderkey", "l_linenumber", "l_partkey", ((c >= a) & (d <= b)).alias("contained"), ((c < b) & (a < d)).alias("overlapping"))
+    return rows.select("o_orderkey", "l_linenumber", "l_partkey", L.contained(a, b, c, d).alias("contained"), L.overlapping(a, b, c, d).alias("overlapping"))
 
 
 @query("a27_a38_bucket_counts", "SELECT lang, count(*) AS n, CAST(max(len(regexp_extract_all(text, '[^ ]+'))) AS BIGINT) AS longest FROM documents GROUP BY lang")
 def _(t: Tables):
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.max(F.regexp_count("text", F.lit("[^ ]+"))).cast("long").alias("longest"))
+    return L.bucket_counts(t.documents, ["lang"], F.regexp_count("text", F.lit("[^ ]+")))
 
 
 @query("p18_infer_language", "WITH x AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '#include <a.h>' WHEN 1 THEN 'def f(x):' WHEN 2 THEN 'import java.util.List;' WHEN 3 THEN '<?php echo 1;' WHEN 4 THEN 'const f = x => x;' ELSE 'plain' END AS code FROM documents) SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'cpp' WHEN 1 THEN 'python' WHEN 2 THEN 'java' WHEN 3 THEN 'php' WHEN 4 THEN 'typescript' END AS language FROM x")

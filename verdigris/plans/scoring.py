@@ -8,6 +8,7 @@ from ..functions import exprs as E
 from ..operators import calibration as C
 from ..operators import merge as J
 from ..operators import metrics as M
+from ..operators import tables as L
 from .registry import BIG, PA, PB, PC, REVIEW, Tables, cells_sql, div, query, rates_sql
 
 
@@ -47,9 +48,7 @@ def _(t: Tables):
   count(*) FILTER (WHERE fin = 1) AS positive_predictions, count(*) FILTER (WHERE fin = 0) AS negative_predictions, count(*) FILTER (WHERE fin <> orig) AS changed, count(*) FILTER (WHERE fin = orig) AS kept,
   count(*) FILTER (WHERE "Label" = 1 AND fin = 1) AS actual_positive_kept, count(*) FILTER (WHERE "Label" = 1 AND fin = 0) AS actual_positive_rejected FROM m WHERE orig = 1""")
 def _(t: Tables):
-    fin, orig, lab = F.col("FinalPrediction"), F.col("OriginalPrediction"), F.col("Label")
-    conds = {"positive_labels": lab == 1, "negative_labels": lab == 0, "positive_predictions": fin == 1, "negative_predictions": fin == 0, "changed": fin != orig, "kept": fin == orig, "actual_positive_kept": (lab == 1) & (fin == 1), "actual_positive_rejected": (lab == 1) & (fin == 0)}
-    return _merged(t).where(orig == 1).agg(*[F.count_if(c).alias(n) for n, c in conds.items()])
+    return L.reviewed_counters(_merged(t))
 
 
 @query("p12_positive_case_status", f"""WITH {OVER} SELECT "Index", CASE WHEN orig <> 1 THEN 'missed_by_original_model' WHEN r IS NULL THEN 'true_positive_not_reviewed_by_llm' WHEN fin = 1 THEN 'true_positive_kept_by_llm' ELSE 'true_positive_rejected_by_llm' END AS status FROM m WHERE "Label" = 1""")
@@ -62,12 +61,7 @@ def _(t: Tables):
   count(*) FILTER (WHERE orig = 1 AND r IS NOT NULL AND fin = 1) AS kept, count(*) FILTER (WHERE orig = 1 AND r IS NOT NULL AND fin = 0) AS rejected, count(*) FILTER (WHERE orig = 1) AS called FROM m WHERE "Label" = 1)
 SELECT *, {div('reviewed', 'total')} AS original_recall_on_actual_positives, {div('called', 'total')} AS true_original_recall, {div('kept', 'total')} AS final_recall, {div('kept', 'reviewed')} AS keep_rate, {div('rejected', 'reviewed')} AS reject_rate FROM s""")
 def _(t: Tables):
-    status = E.positive_case_status("Label", "OriginalPrediction", "FinalPrediction", F.col("DecisionSource") == E.OVERRIDE)
-    s = _merged(t).where("Label = 1").withColumn("s", status).agg(
-        F.count("*").alias("total"), F.count_if(F.col("s").isin(E.KEPT, E.REJECTED)).alias("reviewed"), F.count_if(F.col("s") == E.MISSED).alias("missed"),
-        F.count_if(F.col("s") == E.KEPT).alias("kept"), F.count_if(F.col("s") == E.REJECTED).alias("rejected"), F.count_if(F.col("OriginalPrediction") == 1).alias("called"))
-    r = lambda a, b, n: F.round(E.safe_div(a, b), 6).alias(n)
-    return s.select("*", r("reviewed", "total", "original_recall_on_actual_positives"), r("called", "total", "true_original_recall"), r("kept", "total", "final_recall"), r("kept", "reviewed", "keep_rate"), r("rejected", "reviewed", "reject_rate"))
+    return L.positive_case_summary(_merged(t))
 
 
 GATE = OVER.rsplit(", m AS", 1)[0].rsplit("\nm AS", 1)[0].rstrip(",") + """, g AS (SELECT *, CASE WHEN orig = 1 THEN "Prob" ELSE 1 - "Prob" END AS conf FROM j),
@@ -81,8 +75,7 @@ def _(t: Tables):
 
 @query("a5_decision_counters", f"""WITH {GATE} SELECT src AS "DecisionSource", orig AS "Prediction", count(*) AS n, count(*) FILTER (WHERE fin <> orig) AS changed FROM m GROUP BY src, orig""")
 def _(t: Tables):
-    g = J.gated_override(t.pa, t.review, 0.8)
-    return g.groupBy("DecisionSource", "Prediction").agg(F.count("*").alias("n"), F.count_if(F.col("FinalPrediction") != F.col("Prediction")).alias("changed"))
+    return L.decision_counters(J.gated_override(t.pa, t.review, 0.8))
 
 
 @query("a6_metrics_per_file", f"""WITH {PA}, x AS (SELECT pa.*, source FROM pa JOIN documents d ON d.doc_id = pa."Index"), c AS (SELECT source, {cells_sql()} FROM x GROUP BY source) SELECT *, {rates_sql()} FROM c""")
@@ -204,8 +197,7 @@ def _models(t: Tables):
 
 @query("p29_metric_deltas", f"""WITH {MODELS}, p AS (SELECT max(f1) FILTER (WHERE model = 'a') AS fa, max(f1) FILTER (WHERE model = 'b') AS fb FROM r) SELECT fa, fb, round(fb - fa, 6) AS delta, round(fb - greatest(fa, fb), 6) AS delta_best FROM p""")
 def _(t: Tables):
-    p = _models(t).agg(F.max(F.when(F.col("model") == "a", F.col("f1"))).alias("fa"), F.max(F.when(F.col("model") == "b", F.col("f1"))).alias("fb"))
-    return p.select("fa", "fb", F.round(F.col("fb") - F.col("fa"), 6).alias("delta"), F.round(F.col("fb") - F.greatest("fa", "fb"), 6).alias("delta_best"))
+    return L.metric_deltas(_models(t), "model", "f1", "a", "b").withColumnsRenamed({"first": "fa", "second": "fb"})
 
 
 @query("j9_probability_backfill", f"""WITH {PA}, {PB}, x AS (SELECT "Index", CASE WHEN "Index" % 3 <> 0 THEN "Prob" END AS "Prob" FROM pa) SELECT x."Index", coalesce(x."Prob", pb."Prob") AS "Prob" FROM x LEFT JOIN pb ON x."Index" = pb."Index" """)
@@ -297,11 +289,9 @@ def _(t: Tables):
 
 @query("a21_mean_of_means", "WITH m AS (SELECT source, avg(length(text)) AS m FROM documents GROUP BY source) SELECT round(avg(m), 4) AS mean_of_means, count(*) AS n FROM m")
 def _(t: Tables):
-    return t.documents.groupBy("source").agg(F.avg(F.length("text")).alias("m")).agg(F.round(F.avg("m"), 4).alias("mean_of_means"), F.count("*").alias("n"))
+    return L.mean_of_means(t.documents, ["source"], F.length("text"))
 
 
 @query("a22_alignment", f"""WITH {PA}, {PB}, j AS (SELECT pa."Index", pa."Label" = pb."Label" AND pa."Prediction" = pb."Prediction" AS ok FROM pa JOIN pb ON pa."Index" = pb."Index") SELECT count(*) AS checked, count(*) FILTER (WHERE ok) AS matched, {div('count(*) FILTER (WHERE ok)', 'count(*)')} AS rate FROM j""")
 def _(t: Tables):
-    j = t.pa.join(t.pb.select("Index", F.col("Label").alias("l"), F.col("Prediction").alias("p")), "Index")
-    ok = (F.col("Label") == F.col("l")) & (F.col("Prediction") == F.col("p"))
-    return j.agg(F.count("*").alias("checked"), F.count_if(ok).alias("matched")).withColumn("rate", F.round(E.safe_div("matched", "checked"), 6))
+    return L.alignment(t.pa, t.pb)

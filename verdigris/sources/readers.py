@@ -161,3 +161,95 @@ def normalize_predictions(df: DataFrame) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Matrices as Parquet of (key, array<float>); row alignment is an explicit key."""
     return spark.read.parquet(path)
+
+
+def read_named(spark: SparkSession, roots: list[str], names: set[str]) -> DataFrame:
+    """The files below the roots whose name is in the set; a missing root is left out."""
+    import glob
+    import os
+
+    there = [r for r in roots if "://" in r or os.path.exists(r) or glob.glob(r)]
+    if not there:
+        return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    return discover(spark, there, "*").where(F.element_at(F.split("path", "/"), -1).isin(*names))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8, batch: int = 5000) -> DataFrame:
+    """A table of an SQLite file, read by row-id ranges, each by a task of its own through a read-only connection.
+
+    The file lies where all executors see it. Rows travel in batches, so a range need not fit in memory.
+    """
+    import sqlite3
+
+    columns = [f.name for f in spark.createDataFrame([], schema).schema]
+    quoted = ", ".join('"' + c.replace('"', '""') + '"' for c in columns)
+    name = '"' + table.replace('"', '""') + '"'
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
+    if low is None:
+        return spark.createDataFrame([], schema)
+    step = -(-(high - low + 1) // parts)
+
+    def scan(batches):
+        import pandas as pd
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            for b in batches:
+                for a in b["id"]:
+                    rows = db.execute(f"SELECT {quoted} FROM {name} WHERE rowid >= ? AND rowid < ?", (low + a * step, low + (a + 1) * step))
+                    while part := rows.fetchmany(batch):
+                        yield pd.DataFrame(part, columns=columns)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(scan, schema)
+
+
+def read_npy(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+    """A matrix of an .npy file as (row, vector); tasks map the file and read their rows only."""
+    import numpy as np
+
+    n = len(np.load(path, mmap_mode="r", allow_pickle=False))
+
+    def scan(batches):
+        import pandas as pd
+
+        matrix = np.load(path, mmap_mode="r", allow_pickle=False)
+        for b in batches:
+            for i in b["id"]:
+                part = np.asarray(matrix[i * rows : (i + 1) * rows], np.float32)
+                yield pd.DataFrame({"row": np.arange(i * rows, i * rows + len(part)), "vector": list(part)})
+
+    return spark.range(0, -(-n // rows)).mapInPandas(scan, "row long, vector array<float>")
+
+
+def read_hdf5(spark: SparkSession, path: str, columns: list[str], schema: str) -> DataFrame:
+    """Equally long data sets of an HDF5 file as columns; needs h5py, which is no dependency."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise NotImplementedError("reading HDF5 needs h5py; convert the file to Parquet first") from e
+    with h5py.File(path, "r") as f:
+        data = {c: [x.decode() if isinstance(x, bytes) else x.item() if hasattr(x, "item") else x for x in f[c][()]] for c in columns}
+    return spark.createDataFrame(list(zip(*data.values())), schema)
+
+
+def ingest(spark: SparkSession, content: bytes, name: str, folder: str, overwrite: bool = False) -> str:
+    """Stores an uploaded file under a folder and returns its path; a path in the name, an unknown kind or a file in the way is an error."""
+    import os
+
+    if not name or name != os.path.basename(name) or name.startswith(".") or "\\" in name:
+        raise ValueError(f"not a plain file name: {name!r}")
+    kind = name.rpartition(".")[2].lower()
+    if kind not in ("json", "jsonl", "csv"):
+        raise ValueError(f"not a data file: {name!r}")
+    text = content.decode("utf-8").lstrip()
+    if kind != "csv" and text[:1] not in ("[", "{"):
+        raise ValueError(f"no JSON in {name!r}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder, name)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(str(target))
+    out = fs.create(target, overwrite)
+    out.write(bytearray(content))
+    out.close()
+    return target.toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,62 @@ def replace_folder(df: DataFrame, path: str) -> None:
     if not fs.rename(fs_path(new), fs_path(path)):
         raise OSError(f"cannot rename {new}")
     fs.delete(fs_path(old), True)
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> int:
+    """K2: one file with an array of all rows, an object a line, written as they arrive: neither driver nor task holds the table.
+
+    Returns the number of rows. The file appears under its name only once it is whole.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = df.orderBy(*order) if order else df
+    out, n = fs.create(part, True), 0
+    try:
+        out.write(bytearray(b"["))
+        for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            out.write(bytearray(((",\n" if n else "\n") + r["j"]).encode()))
+            n += 1
+        out.write(bytearray(b"\n]\n"))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot write {path}")
+    return n
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, title: str = "report") -> None:
+    """K7: every table as CSV and JSON in a folder of its own, and all of them (they are small reports) as one text."""
+    text = [title]
+    for name, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}.json")
+        text += ["", name, "\t".join(df.columns), *["\t".join("" if v is None else str(v) for v in r) for r in df.toLocalIterator()]]
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{title}.txt")
+
+
+def lines_with_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """K6: JSON lines with the file and 1-based line of each row; the text of a line that does not parse is in `corrupt`.
+
+    Lines are numbered inside each split, which the sizes of the splits before it shift, so no file is read by one task.
+    """
+    split = ["file", "block"]
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    sizes = raw.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    starts = sizes.select(*split, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    parsed = F.from_json("value", f"{schema}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    rows = raw.join(starts, split).where(F.trim("value") != "")
+    return rows.select("file", (F.col("start") + F.col("id") - F.col("first") + 1).alias("line"), parsed.alias("x")).select("file", "line", "x.*")
+
+
+def convert_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """K6: the rows of JSON lines files; a line that does not parse fails the job, naming file and line."""
+    rows = lines_with_errors(spark, path, schema)
+    message = F.concat(F.col("file"), F.lit(" line "), F.col("line").cast("string"), F.lit(" is not valid: "), F.substring("corrupt", 1, 80))
+    guard = F.when(F.col("corrupt").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(guard).drop("file", "line", "corrupt")
