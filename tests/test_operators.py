@@ -407,3 +407,39 @@ def test_python_comments_token_length_and_expansion(spark):
     assert jobs.expand("$Z", {}, strict=False) == ""
     with pytest.raises(KeyError):
         jobs.expand("$Z", {})
+
+
+def test_syntax_chunks_cover_the_text():
+    import random
+
+    from verdigris.functions import syntax as S
+
+    rng = random.Random(1)
+    for _ in range(800):
+        x = "".join(rng.choice(["{", "}", ";", "a", " ", "\n", "(", ")", '"', "'", "//", "/*", "*/", "b=c", "\n\n"]) for _ in range(rng.randrange(0, 60)))
+        for limit in (1, 3, 10):
+            assert "".join(x[a:b] for a, b in S.windows(x, S.bracket_tree(x), limit)) == x
+        S.data_flow(x)
+    deep = "{" * 5000 + "a;" + "}" * 5000
+    assert S.chunks(deep, 10) and S.data_flow(deep) is not None
+    code = "int f(int a) {\n  if (a) {\n    a = 1;\n  }\n  return a;\n}\nint g() {\n  return 2;\n}\n"
+    assert [(a, b) for _, a, b, _ in S.chunks(code, 40)] == [(1, 6), (7, 9)]
+    python = "@d\ndef f(x):\n    if x:\n        return 1\n    return 2\n\n\nclass A:\n    def g(self):\n        pass\n"
+    got = S.chunks(python, 30, "python")
+    assert [(a, b, how) for _, a, b, how in got] == [(1, 5, "ast:python"), (8, 10, "ast:python")]
+    assert S.chunks("def f(:", 30, "python")[0][3] == "blocks" and S.chunks("", 5) == S.chunks(None, 5) == []
+    assert S.solid("def foo():\n    print('hello world')\n    return 42") == 36 and S.solid("def foo():\n"[:11]) == 9
+
+
+def test_data_flow_of_branches_and_loops():
+    from verdigris.functions import syntax as S
+
+    code = "x = a; if (x) { x = b; } y = x; while (y) { y = z; z = y; }"
+    found = S.data_flow(code)
+    name = {at: n for at, n, _ in found}
+    by = {at: src for at, _, src in found}
+    y = code.index("y = x")
+    assert sorted(by[y + 4]) == [0, code.index("x = b")]  # the branch may not have run
+    z = code.index("z;")
+    assert code.index("z = y") in by[z]  # what one turn defines reaches the next
+    assert all(name[s] for v in by.values() for s in v)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions import syntax
 from ..functions.lazy import arrow_udf
 
 RANGES = "array<struct<start:int,end:int>>"
@@ -122,40 +123,22 @@ def split_oversized(max_tokens: int):
     return split
 
 
-def structural_chunks(max_chars: int):
-    """A UDF text -> chunks that end where braces (or indentation) close, of about max_chars solid characters.
+def structural_chunks(max_chars: int, language: str | None = None, overlap: int = 0):
+    """A UDF text -> chunks of whole syntax blocks, of at most max_chars solid characters where a block allows it.
 
-    A structural stand-in for syntax trees: lines gather while a block is open, blocks are packed
-    greedily, and a block beyond the limit is cut by lines.
+    Each has its lines and the source of its structure. overlap prefixes a chunk with the last lines of the one before.
     """
 
-    @F.pandas_udf(PIECES)
+    @F.pandas_udf("array<struct<text:string,start:int,end:int,source:string>>")
     def chunk(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            lines = (t or "").replace("\r\n", "\n").removesuffix("\n").split("\n") if t else []
-            size = [sum(not c.isspace() for c in x) for x in lines]
-            blocks, i, depth = [], 0, 0
-            for k, x in enumerate(lines):
-                depth = max(0, depth + x.count("{") - x.count("}"))
-                after = lines[k + 1] if k + 1 < len(lines) else ""
-                if depth == 0 and not after.startswith((" ", "\t", "}")):
-                    blocks.append((i, k + 1))
-                    i = k + 1
-            if i < len(lines):
-                blocks.append((i, len(lines)))
-            rows, a, b, n = [], 0, 0, 0
-            for s, e in blocks:
-                units = [(s, e)] if sum(size[s:e]) <= max_chars else [(k, k + 1) for k in range(s, e)]
-                for us, ue in units:
-                    m = sum(size[us:ue])
-                    if n and n + m > max_chars:
-                        rows.append((a, b))
-                        a, n = us, 0
-                    b, n = ue, n + m
-            if lines:
-                rows.append((a, b))
-            out.append([{"text": "\n".join(lines[x:y]), "start": x + 1, "end": y} for x, y in rows])
+            t = (t or "").replace("\r\n", "\n")
+            lines, rows = t.split("\n"), []
+            for body, first, last, how in syntax.chunks(t, max_chars, language):
+                lead = max(0, first - 1 - overlap) if overlap and rows else first - 1
+                rows.append({"text": "\n".join([*lines[lead : first - 1], body]), "start": lead + 1, "end": last, "source": how})
+            out.append(rows)
         return pd.Series(out)
 
     return chunk

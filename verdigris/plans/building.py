@@ -356,9 +356,10 @@ def _(t: Tables):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
 
 
-@query("t12_json_candidates")
+@query("t12_json_candidates", "SELECT event_id, props || '|' || props AS found FROM events")
 def _(t: Tables):
-    return t.events.select("event_id" if "event_id" in t.events.columns else "user_id", R.extract_json(F.concat(F.lit("reply: "), "props")).alias("found"))
+    reply = F.concat(F.lit("reply: ```json\n"), "props", F.lit("\n```"))
+    return t.events.select("event_id", F.array_join(R.extract_json(reply), "|").alias("found"))
 
 
 @query("t5_code_tokens")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import responses as R
+from ..functions import syntax
 from ..operators import merge as J
 from ..operators import metrics as M
 from ..operators import relational as Q
@@ -283,3 +284,17 @@ def _(t: Tables):
 def _(t: Tables):
     s = _samples(t).select("index")
     return Q.held_out(s, s.where("index % 10 = 0"), "index")
+
+
+@query("g6_g8_data_flow", "SELECT doc_id, source AS name, CAST(length(source) + 6 AS INTEGER) AS b_at, CAST(length(source) + 10 AS INTEGER) AS read_at, 0 AS def_at FROM documents")
+def _(t: Tables):
+    code = F.concat("source", F.lit(" = 1; b = "), "source")
+    v = t.documents.select("doc_id", syntax.flow(code).alias("v"))
+    return v.select("doc_id", F.col("v")[0]["name"].alias("name"), F.col("v")[1]["at"].alias("b_at"), F.col("v")[1]["sources"][0].alias("read_at"), F.col("v")[2]["sources"][0].alias("def_at"))
+
+
+@query("g7_attention_mask", "SELECT doc_id, CAST(CASE doc_id % 2 WHEN 0 THEN 12 ELSE 17 END AS INTEGER) AS cells FROM documents")
+def _(t: Tables):
+    # two or three code tokens; node 0 stands for token 0, node 1 for tokens 0 and 1 and comes from node 0 (even rows: node 0 alone, from node 1 too)
+    one = F.expr("array(named_struct('a', 0, 'b', 1, 'sources', array(1)), named_struct('a', 0, 'b', 2, 'sources', array(0)))")
+    return t.documents.select("doc_id", F.size(L.attention_mask(F.lit(2) + (F.col("doc_id") % 2).cast("int"), one)).alias("cells"))
