@@ -553,6 +553,37 @@ def test_pipeline_stages(spark, sf, odd, none):
             stage(spark, table, sf).count()
 
 
+def least_edits(p, t):
+    """edit_search's distance, a row of the table at a time."""
+    text, steps = np.frombuffer(t.encode("utf-32-le"), np.uint32), np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(p, 1):
+        new = np.minimum(row + 1, np.append(i, row[:-1] + (text != ord(c))))
+        row = np.minimum.accumulate(new - steps) + steps
+    return row.min()
+
+
+def test_pipeline_equals_brute_force(spark, sf, encode):
+    import duckdb
+
+    import corpus_pipeline as p
+    from verdigris.llm import quality_rules
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    kept = {d for d, k in con.sql(quality_rules.OP7_SQL).select("doc_id, kept").fetchall() if k}
+    texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect() if r.doc_id in kept}
+    groups = brute_components(sorted(texts.items()), 5, 80)
+    texts = {d: t for d, t in texts.items() if groups[d][1] == d}
+    items = [decontaminate.normalise(r.text) for r in common.table(spark, sf, "benchmark").collect()]
+    assert all(len(x) >= decontaminate.MIN_CHARS for x in items)
+    clean = {d: t for d, t in texts.items() if not any(least_edits(x, decontaminate.normalise(t)) <= len(x) * decontaminate.RATE_PERCENT // 100 for x in items)}
+    assert len(kept) > len(texts) > len(clean) > 50
+    rows = p.run(spark, sf).collect()
+    assert sorted(d for r in rows for d in r.doc_ids) == sorted(clean)
+    assert sum(r.n_tokens for r in rows) == sum(len(encode(t)) + 1 for t in clean.values())
+
+
 def test_pipeline_shards_have_the_target_proportions(spark, sf):
     import corpus_pipeline as p
 
@@ -566,3 +597,25 @@ def test_pipeline_shards_have_the_target_proportions(spark, sf):
         assert abs(sum(kind(d) == "hot" for d in got[s]) / len(got[s]) - weight) < 0.08
     # the windows together are a permutation of what was packed
     assert got[0] != sorted(got[0])
+
+
+def test_components_of_hubs_chains_and_random_edges(spark):
+    from verdigris.llm.components import components
+
+    rng = random.Random(12)
+    edges = [(5, i) for i in range(1000, 4000)] + [(i, i + 1) for i in range(10_000, 10_060)] + [(rng.randrange(20_000, 20_400), rng.randrange(20_000, 20_400)) for _ in range(260)]
+    edges += [(4000 + i, 5000) for i in range(900)] + [(7, 7)]
+    par = {x: x for e in edges for x in e}
+
+    def find(x):
+        while par[x] != x:
+            par[x] = par[par[x]]
+            x = par[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        par[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
