@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _least(edges: DataFrame, n: int, own: bool) -> DataFrame:
-    """edges (u, v) plus m, the least v of each u (and u itself, on request).
+def _to_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) plus m, the least of each u and its neighbours v.
 
     A node on over a thousandth of n edges has its m broadcast (there are a few thousand such nodes at most), so
     the edges of a hub need not meet in one task; the others are joined by u.
     """
-    m = F.least(F.min("v"), F.first("u")) if own else F.min("v")
-    least = edges.groupBy("u").agg(m.alias("m"), F.count("*").alias("d"))
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
     heavy = F.broadcast(least.where(F.col("d") * 1000 > n).select("u", F.col("m").alias("hub_m")))
     marked = edges.join(heavy, "u", "left")
-    light = least.where(F.col("d") * 1000 <= n).select("u", "m")
-    rest = marked.where("hub_m IS NULL").select("u", "v").join(light, "u")
+    rest = marked.where("hub_m IS NULL").select("u", "v").join(least.where(F.col("d") * 1000 <= n).select("u", "m"), "u")
     return rest.unionByName(marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
 
 
 def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
-    """One star step: every node links its larger (or its smaller) neighbours to the least of all, itself included."""
+    """One star step: every node links its larger (or its smaller) neighbours to the least of all, itself included.
+
+    Only the large step meets hubs again and again: after it, nodes point to the least of their surroundings.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        out = _least(both, n, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _to_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        linked = _least(down, n, False)
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
