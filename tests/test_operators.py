@@ -443,3 +443,22 @@ def test_data_flow_of_branches_and_loops():
     z = code.index("z;")
     assert code.index("z = y") in by[z]  # what one turn defines reaches the next
     assert all(name[s] for v in by.values() for s in v)
+
+
+def test_key_ranges_resume_and_progress(spark, tmp_path):
+    import shutil
+
+    from verdigris.streaming import online
+
+    df = spark.range(0, 100).union(spark.range(1000, 1010)).withColumn("x", F.col("id") * 2)
+    path = str(tmp_path / "out")
+    assert online.by_key_range(df, "id", 40, path, lambda p: p.select("id", "x")) == 4
+    assert spark.read.parquet(path).count() == 110
+    shutil.rmtree(tmp_path / "out" / "range=1")
+    (tmp_path / "out" / "range=0" / "_SUCCESS").unlink()
+    assert online.by_key_range(df, "id", 40, path, lambda p: p.select("id", "x")) == 2
+    assert spark.read.parquet(path).select("id").distinct().count() == spark.read.parquet(path).count() == 110
+    df.write.parquet(str(tmp_path / "in"))
+    q = online.file_stream(spark, str(tmp_path / "in"), df.schema).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sum(p["rows"] for p in online.progress(q)) == 110

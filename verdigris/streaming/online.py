@@ -30,8 +30,32 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str, vers
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v={epoch - 1}"
-        merged = merge(spark.read.parquet(before), batch, key, version) if epoch and exists(spark, before) else merge(batch.limit(0), batch, key, version)
+        # the newest version that was written whole; a partly written one has no _SUCCESS and is passed over
+        before = next((f"{path}/v={n}" for n in range(epoch - 1, -1, -1) if exists(spark, f"{path}/v={n}/_SUCCESS")), None)
+        merged = merge(spark.read.parquet(before) if before else batch.limit(0), batch, key, version)
         merged.write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(stream) -> list[dict]:
+    """Rows and rows per second of each finished micro-batch of a running or ended query."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "read_per_second": p.get("inputRowsPerSecond") or 0.0, "done_per_second": p.get("processedRowsPerSecond") or 0.0} for p in stream.recentProgress]
+
+
+def by_key_range(df: DataFrame, key: str, width: int, path: str, work: Callable[[DataFrame], DataFrame]) -> int:
+    """A table in micro-batches of `width` keys, each written to its own folder; a range whose folder is whole is not done again.
+
+    Ranges without rows are skipped. Returns the number of ranges done by this call.
+    """
+    from ..sources.sinks import exists
+
+    spark, n = df.sparkSession, 0
+    for r in df.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / width).alias("r")).distinct().orderBy("r").toLocalIterator():
+        folder = f"{path}/range={r['r']}"
+        if exists(spark, f"{folder}/_SUCCESS"):
+            continue
+        part = df.where((F.col(key) >= r["r"] * width) & (F.col(key) < (r["r"] + 1) * width))  # pushed down to the scan
+        work(part).write.mode("overwrite").parquet(folder)
+        n += 1
+    return n
