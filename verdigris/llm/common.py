@@ -88,10 +88,12 @@ def drop_written(df: DataFrame) -> None:
 
 
 def dicts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    """The rows of batches, one at a time."""
+    """The rows of batches, one at a time; a few megabytes of a batch are turned into Python values at once."""
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            yield dict(zip(b.schema.names, row))
+        step = max(1, int(b.num_rows * 4_000_000 / max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            for row in zip(*(c.to_pylist() for c in b.slice(i, step).columns)):
+                yield dict(zip(b.schema.names, row))
 
 
 def in_batches(rows: Iterable[dict], schema: pa.Schema, max_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
