@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +366,18 @@ def test_op8_equals_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_op8_equals_its_sql(spark, sf):
+    import duckdb
+
+    docs = pd.DataFrame(family(random.Random(8), 12), columns=["doc_id", "text"])
+    for given, view in ((spark.createDataFrame(docs), "docs"), (spark.read.parquet(f"{sf}/documents.parquet"), f"'{sf}/documents.parquet'")):
+        con = duckdb.connect()
+        con.register("docs", docs)
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM {view}")
+        got = near_dedup.near_duplicates(given, k=4).select("doc_id", "n_shingles", "component_id", "kept")
+        assert sorted(map(tuple, got.collect())) == sorted(con.sql(near_dedup.OP8_SQL).fetchall())
+
+
 def test_op8_parts_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PART", 6)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)

@@ -19,6 +19,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import quality_rules
+    from . import near_dedup, quality_rules
 
-    return {"op7_quality_rules": quality_rules.OP7_SQL}
+    return {"op7_quality_rules": quality_rules.OP7_SQL, "op8_near_dedup": near_dedup.OP8_SQL}

@@ -360,3 +360,23 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same by comparing all pairs of classes that share a shingle.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(sh, chr(10) ORDER BY sh)) AS m FROM s GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS class_id FROM sets),
+one AS (SELECT s.doc_id, sh FROM s JOIN class c ON c.doc_id = s.doc_id AND c.class_id = c.doc_id),
+r AS (SELECT sh, list(doc_id) AS docs FROM one GROUP BY sh HAVING count(*) > 1),
+pairs AS (SELECT a, unnest(list_filter(docs, lambda b: b > a)) AS b FROM (SELECT docs, unnest(docs) AS a FROM r)),
+shared AS (SELECT a, b, count(*) AS c FROM pairs GROUP BY a, b),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS v, a AS u FROM edge UNION SELECT reach.v, edge.b FROM reach JOIN edge ON edge.a = reach.u),
+comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, class.class_id, d.doc_id) AS component_id, coalesce(comp.component_id, class.class_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN class ON class.doc_id = d.doc_id LEFT JOIN comp ON comp.v = class.class_id
+"""

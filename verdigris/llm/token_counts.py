@@ -7,7 +7,9 @@ leaf, where the edit touches a boundary), re-encodes only that text and updates
 the root. The count always equals that of encoding the edited text as a whole.
 
 Null texts count as empty: no leaves, no tokens. Edits apply in their given order, each to the text the
-one before left; offsets beyond the end are cut to it, and null parts of an edit mean 0 or "".
+one before left; offsets beyond the end are cut to it, and null parts of an edit mean 0 or "". Repeated rows
+and equal texts are counted each; empty tables give empty results. Extra columns are passed on, whatever their
+names, but for those of the names that are added.
 """
 
 from __future__ import annotations
