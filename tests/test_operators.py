@@ -462,3 +462,27 @@ def test_key_ranges_resume_and_progress(spark, tmp_path):
     q = online.file_stream(spark, str(tmp_path / "in"), df.schema).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(p["rows"] for p in online.progress(q)) == 110
+
+
+def test_first_seen_ids_are_those_of_one_sort(spark):
+    rows = [(f"v{i * 7919 % 1000}", (i * 31) % 400 if i % 9 else None) for i in range(3000)]
+    got = V.first_seen_ids(spark.createDataFrame(rows, "v string, p int"), "v", "p").collect()
+    least: dict = {}
+    for v, p in rows:
+        least[v] = min((x for x in (least.get(v), p) if x is not None), default=None)
+    want = sorted(least, key=lambda v: (least[v] is not None, least[v] or 0, v))
+    assert [r.v for r in sorted(got, key=lambda r: r.id)] == want
+
+
+def test_json_like_files_are_told_apart_one_by_one(spark, tmp_path):
+    texts = {"a": '[{"a": 1},\n {"a": 2}]', "b": '{"a": 3}\n\n{"a": 4}\n', "c": '{\n "a": 5\n}', "d": "\n \n", "e": '\n{"a": 6}', "f": "[]"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted(r.a for r in S.read_json_like(spark, str(tmp_path), "a int").collect()) == [1, 2, 3, 4, 5, 6]
+    assert S.read_json_like(spark, str(tmp_path / "d.json"), "a int").count() == 0
+
+
+def test_csv_keeps_space_and_breaks(spark, tmp_path):
+    rows = [("1", "  a "), ("2", 'x "y", z\nnext\t'), ("4", None), ("5", "\\\"q\\")]
+    sinks.write_csv(spark.createDataFrame(rows, "k string, v string"), str(tmp_path / "o"), ["k", "v"])
+    assert sorted(map(tuple, S.read_csv(spark, str(tmp_path / "o")).collect())) == rows

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .ranking import rank_by_value
 
 #: Queries held by a task at a time, as one dense block.
 BLOCK = 4096
@@ -178,9 +179,9 @@ def property_graph(nodes: DataFrame, edges: DataFrame, kinds: list[str], graph:
 
 
 def first_seen_ids(df: DataFrame, value: str, position: str, name: str = "id") -> DataFrame:
-    """Values numbered in the order of their first appearance. The dictionary has a row per value."""
+    """Values numbered in the order of their first appearance, by chunks between quantiles. The dictionary has a row per value."""
     first = df.groupBy(value).agg(F.min(position).alias("p_"))
-    return first.select(value, (F.row_number().over(Window.orderBy("p_", value)) - 1).alias(name))
+    return rank_by_value(first, "p_", value).select(value, (F.col("rank_") - 1).alias(name))
 
 
 def node_embeddings(tokens: DataFrame, vectors: DataFrame, node: list[str], token: str = "token", vector: str = "vector") -> DataFrame:

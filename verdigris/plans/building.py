@@ -362,7 +362,13 @@ def _(t: Tables):
     return t.events.select("event_id", F.array_join(R.extract_json(reply), "|").alias("found"))
 
 
-@query("t5_code_tokens")
+T5 = r"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '/\*[\s\S]*?\*/|//[^\n]*', '', 'g') AS code FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)?|[^\s\x0B\x1C-\x1F\x{85}\p{Z}A-Za-z0-9_]') AS ws FROM x),
+p AS (SELECT doc_id, list_filter(ws, lambda v: v NOT IN ('{', '}', ';', ':')) AS ws FROM w)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(ws, lambda v: CASE WHEN regexp_matches(v, '^[A-Za-z_]') THEN len(list_filter(string_split(regexp_replace(v, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '_'), lambda y: y <> '')) ELSE 1 END)), 0) AS INTEGER) AS n_tokens FROM p"""
+
+
+@query("t5_code_tokens", T5)
 def _(t: Tables):
     return t.documents.select("doc_id", F.size(R.tokenize_code("text")).alias("n_tokens"))
 

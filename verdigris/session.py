@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -26,3 +29,14 @@ def local_session(cpus: int = 8, app: str = "verdigris", shuffle: int = 8) -> Sp
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory, by any path Spark can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that all executors see, under spark.checkpoint.dir; one machine in local mode may use its temporary folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        root = f"file://{tempfile.gettempdir()}/verdigris-files"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

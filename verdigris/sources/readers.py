@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,28 +12,34 @@ from ..operators.ranking import rank_by_number
 SAMPLE = "index long, code string, label int"
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One array of objects per file; a malformed file fails the job. Large arrays: convert once to lines."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """S3: an object a line; blank lines are skipped; splits at line bounds, so files of any size read in parallel."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_like(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Array, single object or lines, told apart by the first character and line of the text; empty gives no rows."""
-    head = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-    if not head:
-        return spark.createDataFrame([], schema)
-    first = head[0].strip()
-    lines = first.startswith("{") and first.endswith("}")
-    return read_json_lines(spark, path, schema) if lines else read_json_array(spark, path, schema)
+def read_json_like(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Arrays, single objects and lines, told apart file by file; empty files give no rows.
+
+    A file is of lines where its first line that is not blank is a whole object: a pretty-printed object or array is not.
+    """
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    at = F.struct(block.alias("block"), F.monotonically_increasing_id().alias("id"))
+    heads = spark.read.text(path).select(file.alias("file"), at.alias("at"), F.trim("value").alias("line")).where("line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    whole = F.col("line").startswith("{") & F.expr("try_parse_json(line)").isNotNull()
+    kinds: dict[bool, list[str]] = {True: [], False: []}
+    for r in heads.select("file", whole.alias("whole")).toLocalIterator():  # a row per file, as a file listing
+        kinds[r["whole"]].append(r["file"])
+    out = [read(spark, kinds[k], schema) for k, read in ((True, read_json_lines), (False, read_json_array)) if kinds[k]]
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """Header, all strings, quoted fields may hold separators and line breaks."""
+    """Header, all strings, quoted fields may hold separators and line breaks; blank fields are null."""
     df = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, inferSchema=False).csv(path)
     return df.select(*columns) if columns else df
 

@@ -15,9 +15,9 @@ def write_partitions(df: DataFrame, path: str, by: list[str], fmt: str = "json",
     df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
-    """K4: the given columns, with a header."""
-    df.select(*columns).write.mode(mode).options(header=True, quoteAll=False, escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists", sep: str = ",") -> None:
+    """K4: the given columns, with a header; white space at the ends of a field stays, also line breaks of either kind."""
+    df.select(*columns).write.mode(mode).options(header=True, quoteAll=False, escape='"', sep=sep, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def union_of_keys(frames: list[DataFrame], first: list[str]) -> DataFrame:
