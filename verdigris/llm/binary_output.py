@@ -19,6 +19,7 @@ Extra columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
 
         part, k = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=1).compress
-        cache = units.UnitCache(shared.value, pattern, width)
+        encode, code = units.encoder(shared.value, pattern), "H" if width == 2 else "I"
         end = np.array([end_id], id_kind).tobytes()
         held, begun = bytearray(), []  # begun: (byte where it begins, key)
 
@@ -113,7 +114,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 begun.append((len(held), d))
-                held += b"".join(cache.of(units.split_units(t or "")))
+                for stretch in units.stretches(t or ""):
+                    held += array(code, encode(stretch)).tobytes()
                 held += end
                 full = len(held) // stride * stride
                 for a in range(0, full, stride):

@@ -9,7 +9,7 @@ before costs one dictionary look-up.
 from __future__ import annotations
 
 import re
-from array import array
+from collections.abc import Callable, Iterator
 
 from . import common
 
@@ -17,7 +17,11 @@ from . import common
 WS = "\t-\r \x85\xa0  -     　"
 FAST = re.compile(r" ?\S+|\n")
 RUNS = re.compile(f"[{WS}]+|[^{WS}]+")
+#: Where white space follows a non-space, which no token crosses.
+BOUNDARY = re.compile(f"(?<=[^{WS}])(?=[{WS}])")
 CACHE_UNITS = 400_000
+#: Characters of a long text that are turned into a list of ids at once.
+STRETCH = 200_000
 
 
 def split_units(text: str) -> list[str]:
@@ -46,22 +50,33 @@ def split_units(text: str) -> list[str]:
     return out
 
 
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """A text in stretches of about `size` characters, whose ids do not depend on each other; joined, they give the text again."""
+    a = 0
+    while len(text) - a > size and (m := BOUNDARY.search(text, a + size)):
+        yield text[a : m.end()]
+        a = m.end()
+    yield text[a:]
+
+
+def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], list[int]]:
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+
 class UnitCache(dict):
-    """unit -> its token ids as little-endian bytes of `width` each, or their number if there is no width.
+    """unit -> the number of its tokens.
 
     Emptied when full, so a worker's memory is bounded.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, width: int | None = None, limit: int = CACHE_UNITS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = CACHE_UNITS):
         super().__init__()
-        import tiktoken
-
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.code, self.limit = {None: None, 2: "H", 4: "I"}[width], limit
+        self.encode, self.limit = encoder(ranks, pattern), limit
 
     def __missing__(self, unit: str):
-        ids = self.encode(unit)
-        got = len(ids) if self.code is None else array(self.code, ids).tobytes()
+        got = len(self.encode(unit))
         if len(unit) > 256:
             return got  # rare, and large to keep
         if len(self) >= self.limit:
