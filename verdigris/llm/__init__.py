@@ -2,7 +2,7 @@
 
 
 def queries():
-    from . import binary_output, brown_lm, decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, token_counts, url_filter
+    from . import binary_output, brown_lm, decontaminate, language_id, media, mixing, near_dedup, quality_rules, resampling, secrets, token_counts, url_filter, whitening
 
     return {
         "op1_brown_lm": brown_lm.op1_brown_lm,
@@ -15,6 +15,9 @@ def queries():
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_language_id": language_id.op10_language_id,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_media_chunks": media.op13_media_chunks,
     }
 
 

@@ -68,13 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back; later stages reread files, not lineage.
 
-    drop_written() removes the files of the returned frame.
+    options go to the writer; drop_written() removes the files of the returned frame.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
