@@ -8,11 +8,12 @@ digests to chunks, puts the file together, verifies its digest and computes feat
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
-LEAST, MEAN, MOST = 512, 2048, 16_384
+LEAST, MEAN, MOST = 1024, 4096, 32_768
 #: The gear hash of a position depends on so many bytes up to it.
 WINDOW = 32
 #: Payloads of a run (media that are put together side by side) hold about this many bytes.
@@ -30,7 +31,10 @@ RUN_BYTES = 1 << 20
 #: A chunk wanted by one in so many (chunk, run) pairs is sent to all tasks: at most so many chunks of MOST bytes.
 HOT = 1000
 #: Chunks that the compression dictionary is trained on, its bytes, and digests that a task remembers as sent.
-DICTIONARY_CHUNKS, DICTIONARY_BYTES, SEEN = 1000, 65_536, 1 << 18
+DICTIONARY_CHUNKS, DICTIONARY_BYTES, SEEN = 1000, 112_640, 1 << 18
+LEVEL = 6
+#: Bytes of chunks in a bucket of the store, at most about.
+BUCKET_BYTES = 1 << 28
 HEADER = "<4sI4s4sIHHIIHH4sI"
 HEADER_BYTES = struct.calcsize(HEADER)
 RATE = 8000
@@ -117,28 +121,19 @@ class Stored:
     chunks: DataFrame
     dictionary: bytes
     key: str
+    table: str = ""
 
     def drop(self) -> None:
+        """Removes the lists and this store's own chunks."""
         for df in (self.media, self.chunks):
             common.drop_written(df)
-
-
-@contextmanager
-def shuffle_files_removed(spark: SparkSession):
-    """While it lasts, an action's shuffle files go with its end instead of the driver's next garbage collection."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        self.chunks.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def packer(dictionary: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False) if dictionary else zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
 
 
 def unpacker(dictionary: bytes):
@@ -200,18 +195,25 @@ def ingest(docs: DataFrame, text: str = "text", key: str = "doc_id", earlier: St
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     media = common.written(common.map_dicts(rows, lists, f"run long, k {kind}, n_bytes long, payload_bytes long, media_sha256 binary, digests array<binary>"), "media")
     dictionary = earlier.dictionary if earlier else train_dictionary(docs, text)
-    shared = spark.sparkContext.broadcast(dictionary)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(media.agg(F.sum("payload_bytes")).first()[0] or 0) // BUCKET_BYTES))
+    table, path = f"chunks_{uuid.uuid4().hex}", common.shared_dir(spark, "chunks")
+    store_chunks(docs, text, dictionary, earlier, table, path, buckets)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the driver's cleaner now drops the files of the shuffle that the store was written from
+    fresh = spark.table(table)
+    stored = fresh if earlier is None else earlier.chunks.unionByName(fresh)
+    stored.stored_at = path
+    return Stored(media, stored, dictionary, key, table)
+
+
+def store_chunks(docs: DataFrame, text: str, dictionary: bytes, earlier: Stored | None, table: str, path: str, buckets: int) -> None:
+    """Writes the chunks that aren't stored yet, bucketed by digest, so that joins on it don't shuffle them again."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
     cut = cut_chunks(docs, text, lambda: packer(shared.value).compress)
     if earlier:
         cut = cut.join(earlier.chunks.select("digest"), "digest", "left_anti")
     one = cut.groupBy("digest").agg(F.first("size").alias("size"), F.first("data").alias("data"))
-    with shuffle_files_removed(spark):
-        fresh = common.written(one, "chunks", compression="zstd")
-    if earlier:
-        stored_at = fresh.stored_at
-        fresh = earlier.chunks.unionByName(fresh)
-        fresh.stored_at = stored_at
-    return Stored(media, fresh, dictionary, key)
+    one.write.format("parquet").bucketBy(buckets, "digest").options(path=path, compression="zstd").saveAsTable(table)
 
 
 def read_back(stored: Stored, compute: Callable[[bytes], dict], ddl: str) -> DataFrame:
@@ -249,7 +251,7 @@ def read_back(stored: Stored, compute: Callable[[bytes], dict], ddl: str) -> Dat
             yield {"k": r["k"], "n_bytes": r["n_bytes"], "payload_bytes": r["payload_bytes"], **known[r["media_sha256"]]}
 
     kind = stored.media.schema["k"].dataType.simpleString()
-    return common.map_groups(rows, "run", run, f"k {kind}, n_bytes long, payload_bytes long, {ddl}").withColumnRenamed("k", stored.key)
+    return common.map_groups(rows, "run", run, f"k {kind}, n_bytes long, payload_bytes long, {ddl}").transform(common.keyed, stored.key)
 
 
 def digests(media: bytes) -> dict:
