@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from verdigris.llm import brown_lm, common, language_id, quality_rules, secrets
+from verdigris.llm import brown_lm, common, decontaminate, language_id, quality_rules, secrets
 
 
 def words(t):
@@ -329,3 +330,57 @@ def test_op10_odd_rows(odd, none):
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id in (2, 3, 9))
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
     assert language_id.identify(none, odd).collect() == []
+
+
+def plain_random(text, count):
+    """Every character's base cover first; then the runs of uncovered run characters, one by one."""
+    covered = [False] * len(text)
+    for a, b, _ in secrets.base_spans(text):
+        covered[a:b] = [True] * (b - a)
+    out, a = [], 0
+    while a < len(text):
+        b = a
+        while b < len(text) and not covered[b] and re.fullmatch("[A-Za-z0-9+/_=-]", text[b]):
+            b += 1
+        run, whole = text[a:b], re.search("[A-Za-z0-9+/_=-]*$", text[:a])[0] + re.match("[A-Za-z0-9+/_=-]*", text[a:])[0]
+        if len(run) >= 20 and len(whole) >= 20 and not secrets.is_known(run) and len(run) <= 2.0 * count(run) and not secrets.is_identifier(run, count, 2.0):
+            out.append((a, b, "random"))
+        a = max(b, a + 1)
+    return out
+
+
+def test_random_spans_equal_a_scan_by_characters(spark, sf):
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=common.load_ranks(common.tokenizer_path("byte_bpe_50k.tiktoken")), special_tokens={})
+    count = lambda s: len(enc.encode_ordinary(s))
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    parts = [lambda: noise(rng.randrange(5, 60)), lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJ0123456789", k=16)), lambda: "".join(rng.choices("0123456789abcdef", k=40)), lambda: "password=" + noise(12), lambda: " the words ", lambda: ". "]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    key = "AKIA" + "Q7" * 9
+    around = noise(42) + "-" + key + "-" + noise(38)
+    texts.append(around)
+    for t in [*texts, *(r["text"] or "" for r in common.table(spark, sf, "documents").collect())]:
+        assert secrets.random_spans(t, count, 2.0, secrets.base_spans(t)) == plain_random(t, count), t
+    assert [k for _, _, k in secrets.random_spans(around, count, 2.0, secrets.base_spans(around))].count("random") >= 1
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    rows = [(None, "some words here", "en"), (1, "more words there", "en"), (2, "mehr Wörter dort", "de"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for op in (brown_lm.op1_brown_lm, language_id.op10_language_id):
+        got = op(spark, str(tmp_path)).collect()
+        assert len(got) == 4 and all(r["held_out"] is False for r in got if r["doc_id"] is None)
+
+
+def test_added_names_give_way_to_keys_and_own_columns(spark):
+    docs = spark.createDataFrame([(1, "the words of a text " * 20, "mine"), (2, None, "mine")], "score long, text string, kept string")
+    assert brown_lm.score(docs, F.lit(True), key="score").columns.count("score") == 1
+    judged = quality_rules.quality_cascade(docs)
+    assert judged.columns == ["score", "text", "kept", "failed_rule", "kept_"] and {r["kept"] for r in judged.collect()} == {"mine"}
+    items = spark.createDataFrame([(7, "the words of a text the words")], "score long, text string")
+    found = decontaminate.match_benchmark(docs, items, key="score", item_key="score").collect()
+    assert [(r["score"], r["score_"]) for r in found] == [(1, 7)]

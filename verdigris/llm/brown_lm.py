@@ -360,6 +360,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     """key, n_tokens, n_known, train_tokens, base_score, score for every row; rows where train holds are learnt from.
 
     classes is at most 256. The returned rows read one stored table of class sequences; the others are removed.
+    Null texts count as empty, very long ones are scored whole; a key named like an added column wins over it (common.keyed).
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -434,10 +435,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
         yield from tables(sums.reshape(classes, classes))
 
     table = added(common.map_dicts(ready.where("train").select("seq"), class_pairs, "u int, vec binary"), classes)
-    shared = spark.sparkContext.broadcast(Model(table, distinct, total, distinct_words))
+    shared = spark.sparkContext.broadcast((table, distinct, total, distinct_words))  # plain arrays: executors need no copy of this package
 
     def make():
-        model = shared.value
+        model = Model(*shared.value)
         step_of = (model.transition - model.class_total).ravel()
         unit = np.log10(model.total + model.vocabulary + 1)
 
@@ -451,10 +452,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
         return step
 
     ddl = f"k {kind.replace('bigint', 'long')}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return common.map_rows(ready, make, ddl).withColumnRenamed("k", key)
+    return common.keyed(common.map_rows(ready, make, ddl), key)
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held = common.fold(F.col("doc_id"), 7) == 2
+    held = common.is_held(F.col("doc_id"), 7)
     return score(docs, ~held).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

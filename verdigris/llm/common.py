@@ -46,6 +46,11 @@ def fold(key: Column, mod: int) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(mod))
 
 
+def is_held(key: Column, mod: int) -> Column:
+    """Whether a key's fold is 2, the one held out; a null key's is not."""
+    return F.coalesce(fold(key, mod) == 2, F.lit(False))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
@@ -80,6 +85,21 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """df with its column k named key; an added column of that name gets a trailing underscore."""
+    return df.toDF(*[key if c == "k" else f"{c}_" if c == key else c for c in df.columns])
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """names, with trailing underscores while a name is taken (by an earlier one too)."""
+    out: list[str] = []
+    for n in names:
+        while n in taken or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes what written() stored, once nothing reads it any more."""
     spark = df.sparkSession

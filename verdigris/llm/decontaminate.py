@@ -10,7 +10,7 @@ normalised characters have a budget of 0 and must stand as whole words. Repeated
 matched row by row; empty tables give empty results. The items may be of any number: they are handled in blocks
 of `block_chars`, so what a task holds is bounded; `decontaminate` judges all blocks in one pass over the
 documents, `match_benchmark` takes one pass a block. Extra columns are passed on by `decontaminate`, whatever their
-names, and ignored by `match_benchmark`, whose keys must differ in name.
+names, and ignored by `match_benchmark`.
 """
 
 from __future__ import annotations
@@ -148,12 +148,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
                     item_text: str = "text", rate_percent: int = RATE_PERCENT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item found in it: key, item_id, distance, budget, start, end.
 
-    The best occurrence is given (least distance, then first end), in offsets of the normalised text.
+    The best occurrence is given (least distance, then first end), in offsets of the normalised text. A column whose name
+    an earlier one has (an item key named like the document's) gets a trailing underscore.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {benchmark.schema[item_key].dataType.simpleString()}, distance int, start long, end long"
+    schema = f"a {docs.schema[key].dataType.simpleString()}, b {benchmark.schema[item_key].dataType.simpleString()}, c int, d long, e long"
     out = None
     for block in item_blocks(benchmark, item_key, item_text, block_chars):
         shared = spark.sparkContext.broadcast(block)
@@ -162,12 +163,12 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
             m = Matcher(shared.value, rate_percent, min_chars)
             for pdf in batches:
                 rows = [(k, *h) for k, t in zip(pdf["k"], pdf["t"]) for h in m.hits(normalise(t))]
-                yield pd.DataFrame(rows, columns=["a", "b", "c", "d", "e"]).set_axis(names, axis=1)
+                yield pd.DataFrame(rows, columns=["a", "b", "c", "d", "e"])
 
-        names = [x.split()[0] for x in schema.split(", ")]
         part = narrow.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    out = out if out is not None else spark.createDataFrame([], schema)
+    return out.toDF(*common.free_names([key, item_key, "distance", "start", "end"], []))
 
 
 def holds(items: Broadcast, rate_percent: int, min_chars: int):

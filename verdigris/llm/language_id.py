@@ -252,10 +252,12 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     langs, counts, prior = training_counts(labelled, lang, text, key, docs_per_language)
     pieces = Pieces(ranks)
     prob = fit(counts, len(langs), pieces) if langs else np.zeros((pieces.size + 1, 0))
-    model = spark.sparkContext.broadcast((pieces, prob, langs, np.log(prior) if langs else prior))
+    model = spark.sparkContext.broadcast((vars(pieces), prob, langs, np.log(prior) if langs else prior))  # plain arrays: executors need no copy of this package
 
     def make():
-        pieces, prob, langs, prior = model.value
+        tables, prob, langs, prior = model.value
+        pieces = Pieces.__new__(Pieces)
+        vars(pieces).update(tables)
         scorer = Scorer(pieces, prob)
 
         def step(c):
@@ -277,10 +279,10 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
         return step
 
     kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
-    return common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+    return common.keyed(common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, f"k {kind}, lang_pred string, score double"), key)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held = common.fold(F.col("doc_id"), 4) == 2
+    held = common.is_held(F.col("doc_id"), 4)
     return identify(docs, docs.where(~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")

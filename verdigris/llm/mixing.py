@@ -5,7 +5,8 @@ floor(b/w) and due at ceil((b+1)/w); each slot takes, among the released blocks,
 deadline. Weights are exact fractions, so before any source runs out, each source's blocks among the first t
 slots differ from t*w by less than one, however long the table. When a source has run out its slots stay
 empty and close up (beyond four slots a block, later ones are given to who is released); the others keep
-their proportions. The schedule has one row per block and comes from the driver, which takes a heap step a slot.
+their proportions. The schedule has one row per block and comes from the driver, which takes a heap step a slot;
+blocks grow with the table, so that their number stays bounded.
 
 Every row gets a place, a null source is a source of its own. Rows are numbered within a source by hash,
 in salted chunks, so a source that holds a third of all rows is spread over many tasks. Repeated rows get
@@ -116,12 +117,13 @@ def stored_schedule(spark: SparkSession, parts: list[int], blocks: list[int]) ->
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, temperature: float = 0.5,
-        block_docs: int = 16, q: int = 1000, max_streams: int | None = None, chunk_rows: int = 2_000) -> DataFrame:
+        block_docs: int = 16, most_blocks: int = 1 << 20, q: int = 1000, max_streams: int | None = None, chunk_rows: int = 2_000) -> DataFrame:
     """docs plus mix_block, mix_slot, mix_release, mix_deadline, mix_position and mix_order.
 
     mix_slot is the schedule's slot, mix_position the block's place once empty slots are closed up,
     mix_order the row's place (position * block_docs + place in the block). weights: {source: weight},
-    scaled to sum to one; sources without one get the least share, 1/q.
+    scaled to sum to one; sources without one get the least share, 1/q. Blocks grow beyond block_docs where the table would
+    have more than most_blocks of them, so the driver's schedule has at most most_blocks rows and one a source.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
@@ -141,6 +143,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     for s, i in stream.items():
         held[i] += sizes[s]
         parts[i] += part[s]
+    block_docs = max(block_docs, -(-rows // most_blocks))
     blocks = [-(-n // block_docs) for n in held]
 
     def small(df: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ document leaves the cascade at the first rule that rejects it. The verdict is a
 order changes the cost alone, never the rows kept.
 
 Null and empty texts have no words and are rejected by the length rule. Repeated rows and ties are
-judged one by one; extra columns pass through the operator untouched.
+judged one by one; extra columns pass through the operator untouched. Empty tables stay empty, very long texts are judged whole.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> lis
 
 
 def sample_texts(docs: DataFrame, text: str, sample_rows: int, sample_chars: int) -> list[str | None]:
-    """At most sample_rows texts of about the same expected spread, whole up to sample_chars each (which bounds the driver).
+    """At most sample_rows whole texts of at most sample_chars each (which bounds the driver), drawn by hash.
 
     The sample steers the order of the rules and nothing else.
     """
@@ -160,12 +160,15 @@ def sample_texts(docs: DataFrame, text: str, sample_rows: int, sample_chars: int
         return []
     share = min(1.0, 1.5 * sample_rows / n)
     pick = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    return [r[0] for r in pick.select(F.substring(F.col(text), 1, sample_chars)).limit(sample_rows).collect()]
+    return [r[0] for r in pick.where(F.coalesce(F.length(F.col(text)), F.lit(0)) <= sample_chars).select(text).limit(sample_rows).collect()]
 
 
 def quality_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 300,
-                    sample_chars: int = 1_000_000, with_features: bool = False, key: str = "doc_id") -> DataFrame:
-    """Adds `kept` (all rules passed) and `failed_rule` (the first of the cascade that rejects).
+                    sample_chars: int = 100_000, with_features: bool = False, key: str = "doc_id") -> DataFrame:
+    """Adds `failed_rule` (the first of the cascade that rejects) and `kept` (all rules passed).
+
+    docs' own columns stay as they are; where it has one of these names, the added one gets a trailing underscore. An
+    empty table gives an empty one, very long texts are judged whole, repeated rows alike.
 
     with_features instead returns the key, the features of the base contract and the verdict, for
     every document: one pass over the texts, no shuffle.
@@ -190,13 +193,14 @@ def quality_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
         kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
         schema = f"k {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-        return common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, schema).withColumnRenamed("k", key)
+        return common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, schema).transform(common.keyed, key)
 
     @F.pandas_udf("string")
     def failed_rule(texts):
         return texts.map(lambda t: verdict(TextFeatures(t)))
 
-    return docs.withColumn("failed_rule", failed_rule(F.col(text))).withColumn("kept", F.col("failed_rule").isNull())
+    rule, kept = common.free_names(["failed_rule", "kept"], docs.columns)
+    return docs.withColumn(rule, failed_rule(F.col(text))).withColumn(kept, F.col(rule).isNull())
 
 
 def passing(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -212,7 +212,7 @@ def resample(docs: DataFrame, target: DataFrame, text: str = "text", key: str =
         before.append((score, seen))
         seen, cut = seen + n, score
     if cut is None:
-        return rows.withColumn("rank", F.lit(None).cast("long")).withColumnRenamed("k", key)
+        return rows.withColumn("rank", F.lit(None).cast("long")).transform(common.keyed, key)
 
     near = F.coalesce(fit & (F.col("score") >= cut), F.lit(False))
     same = rows.where(near).groupBy("k", "n_words", "n_features", "weight", "score").agg(F.count("*").alias("copies_"))
@@ -222,7 +222,7 @@ def resample(docs: DataFrame, target: DataFrame, text: str = "text", key: str =
     ranked = same.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("copies_")))).withColumn("rank", F.col("before_") + F.col("inside_") + F.col("rank"))
     ranked = ranked.withColumn("rank", F.when(F.col("rank") <= wanted, F.col("rank")))
     rest = rows.where(~near).withColumn("rank", F.lit(None).cast("long"))
-    return rest.unionByName(ranked.select(*rest.columns)).withColumnRenamed("k", key)
+    return rest.unionByName(ranked.select(*rest.columns)).transform(common.keyed, key)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

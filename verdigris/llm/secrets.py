@@ -3,16 +3,17 @@
 Random strings cost a byte-pair vocabulary many tokens: a run of base64-like characters with few
 characters per token is reported as kind `random`, unless it is a known digest (hex of 32, 40, 56,
 64, 96 or 128 digits), a UUID, a run without letters, an identifier (at least half of it parts that are
-cheap in tokens themselves: words, digit groups between separators) or lies inside a base span.
+cheap in tokens themselves: words, digit groups between separators). Base spans are cut out of a run first, and
+what they leave is judged by itself.
 
-Null texts are scanned as empty. Empty texts have no spans. Offsets are code points, end exclusive. Repeated
-rows are scanned alike, empty tables give empty results, extra columns are ignored.
+Null texts are scanned as empty. Empty texts have no spans; very long ones are scanned whole. Offsets are code points, end
+exclusive. Repeated rows are scanned alike, empty tables give empty results, extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -71,18 +73,33 @@ def is_identifier(run: str, count_tokens, max_ratio: float) -> bool:
     return 2 * cheap >= sum(map(str.isalnum, run))
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the taken intervals (sorted, disjoint) leave of start..end."""
+    left = []
+    for a, b in taken:
+        if start < a:
+            left.append((start, min(a, end)))
+        start = max(start, b)
+    return [*left, (start, end)] if start < end else left
+
+
 def random_spans(text: str, count_tokens, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out, upto = [], 0
-    starts = sorted((a, b) for a, b, _ in taken)
-    ends = list(accumulate((b for _, b in starts), max))  # the furthest end of the base spans so far
+    """Random parts of text outside the base spans; a run beside or around a base span is judged by what is left of it."""
+    merged: list[tuple[int, int]] = []
+    for a, b, _ in sorted(taken):
+        merged[-1:] = [(merged[-1][0], max(merged[-1][1], b))] if merged and a <= merged[-1][1] else [*merged[-1:], (a, b)]
+    ends = [b for _, b in merged]
+    out = []
     for m in RUN.finditer(text):
-        s, e = m.span()
-        while upto < len(starts) and starts[upto][0] < e:
-            upto += 1
-        if is_known(m[0]) or upto and ends[upto - 1] > s:
-            continue
-        if (e - s) <= max_ratio * count_tokens(m[0]) and not is_identifier(m[0], count_tokens, max_ratio):
-            out.append((s, e, "random"))
+        near = []
+        for a, b in merged[bisect_right(ends, m.start()) :]:
+            if a >= m.end():
+                break
+            near.append((a, b))
+        for s, e in outside(*m.span(), near):
+            part = text[s:e]
+            if e - s >= LEAST_RUN and not is_known(part) and (e - s) <= max_ratio * count_tokens(part) and not is_identifier(part, count_tokens, max_ratio):
+                out.append((s, e, "random"))
     return out
 
 
@@ -126,7 +143,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", max_r
 
     kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
     schema = f"k {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string"
-    return common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, schema).withColumnRenamed("k", key)
+    return common.map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), make, schema).transform(common.keyed, key)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

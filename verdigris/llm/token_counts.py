@@ -205,7 +205,7 @@ def apply_edits(trees: DataFrame, edits: Column | str, key: str = "doc_id", text
 
     edits = F.col(edits) if isinstance(edits, str) else edits
     narrow = trees.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("leaf_chars").alias("c"), F.col("leaf_tokens").alias("n"), edits.cast(EDIT_TYPE).alias("e"))
-    return common.map_rows(narrow, make, schema).withColumnRenamed("k", key)
+    return common.map_rows(narrow, make, schema).transform(common.keyed, key)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:

@@ -217,7 +217,7 @@ def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", compon
     ddl = f"{{key}} {kind}, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
-        return spark.createDataFrame([], ddl.format(key="k")).withColumnRenamed("k", key)
+        return spark.createDataFrame([], ddl.format(key="k")).transform(common.keyed, key)
     d = lengths[0]["d"]
     rows = rows.where(F.size("v") == d)
     n, sums = column_sums(rows, scale, shift, d)
@@ -237,7 +237,7 @@ def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", compon
     trace = float(np.trace(cov[0]) + np.trace(cov[1]))
     k = min(components, int((values > LEAST_SHARE * trace).sum())) if trace > 0 else 0
     if not k:
-        return spark.createDataFrame([], ddl.format(key="k")).withColumnRenamed("k", key)
+        return spark.createDataFrame([], ddl.format(key="k")).transform(common.keyed, key)
     onto = vectors[:, :k] / np.sqrt(values[:k])
     explained = values[:k] / trace
 
@@ -266,7 +266,7 @@ def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", compon
                 exact.take(every), pa.array((y @ onto).ravel()), pa.array(np.tile(explained, len(x))), pa.array(np.full(len(x) * k, error)),
             ], schema=out)
 
-    return rows.mapInArrow(project, ddl.format(key="k")).withColumnRenamed("k", key)
+    return rows.mapInArrow(project, ddl.format(key="k")).transform(common.keyed, key)
 
 
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
