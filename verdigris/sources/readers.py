@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_by_number
+from . import splits
 
 SAMPLE = "index long, code string, label int"
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """One array of objects per file; a malformed file fails the job. Large arrays: convert once to lines."""
+    """One array of objects per file; a malformed file fails the job. Files beyond a split are read in parallel."""
+    most = discover(spark, path if isinstance(path, list) else [path], "*").agg(F.max("length")).first()[0] or 0
+    if most > _split_bytes(spark):
+        return splits.scan_json_array(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -39,11 +43,21 @@ def read_json_like(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """Header, all strings, quoted fields may hold separators and line breaks; blank fields are null."""
+    """Header, all strings, quoted fields may hold separators and line breaks; blank fields are null.
+
+    Spark's multi-line reader takes a task a file, so it reads files no longer than a split; longer ones are read in parallel.
+    """
+    most = discover(spark, path if isinstance(path, list) else [path], "*").agg(F.max("length")).first()[0] or 0
+    if most > _split_bytes(spark):
+        return splits.read_csv_splits(spark, path, sep, columns)
     df = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, inferSchema=False).csv(path)
     return df.select(*columns) if columns else df
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def discover(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
     """File names below the roots that match a glob, with size and time; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
