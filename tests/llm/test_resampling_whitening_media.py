@@ -210,3 +210,12 @@ def test_a_wrong_chunk_is_noticed(spark, odd):
     stored.chunks = stored.chunks.withColumn("data", F.when(F.col("size") > 300, F.lit(bytes(data))).otherwise(F.col("data")))
     with pytest.raises(Exception, match="differs from what was stored"):
         media.read_back(stored, media.digests, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
+
+
+def test_chunks_that_many_runs_share_go_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(media, "RUN_BYTES", 1)  # a run a row
+    rng = np.random.default_rng(2)
+    shared = "".join(chr(c) for c in rng.integers(97, 123, 6000))
+    rows = [(i, shared if i % 3 else f"{i} " * 400 + shared) for i in range(60)] + [(None, None)] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(media.store_and_verify(docs)) == sorted(((k, *plain_media(t)) for k, t in rows), key=repr)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import itertools
 import struct
 import uuid
 import zlib
@@ -115,7 +116,11 @@ def feature(payload: bytes) -> str:
 
 @dataclass
 class Stored:
-    """media: run, k, n_bytes, payload_bytes, media_sha256, digests; chunks: digest, size, data (compressed)."""
+    """media: run, k, n_bytes, payload_bytes, media_sha256, first, digests, parts; chunks: digest, size, data (compressed).
+
+    A run numbers its chunks from 0 as it meets them: a row's digests are those it meets first, from number `first` on,
+    and parts are the numbers of all its chunks in order.
+    """
 
     media: DataFrame
     chunks: DataFrame
@@ -183,17 +188,21 @@ def ingest(docs: DataFrame, text: str = "text", key: str = "doc_id", earlier: St
         from pyspark import TaskContext
 
         table, run, size = gear(), TaskContext.get().partitionId() << 33, 0
+        numbers: dict[bytes, int] = {}
         for r in common.dicts(batches):
             payload = padded(r["t"])
             if size >= RUN_BYTES:
                 run, size = run + 1, 0
+                numbers.clear()
             size += len(payload)
             whole = hashlib.sha256(header(len(payload)))
             whole.update(payload)
-            yield {"run": run, "k": r["k"], "n_bytes": len((r["t"] or "").encode("utf-8", "surrogatepass")), "payload_bytes": len(payload), "media_sha256": whole.digest(), "digests": [hashlib.sha256(c).digest() for c in chunks(payload, table)]}
+            first, parts = len(numbers), [numbers.setdefault(hashlib.sha256(c).digest(), len(numbers)) for c in chunks(payload, table)]
+            n_bytes = len((r["t"] or "").encode("utf-8", "surrogatepass"))
+            yield {"run": run, "k": r["k"], "n_bytes": n_bytes, "payload_bytes": len(payload), "media_sha256": whole.digest(), "first": first, "digests": list(itertools.islice(numbers, first, None)), "parts": parts}
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    media = common.written(common.map_dicts(rows, lists, f"run long, k {kind}, n_bytes long, payload_bytes long, media_sha256 binary, digests array<binary>"), "media")
+    media = common.written(common.map_dicts(rows, lists, f"run long, k {kind}, n_bytes long, payload_bytes long, media_sha256 binary, first int, digests array<binary>, parts array<int>"), "media")
     dictionary = earlier.dictionary if earlier else train_dictionary(docs, text)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(media.agg(F.sum("payload_bytes")).first()[0] or 0) // BUCKET_BYTES))
     table, path = f"chunks_{uuid.uuid4().hex}", common.shared_dir(spark, "chunks")
@@ -219,31 +228,40 @@ def store_chunks(docs: DataFrame, text: str, dictionary: bytes, earlier: Stored
 def read_back(stored: Stored, compute: Callable[[bytes], dict], ddl: str) -> DataFrame:
     """key, n_bytes, payload_bytes and what compute(media file) gives for each row, verified against its digest.
 
-    Each run asks for its distinct chunks, which an equi-join brings there. A chunk that more than one in HOT of all
+    Each run asks once for each of its chunks, which an equi-join brings there. A chunk that more than one in HOT of all
     (chunk, run) pairs asks for isn't joined but sent to every task: there are at most HOT of them, of MOST bytes.
-    A run's chunks come first and its rows one by one, so a task holds RUN_BYTES, or one larger payload, at a time.
+    A run's chunks come first and its rows one by one, in the order they were numbered, so a task holds RUN_BYTES, or one
+    larger payload, at a time.
     """
     spark = stored.media.sparkSession
-    wanted = common.written(stored.media.select("run", F.explode("digests").alias("digest")).distinct(), "wanted")
-    total = wanted.count()
-    hot = wanted.groupBy("digest").count().where((F.col("count") * HOT > total) & (F.col("count") > 8)).select("digest")
-    near = {bytes(r["digest"]): bytes(r["data"]) for r in stored.chunks.join(F.broadcast(hot), "digest").select("digest", "data").collect()}
+    wanted = stored.media.select("run", "first", F.posexplode("digests").alias("pos", "digest")).select("run", (F.col("first") + F.col("pos")).alias("part"), "digest")
+    total = stored.media.agg(F.sum(F.size("digests"))).first()[0] or 0
+    name = F.xxhash64("digest")
+    hot = wanted.groupBy(name.alias("name")).count().where((F.col("count") * HOT > total) & (F.col("count") > 8)).select("name")
+    hot = spark.createDataFrame(hot.collect(), hot.schema)  # HOT rows at most
+    near = {bytes(r["digest"]): bytes(r["data"]) for r in stored.chunks.join(F.broadcast(hot), name == F.col("name")).select("digest", "data").collect()}
     shared = spark.sparkContext.broadcast((stored.dictionary, near))
-    moved = stored.chunks.join(wanted.join(F.broadcast(hot), "digest", "left_anti"), "digest").select("run", "digest", "data")
-    rows = moved.unionByName(stored.media, allowMissingColumns=True)
-    rows = rows.repartition("run").sortWithinPartitions("run", F.col("digest").isNull())
+    rest = wanted.join(F.broadcast(hot), name == F.col("name"), "left_anti")
+    moved = stored.chunks.join(rest, "digest").select("run", "part", "data")
+    # a row needs its run's digests only where they name chunks that all tasks have
+    known = F.transform("digests", lambda d: F.when(d.isin(*[F.lit(x) for x in near]), d)) if near else F.lit(None).cast("array<binary>")
+    rows = moved.unionByName(stored.media.withColumn("digests", F.when(F.exists(known, lambda d: d.isNotNull()), known)), allowMissingColumns=True)
+    rows = rows.repartition("run").sortWithinPartitions("run", F.col("part").isNull(), "first")
 
     def run(_, rs):
         dictionary, near = shared.value
         unpack, met, known = unpacker(dictionary).decompress, {}, {}
         for r in rs:
-            if r["digest"] is not None:
-                met[r["digest"]] = r["data"]
+            if r["part"] is not None:
+                met[r["part"]] = r["data"]
                 continue
+            for i, d in enumerate(r["digests"] or []):
+                if d is not None:
+                    met[r["first"] + i] = near[d]
             if r["media_sha256"] not in known:
                 media = bytearray(header(r["payload_bytes"]))
-                for d in r["digests"]:
-                    media += unpack(met[d] if d in met else near[d], max_output_size=MOST)
+                for i in r["parts"]:
+                    media += unpack(met[i], max_output_size=MOST)
                 media = bytes(media)
                 if hashlib.sha256(media).digest() != r["media_sha256"]:
                     raise ValueError(f"media {r['media_sha256'].hex()} differs from what was stored")
