@@ -18,6 +18,7 @@ from verdigris.operators import similarity as V
 from verdigris.plans import jobs
 from verdigris.sources import readers as S
 from verdigris.sources import sinks
+from verdigris.sources.deltas import KeyedTable
 from verdigris.streaming import online
 
 
@@ -255,10 +256,9 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = M.confusion(df).first()
     assert tuple(spark.table("conf").first()) == tuple(want)
-    q = online.upsert_batches(stream.select((F.col("k") % 10).alias("k"), "ver"), str(tmp_path / "out"), str(tmp_path / "ck"), "k", "ver", sinks.upsert)
-    q.awaitTermination(120)
-    last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
-    assert {(r.k, r.ver) for r in spark.read.parquet(str(tmp_path / "out" / f"v={last}")).collect()} == {(i, 90 + i) for i in range(10)}
+    table = KeyedTable(spark, str(tmp_path / "out"), "k long, ver long", "k", "ver")
+    online.upsert_batches(stream.select((F.col("k") % 10).alias("k"), "ver"), table, str(tmp_path / "ck")).awaitTermination(120)
+    assert {(r.k, r.ver) for r in table.read().collect()} == {(i, 90 + i) for i in range(10)}
 
 
 def test_ranks_of_skewed_numbers(spark):

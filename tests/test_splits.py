@@ -16,7 +16,7 @@ def small_splits(spark):
 
     def set_to(n):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
 
     yield set_to
     spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import confidence, safe_div
+from .scans import select_ranks
 
 
 def edges(lo: str, hi: str, step: str) -> list[float]:
@@ -40,12 +41,17 @@ def bins(bounds: list[float], spark) -> DataFrame:
 def calibration(df: DataFrame, bounds: list[float], prob: str = "Prob", label: str = "Label", pred: str = "Prediction", use_confidence: bool = True) -> DataFrame:
     """A-11, A-12: per non-empty bin: count, ratio, accuracy, mean value and their gap; label and call rates."""
     v = confidence(prob) if use_confidence else F.col(prob)
-    total = F.sum("count").over(Window.partitionBy())
     agg = df.withColumn("v_", v).withColumn("bin", bin_of(F.col("v_"), bounds)).where("bin is not null").groupBy("bin").agg(
         F.count("*").alias("count"), F.avg((F.col(label) == F.col(pred)).cast("double")).alias("acc_"), F.avg("v_").alias("avg_"),
         F.avg(F.col(label).cast("double")).alias("lab_"), F.avg(F.col(pred).cast("double")).alias("pred_"),
     )
-    return agg.select(
+    return calibration_table(agg)
+
+
+def calibration_table(rows: DataFrame) -> DataFrame:
+    """The table of A-11 from a row a bin: count, acc_, avg_, lab_ and pred_."""
+    total = F.sum("count").over(Window.partitionBy())  # a row a bin
+    return rows.select(
         "bin", "count", F.round(F.col("count") / total, 6).alias("ratio"), F.round("acc_", 6).alias("accuracy"), F.round("avg_", 6).alias("avg_value"),
         F.round(F.col("avg_") - F.col("acc_"), 6).alias("gap"), F.round("lab_", 6).alias("label_rate"), F.round("pred_", 6).alias("call_rate"),
     )
@@ -76,14 +82,22 @@ def best_bucket(buckets: DataFrame, score: str = "gain") -> DataFrame:
 
 def sweep(df: DataFrame, steps: int = 100, prob: str = "Prob", label: str = "Label") -> DataFrame:
     """A-15: metrics of prob >= t for t = 0, 1/steps ... 1: a histogram, then reverse running sums over its few rows."""
-    ts = [i / steps for i in range(steps + 1)]
+    hist = df.groupBy(threshold_step(F.col(prob), steps).alias("b")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    return swept(hist, steps)
+
+
+def threshold_step(x: Column, steps: int) -> Column:
+    """The last of the thresholds 0, 1/steps ... 1 that x reaches, as a number from 0; -1 below all and for null."""
     # the step by arithmetic, put right by comparison with the steps beside it
-    x = F.col(prob)
     guess = F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * steps).cast("int")
     exact = F.when(x >= (guess + 1) / F.lit(float(steps)), guess + 1).when(x < guess / F.lit(float(steps)), guess - 1).otherwise(guess)
-    bucket = F.coalesce(F.greatest(F.least(exact, F.lit(steps)), F.lit(-1)), F.lit(-1))
-    hist = df.groupBy(bucket.alias("b")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    grid = df.sparkSession.createDataFrame(list(enumerate(ts)), "b int, threshold double")
+    return F.coalesce(F.greatest(F.least(exact, F.lit(steps)), F.lit(-1)), F.lit(-1))
+
+
+def swept(hist: DataFrame, steps: int) -> DataFrame:
+    """The sweep of A-15 from counts of labels 1 (p) and 0 (n) a step (b)."""
+    ts = [i / steps for i in range(steps + 1)]
+    grid = hist.sparkSession.createDataFrame(list(enumerate(ts)), "b int, threshold double")
     full = grid.join(hist, "b", "full").select("b", "threshold", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
     down = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
@@ -126,22 +140,9 @@ def correlation(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def spread(df: DataFrame, value: Column) -> DataFrame:
-    """A-19, A-20: mean, exact median, least and greatest.
-
-    The median is looked for among the values between two approximate quantiles around it, with their
-    numbers; if they miss it (they are approximate), among all.
-    """
+    """A-19, A-20: mean, exact median, least and greatest; the median by rounds of selection."""
     v = df.select(value.cast("double").alias("v")).where("v is not null")
-    n, lo, hi = v.agg(F.count("v"), F.percentile_approx("v", 0.499, 10_000), F.percentile_approx("v", 0.501, 10_000)).first()
-    whole = v.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    if not n:
-        return whole.select("n", "mean", F.lit(None).cast("double").alias("median"), "least", "greatest")
-    left, right = (n + 1) // 2, n // 2 + 1  # ranks of the one or two middle values
-    under, inside = v.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
-    if under < left and right <= under + inside:
-        counts = v.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("c"))
-    else:
-        under, counts = 0, v.groupBy("v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("to", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + under)
-    middle = [F.min(F.when(F.col("to") >= r, F.col("v"))) for r in (left, right)]
-    return whole.crossJoin(F.broadcast(upto.agg(F.round((middle[0] + middle[1]) / 2, 6).alias("median")))).select("n", "mean", "median", "least", "greatest")  # one row each
+    n = v.count()
+    middle = select_ranks(v, F.col("v"), [(n + 1) // 2, n // 2 + 1]) if n else {}
+    median = F.round(F.lit((middle[(n + 1) // 2] + middle[n // 2 + 1]) / 2), 6) if n else F.lit(None).cast("double")
+    return v.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), median.alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions import syntax
 from ..functions.lazy import arrow_udf
+from .scans import CHUNK_ROWS, scan
 
 RANGES = "array<struct<start:int,end:int>>"
 
@@ -36,12 +37,12 @@ def explode_chunks(df: DataFrame, text: str, n: int = 80) -> DataFrame:
     return df.select("*", F.explode(line_chunks(text, n)).alias("c_")).select(*df.columns, F.col("c_.chunk").alias("chunk_id"), F.col("c_.text").alias("chunk_text"), F.col("c_.start").alias("start_line"), F.col("c_.end").alias("end_line"))
 
 
-def running_positions(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Start and end lines of chunks laid one after the other."""
-    count = F.size(E.lines_of(text))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(count).over(w), F.lit(0)) + 1
-    return df.withColumn("start_line", start).withColumn("end_line", F.col("start_line") + count - 1)
+def running_positions(df: DataFrame, keys: list[str], order: str, text: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Start and end lines of chunks laid one after the other; a scan by chunks, so a group may hold all rows."""
+    counted = df.withColumn("lines_", F.size(E.lines_of(text)))
+    placed = scan(counted, keys, [order], {"at_": ("sum", F.col("lines_"))}, chunk_rows=chunk_rows)
+    start = F.coalesce("at_", F.lit(0)) + 1
+    return placed.select(*df.columns, start.alias("start_line"), (start + F.col("lines_") - 1).alias("end_line"))
 
 
 def label_chunks(df: DataFrame, side: str, ranges: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
@@ -144,15 +145,15 @@ def structural_chunks(max_chars: int, language: str | None = None, overlap: int
     return chunk
 
 
-def pack_tokens(df: DataFrame, group: str, order: str, ids: str, size: int) -> DataFrame:
+def pack_tokens(df: DataFrame, group: str, order: str, ids: str, size: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per group, ids in order, cut into runs of `size`; the remainder is dropped, and an exact fit waits for more.
 
-    Arithmetic on running offsets: each id goes to run (offset div size); no group is gathered but its
-    runs of fixed size.
+    Arithmetic on running offsets, by a scan in chunks: each id goes to run (offset div size); no group is gathered
+    but its runs of fixed size.
     """
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = df.select(group, F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0)).alias("at_"), F.sum(F.size(ids)).over(Window.partitionBy(group)).alias("all_"), F.col(ids).alias("ids_"))
-    each = at.select(group, "all_", "at_", F.posexplode("ids_").alias("p_", "id_")).withColumn("pos_", F.col("at_") + F.col("p_"))
+    size_ = F.size(ids).cast("long")
+    at = scan(df.select(group, order, ids), [group], [order], {"at_": ("sum", size_)}, {"all_": size_}, chunk_rows)
+    each = at.select(group, "all_", F.coalesce("at_", F.lit(0)).alias("at_"), F.col(ids).alias("ids_")).select(group, "all_", "at_", F.posexplode("ids_").alias("p_", "id_")).withColumn("pos_", F.col("at_") + F.col("p_"))
     runs = each.withColumn("run", F.floor(F.col("pos_") / size)).where((F.col("run") + 1) * size < F.col("all_"))
     return runs.groupBy(group, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_", "id_"))), lambda x: x["id_"]).alias("ids"))
 
@@ -171,11 +172,13 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, text: str, k: in
 
 def flatten_results(df: DataFrame, results: str = "results") -> DataFrame:
     """C14: results[].chunks[] as rows with a running index per input row; blank texts are skipped."""
-    r = df.select(*[c for c in df.columns if c != results], F.posexplode(results).alias("r_", "x_"))
-    c = r.select("*", F.posexplode("x_.chunks").alias("c_", "y_")).withColumn("text", F.coalesce("y_.text", F.lit(""))).where(F.trim("text") != "")
+    def chunks(r: Column) -> Column:
+        one = F.transform(r["chunks"], lambda y, i: F.struct(r["sample_id"].alias("sample_id"), i.alias("chunk"), F.coalesce(y["text"], F.lit("")).alias("text")))
+        return F.filter(F.coalesce(one, F.slice(one, 1, 0)), lambda y: F.trim(y["text"]) != "")
+
+    flat = F.flatten(F.transform(F.filter(results, lambda r: r["chunks"].isNotNull()), chunks))
     keys = [x for x in df.columns if x != results]
-    w = Window.partitionBy(*keys).orderBy("r_", "c_")
-    return c.select(*keys, (F.row_number().over(w) - 1).alias("running"), F.col("x_.sample_id").alias("sample_id"), F.col("c_").alias("chunk"), "text")
+    return df.select(*keys, F.posexplode(flat).alias("running", "x_")).select(*keys, "running", "x_.*")
 
 
 def score_batches(df: DataFrame, scorer, schema: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 CHUNKS = 1024
 
 
@@ -74,3 +76,22 @@ def rank_by_value(df: DataFrame, order: str, tie: str, chunks: int = CHUNKS) ->
     bounds = [F.lit(b).cast(kind) for b in sorted(set(found))]
     chunk = F.lit(0) if not bounds else F.when(F.col(order).isNull(), -1).otherwise(bin_among(F.col(order), bounds))
     return rank(df, [], [F.col(order), F.col(tie)], chunk)
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df plus a 0-based number along the order of columns of any type; rows equal in it are numbered in any way.
+
+    Rows are dealt to ranges of the order and stored with their range and place, so both passes see one and the same deal;
+    a range's start is the number of rows before it, a row a range.
+    """
+    path = shared_folder(df.sparkSession, "numbered")
+    width = 1 << 33  # of a partition's ids
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(path).withColumn("range_", F.floor(F.col("id_") / width))
+    starts, at = [], 0
+    for r in rows.groupBy("range_").count().orderBy("range_").collect():  # a row a partition
+        starts.append((r["range_"], at))
+        at += r["count"]
+    starts = df.sparkSession.createDataFrame(starts, "range_ long, start_ long")
+    return rows.join(F.broadcast(starts), "range_").select(*df.columns, (F.col("start_") + F.pmod(F.col("id_"), F.lit(width))).alias(name))

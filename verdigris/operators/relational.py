@@ -6,17 +6,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from . import sketches
 from .ranking import rank_by_number
+from .scans import CHUNK_ROWS, scan
+
+
+#: A key with more than one in PARTS of the dealt side's rows is heavy: its rows go to SALTS tasks.
+PARTS, SALTS = 200, 64
+
+
+def heavy_keys(df: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Keys that hold more than one in `parts` of the rows, by a frequent-items sketch of bounded size: parts + 1 rows at most.
+
+    Counts are estimates; a key too many or too few changes where rows go, not what a join gives.
+    """
+    s = df.select(F.struct(*keys).alias("k"))
+    top = s.agg(F.expr(f"approx_top_k(to_json(k, map('ignoreNullFields', 'false')), {parts + 1}, {64 * parts})").alias("top"), F.count("*").alias("n"))
+    return top.select("n", F.explode("top").alias("x")).where(F.col("x.count") * parts > F.col("n")).select(F.col("x.item").alias("heavy_"))
+
+
+def skew_join(dealt: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, salts: int = SALTS) -> DataFrame:
+    """Equi-join whose dealt side may have keys with a large share of all rows.
+
+    Rows of a heavy key are dealt over `salts` tasks; the other side's rows of that key alone are copied to each. how is
+    inner, left, left_semi or left_anti: each dealt row meets every partner once, so the result is that of a plain join.
+    """
+    heavy = [r["heavy_"] for r in heavy_keys(dealt, keys, parts).collect()]  # parts + 1 at most
+    if not heavy:
+        return dealt.join(other, keys, how)
+    mark = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).isin(heavy)
+    salt = F.when(mark, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(0)
+    copies = F.when(mark, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = dealt.withColumn("salt_", salt.cast("int"))
+    return left.join(other.withColumn("salt_", F.explode(copies)), [*keys, "salt_"], how).drop("salt_")
 
 
 def methods_of_classes(cwe: DataFrame, fixes: DataFrame, commits: DataFrame, files: DataFrame, methods: DataFrame, classes: list[str]) -> DataFrame:
-    """Methods of the fixes of the given classes, under any spelling."""
+    """Methods of the fixes of the given classes, under any spelling, a row for each fix that leads to it.
+
+    A commit with many files and a file with many methods are dealt over tasks.
+    """
     spellings = [s for n in classes for s in (n, f"CWE-{n}", f"NVD-CWE-{n}")]
     chosen = cwe.where(F.col("cwe_id").isin(spellings)).select("cve_id").distinct()
-    return (
-        fixes.join(chosen, "cve_id", "left_semi").select("cve_id", "hash").join(commits.select("hash"), "hash")
-        .join(files, "hash").join(methods, "file_change_id")
-    )
+    fixed = fixes.join(chosen, "cve_id", "left_semi").select("cve_id", "hash").join(commits.select("hash"), "hash")
+    return skew_join(methods, skew_join(files, fixed, ["hash"]), ["file_change_id"])
+
+
+def methods_with_classes(files: DataFrame, methods: DataFrame, fixes: DataFrame, cwe: DataFrame) -> DataFrame:
+    """Every method with its file, fixes and classes, where there are any; a row for each combination.
+
+    The small sides are joined with each other first, so the methods are shuffled once, by file.
+    """
+    known = fixes.select("hash", "cve_id").join(cwe.select("cve_id", "cwe_id"), "cve_id", "left")
+    return skew_join(methods, skew_join(files, known, ["hash"], "left"), ["file_change_id"])
 
 
 def zip_pairs(df: DataFrame, keys: list[str], side: Column, order: str, columns: list[str]) -> DataFrame:
@@ -41,41 +83,57 @@ def adjacent_pairs(df: DataFrame, order: str, label: str, columns: list[str]) ->
     return g.where(F.col(f"a.{label}") != F.col(f"b.{label}"))
 
 
-def held_out(df: DataFrame, test: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the test set does not hold."""
-    return df.join(test.select(key).distinct(), key, "left_anti")
+def held_out(df: DataFrame, test: DataFrame, key: str, sketch: bool = False) -> DataFrame:
+    """Rows whose key the test set does not hold; sketch: for a test set too large to broadcast."""
+    return sketches.anti(df, test, key) if sketch else df.join(test.select(key).distinct(), key, "left_anti")
 
 
-def reweigh(df: DataFrame, errors: DataFrame, key: str, mode: str, value: float, weight: str = "weight") -> DataFrame:
-    """Set, add or multiply the weight of the rows that were misjudged; others have 1."""
-    hit = df.join(errors.select(key).distinct().withColumn("hit_", F.lit(True)), key, "left")
+def reweigh(df: DataFrame, errors: DataFrame, key: str, mode: str, value: float, weight: str = "weight", sketch: bool = False) -> DataFrame:
+    """Set, add or multiply the weight of the rows that were misjudged; others have 1. sketch: for many errors."""
+    if sketch:
+        hit = sketches.flagged(df, errors, key, "hit_")
+    else:
+        hit = df.join(errors.select(key).distinct().withColumn("hit_", F.lit(True)), key, "left")
     w = F.coalesce(F.col(weight), F.lit(1.0)) if weight in df.columns else F.lit(1.0)
     new = {"set": F.lit(value), "add": w + value, "multiply": w * value}[mode]
     return hit.withColumn(weight, F.when(F.col("hit_"), new).otherwise(w)).drop("hit_")
 
 
-def islands(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """U7 on rows: overlapping or adjacent [start, end] rows of a group become one, by gaps and islands."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)
-    numbered = df.withColumn("new_", new).withColumn("island_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "island_").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island_")
+def islands(df: DataFrame, by: list[str], start: str, end: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """U7 on rows: overlapping or adjacent [start, end] rows of a group become one, by gaps and islands.
+
+    Rows that begin at one place are one row first; then scans by chunks, so a group may hold all rows.
+    """
+    one = df.groupBy(*by, start).agg(F.max(end).alias(end))
+    seen = scan(one, by, [start], {"reach_": ("max", F.col(end))}, chunk_rows=chunk_rows)
+    begins = F.when(F.col("reach_").isNull() | (F.col(start) > F.col("reach_") + 1), F.col(start))
+    # an island is known by where it begins: the greatest beginning up to a row
+    marked = scan(seen.withColumn("begin_", begins), by, [start], {"island_": ("max", F.col("begin_"))}, chunk_rows=chunk_rows)
+    return marked.groupBy(*by, F.coalesce("begin_", "island_").alias("island_")).agg(F.max(end).alias(end)).select(*by, F.col("island_").alias(start), end)
 
 
 def range_semi_join(df: DataFrame, ranges: DataFrame, by: list[str], start: str, end: str, width: int = 64) -> DataFrame:
     """J21 on rows: rows that overlap a range of their group.
 
-    Both sides are cut into blocks of `width` lines, so the overlap is an equi-join on (group, block);
-    a group with many lines spreads over its blocks.
+    A group's ranges are merged first, so those that cover a place over and over are one. Then both sides are cut into blocks of
+    `width` lines and the overlap is an equi-join on (group, block): a semi-join where all of a row lies in one block, which
+    leaves no copies to drop.
     """
-    def blocks(d: DataFrame, s: str, e: str) -> DataFrame:
-        return d.withColumn("block_", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
-
-    left = blocks(df.withColumn("row_", F.monotonically_increasing_id()), start, end)
-    right = blocks(ranges.select(*by, F.col(start).alias("s_"), F.col(end).alias("e_")), "s_", "e_")
-    hit = left.join(right, [*by, "block_"]).where((F.col(start) <= F.col("e_")) & (F.col("s_") <= F.col(end)))
-    return hit.select(*df.columns, "row_").distinct().drop("row_")
+    def block(c: str) -> Column:
+        return F.floor(F.col(c) / width)
+
+    whole = islands(ranges.select(*by, F.col(start).alias("s_"), F.col(end).alias("e_")), by, "s_", "e_")
+    right = whole.withColumn("block_", F.explode(F.sequence(block("s_"), block("e_"))))
+    meets = (F.col(start) <= F.col("e_")) & (F.col("s_") <= F.col(end))
+    here = [F.col(c).alias(f"g{i}_") for i, c in enumerate(by)]
+    right = right.select(*here, F.col("block_").alias("b_"), "s_", "e_")
+    same = meets & (F.col("block_") == F.col("b_"))
+    for i, c in enumerate(by):
+        same = same & (F.col(c) == F.col(f"g{i}_"))
+    inside = df.where(block(start) == block(end)).withColumn("block_", block(start)).join(right, same, "left_semi").drop("block_")
+    longer = df.where(block(start) < block(end)).withColumn("row_", F.monotonically_increasing_id())
+    longer = longer.withColumn("block_", F.explode(F.sequence(block(start), block(end)))).join(right, same, "left_semi")
+    return inside.unionByName(longer.dropDuplicates(["row_"]).select(*df.columns))
 
 
 def split_routes(df: DataFrame, key: str, dataset: Column, order: str) -> DataFrame:

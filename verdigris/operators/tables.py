@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from .ranking import rank_by_number
+from .ranking import number_rows, rank_by_number
 from .sampling import dense_index
 
 # ---- filters --------------------------------------------------------------------------------
@@ -21,21 +21,38 @@ def between(prob: str, low: float | None = None, high: float | None = None) -> C
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def called(pred: str, value: int, prob: str, least: float) -> Column:
-    """a call of that value with at least that probability."""
-    return (F.col(pred) == value) & (F.col(prob) >= least)
+def called(pred: str, value: int, prob: str, least: float | None = None) -> Column:
+    """a call of that value, or none at all, with at least that probability; a missing one fails if a least is set."""
+    fits = F.col(pred).isNull() | (F.col(pred) == value)
+    return fits if least is None else fits & F.coalesce(F.col(prob) >= least, F.lit(False))
 
 
 def valid_text(text: str, max_chars: int | None = None) -> Column:
-    """Not null, not blank, not too long."""
+    """Not null, not blank, not too long."""
     t = F.col(text)
     ok = t.isNotNull() & (F.trim(t) != "")
     return ok if max_chars is None else ok & (F.length(t) <= max_chars)
 
 
-def weighted(df: DataFrame, weight: str = "weight", least: float = 1.0) -> DataFrame:
-    """rows of more than the plain weight."""
-    return df.where(F.col(weight) > least)
+def short_text(text: str, max_chars: int) -> Column:
+    """a text that is absent or not too long; 0 sets no limit."""
+    return F.lit(True) if max_chars <= 0 else F.col(text).isNull() | (F.length(text) <= max_chars)
+
+
+def small_changes(df: DataFrame, key: str, changed: str, order: str, most: int, n: int | None = None) -> DataFrame:
+    """trimmed keys of rows of at most `most` changed lines (blank: 0), by first occurrence; the first n of them.
+
+    Columns: key and the order of its first such row. Blank keys go. A task keeps a row a key, and its own first n.
+    """
+    lines = F.coalesce(F.expr(f"try_cast(nullif(trim(cast(`{changed}` as string)), '') as long)"), F.lit(0))
+    kept = df.where(lines <= most).withColumn(key, F.trim(F.col(key).cast("string"))).where(F.col(key) != "")
+    first = kept.groupBy(key).agg(F.min(order).alias("first"))
+    return first if n is None else first.orderBy("first", key).limit(n)
+
+
+def weighted(df: DataFrame, weight: str = "weight", least: float = 2.0) -> DataFrame:
+    """rows of at least that weight; a missing one is 1."""
+    return df.where(F.coalesce(F.col(weight), F.lit(1.0)) >= least)
 
 
 def invalid(df: DataFrame, valid: Column) -> DataFrame:
@@ -170,12 +187,8 @@ def mixed_order(column: str, last: int = 1_000_000_000) -> tuple[Column, Column]
 
 
 def synthetic_index(df: DataFrame, keys: list[str], name: str = "index") -> DataFrame:
-    """Distinct composite keys, numbered from 0 in their order: dense, over the keys alone."""
-    groups = df.select(*keys).distinct()
-    first = groups.groupBy(keys[0]).agg(F.count("*").alias("n_"))  # a row per value of the first key
-    starts = first.withColumn("start_", F.coalesce(F.sum("n_").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    local = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:] or keys))
-    return groups.withColumn("local_", local).join(starts, keys[0]).select(*keys, (F.col("start_") + F.col("local_") - 1).alias(name))
+    """Distinct composite keys, numbered from 0 in their order: dense, over the keys alone, by ranges of the order."""
+    return number_rows(df.select(*keys).distinct(), [F.col(k) for k in keys], name)
 
 
 def length_batches(df: DataFrame, length: str, key: str, size: int) -> DataFrame:

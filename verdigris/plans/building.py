@@ -110,13 +110,12 @@ def _(t: Tables):
 
 @query("j12_j15_star_join", "WITH chosen AS (SELECT DISTINCT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)) SELECT n_nationkey, count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_orders, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM chosen JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY n_nationkey")
 def _(t: Tables):
-    return t.spark.sql(
-        """WITH chosen AS (SELECT DISTINCT n_nationkey FROM {nation} WHERE n_regionkey IN (1, 3))
-        SELECT n_nationkey, count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_orders, CAST(sum(l_quantity) AS DOUBLE) AS qty
-        FROM chosen JOIN {customer} ON c_nationkey = n_nationkey JOIN {orders} ON o_custkey = c_custkey
-        JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY n_nationkey""",
-        nation=t.nation, customer=t.customer, orders=t.orders, lineitem=t.lineitem,
-    )
+    cwe = t.nation.select(F.col("n_nationkey").alias("cve_id"), F.concat(F.lit("CWE-"), F.col("n_regionkey").cast("string")).alias("cwe_id"))
+    fixes = t.customer.select(F.col("c_nationkey").alias("cve_id"), F.col("c_custkey").alias("hash"))
+    files = t.orders.select(F.col("o_custkey").alias("hash"), F.col("o_orderkey").alias("file_change_id"))
+    methods = t.lineitem.select(F.col("l_orderkey").alias("file_change_id"), "l_quantity")
+    rows = Q.methods_of_classes(cwe, fixes, t.customer.select(F.col("c_custkey").alias("hash")), files, methods, ["1", "3"])
+    return rows.groupBy(F.col("cve_id").alias("n_nationkey")).agg(F.count("*").alias("n_rows"), F.count_distinct("file_change_id").alias("n_orders"), F.sum("l_quantity").cast("double").alias("qty"))
 
 
 @query("j13_j14_left_fan_out", "SELECT c_custkey, count(*) AS n_rows, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -124,6 +123,15 @@ def _(t: Tables):
     return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("*").alias("n_rows"), F.count("o_orderkey").alias("n_orders"))
 
 
+@query("j13_j14_class_fan_out", "WITH k AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 3 <> 0 WHERE c_custkey % 2 = 0) SELECT n_regionkey AS cwe_id, c_nationkey AS cve_id, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_files FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN k ON k.c_custkey = o_custkey GROUP BY ALL")
+def _(t: Tables):
+    fixes = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("hash"), F.col("c_nationkey").alias("cve_id"))
+    cwe = t.nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("cve_id"), F.col("n_regionkey").alias("cwe_id"))
+    files = t.orders.select(F.col("o_custkey").alias("hash"), F.col("o_orderkey").alias("file_change_id"))
+    rows = Q.methods_with_classes(files, t.lineitem.select(F.col("l_orderkey").alias("file_change_id")), fixes, cwe)
+    return rows.groupBy("cwe_id", "cve_id").agg(F.count("*").alias("n_rows"), F.count_distinct("file_change_id").alias("n_files"))
+
+
 @query("j16_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(t: Tables):
     return Q.held_out(t.documents.select("doc_id"), t.labels.where("toxic = 1"), "doc_id")
@@ -250,9 +258,23 @@ def _(t: Tables):
     return t.documents.groupBy("source").agg(L.value_set("lang").alias("langs"), L.argmax("doc_id", "n_chars").alias("longest"))
 
 
-@query("f3_f4_probability_filters", f'WITH {PA} SELECT "Index", "Prob" BETWEEN 0.25 AND 0.75 AS in_range, "Prediction" = 1 AND "Prob" >= 0.6 AS matches FROM pa')
+@query("f3_f4_probability_filters", f'WITH {PA}, x AS (SELECT "Index", CASE WHEN "Index" % 5 > 0 THEN "Prediction" END AS p, CASE WHEN "Index" % 7 > 0 THEN "Prob" END AS q FROM pa) SELECT "Index", q BETWEEN 0.25 AND 0.75 AS in_range, coalesce(p, 1) = 1 AS any_matches, coalesce(p, 1) = 1 AND coalesce(q >= 0.6, false) AS matches FROM x')
+def _(t: Tables):
+    x = t.pa.select("Index", F.when(F.col("Index") % 5 > 0, F.col("Prediction")).alias("p"), F.when(F.col("Index") % 7 > 0, F.col("Prob")).alias("q"))
+    return x.select("Index", L.between("q", 0.25, 0.75).alias("in_range"), L.called("p", 1, "q").alias("any_matches"), L.called("p", 1, "q", 0.6).alias("matches"))
+
+
+@query("f9_diff_length", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN text END AS diff FROM documents) WHERE diff IS NULL OR length(diff) <= 1500")
 def _(t: Tables):
-    return t.pa.select("Index", L.between("Prob", 0.25, 0.75).alias("in_range"), L.called("Prediction", 1, "Prob", 0.6).alias("matches"))
+    return t.documents.withColumn("diff", F.when(F.col("doc_id") % 5 > 0, F.col("text"))).where(L.short_text("diff", 1500)).where(L.short_text("diff", 0)).select("doc_id")
+
+
+@query("f12_small_changes", "WITH x AS (SELECT CASE WHEN l_partkey % 9 > 0 THEN ' ' || l_suppkey || '-' || l_linenumber || ' ' ELSE '  ' END AS k, CASE WHEN l_orderkey % 6 > 0 THEN l_quantity END AS c, l_orderkey * 10 + l_linenumber AS o FROM lineitem), f AS (SELECT trim(k) AS file_change_id, min(o) AS first FROM x WHERE coalesce(c, 0) <= 20 AND trim(k) <> '' GROUP BY 1) SELECT * FROM f ORDER BY first, file_change_id LIMIT 300")
+def _(t: Tables):
+    key = F.when(F.col("l_partkey") % 9 > 0, F.concat(F.lit(" "), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(" "))).otherwise("  ")
+    lines = F.when(F.col("l_orderkey") % 6 > 0, F.col("l_quantity").cast("long").cast("string")).otherwise("")
+    rows = t.lineitem.select(key.alias("file_change_id"), lines.alias("changed_lines"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    return L.small_changes(rows, "file_change_id", "changed_lines", "o", 20, 300)
 
 
 @query("f8_f12_row_filters", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND length(text) <= 2000 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -492,12 +514,15 @@ def _(t: Tables):
 # ---- sources, jobs and streams --------------------------------------------------------------
 
 
-@query("s12_file_groups", r"WITH f AS (SELECT source || '_0-' || CAST(512 * (1 + doc_id % 2) AS VARCHAR) || '_' || CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'validate' WHEN 2 THEN 'test' ELSE 'other' END || '.json' AS name FROM documents WHERE doc_id % 3 <> 2), p AS (SELECT DISTINCT regexp_extract(name, '^(.*?)_(\d+-\d+)_(train|validate|test)\.json$', 1) AS dataset, regexp_extract(name, '^(.*?)_(\d+-\d+)_(train|validate|test)\.json$', 2) AS bucket, regexp_extract(name, '^(.*?)_(\d+-\d+)_(train|validate|test)\.json$', 3) AS split FROM f WHERE regexp_matches(name, '^(.*?)_(\d+-\d+)_(train|validate|test)\.json$')) SELECT dataset, bucket, split FROM p WHERE (dataset, bucket) IN (SELECT (dataset, bucket) FROM p GROUP BY dataset, bucket HAVING count(DISTINCT split) = 3)")
+_NAME = r"'^(.*?)_(\d+-\d+)_(train|validate|test)\.json$'"
+
+
+@query("s12_file_groups", f"WITH f AS (SELECT DISTINCT CAST(doc_id % 10 AS VARCHAR) || '_0-' || CAST(512 * (1 + doc_id % 2) AS VARCHAR) || '_' || CASE (doc_id // 10) % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'validate' WHEN 2 THEN 'test' ELSE 'other' END || '.json' AS name FROM documents WHERE doc_id % 10 > 3 OR (doc_id // 10) % 4 < 2), p AS (SELECT regexp_extract(name, {_NAME}, 1) AS dataset, regexp_extract(name, {_NAME}, 2) AS bucket, regexp_extract(name, {_NAME}, 3) AS split FROM f WHERE regexp_matches(name, {_NAME})) SELECT dataset, bucket, split FROM p WHERE (dataset, bucket) IN (SELECT (dataset, bucket) FROM p GROUP BY dataset, bucket HAVING count(DISTINCT split) = 3)")
 def _(t: Tables):
-    d = F.col("doc_id")
-    kind = F.when(d % 4 == 0, "train").when(d % 4 == 1, "validate").when(d % 4 == 2, "test").otherwise("other")
-    name = F.concat(F.col("source"), F.lit("_0-"), (512 * (1 + d % 2)).cast("string"), F.lit("_"), kind, F.lit(".json"))
-    return S.complete_groups(t.documents.where("doc_id % 3 <> 2").select(name.alias("name")).distinct()).select("dataset", "bucket", "split")
+    d, turn = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10) % 4
+    kind = F.when(turn == 0, "train").when(turn == 1, "validate").when(turn == 2, "test").otherwise("other")
+    name = F.concat(d.cast("string"), F.lit("_0-"), (512 * (1 + F.col("doc_id") % 2)).cast("string"), F.lit("_"), kind, F.lit(".json"))
+    return S.complete_groups(t.documents.where((d > 3) | (turn < 2)).select(name.alias("name")).distinct()).select("dataset", "bucket", "split")
 
 
 @query("s13_devign_layout", "SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS index, text AS code, quality AS label, source FROM documents d JOIN labels l ON d.doc_id = l.doc_id")

@@ -176,9 +176,10 @@ def _(t: Tables):
     return L.invalid(t.documents, L.valid_text("text", 2000)).select("doc_id")
 
 
-@query("f11_weighted_rows", "SELECT doc_id FROM documents WHERE 1.0 + doc_id % 2 > 1.0")
+@query("f11_weighted_rows", "SELECT doc_id, w <= 1.0 AS plain FROM (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 > 0 THEN 0.5 * (doc_id % 4) END, 1.0) AS w FROM documents) WHERE w >= 1.0")
 def _(t: Tables):
-    return L.weighted(t.documents.withColumn("weight", 1.0 + F.col("doc_id") % 2)).select("doc_id")
+    weight = F.when(F.col("doc_id") % 4 > 0, 0.5 * (F.col("doc_id") % 4))
+    return L.weighted(t.documents.withColumn("weight", weight), least=1.0).select("doc_id", (F.coalesce("weight", F.lit(1.0)) <= 1.0).alias("plain"))
 
 
 @query("f14_empty_graphs", "WITH s AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'train' ELSE 'test' END AS split FROM orders) SELECT * FROM s WHERE split <> 'train' OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")

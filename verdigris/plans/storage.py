@@ -14,7 +14,8 @@ from ..operators import chunks as K
 from ..operators import similarity as V
 from ..session import shared_folder
 from ..sources import readers as S
-from ..sources import sinks
+from ..sources import sinks, splits
+from ..sources.deltas import KeyedTable
 from ..streaming import online
 from .registry import PA, Tables, cells_sql, query, rates_sql
 
@@ -54,6 +55,20 @@ def _(t: Tables):
     return S.read_csv(t.spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query("s5_csv_splits", "SELECT doc_id, nullif(text, '') AS text, source FROM documents")
+def _(t: Tables):
+    path = shared_folder(t.spark, "quoted")
+    sinks.write_csv(t.documents, path, ["doc_id", "text", "source"])
+    return splits.read_csv_splits(t.spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+
+
+@query("s2_array_scan", "SELECT item_id, text FROM benchmark")
+def _(t: Tables):
+    path = shared_folder(t.spark, "scanned") + ".json"
+    sinks.write_json_array(t.benchmark.select("item_id", "text"), path, ["item_id"])
+    return splits.scan_json_array(t.spark, path, ITEM)
+
+
 @query("s6_tsv", "SELECT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst, l_linestatus AS kind FROM lineitem")
 def _(t: Tables):
     path = shared_folder(t.spark, "tsv")
@@ -204,14 +219,15 @@ def _stored(t: Tables, df: DataFrame, name: str) -> str:
 
 
 def _run(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Runs a stream to its end; the result of its last micro-batch, read from the shared folder."""
+    """Runs a stream to its end; the result of its last micro-batch, or in append mode of all, read from the shared folder."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch if mode == 'append' else 0}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/out") if sinks.exists(spark, f"{folder}/out") else spark.createDataFrame([], stream.schema)
 
 
 @query("m2_online_confusion", f"WITH {PA}, c AS (SELECT {cells_sql()} FROM pa) SELECT *, {rates_sql()} FROM c")
@@ -220,21 +236,44 @@ def _(t: Tables):
     return _run(online.running_confusion(online.file_stream(t.spark, path, t.pa.schema)), shared_folder(t.spark, "online"), "complete")
 
 
-@query("m2_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(count(value) AS BIGINT) AS total FROM events GROUP BY ALL")
+@query("m2_stateful_confusion", f"WITH {PA}, x AS (SELECT pa.*, source FROM pa JOIN documents ON doc_id = \"Index\"), c AS (SELECT source, {cells_sql()} FROM x GROUP BY source) SELECT *, {rates_sql()} FROM c")
+def _(t: Tables):
+    rows = t.pa.join(t.documents.select(F.col("doc_id").alias("Index"), "source"), "Index").withColumn("at", F.timestamp_seconds(F.col("Index") + 1_700_000_000))
+    path, folder = _stored(t, rows, "predictions"), shared_folder(t.spark, "tallies")
+    rows.write.mode("append").parquet(path)  # a replay: every sample comes twice
+    stream = online.tallies(online.file_stream(t.spark, path, rows.schema, files_per_trigger=8), ["source"], "Index", "at", late="3650 days", shards=4)
+    table = KeyedTable(t.spark, f"{folder}/table", stream.schema, "part", "n", buckets=4)
+    online.upsert_batches(stream, table, f"{folder}/state").awaitTermination()
+    return online.tally_rates(table.read(), ["source"])
+
+
+@query("m2_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(count(value) AS BIGINT) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 def _(t: Tables):
     ones = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.when(F.col("value").isNotNull(), 1).otherwise(0).alias("one"))
     stream = online.windowed(online.file_stream(t.spark, _stored(t, ones, "events"), ones.schema), "ts", "1 hour", "1 hour", ["event_type"], "one")
-    return _run(stream, shared_folder(t.spark, "windows"), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    return _run(stream, shared_folder(t.spark, "windows"), "append").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 @query("k9_upsert_batches", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
 def _(t: Tables):
     rows, folder = t.orders.select("o_custkey", "o_orderkey"), shared_folder(t.spark, "upsert")
-    stream = online.file_stream(t.spark, _stored(t, rows.repartition(4, "o_orderkey"), "orders"), rows.schema, files_per_trigger=2)
-    q = online.upsert_batches(stream, f"{folder}/out", f"{folder}/state", "o_custkey", "o_orderkey", sinks.upsert)
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
-    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out/v={last}")
+    stream = online.file_stream(t.spark, _stored(t, rows.repartition(4, "o_orderkey"), "orders"), rows.schema, files_per_trigger=1)
+    table = KeyedTable(t.spark, f"{folder}/table", rows.schema, "o_custkey", "o_orderkey", buckets=4)
+    online.upsert_batches(stream, table, f"{folder}/state", compact_every=3).awaitTermination()
+    return table.read()
+
+
+@query("k8_base_and_deltas", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) || '!' WHEN c_custkey % 5 = 0 THEN lower(c_name) ELSE c_name END AS c_name, CAST(CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS changed FROM customer")
+def _(t: Tables):
+    row = lambda name, n: t.customer.select("c_custkey", name.alias("c_name"), F.lit(n).alias("changed"))
+    table = KeyedTable(t.spark, shared_folder(t.spark, "deltas"), "c_custkey long, c_name string, changed int", "c_custkey", "changed", buckets=8)
+    table.upsert(row(F.col("c_name"), 1))
+    table.upsert(row(F.lower("c_name"), 2).where("c_custkey % 5 = 0"))
+    table.compact(layers=1)
+    table.upsert(row(F.upper("c_name"), 3).where("c_custkey % 3 = 0"))
+    table.upsert(row(F.concat(F.upper("c_name"), F.lit("!")), 3).where("c_custkey % 3 = 0"))  # of equal versions the last one stays
+    table.upsert(row(F.lit("late"), 0))
+    return table.read()
 
 
 @query("k9_key_ranges", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE doc_id IS NOT NULL")
@@ -244,4 +283,5 @@ def _(t: Tables):
     work = lambda part: part.select("doc_id", F.length("text").cast("long").alias("n"))
     for _again in range(2):  # the second run finds every range done
         online.by_key_range(t.documents, "doc_id", width, path, work)
-    return t.spark.read.schema("doc_id long, n long").option("recursiveFileLookup", True).parquet(path)
+    done = "doc_id long, n long"
+    return t.spark.read.schema(done).option("recursiveFileLookup", True).parquet(path) if sinks.exists(t.spark, path) else t.spark.createDataFrame([], done)

@@ -131,6 +131,32 @@ def draper(df: DataFrame, flags: list[str], source: str = "functionSource") -> D
     return rows.select(F.col("index").cast("long"), F.col("x_.code").alias("code"), F.when(F.size(cwe) > 0, cwe).alias("cwe"), (F.size(cwe) > 0).cast("int").alias("label"))
 
 
+def d2a_records(raw: DataFrame, value: str = "value") -> DataFrame:
+    """The columns that d2a() takes from raw nested records, a JSON object a row.
+
+    The key of the function is that of the first trace entry of the bug's file and procedure, its code that of the first
+    entry of `functions` (an object of objects, in the order of its keys' text) of that file and name. Records
+    without either come out with nulls, which d2a() drops, as it does those of the after-fix extractor. Variant values
+    hold the records, so nothing of their many other fields needs a schema.
+    """
+    text = lambda c, path: F.try_variant_get(c, path, "string")
+    r = raw.select(F.monotonically_increasing_id().alias("row_"), F.try_parse_json(value).alias("r_"))
+    file, name = text(F.col("r_"), "$.bug_info.file"), text(F.col("r_"), "$.bug_info.procedure")
+    head = r.select(
+        "row_", "r_", text(F.col("r_"), "$.label_source").alias("label_source"), F.try_variant_get("r_", "$.label", "int").alias("label"), text(F.col("r_"), "$.bug_type").alias("bug_type"),
+        text(F.col("r_"), "$.project").alias("project"), F.try_variant_get("r_", "$.bug_info.line", "int").alias("bug_line"), file.alias("file_"), name.alias("name_"),
+    )
+    entry = "struct<file:string,func_name:string,func_key:string>"
+    traces = F.try_variant_get("r_", "$.trace", f"array<{entry}>")
+    functions = F.map_values(F.try_variant_get("r_", "$.functions", "map<string,struct<file:string,name:string,code:string>>"))
+
+    def first(entries: Column, kind: str, field: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: (e["file"] == F.col("file_")) & (e[kind] == F.col("name_"))), F.lit(1))[field]
+
+    found = head.withColumn("func_key", first(traces, "func_name", "func_key")).withColumn("code", first(functions, "name", "code"))
+    return found.withColumn("location", F.col("func_key")).drop("row_", "r_", "file_", "name_")
+
+
 def d2a(df: DataFrame) -> DataFrame:
     """Bug records to one row per function, with its distinct bug lines.
 
