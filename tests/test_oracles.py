@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 def test_queries_without_sql_are_those_checked_below():
-    assert set(REG.QUERIES) - set(REG.ORACLES) == {"c1_changed_ranges", "c3_split_oversized", "c4_c5_structural_chunks"}
+    assert set(REG.QUERIES) - set(REG.ORACLES) == {"c1_changed_ranges", "c3_split_oversized", "c4_c5_structural_chunks", "q14_contrastive_pairs", "q14_changed_chunks"}
 
 
 def gathered(df, key):
@@ -90,3 +90,46 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 1 and "f1" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pairs_of_the_export(spark, sf):
+    """q14: lists, filters, joins, pairs, ranges and splits by plain loops."""
+    import hashlib
+
+    turns = [r.asDict() for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    taken = {r["conv_id"] for r in turns if r["turn"] * 60 <= 200 and r["conv_id"] % 11 != 3}
+    taken = {c for c in taken if c % 4 or c % 90 <= 60}
+    methods = defaultdict(list)
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        c = r["conv_id"]
+        code = "same\ntext" if c % 5 == 0 else r["text"]
+        if c in taken and code is not None and code.strip(" ") and len(code) <= 2000:
+            key = "sig::sig" if c % 3 == 0 else f"name::m{r['turn'] // 2 % 2}"
+            methods[c, key].append((r["role"] == "user", r["turn"] + 1, code))
+    want = {}
+    for (c, key), rows in methods.items():
+        cve = f"CVE-{c % 7}" if c % 2 == 0 else None
+        cwe = str(c % 7 + 70) if c % 2 == 0 and c % 7 < 5 else None
+        for k, (b, a) in enumerate(zip((r for r in rows if r[0]), (r for r in rows if not r[0]))):
+            if b[2] == a[2]:
+                continue
+            pair = f"{cve}::h{c}::{c}::f{c}.c::{key}"
+            h = int(hashlib.md5(f"42::{pair}".encode()).hexdigest()[:8], 16) % 100
+            want[pair, k + 1] = ("train" if h < 80 else "validate" if h < 90 else "test", cve, cwe, b[1], a[1], b[2], a[2])
+    got = {(r["pair_id"], r["nth"]): r for r in REG.QUERIES["q14_contrastive_pairs"](spark, sf).collect()}
+    assert got.keys() == want.keys() and got
+    assert {k: (r["split"], r["cve_id"], r["cwe_id"], r["before_id"], r["after_id"]) for k, r in got.items()} == {k: w[:5] for k, w in want.items()}
+    ranges = {k: [[tuple(map(int, x)) for x in re.findall(r"\{(\d+), (\d+)\}", r[s])] for s in ("before_ranges", "after_ranges")] for k, r in got.items()}
+    chunks = gathered(REG.QUERIES["q14_changed_chunks"](spark, sf), ["pair_id", "nth"])
+    for k, (*_, before, after) in want.items():
+        meant = []
+        for side, code, changed in (("before", before, ranges[k][0]), ("after", after, ranges[k][1])):
+            lines = code.removesuffix("\n").split("\n")
+            for i in range(0, len(lines), 2):
+                s, e = i + 1, min(i + 2, len(lines))
+                if any(s <= b and a <= e for a, b in changed):
+                    meant.append((side, i // 2, s, e, "1" if side == "before" else "0", "\n".join(lines[i : i + 2])))
+        if len({m[0] for m in meant}) < 2:
+            meant = []
+        assert sorted((r["side"], r["chunk_id"], r["start_line"], r["end_line"], r["label"], r["chunk_text"]) for r in chunks.pop(k, [])) == sorted(meant)
+    assert not chunks

@@ -273,9 +273,11 @@ def correct_spacing(text, pairs=((" .", "."), (" ,", ","), (" !", "!"), (" ?", "
 def binary_label(response) -> tuple[Column, Column]:
     """(label, how it was found) of a reviewer's reply: the first JSON object in it, the quoted field, the whole text, its last line."""
     t = F.trim(F.coalesce(_c(response), F.lit("")))
-    # the object is looked for anywhere, also in a fence; brackets inside it may nest once
+    # the object is looked for anywhere, also in a fence: all from the first bracket to the last, of any depth, else the
+    # first object that nests once
+    whole = F.try_variant_get(F.try_parse_json(F.regexp_extract(t, r"(?s)(\{.*\})", 1)), "$.vulnerable", "string")
     block = F.regexp_extract(t, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
-    obj = F.lower(F.trim(F.when(block != "", F.get_json_object(block, "$.vulnerable"))))
+    obj = F.lower(F.trim(F.coalesce(whole, F.when(block != "", F.get_json_object(block, "$.vulnerable")))))
     field = F.regexp_extract(F.lower(t), r'"vulnerable"\s*:\s*"?(yes|no|true|false|0|1)"?', 1)
     last = F.trim(F.regexp_extract(t, r"([^\n]*)$", 1))
 

@@ -8,11 +8,10 @@ import re
 import pandas as pd
 
 from .lazy import arrow_udf
+from .syntax import LITERAL_OR_COMMENT
 
 # Fixed value: a JSON object in a fence.
 _FENCED_JSON = re.compile(r"```json\s*(\{.*?\})\s*```", re.S | re.I)
-# Fixed value: literals and comments of C-like languages.
-_STRING_OR_COMMENT = re.compile(r"""//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*\"""", re.S | re.M)
 
 
 def json_candidates(text: str | None) -> list[str]:
@@ -74,7 +73,7 @@ def strip_code_comments(codes: pd.Series) -> pd.Series:
     def one(code: str | None) -> str | None:
         if code is None:
             return None
-        out = _STRING_OR_COMMENT.sub(lambda m: " " if m[0][0] == "/" else m[0], code)
+        out = LITERAL_OR_COMMENT.sub(lambda m: " " if m[0][0] == "/" else m[0], code)
         return "\n".join(x for x in out.split("\n") if x.strip())
 
     return codes.map(one)

@@ -16,7 +16,7 @@ import pandas as pd
 from .lazy import arrow_udf
 
 # Fixed value: literals and comments of C-like languages, an open one up to the end.
-_OPAQUE = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?""", re.S)
+LITERAL_OR_COMMENT = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?""", re.S)
 #: Blocks beyond this depth belong to the statement around them.
 DEPTH = 100
 _SPACE = frozenset(" \t\n\r\x0b\x0c")
@@ -39,7 +39,7 @@ def bracket_tree(text: str) -> Node:
     i, round_depth, deep = 0, 0, 0
     while i < len(text):
         c = text[i]
-        if c in "/\"'`" and (m := _OPAQUE.match(text, i)):
+        if c in "/\"'`" and (m := LITERAL_OR_COMMENT.match(text, i)):
             i = m.end()
             continue
         if c in "([":
@@ -183,7 +183,7 @@ _ASSIGN = re.compile(r"(?<![=!<>+\-*/%&|^])([+\-*/%&|^]|<<|>>)?=(?!=)")
 
 def variables(text: str) -> list[tuple[int, str]]:
     """(offset, name) of the variables of a text, in order: words that are no keyword, call, member or literal."""
-    blank = re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), _OPAQUE.sub(lambda m: " " * len(m[0]), text))
+    blank = re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), LITERAL_OR_COMMENT.sub(lambda m: " " * len(m[0]), text))
     out = []
     for m in _WORD.finditer(blank):
         before, after = blank[: m.start()].rstrip(), blank[m.end() :].lstrip()
@@ -197,8 +197,8 @@ def data_flow(text: str | None) -> list[tuple[int, str, list[int]]]:
     """(offset, name, offsets its value may come from) of every variable of a C-like text.
 
     Statements are followed in order. An assigned variable comes from the variables of the right side, a read one
-    from its last definitions; after a block that may not run, both its definitions and those before it hold, and a
-    loop's block is followed twice, so that what one turn defines reaches the next.
+    from its last definitions. Each branch of an if begins from the state before it, and what follows has the definitions
+    of all branches that may have run; a loop's block is followed until its turns define nothing new.
     """
     text = text or ""
     found: dict[int, tuple[str, set[int]]] = {}
@@ -213,7 +213,7 @@ def data_flow(text: str | None) -> list[tuple[int, str, list[int]]]:
         return seen
 
     def plain(a: int, b: int, state: dict[str, set[int]]) -> None:
-        m = _ASSIGN.search(_OPAQUE.sub(lambda m: " " * len(m[0]), text[a:b]))
+        m = _ASSIGN.search(LITERAL_OR_COMMENT.sub(lambda m: " " * len(m[0]), text[a:b]))
         if not m:
             read(a, b, state)
             return
@@ -227,24 +227,67 @@ def data_flow(text: str | None) -> list[tuple[int, str, list[int]]]:
             sources |= set(right) | (state.get(name, set()) if m[1] else set())
             state[name] = {a + at}
 
-    def run(nodes: list[Node], state: dict[str, set[int]]) -> None:
+    State = dict[str, set[int]]
+    back: dict[int, State] = {}  # by loop: what its turns have defined so far
+
+    def copy(state: State) -> State:
+        return {k: set(v) for k, v in state.items()}
+
+    def join(into: State, *others: State) -> State:
+        for other in others:
+            for k, v in other.items():
+                into.setdefault(k, set()).update(v)
+        return into
+
+    def block(n: Node, state: State) -> State:
+        """The state after the head and the block, from a state that stays as it is."""
+        after = copy(state)
+        plain(n.start, n.children[0].start if n.children else n.end, after)
+        run(n.children, after)
+        return after
+
+    def run(nodes: list[Node], state: State) -> None:
+        base: State | None = None  # before an if, for its else
         for n in nodes:
             if not n.children and "{" not in text[n.start : n.end]:
                 plain(n.start, n.end, state)
+                base = None
+                continue
+            words = _WORD.findall(text[n.start : n.children[0].start if n.children else n.end])
+            kind = words[0] if words else ""
+            if kind == "else" and base is not None:
+                after = block(n, base)
+                taken.append(after)
+                if words[1:2] == ["if"]:
+                    join(state, after)
+                else:  # one of the branches has run: what only the state before held is gone
+                    state.clear()
+                    join(state, *taken)
+                    base = None
                 continue
-            body = n.children[0].start if n.children else n.end
-            head = text[n.start : body]
-            word = _WORD.search(head)
-            kind = word[0] if word else ""
-            plain(n.start, body, state)
-            before = {k: set(v) for k, v in state.items()}
-            for _ in range(2 if kind in ("for", "while", "do") else 1):
-                run(n.children, state)
-            if kind in ("if", "else", "for", "while", "switch", "case", "catch"):
-                for k, v in before.items():
-                    state.setdefault(k, set()).update(v)
-
-    run(bracket_tree(text).children, {})
+            base = None
+            if kind in ("for", "while", "do"):
+                after = block(n, join(copy(state), back.get(n.start, {})))
+                join(back.setdefault(n.start, {}), after)
+                join(state, after)
+            elif kind == "if":
+                base = copy(state)
+                plain(n.start, n.children[0].start if n.children else n.end, base)
+                taken = [block(n, state)]
+                join(state, base, *taken)
+            elif kind in ("switch", "case", "catch", "else"):
+                join(state, block(n, state))
+            else:
+                after = block(n, state)
+                state.clear()
+                state.update(after)
+
+    nodes = bracket_tree(text).children
+    while True:  # a pass over the text brings a loop's definitions back to its head; the last one finds nothing new
+        known = {k: copy(v) for k, v in back.items()}
+        run(nodes, {})
+        if back == known:
+            break
     return [(at, name, sorted(sources - {at})) for at, (name, sources) in sorted(found.items())]
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from . import sketches
-from .ranking import rank_by_number
+from . import sketches, tables
+from .ranking import number_rows, rank_by_number
 from .scans import CHUNK_ROWS, scan
 
 
@@ -61,13 +61,27 @@ def methods_with_classes(files: DataFrame, methods: DataFrame, fixes: DataFrame,
     return skew_join(methods, skew_join(files, known, ["hash"], "left"), ["file_change_id"])
 
 
-def zip_pairs(df: DataFrame, keys: list[str], side: Column, order: str, columns: list[str]) -> DataFrame:
+def review_groups(preds: DataFrame, chunks: DataFrame, code: DataFrame, sample: str, value: int = 1, least: float | None = None, index: str = "chunk_index", text: str = "chunk_text") -> DataFrame:
+    """The called chunks of each sample with its full code, numbered from 1 in the order of samples.
+
+    preds (sample, index, pred, prob) that are called, in order, with their chunk's text, or null if it has none. A sample without
+    code or without any chunk is left out. A group gathers one sample's chunks.
+    """
+    hit = preds.where(tables.called("pred", value, "prob", least))
+    known = chunks.select(sample).distinct()
+    rows = hit.join(known, sample, "left_semi").join(chunks.select(sample, index, F.col(text).alias("text")), [sample, index], "left")
+    grouped = rows.groupBy(sample).agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct(index, "text", "prob"))).alias("chunks"))
+    groups = grouped.join(code.select(sample, "code"), sample)
+    return number_rows(groups, [F.col(sample)], "group_index").withColumn("group_index", F.col("group_index") + 1)
+
+
+def zip_pairs(df: DataFrame, keys: list[str], side: Column, order: str | list[str], columns: list[str]) -> DataFrame:
     """The k-th `before` row of a group with its k-th `after` row; surplus rows stay out.
 
     One shuffle: both sides are numbered and folded under the same grouping keys, with no self-join.
     """
     kept = df.withColumn("side_", side).where("side_ is not null")
-    w = Window.partitionBy(*keys, "side_").orderBy(order)
+    w = Window.partitionBy(*keys, "side_").orderBy(*([order] if isinstance(order, str) else order))
     n = kept.withColumn("nth", F.row_number().over(w))
     row = F.struct(*columns)
     both = n.groupBy(*keys, "nth").agg(F.max(F.when(F.col("side_"), row)).alias("before"), F.max(F.when(~F.col("side_"), row)).alias("after"))

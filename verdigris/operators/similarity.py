@@ -191,6 +191,21 @@ def node_embeddings(tokens: DataFrame, vectors: DataFrame, node: list[str], toke
     return means.groupBy(*node).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: F.round(s["m"], 6)).alias(vector))
 
 
+def node_features(nodes: DataFrame, tokens: DataFrame, vectors: DataFrame, node: list[str], types: list[str], size: int, kind: str = "type", token: str = "token", vector: str = "vector") -> DataFrame:
+    """G1: nodes plus `features`: one of types as 0s and a 1, then the mean vector of the node's tokens.
+
+    A token without a vector counts with zeros; a node without tokens has zeros. Sums are taken per dimension where the tokens
+    lie, so a node with many is no task's own.
+    """
+    counted = tokens.groupBy(*node).agg(F.count("*").alias("n_"))
+    long = tokens.join(vectors, token).select(*node, F.posexplode(vector).alias("d", "x"))
+    sums = long.groupBy(*node, "d").agg(F.sum(F.col("x").cast("double")).alias("s")).groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("s_"))
+    mean = F.coalesce(F.transform("s_", lambda x: x["s"] / F.col("n_")), F.array_repeat(F.lit(0.0), size))
+    one = F.array(*[(F.col(kind) == x).cast("double") for x in types])
+    joined = nodes.join(counted, node, "left").join(sums, node, "left")
+    return joined.select(*nodes.columns, F.concat(one, mean).alias("features"))
+
+
 def word_vectors(df: DataFrame, tokens: str, size: int = 128, seed: int = 42):
     """Word2Vec over token arrays (window and epochs as given to the estimator)."""
     from pyspark.ml.feature import Word2Vec

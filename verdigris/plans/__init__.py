@@ -3,6 +3,6 @@
 
 def library():
     """The registry, with all query modules loaded."""
-    from . import building, flows, lookups, registry, scoring, sizes, storage  # noqa: F401
+    from . import building, export, flows, lookups, registry, scoring, sizes, storage  # noqa: F401
 
     return registry

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,28 +90,36 @@ def replace_folder(df: DataFrame, path: str) -> None:
 
 
 def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> int:
-    """K2: one file with an array of all rows, an object a line, written as they arrive: neither driver nor task holds the table.
+    """K2: one file with an array of all rows, an object a line. Returns the number of rows.
 
-    Returns the number of rows. The file appears under its name only once it is whole.
+    Tasks write the objects, in ranges of the order; then the file system's streams put their files together, so neither
+    the driver's Python nor its memory sees a row. The file appears under its name only once it is whole.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs_path, copy = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    target, part, pieces = fs_path(path), fs_path(f"{path}.part"), fs_path(f"{path}.pieces")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = df.orderBy(*order) if order else df
-    out, n = fs.create(part, True), 0
+    seen = Observation()
+    rows = (df.orderBy(*order) if order else df).select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").text(pieces.toString())
+    files = sorted(s.getPath().getName() for s in fs.listStatus(pieces) if s.getPath().getName().startswith("part-") and s.getLen())
+    out = fs.create(part, True)
     try:
-        out.write(bytearray(b"["))
-        for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            out.write(bytearray(((",\n" if n else "\n") + r["j"]).encode()))
-            n += 1
-        out.write(bytearray(b"\n]\n"))
+        out.write(bytearray(b"[\n"))
+        for i, name in enumerate(files):
+            source = fs.open(fs_path(pieces, name))
+            source.seek(0 if i else 1)  # the first object has no comma before it
+            copy(source, out, 1 << 16, False)
+            source.close()
+        out.write(bytearray(b"]\n"))
     finally:
         out.close()
+    fs.delete(pieces, True)
     fs.delete(target, False)
     if not fs.rename(part, target):
         raise OSError(f"cannot write {path}")
-    return n
+    return seen.get["n"]
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, title: str = "report") -> None:
