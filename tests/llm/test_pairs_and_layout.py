@@ -1,5 +1,6 @@
 """op3, op4, op5, op6, op8, op9 and the pipeline: against brute force, and on odd rows."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -633,3 +634,47 @@ def test_components_of_hubs_chains_and_random_edges(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_op5_trees_and_scores_equal_plain_boosting(spark, sf):
+    """The trees of the query's model, grown again by loops over its binned rows."""
+    pages = common.table(spark, sf, "pages").select("page_id", "url")
+    scored = url_filter.filter_urls(pages)
+    labelled = scored.where("rule is not null").select("url", F.element_at(F.create_map(*[F.lit(x) for v, r in url_filter.RULES for x in (r, 1.0 if v == "block" else 0.0)]), F.col("rule")).alias("label"))
+    model = url_filter.train(labelled)
+    distinct = labelled.select(F.coalesce("url", F.lit("")).alias("url"), F.col("label").alias("y")).groupBy("url", "y").agg(F.count("*").alias("w"))
+    feats = model.features(F.col("url"))
+    rows = distinct.select("url", "y", "w", *[feats[n].alias(n) for n in model.names]).select("y", "w", *model.binned({n: F.col(n) for n in model.names})).collect()
+    data = [([r[f"f{i}"] for i in range(len(model.names))], r["y"], r["w"]) for r in rows]
+    margins = [model.prior] * len(data)
+    assert len(model.trees) == 10
+    for splits, leaves in model.trees:
+        grads = [(w * (y - 1 / (1 + math.exp(-m))), w * (1 / (1 + math.exp(-m))) * (1 - 1 / (1 + math.exp(-m)))) for (_, y, w), m in zip(data, margins)]
+        at = [0] * len(data)
+        for _ in range(3):
+            for leaf in sorted(set(at)):
+                here = [i for i, a in enumerate(at) if a == leaf]
+                G, H = sum(grads[i][0] for i in here), sum(grads[i][1] for i in here)
+
+                def gain(f, cut, least=0.0):
+                    g, h = (sum(grads[i][k] for i in here if data[i][0][f] <= cut) for k in (0, 1))
+                    return g * g / (h + 1) + (G - g) ** 2 / (H - h + 1) - G * G / (H + 1) if min(h, H - h) >= least else -1.0
+
+                every = [gain(f, cut, 0.5 + 1e-4) for f in range(len(model.names)) for cut in sorted({data[i][0][f] for i in here})[:-1]]
+                if leaf in splits:  # the split taken is the best one, up to the rounding of its sums
+                    assert gain(*splits[leaf]) >= max(every) - 1e-3
+                    f, cut = splits[leaf]
+                    for i in here:
+                        at[i] = 2 * leaf + (1 if data[i][0][f] <= cut else 2)
+                else:
+                    assert all(x <= 1e-3 for x in every)
+                assert leaf in splits or leaves[leaf] == pytest.approx(0.3 * G / (H + 1), abs=1e-4)
+        for leaf in set(at):
+            here = [i for i, a in enumerate(at) if a == leaf]
+            assert leaves[leaf] == pytest.approx(0.3 * sum(grads[i][0] for i in here) / (sum(grads[i][1] for i in here) + 1), abs=1e-4)
+        margins = [m + leaves[a] for m, a in zip(margins, at)]
+    by_bins = {tuple(b): 1 / (1 + math.exp(-m)) for (b, _, _), m in zip(data, margins)}
+    got = scored.select(F.coalesce("url", F.lit("")).alias("url"), "block_score").distinct()
+    got = got.select("block_score", "url", *[model.features(F.col("url"))[n].alias(n) for n in model.names]).select("block_score", *model.binned({n: F.col(n) for n in model.names})).collect()
+    known = [(r["block_score"], by_bins[k]) for r in got if (k := tuple(r[f"f{i}"] for i in range(len(model.names)))) in by_bins]
+    assert len(known) >= 20 and all(a == pytest.approx(b, abs=1e-6) for a, b in known)

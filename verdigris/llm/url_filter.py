@@ -173,12 +173,12 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
         if not model.names:
             return model
         width = range(len(model.names))
-        binned = known.select("y", "w", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n")).persist()
+        binned = known.select("y", "w", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n")).withColumn("margin", F.lit(model.prior)).persist()
         binned.count()
         known.unpersist()
         try:
             for _ in range(n_trees):
-                grow(model, binned, depth, rate, l2)
+                binned = grow(model, binned, depth, rate, l2)
         finally:
             binned.unpersist()
         return model
@@ -186,9 +186,12 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
         sample.unpersist()
 
 
-def grow(model: Boosted, binned: DataFrame, depth: int, rate: float, l2: float) -> None:
-    """Adds one tree; each level is one aggregation to (leaf, feature, bin) sums of gradients and hessians."""
-    p = 1 / (1 + F.exp(-model.margin()))
+def grow(model: Boosted, binned: DataFrame, depth: int, rate: float, l2: float) -> DataFrame:
+    """Adds one tree; each level is one aggregation to (leaf, feature, bin) sums of gradients and hessians.
+
+    binned, which is cached, has the margin under the trees so far; it is let go, and the table with the new tree's margin cached.
+    """
+    p = 1 / (1 + F.exp(-F.col("margin")))
     data = binned.withColumn("g", F.col("y") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
     splits, leaves = {}, {0: 0.0}
     model.trees.append((splits, leaves))
@@ -224,6 +227,10 @@ def grow(model: Boosted, binned: DataFrame, depth: int, rate: float, l2: float)
                 grew = True
         if not grew:
             break
+    out = binned.withColumn("margin", F.col("margin") + model.value(len(model.trees) - 1)).persist()
+    out.count()
+    binned.unpersist()
+    return out
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None, threshold: float = 0.5, **training) -> DataFrame:
