@@ -6,61 +6,93 @@ on unique keys. Ranks come from `ranking`, so no class and no table is sorted in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import shuffle_key
 from .ranking import rank_by_hash, rank_by_number
 
+#: Hexadecimal digits of the shuffling hash by which rows are counted first, and the values they take.
+DIGITS = 3
+PREFIXES = 16**DIGITS
+
 
 def _shuffled(df: DataFrame, by: list[str], key: str, seed: str) -> DataFrame:
     return rank_by_hash(df, by, shuffle_key(key, seed), key)
 
 
-def _with(df: DataFrame, facts: DataFrame) -> DataFrame:
-    """Adds a one-row table's columns to every row."""
-    return df.crossJoin(F.broadcast(facts))
+def _first(df: DataFrame, by: list[str], key: str, seed: str, keep: Column) -> DataFrame:
+    """The first rows of each group in shuffled order: `keep` of them, a column over the groups' rows (by, size_).
+
+    The first digits of the hash are counted by group, a histogram that says where each group's cut lies; rows before it
+    are a filter, and only those with the very digits of a cut (one in PREFIXES) are ranked. No row is shuffled but those.
+    """
+    prefix = F.conv(F.substring("hash_", 1, DIGITS), 16, 10).cast("int")
+    rows = df.withColumn("hash_", shuffle_key(key, seed)).withColumn("prefix_", prefix)
+    names = [f"b{i}_" for i in range(len(by))]
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)])
+    keeps = df.groupBy(*by).agg(F.count("*").alias("size_")).select(*by, keep.cast("long").alias("keep_")).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "keep_")
+    counts = rows.groupBy(*by, "prefix_").agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(Window.partitionBy(*by).orderBy("prefix_"))  # PREFIXES rows a group
+    counts = counts.withColumn("upto_", upto).join(keeps, same)
+    cuts = counts.where((F.col("upto_") >= F.col("keep_")) & (F.col("upto_") - F.col("c_") < F.col("keep_")))
+    cuts = cuts.select(*names, F.col("prefix_").alias("cut_"), (F.col("keep_") - F.col("upto_") + F.col("c_")).alias("need_"))
+    met = rows.join(cuts, same)  # a row a group
+    before = met.where(F.col("prefix_") < F.col("cut_")).select(*df.columns)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("hash_", key))
+    at = met.where(F.col("prefix_") == F.col("cut_")).withColumn("nth_", nth).where(F.col("nth_") <= F.col("need_"))
+    return before.unionByName(at.select(*df.columns))
+
+
+def _sum_of(c: Column, by: list[str] | None = None) -> Column:
+    """Over the groups' rows."""
+    return F.sum(c).over(Window.partitionBy(*(by or [])))
+
+
+def _share(limit: int, n: Column) -> Column:
+    """size_ while n rows are within the limit, else its share of it, rounded half to even."""
+    return F.when(n <= limit, F.col("size_")).otherwise(F.bround(F.col("size_") * ((F.lit(float(limit)) + 0.1) / n)))
+
+
+def _negatives(label: str, ratio: float, pos: Column) -> Column:
+    """All of the positives, and round(pos / ratio - pos) of any other class."""
+    return F.when(F.col(label) == 1, F.col("size_")).otherwise(F.least(F.col("size_"), F.bround(pos / F.lit(ratio) - pos)))
+
+
+def _positives(label: str, by: list[str] | None = None) -> Column:
+    return F.coalesce(_sum_of(F.when(F.col(label) == 1, F.col("size_")), by), F.lit(0))
 
 
 def truncate(df: DataFrame, limit: int, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """About `limit` rows, each class in its share (half-even rounding of count * (limit + 0.1) / n)."""
-    r = _with(_shuffled(df, [label], key, seed), df.agg(F.count("*").alias("n_")))
-    keep = F.bround(F.col("size_") * ((F.lit(float(limit)) + 0.1) / F.col("n_")))
-    return r.where((F.col("n_") <= limit) | (F.col("rank_") <= keep)).select(*df.columns)
+    return _first(df, [label], key, seed, _share(limit, _sum_of(F.col("size_"))))
 
 
 def truncate_buckets(df: DataFrame, limit: int, bucket: str, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """One ratio for all buckets, set by the largest."""
-    r = _with(_shuffled(df, [bucket, label], key, seed), df.groupBy(bucket).count().agg(F.max("count").alias("n_")))
-    keep = F.bround(F.col("size_") * ((F.lit(float(limit)) + 0.1) / F.col("n_")))
-    return r.where((F.col("n_") <= limit) | (F.col("rank_") <= keep)).select(*df.columns)
+    n = df.groupBy(bucket).count().agg(F.max("count")).first()[0] or 0
+    return _first(df, [bucket, label], key, seed, _share(limit, F.lit(n)))
 
 
 def to_positive_ratio(df: DataFrame, ratio: float, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """Z3: all positives, and round(pos / ratio - pos) negatives."""
-    r = _with(_shuffled(df, [label], key, seed), df.agg(F.count_if(F.col(label) == 1).alias("pos_")))
-    return r.where((F.col(label) == 1) | (F.col("rank_") <= F.bround(F.col("pos_") / F.lit(ratio) - F.col("pos_")))).select(*df.columns)
+    return _first(df, [label], key, seed, _negatives(label, ratio, _positives(label)))
 
 
 def buckets_to_ratio(df: DataFrame, ratio: float, bucket: str, limit: int | None = None, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """Z3 in each bucket by itself, and then, with a limit, Z1."""
-    pos = df.groupBy(bucket).agg(F.count_if(F.col(label) == 1).alias("pos_"))
-    r = _shuffled(df, [bucket, label], key, seed).join(F.broadcast(pos), bucket)  # a row per bucket
-    kept = r.where((F.col(label) == 1) | (F.col("rank_") <= F.bround(F.col("pos_") / F.lit(ratio) - F.col("pos_")))).select(*df.columns)
-    if limit is None:
-        return kept
-    n = kept.groupBy(bucket).agg(F.count("*").alias("n_"))
-    r = _shuffled(kept, [bucket, label], key, seed).join(F.broadcast(n), bucket)
-    share = F.bround(F.col("size_") * ((F.lit(float(limit)) + 0.1) / F.col("n_")))
-    return r.where((F.col("n_") <= limit) | (F.col("rank_") <= share)).select(*df.columns)
+    kept = _first(df, [bucket, label], key, seed, _negatives(label, ratio, _positives(label, [bucket])))
+    return kept if limit is None else _first(kept, [bucket, label], key, seed, _share(limit, _sum_of(F.col("size_"), [bucket])))
 
 
 def one_to_n(df: DataFrame, n: int, label: str = "label", key: str = "index", seed: str = "42") -> DataFrame:
     """N negatives per positive; fails where there are too few."""
-    facts = df.agg(F.count_if(F.col(label) == 1).alias("pos_"), F.count_if(F.col(label) == 0).alias("neg_"))
-    ok = F.when(F.col("neg_") < F.col("pos_") * n, F.raise_error(F.lit("too few negatives")).cast("boolean")).otherwise(F.lit(True))
-    r = _with(_shuffled(df, [label], key, seed), facts)
-    return r.where(ok & ((F.col(label) == 1) | (F.col("rank_") <= F.col("pos_") * n))).select(*df.columns)
+    pos = _positives(label)
+    neg = F.coalesce(_sum_of(F.when(F.col(label) == 0, F.col("size_"))), F.lit(0))
+    ok = F.when(neg < pos * n, F.raise_error(F.lit("too few negatives")).cast("long")).otherwise(pos * n)
+    return _first(df, [label], key, seed, F.when(F.col(label) == 1, F.col("size_") + ok * 0).otherwise(F.least(F.col("size_"), ok)))
 
 
 def positional_split(df: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
