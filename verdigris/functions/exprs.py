@@ -202,6 +202,11 @@ def collapse_space(text) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
 
 
+def tag_of(name, place: int = 2, sep: str = "_") -> Column:
+    """The part of a name at a place, null where it has fewer."""
+    return F.try_element_at(F.split(_c(name), sep), F.lit(place))
+
+
 def normalize_newlines(text) -> Column:
     """P25: CRLF and CR become LF; escaped newlines are unescaped only where there is no real one."""
     t = F.regexp_replace(_c(text), "\r\n?", "\n")

@@ -191,6 +191,16 @@ def synthetic_index(df: DataFrame, keys: list[str], name: str = "index") -> Data
     return number_rows(df.select(*keys).distinct(), [F.col(k) for k in keys], name)
 
 
+def listing_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 along an order of columns of any types, by ranges of it."""
+    return number_rows(df, order, name).withColumn(name, F.col(name) + 1)
+
+
+def distinct_parts(df: DataFrame, column: str, pattern: str, name: str, group: int = 1) -> DataFrame:
+    """U6, A-29: the different values of a part of a path or address; a task hands on each of its own once."""
+    return df.select(F.regexp_extract(column, pattern, group).alias(name)).distinct()
+
+
 def length_batches(df: DataFrame, length: str, key: str, size: int) -> DataFrame:
     """Batches of rows of about the same length; ties by an integer key of up to 18 digits."""
     order = F.col(length).cast("decimal(19,0)") * F.lit(Decimal(10**18)) + F.col(key).cast("decimal(19,0)")

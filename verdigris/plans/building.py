@@ -203,7 +203,7 @@ def _(t: Tables):
 
 @query("u6_a29_distinct_paths", "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host FROM pages")
 def _(t: Tables):
-    return t.pages.select(F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("host")).distinct()
+    return L.distinct_parts(t.pages, "url", "^[a-z]+://([^/]+)/", "host")
 
 
 @query("j1_strict_join", "SELECT l.doc_id, quality, source FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
@@ -601,18 +601,3 @@ def _(t: Tables):
 @query("p31_tail_lines", "WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, text FROM r WHERE k <= 2")
 def _(t: Tables):
     return L.tail(t.conversations, ["conv_id"], "turn", 2).select("conv_id", "turn", "text")
-
-
-@query("q1_corpus_build", f"WITH {SAMPLES}, b AS (SELECT *, CASE WHEN length(code) < 1024 THEN '0-1024' WHEN length(code) < 4096 THEN '1024-4096' ELSE '4096-*' END AS bucket FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY bucket, label ORDER BY {H}) AS k, count(*) OVER (PARTITION BY bucket, label) AS c FROM b), m AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM b GROUP BY bucket)), t AS (SELECT index, label, bucket FROM r, m WHERE m <= 80 OR k <= round_even(c * ((CAST(80 AS DOUBLE) + CAST(0.1 AS DOUBLE)) / m), 0)), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY index) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM t) SELECT bucket, CASE WHEN i < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN i < floor(n * CAST(0.9 AS DOUBLE)) THEN 'validate' ELSE 'test' END AS split, index, CAST(label AS VARCHAR) AS output FROM n")
-def _(t: Tables):
-    b = _samples(t).withColumn("bucket", Z.length_bucket(F.length("code"), [0, 1024, 4096])).select("index", "label", "bucket")
-    kept = Z.truncate_buckets(b, 80, "bucket")
-    return Z.positional_split(kept, "index", ["bucket"]).select("bucket", "split", "index", F.col("label").cast("string").alias("output"))
-
-
-@query("q2_imbalance_sweep", f"WITH {SAMPLES}, h AS (SELECT index, label FROM s WHERE index % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS k, count(*) FILTER (WHERE label = 1) OVER () AS pos FROM (SELECT index, CAST(1 - label AS INTEGER) AS label FROM h)), q AS (SELECT unnest([0.2, 0.3, 0.4])::DOUBLE AS ratio) SELECT ratio, label, count(*) AS n FROM r, q WHERE label = 1 OR k <= round_even(pos / ratio - pos, 0) GROUP BY ratio, label")
-def _(t: Tables):
-    s = _samples(t).select("index", (1 - F.col("label")).alias("label"))
-    rest = Q.held_out(s, s.where("index % 10 = 0"), "index")
-    parts = [Z.to_positive_ratio(rest, r).withColumn("ratio", F.lit(r)) for r in (0.2, 0.3, 0.4)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("ratio", "label").agg(F.count("*").alias("n"))

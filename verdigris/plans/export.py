@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions import responses as R
 from ..operators import chunks as K
+from ..operators import judge
 from ..operators import relational as Q
 from ..operators import similarity as V
 from ..operators import tables as L
@@ -190,3 +191,54 @@ def _(t: Tables):
     vectors = t.embeddings.select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
     out = V.node_features(nodes, tokens, vectors, ["g", "k"], _TYPES, 64)
     return out.select("g", "k", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 5) + F.lit(0.0))
+
+
+# ---- judged, weighted and joined inputs -----------------------------------------------------
+
+
+def _client():
+    """A reviewer that answers by a prompt's length; every first call for some prompts fails, others are refused."""
+    calls: dict[str, int] = {}
+
+    def reply(prompt: str) -> str:
+        n = len(prompt)
+        calls[prompt] = calls.get(prompt, 0) + 1
+        if n % 11 == 0:
+            raise judge.HttpError(400, "no")
+        if n % 7 == 0 and calls[prompt] % 2:
+            raise judge.HttpError(429)
+        return '{"vulnerable": "yes"}' if n % 3 == 0 else "No" if n % 3 == 1 else "who knows"
+
+    return reply
+
+
+@query("m4_m6_judged", """WITH x AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents) SELECT doc_id, CAST(CASE WHEN n % 11 > 0 AND n % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CAST(CASE WHEN n % 11 > 0 AND n % 3 = 0 THEN 1 WHEN n % 11 > 0 AND n % 3 = 1 THEN 0 END AS INTEGER) AS label, CASE WHEN n % 11 = 0 THEN 'error:HttpError: HTTP 400: no' WHEN n % 3 = 0 THEN 'json.vulnerable' WHEN n % 3 = 1 THEN 'exact.no' ELSE 'unparsed' END AS status FROM x""")
+def _(t: Tables):
+    return judge.judge(t.documents, _client, "text", "doc_id", wait=0).drop("reply")
+
+
+@query("p2_many_inputs", "SELECT 'judge this' AS instruction, text AS input, CAST(quality AS VARCHAR) AS output, doc_id AS index FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'judge this', text, CAST(turn % 2 AS VARCHAR), conv_id FROM conversations")
+def _(t: Tables):
+    a = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
+    b = t.conversations.select(F.col("conv_id").alias("doc_id"), "text", (F.col("turn") % 2).alias("quality"))
+    return S.instruction_set([a, b], "judge this", code="text", label="quality", index="doc_id")
+
+
+@query("p3_weight_modes", "SELECT doc_id, CASE WHEN toxic = 1 THEN 7.5::DOUBLE ELSE w END AS set_weight, CASE WHEN toxic = 1 THEN w + 7.5 ELSE w END AS add_weight, CASE WHEN toxic = 1 THEN w * 7.5 ELSE w END AS multiply_weight FROM (SELECT doc_id, toxic, coalesce(CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 5 AS DOUBLE) END, 1.0) AS w FROM labels)")
+def _(t: Tables):
+    errors = t.labels.where("toxic = 1")
+    out = t.labels.select("doc_id", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 5).cast("double")).alias("w"))
+    for mode in ("set", "add", "multiply"):
+        out = Q.reweigh(out.withColumn(f"{mode}_weight", F.col("w")), errors, "doc_id", mode, 7.5, f"{mode}_weight")
+    return out.drop("w")
+
+
+@query("v5_softmax", "SELECT vec_id, round(exp(embedding[2]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 6) AS p FROM embeddings")
+def _(t: Tables):
+    a, b = (F.element_at("embedding", i).cast("double") for i in (1, 2))
+    return t.embeddings.select("vec_id", F.round(E.softmax2(a, b), 6).alias("p"))
+
+
+@query("t10_spacing", "SELECT doc_id, replace(replace(replace(text, 'th', 'T-'), '. ', '.' || chr(10)), 'T-e', 'the') AS text FROM documents")
+def _(t: Tables):
+    return t.documents.select("doc_id", E.correct_spacing("text", (("th", "T-"), (". ", ".\n"), ("T-e", "the"))).alias("text"))

@@ -28,6 +28,24 @@ def length_study(samples: DataFrame, length, bounds: list[int] = LENGTHS, ratio:
     return Z.buckets_to_ratio(b, ratio, "bucket", limit)
 
 
+def corpus_build(samples: DataFrame, length, bounds: list[int], limit: int, key: str = "index") -> DataFrame:
+    """Q1: length buckets, cut to a limit by the ratio of the largest, and split by place within each."""
+    b = samples.withColumn("bucket", Z.length_bucket(length, bounds)).select(key, "label", "bucket")
+    return Z.positional_split(Z.truncate_buckets(b, limit, "bucket", key=key), key, ["bucket"])
+
+
+def imbalance_sweep(samples: DataFrame, test: DataFrame, ratios: list[float], key: str = "index") -> DataFrame:
+    """Q2: without the test set, the samples at each ratio of positives."""
+    rest = Q.held_out(samples, test, key)
+    return L.union_all([Z.to_positive_ratio(rest, r, key=key).withColumn("ratio", F.lit(r)) for r in ratios])
+
+
+def provider_matrix(results: dict[str, DataFrame], datasets: DataFrame, key: str = "Index") -> DataFrame:
+    """Q8, Q10: every provider's metrics on every data set (datasets: key, dataset), in one aggregation."""
+    long = L.union_all([df.withColumn("provider", F.lit(n)) for n, df in results.items()])
+    return M.confusion(long.join(datasets, key), ["provider", "dataset"])
+
+
 def oof_pipeline(samples: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], folds: int = 5, exists: Callable[[str], DataFrame | None] = lambda name: None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
     """Q4: every fold scored by a model of the others; a fold whose result exists is not made again.
 
@@ -299,3 +317,15 @@ def _(t: Tables):
     # two or three code tokens; node 0 stands for token 0, node 1 for tokens 0 and 1 and comes from node 0 (even rows: node 0 alone, from node 1 too)
     one = F.expr("array(named_struct('a', 0, 'b', 1, 'sources', array(1)), named_struct('a', 0, 'b', 2, 'sources', array(0)))")
     return t.documents.select("doc_id", F.size(L.attention_mask(F.lit(2) + (F.col("doc_id") % 2).cast("int"), one)).alias("cells"))
+
+
+@query("q1_corpus_build", f"WITH {SAMPLES}, b AS (SELECT *, CASE WHEN length(code) < 1024 THEN '0-1024' WHEN length(code) < 4096 THEN '1024-4096' ELSE '4096-*' END AS bucket FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY bucket, label ORDER BY {H}) AS k, count(*) OVER (PARTITION BY bucket, label) AS c FROM b), m AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM b GROUP BY bucket)), t AS (SELECT index, label, bucket FROM r, m WHERE m <= 80 OR k <= round_even(c * ((CAST(80 AS DOUBLE) + CAST(0.1 AS DOUBLE)) / m), 0)), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY index) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM t) SELECT bucket, CASE WHEN i < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN i < floor(n * CAST(0.9 AS DOUBLE)) THEN 'validate' ELSE 'test' END AS split, index, CAST(label AS VARCHAR) AS output FROM n")
+def _(t: Tables):
+    kept = corpus_build(_samples(t), F.length("code"), [0, 1024, 4096], 80)
+    return kept.select("bucket", "split", "index", F.col("label").cast("string").alias("output"))
+
+
+@query("q2_imbalance_sweep", f"WITH {SAMPLES}, h AS (SELECT index, label FROM s WHERE index % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS k, count(*) FILTER (WHERE label = 1) OVER () AS pos FROM (SELECT index, CAST(1 - label AS INTEGER) AS label FROM h)), q AS (SELECT unnest([0.2, 0.3, 0.4])::DOUBLE AS ratio) SELECT ratio, label, count(*) AS n FROM r, q WHERE label = 1 OR k <= round_even(pos / ratio - pos, 0) GROUP BY ratio, label")
+def _(t: Tables):
+    s = _samples(t).select("index", (1 - F.col("label")).alias("label"))
+    return imbalance_sweep(s, s.where("index % 10 = 0"), [0.2, 0.3, 0.4]).groupBy("ratio", "label").agg(F.count("*").alias("n"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import metrics as M
 from ..operators import tables as L
-from ..operators.ranking import rank_by_number
 from ..sources import readers as S
+from .flows import provider_matrix
 from .registry import PA, PB, PC, Tables, cells_sql, query, rates_sql
 
 
@@ -42,13 +40,8 @@ def _(t: Tables):
 
 @query("o7_o8_listing_order", "SELECT doc_id, lang, source, row_number() OVER (ORDER BY lang <> 'fr', lower(source), doc_id DESC) AS place FROM documents")
 def _(t: Tables):
-    d = t.documents.select("doc_id", "lang", "source", (F.col("lang") != "fr").alias("later"), F.lower("source").alias("name"))
-    # a listing's groups are few; inside them the rank is distributed
-    first = Window.orderBy("later", "name").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = d.groupBy("later", "name").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(first), F.lit(0))).drop("n")
-    ranked = rank_by_number(d.withColumn("down", -F.col("doc_id")), ["later", "name"], "down")
-    return ranked.join(starts, ["later", "name"]).select("doc_id", "lang", "source", (F.col("start") + F.col("rank_")).alias("place"))
+    d = t.documents.select("doc_id", "lang", "source")
+    return L.listing_order(d, [F.col("lang") != "fr", F.lower("source"), F.col("doc_id").desc()])
 
 
 @query("c11_interval_algebra", "SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey * 10 >= l_partkey AND l_suppkey * 10 + 5 <= l_partkey + 50 AS contained, l_suppkey * 10 < l_partkey + 50 AND l_partkey < l_suppkey * 10 + 5 AS overlapping FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
@@ -73,7 +66,7 @@ def _(t: Tables):
 @query("p25_p28_newlines_and_tags", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'a' || chr(10) || 'b' ELSE 'x' || chr(10) || 'y' END AS text, source AS tag FROM documents")
 def _(t: Tables):
     raw = F.when(F.col("doc_id") % 2 == 0, "a\r\nb").otherwise("x\\ny")
-    return t.documents.select("doc_id", E.normalize_newlines(raw).alias("text"), F.element_at(F.split(F.concat(F.lit("set_"), "source", F.lit("_v1")), "_"), 2).alias("tag"))
+    return t.documents.select("doc_id", E.normalize_newlines(raw).alias("text"), E.tag_of(F.concat(F.lit("set_"), "source", F.lit("_v1"))).alias("tag"))
 
 
 @query("s15_keyed_map_rows", "SELECT conv_id, turn AS index, text AS code, nullif(CASE WHEN turn % 2 = 0 THEN '' ELSE role END, '') AS cwe FROM conversations")
@@ -94,9 +87,7 @@ def _(t: Tables):
 
 @query("q8_q10_provider_matrix", f"""WITH {PA}, {PB}, {PC}, l AS (SELECT *, 'a' AS provider FROM pa UNION ALL SELECT *, 'b' FROM pb UNION ALL SELECT *, 'c' FROM pc), x AS (SELECT l.*, lang AS dataset FROM l JOIN documents d ON d.doc_id = l."Index"), c AS (SELECT provider, dataset, {cells_sql()} FROM x GROUP BY provider, dataset) SELECT *, {rates_sql()} FROM c""")
 def _(t: Tables):
-    parts = [df.withColumn("provider", F.lit(n)) for n, df in (("a", t.pa), ("b", t.pb), ("c", t.pc))]
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return M.confusion(long.join(t.documents.select(F.col("doc_id").alias("Index"), F.col("lang").alias("dataset")), "Index"), ["provider", "dataset"])
+    return provider_matrix({"a": t.pa, "b": t.pb, "c": t.pc}, t.documents.select(F.col("doc_id").alias("Index"), F.col("lang").alias("dataset")))
 
 
 @query("v4_v5_decisions", f'WITH {PA}, z AS (SELECT "Index", CAST("Index" % 17 - 8 AS DOUBLE) / 4 AS x, "Prob" FROM pa) SELECT "Index", round(1 / (1 + exp(-x)), 6) AS sigmoid, CAST("Prob" > 0.5 AS INTEGER) AS strict, CAST("Prob" >= 0.5 AS INTEGER) AS with_ties FROM z')

@@ -186,6 +186,11 @@ def to_instructions(df: DataFrame, instruction: str, code: str = "code", label:
     return df.select(F.lit(instruction).alias("instruction"), F.col(code).alias("input"), F.col(label).cast("string").alias("output"), F.col(index).cast("long").alias("index"))
 
 
+def instruction_set(parts: list[DataFrame], instruction: str, **columns: str) -> DataFrame:
+    """The instruction rows of several inputs, one after the other."""
+    return reduce(DataFrame.unionByName, [to_instructions(p, instruction, **columns) for p in parts])
+
+
 def normalize_predictions(df: DataFrame) -> DataFrame:
     """Any producer's results as Index, Label, Prediction, Prob, CWE; a column is found in any case, and the first of its spellings wins."""
     from ..functions.exprs import lenient_float, lenient_int
