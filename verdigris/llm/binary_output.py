@@ -216,23 +216,32 @@ def read_slots(store: DataFrame, first: int, n: int, per_shard: int = PER_SHARD)
 
 
 def export_files(store: DataFrame, folder: str) -> DataFrame:
-    """Writes each payload to <folder>/shard-<number>.bin; folder is a file system all executors share. A repeated task writes the same bytes and renames."""
+    """Writes each payload to <folder>/shard-<number>.bin and returns the index: shard, path, bytes, first_slot, n_sequences, stride.
+
+    folder is a path or URI (file, hdfs, s3, gs) that every executor reaches by Arrow's file systems. A task writes under a
+    name of its own and renames, so a shard is there whole or not at all, and a repeated task leaves the same bytes.
+    """
 
     def run(batches):
-        import os
+        import uuid
+
+        from pyarrow import fs
 
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(root, recursive=True)
         for pdf in batches:
             paths = []
             for s, data in zip(pdf["shard"], pdf["payload"]):
-                path = os.path.join(folder, f"shard-{s:09d}.bin")
-                tmp = f"{path}.{os.getpid()}"
-                with open(tmp, "wb") as f:
+                path = f"{root.rstrip('/')}/shard-{s:09d}.bin"
+                part = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
                     f.write(data)
-                os.replace(tmp, path)
+                system.move(part, path)
                 paths.append(path)
-            yield pdf[["shard"]].assign(path=paths)
+            yield pdf[["shard"]].assign(path=paths, bytes=pdf["payload"].map(len), first_slot=pdf["first_slot"], n_sequences=pdf["n_sequences"], stride=pdf["stride"])
 
-    return store.select("shard", "payload").mapInPandas(run, "shard long, path string")
+    rows = store.select("shard", "payload", "first_slot", "n_sequences", "stride")
+    return rows.mapInPandas(run, "shard long, path string, bytes long, first_slot long, n_sequences int, stride int")
 
 
 def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
