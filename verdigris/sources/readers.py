@@ -218,10 +218,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_named(spark: SparkSession, roots: list[str], names: set[str]) -> DataFrame:
     """The files below the roots whose name is in the set; a missing root is left out."""
-    import glob
-    import os
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def found(root: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        return bool(path.getFileSystem(conf).globStatus(path))  # None or empty where there is nothing
 
-    there = [r for r in roots if "://" in r or os.path.exists(r) or glob.glob(r)]
+    there = [r for r in roots if found(r)]
     if not there:
         return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
     return discover(spark, there, "*").where(F.element_at(F.split("path", "/"), -1).isin(*names))
