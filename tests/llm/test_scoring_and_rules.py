@@ -384,3 +384,12 @@ def test_added_names_give_way_to_keys_and_own_columns(spark):
     items = spark.createDataFrame([(7, "the words of a text the words")], "score long, text string")
     found = decontaminate.match_benchmark(docs, items, key="score", item_key="score").collect()
     assert [(r["score"], r["score_"]) for r in found] == [(1, 7)]
+
+
+def test_op10_tasks_expect_what_one_table_does(spark):
+    words = {b" der": [3, 0], b" the": [0, 5], b" then": [1, 1], b" " + b"xy" * 60: [2, 1]}
+    ranks = {p: i for i, p in enumerate([b"d", b"e", b"de", b"r", b" d", b" de", b"t", b"h", b"th", b" the", b"he", b"n", b"x", b"y", b"xy", b" "])}
+    pieces = language_id.Pieces(ranks)
+    table = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "p binary, n array<long>").repartition(3)
+    want = language_id.fit({w: np.array(n, float) for w, n in words.items()}, 2, pieces)
+    assert np.allclose(language_id.fit_in_tasks(table, 2, pieces), want, rtol=1e-6, atol=1e-9)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from . import common
 #: Bytes of a word, with its space, up to which its sums cannot underflow.
 SHORT = 32
 CACHE_WORDS = 400_000
+#: Rounds of expectation maximisation, and the pseudo-count of every piece.
+ROUNDS, FLOOR = 3, 0.02
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,20 +125,23 @@ def by_length(words: list[bytes]) -> dict[int, list[int]]:
     return groups
 
 
-def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: int = 3, floor: float = 0.02) -> np.ndarray:
-    """prob[piece, language] by EM; every piece keeps `floor` pseudo-counts, so nothing is impossible."""
-    short = [w for w in counts if len(w) <= SHORT]
-    weight = np.array([counts[w] for w in short]).reshape(len(short), n_lang)
-    groups = [(idx, pieces.lookup([short[i] for i in idx])) for _, idx in sorted(by_length(short).items())]
-    long = [(counts[w], len(w), *pieces.matches(w)) for w in counts if len(w) > SHORT]
-    prob = np.full((pieces.size + 1, n_lang), 1.0 / pieces.size)
-    prob[-1] = 0
-    for _ in range(rounds):
-        expected = np.full((pieces.size + 1, n_lang), floor)
-        for idx, ids in groups:
+class Words:
+    """Words with their counts a language, and where the vocabulary's pieces lie in them."""
+
+    def __init__(self, counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces):
+        self.n_lang, self.size = n_lang, pieces.size
+        short = [w for w in counts if len(w) <= SHORT]
+        self.weight = np.array([counts[w] for w in short]).reshape(len(short), n_lang)
+        self.groups = [(idx, pieces.lookup([short[i] for i in idx])) for _, idx in sorted(by_length(short).items())]
+        self.long = [(counts[w], len(w), *pieces.matches(w)) for w in counts if len(w) > SHORT]
+
+    def expected(self, prob: np.ndarray) -> np.ndarray:
+        """How often each piece is met in each language, over all segmentations of the words by their probability."""
+        n_lang, expected = self.n_lang, np.zeros((self.size + 1, self.n_lang))
+        for idx, ids in self.groups:
             for a in range(0, len(idx), 20_000):
                 part = [x if x is None else x[a : a + 20_000] for x in ids]
-                w = weight[idx[a : a + 20_000]]
+                w = self.weight[idx[a : a + 20_000]]
                 n = part[0].shape[1]
                 alpha = forward(part, prob)
                 beta = np.zeros_like(alpha)
@@ -154,7 +160,7 @@ def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: in
                         share = alpha[i, some] * prob[p] * beta[i + k, some] * scale[some]
                         for g in range(n_lang):
                             expected[:, g] += np.bincount(p, share[:, g], len(expected))
-        for w, n, start, end, ids in long:
+        for w, n, start, end, ids in self.long:
             terms = np.log(prob[ids])
             ahead = log_sums(n, start, end, terms)
             turned = np.lexsort((-end, n - start))  # the same sums from the end
@@ -162,11 +168,60 @@ def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: in
             share = np.exp(ahead[start] + terms + behind[end] - ahead[n]) * w
             for g in range(n_lang):
                 expected[:, g] += np.bincount(ids, share[:, g], len(expected))
-        expected[-1] = 0
-        prob = expected / expected.sum(axis=0)
+        return expected
+
+
+def start_of(pieces: Pieces, n_lang: int) -> np.ndarray:
+    prob = np.full((pieces.size + 1, n_lang), 1.0 / pieces.size)
+    prob[-1] = 0
     return prob
 
 
+def next_of(expected: np.ndarray, floor: float) -> np.ndarray:
+    expected = expected + floor
+    expected[-1] = 0
+    return expected / expected.sum(axis=0)
+
+
+def fit(counts: dict[bytes, np.ndarray], n_lang: int, pieces: Pieces, rounds: int = ROUNDS, floor: float = FLOOR) -> np.ndarray:
+    """prob[piece, language] by EM; every piece keeps `floor` pseudo-counts, so nothing is impossible."""
+    words, prob = Words(counts, n_lang, pieces), start_of(pieces, n_lang)
+    for _ in range(rounds):
+        prob = next_of(words.expected(prob), floor)
+    return prob
+
+
+def fit_in_tasks(words: DataFrame, n_lang: int, pieces: Pieces, rounds: int = ROUNDS, floor: float = FLOOR) -> np.ndarray:
+    """fit() over a table (p: word, n: its count in each language): tasks expect over their words, one aggregation a round adds up.
+
+    The driver gets a row a piece met and language, of a fixed vocabulary; sums are of whole billionths, the same in any order.
+    """
+    sc, prob = words.sparkSession.sparkContext, start_of(pieces, n_lang)
+    tables = sc.broadcast(vars(pieces))
+    for _ in range(rounds):
+        shared = sc.broadcast(prob)
+
+        def expect(batches, shared=shared):
+            counts = {bytes(r["p"]): np.array(r["n"], float) for r in common.dicts(batches)}
+            if counts:
+                got = np.rint(Words(counts, n_lang, unpacked(tables.value)).expected(shared.value) * 1e9).astype(np.int64)
+                piece, lang = np.nonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(got[piece, lang])], names=["piece", "lang", "n"])
+
+        expected = np.zeros_like(prob)
+        met = words.mapInArrow(expect, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        expected[met["piece"], met["lang"]] = met["n"].to_numpy() / 1e9
+        prob = next_of(expected, floor)
+    return prob
+
+
+def unpacked(tables: dict) -> Pieces:
+    """Pieces from their plain tables: broadcasts hold no objects of this package."""
+    pieces = Pieces.__new__(Pieces)
+    vars(pieces).update(tables)
+    return pieces
+
+
 class Scorer:
     """Sums log likelihoods of words; remembers the words it has met, up to CACHE_WORDS."""
 
@@ -212,19 +267,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def training_counts(docs: DataFrame, lang: str, text: str, key: str, docs_per_language: int) -> tuple[list[str], dict[bytes, np.ndarray], np.ndarray]:
-    """Languages, word counts of the sample, and the share of each language among all labelled rows."""
+def training_counts(docs: DataFrame, lang: str, text: str, key: str, docs_per_language: int) -> tuple[list[str], DataFrame | None, np.ndarray]:
+    """Languages, the sample's words with their count in each (p, n), and the share of each language among all labelled rows."""
     labelled = docs.where(F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return [], {}, np.zeros(0)
+        return [], None, np.zeros(0)
     span = 1 << 30
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("lang")), F.lit(span))
     upto = F.create_map(*[F.lit(x) for g in langs for x in (g, min(span, int(1.3 * docs_per_language / sizes[g] * span) + 1))])
     small = labelled.where(draw < upto[F.col(lang)]).select(F.col(lang).alias("g"), F.col(text).alias("t"), draw.alias("h"), F.col(key).alias("k"))
     small = small.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "k", F.xxhash64("t")))).where(F.col("rn") <= docs_per_language)
-    at = {g: i for i, g in enumerate(langs)}
 
     def count(batches: Iterator):
         import pandas as pd
@@ -236,9 +290,8 @@ def training_counts(docs: DataFrame, lang: str, text: str, key: str, docs_per_la
                 c.update((g, b" " + w) for w in words_of(t))
             yield pd.DataFrame([(g, p, n) for (g, p), n in c.items()], columns=["g", "p", "n"])
 
-    counts: dict[bytes, np.ndarray] = {}
-    for r in small.mapInPandas(count, "g string, p binary, n long").groupBy("g", "p").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts.setdefault(bytes(r["p"]), np.zeros(len(langs)))[at[r["g"]]] += r["n"]
+    met = small.mapInPandas(count, "g string, p binary, n long").groupBy("p").agg(*[F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, g in enumerate(langs)])
+    counts = common.written(met.select("p", F.array(*[f"n{i}" for i in range(len(langs))]).alias("n")).repartition(docs.sparkSession.sparkContext.defaultParallelism, "p"), "words")
     total = sum(sizes.values())
     return langs, counts, np.array([sizes[g] / total for g in langs])
 
@@ -251,14 +304,15 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     ranks = common.load_ranks(vocabulary or common.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     langs, counts, prior = training_counts(labelled, lang, text, key, docs_per_language)
     pieces = Pieces(ranks)
-    prob = fit(counts, len(langs), pieces) if langs else np.zeros((pieces.size + 1, 0))
+    prob = np.zeros((pieces.size + 1, 0))
+    if langs:
+        prob = fit_in_tasks(counts, len(langs), pieces)
+        common.drop_written(counts)
     model = spark.sparkContext.broadcast((vars(pieces), prob, langs, np.log(prior) if langs else prior))  # plain arrays: executors need no copy of this package
 
     def make():
         tables, prob, langs, prior = model.value
-        pieces = Pieces.__new__(Pieces)
-        vars(pieces).update(tables)
-        scorer = Scorer(pieces, prob)
+        scorer = Scorer(unpacked(tables), prob)
 
         def step(c):
             texts = c["t"].to_pylist()
