@@ -139,6 +139,14 @@ def _(t: Tables):
     return sinks.union_of_keys([sinks.flatten(a), sinks.flatten(b)], ["run"])
 
 
+@query("k7_report", f"WITH m AS (SELECT source, count(*) AS n FROM documents GROUP BY source), l AS (SELECT lang, max(length(text)) AS longest FROM documents GROUP BY lang) SELECT coalesce(source, '') || chr(9) || n AS line FROM m UNION ALL SELECT coalesce(lang, '') || chr(9) || coalesce(CAST(longest AS VARCHAR), '') FROM l UNION ALL SELECT unnest(['report', '', 'sources', 'source' || chr(9) || 'n', '', 'languages', 'lang' || chr(9) || 'longest'])")
+def _(t: Tables):
+    folder = shared_folder(t.spark, "report")
+    tables = {"sources": t.documents.groupBy("source").agg(F.count("*").alias("n")), "languages": t.documents.groupBy("lang").agg(F.max(F.length("text")).alias("longest"))}
+    sinks.write_report(tables, folder)
+    return t.spark.read.text(f"{folder}/report.txt").select(F.col("value").alias("line"))
+
+
 # ---- texts and vectors, whole ---------------------------------------------------------------
 
 _PLAIN = r"regexp_replace(text, '[\n\"\\*/'']', ' ', 'g')"
@@ -184,13 +192,16 @@ def _(t: Tables):
 _TYPES = ["A", "N", "R"]
 
 
-@query("g1_node_features", "WITH n AS (SELECT l_orderkey AS g, l_linenumber AS k, max(l_returnflag) AS type FROM lineitem GROUP BY ALL), w AS (SELECT l_orderkey AS g, l_linenumber AS k, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM lineitem LEFT JOIN embeddings ON vec_id = l_partkey % 1000), c AS (SELECT l_orderkey AS g, l_linenumber AS k, count(*) AS c FROM lineitem GROUP BY ALL), s AS (SELECT g, k, d, sum(CAST(v AS DOUBLE)) AS s FROM w WHERE d IS NOT NULL GROUP BY ALL), m AS (SELECT s.g, s.k, d, s / c AS m FROM s JOIN c ON c.g = s.g AND c.k = s.k), i AS (SELECT unnest(range(67)) AS pos) SELECT n.g, n.k, CAST(pos AS INTEGER) AS pos, round(CASE WHEN pos < 3 THEN CAST(type = ['A', 'N', 'R'][pos + 1] AS INTEGER) ELSE coalesce(m, 0) END, 5) + 0.0::DOUBLE AS x FROM n CROSS JOIN i LEFT JOIN m ON m.g = n.g AND m.k = n.k AND m.d = pos - 2")
+@query("g1_node_features", "WITH n AS (SELECT l_orderkey AS g, l_linenumber AS k, max(l_returnflag) AS type, count(*) AS c FROM lineitem GROUP BY ALL), w AS (SELECT l_orderkey AS g, l_linenumber AS k, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM lineitem JOIN embeddings ON vec_id = l_partkey % 1000), s AS (SELECT g, k, sum(CAST(v AS DOUBLE)) AS a, sum(CAST(v AS DOUBLE) * (d + 3)) AS b FROM w GROUP BY ALL) SELECT n.g, n.k, CAST(list_position(['A', 'N', 'R'], type) AS INTEGER) AS type_at, CAST(67 AS INTEGER) AS n, round(coalesce(a / c, 0), 5) + 0.0::DOUBLE AS total, round(coalesce(b / c, 0), 4) + 0.0::DOUBLE AS weighted FROM n LEFT JOIN s ON s.g = n.g AND s.k = n.k")
 def _(t: Tables):
     tokens = t.lineitem.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 1000).alias("token"))
     nodes = t.lineitem.groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k")).agg(F.max("l_returnflag").alias("type"))
     vectors = t.embeddings.select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
-    out = V.node_features(nodes, tokens, vectors, ["g", "k"], _TYPES, 64)
-    return out.select("g", "k", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 5) + F.lit(0.0))
+    f = V.node_features(nodes, tokens, vectors, ["g", "k"], _TYPES, 64)
+    kind, mean = F.slice("features", 1, 3), F.slice("features", 4, 64)
+    added = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    weighted = added(F.transform(mean, lambda x, i: x * (i + 4)))
+    return f.select("g", "k", F.array_position(kind, F.lit(1.0)).cast("int").alias("type_at"), F.size("features").alias("n"), (F.round(added(mean), 5) + 0.0).alias("total"), (F.round(weighted, 4) + 0.0).alias("weighted"))
 
 
 # ---- judged, weighted and joined inputs -----------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,48 +89,73 @@ def replace_folder(df: DataFrame, path: str) -> None:
     fs.delete(fs_path(old), True)
 
 
+class OneFile:
+    """A file put together from pieces that tasks wrote, by the file system's streams; it appears under its name once it is whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark.sparkContext._jvm, path
+        self.fs_path = self.jvm.org.apache.hadoop.fs.Path
+        self.target, self.part = self.fs_path(path), self.fs_path(f"{path}.part")
+        self.fs = self.target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def __enter__(self):
+        self.out = self.fs.create(self.part, True)
+        return self
+
+    def text(self, text: str) -> None:
+        self.out.write(bytearray(text.encode()))
+
+    def lines(self, df: DataFrame, skip: int = 0) -> int:
+        """The one text column of df, a line a row in the order of its partitions, without the first `skip` bytes; the number of rows."""
+        pieces = self.fs_path(f"{self.path}.pieces")
+        df.write.mode("overwrite").text(pieces.toString())
+        for name in sorted(s.getPath().getName() for s in self.fs.listStatus(pieces) if s.getPath().getName().startswith("part-") and s.getLen()):
+            source = self.fs.open(self.fs_path(pieces, name))
+            source.seek(skip)
+            self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, self.out, 1 << 16, False)
+            source.close()
+            skip = 0
+        n = df.sparkSession.read.text(pieces.toString()).count()
+        self.fs.delete(pieces, True)
+        return n
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.out.close()
+        if kind:
+            self.fs.delete(self.part, False)
+            return
+        self.fs.delete(self.target, False)
+        if not self.fs.rename(self.part, self.target):
+            raise OSError(f"cannot write {self.path}")
+
+
 def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> int:
     """K2: one file with an array of all rows, an object a line. Returns the number of rows.
 
-    Tasks write the objects, in ranges of the order; then the file system's streams put their files together, so neither
-    the driver's Python nor its memory sees a row. The file appears under its name only once it is whole.
+    Tasks write the objects, in ranges of the order, and the file is put together as bytes: neither the driver's Python nor its
+    memory sees a row.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path, copy = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.io.IOUtils.copyBytes
-    target, part, pieces = fs_path(path), fs_path(f"{path}.part"), fs_path(f"{path}.pieces")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    seen = Observation()
-    rows = (df.orderBy(*order) if order else df).select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("overwrite").text(pieces.toString())
-    files = sorted(s.getPath().getName() for s in fs.listStatus(pieces) if s.getPath().getName().startswith("part-") and s.getLen())
-    out = fs.create(part, True)
-    try:
-        out.write(bytearray(b"[\n"))
-        for i, name in enumerate(files):
-            source = fs.open(fs_path(pieces, name))
-            source.seek(0 if i else 1)  # the first object has no comma before it
-            copy(source, out, 1 << 16, False)
-            source.close()
-        out.write(bytearray(b"]\n"))
-    finally:
-        out.close()
-    fs.delete(pieces, True)
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot write {path}")
-    return seen.get["n"]
+    rows = (df.orderBy(*order) if order else df).select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value"))
+    with OneFile(df.sparkSession, path) as file:
+        file.text("[\n")
+        n = file.lines(rows, skip=1)  # the first object has no comma before it
+        file.text("]\n")
+    return n
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, title: str = "report") -> None:
-    """K7: every table as CSV and JSON in a folder of its own, and all of them (they are small reports) as one text."""
-    text = [title]
+    """K7: every table as CSV and JSON in a folder of its own, and all of them, tab-separated below their names, as one text.
+
+    A table's rows keep the order of its partitions; null values are empty in the text.
+    """
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}.json")
-        text += ["", name, "\t".join(df.columns), *["\t".join("" if v is None else str(v) for v in r) for r in df.toLocalIterator()]]
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{title}.txt")
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+        df.write.mode("overwrite").json(f"{folder}/{name}.json")
+    with OneFile(next(iter(tables.values())).sparkSession, f"{folder}/{title}.txt") as file:
+        file.text(f"{title}\n")
+        for name, df in tables.items():
+            file.text("\n" + name + "\n" + "\t".join(df.columns) + "\n")
+            file.lines(df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value")))
 
 
 def lines_with_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
