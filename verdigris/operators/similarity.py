@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from .ranking import rank_by_value
 
-#: Queries held by a task at a time, as one dense block.
-BLOCK = 4096
+#: Queries that a task compares at a time, and bytes of query vectors that it holds: one scan of the base serves as many.
+BLOCK, HELD_BYTES = 4096, 64 << 20
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, digits: int = 6) -> DataFrame:
     """The k most cosine-similar base rows of each query, itself excluded; ties by key.
 
-    The stated queries go in blocks of bounded size; each is a dense matrix that every task multiplies
-    with its base rows, keeping its own top k, and only those meet in a shuffle. Zero vectors have
+    The stated queries go in blocks of HELD_BYTES (some 130,000 of 64 numbers); each is a dense matrix that every task multiplies
+    with its base rows, `block` queries at a time, keeping its own top k, and only those meet in a shuffle. Zero vectors have
     similarity 0 with everything. k bounds the result, as asked for.
     """
     out = None
-    for ids, matrix in _blocks(queries, key, vector, block):
+    for ids, matrix in _blocks(queries, key, vector):
         shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            parts = [slice(a, a + block) for a in range(0, len(ids), block)]
+            best = [(np.full((len(ids[p]), 0), 0.0), np.zeros((len(ids[p]), 0), np.int64)) for p in parts]
             for pdf in batches:
                 pdf = pdf[pdf["v"].notna()]
                 if not len(pdf):
@@ -37,15 +38,22 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", ve
                 b = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
                 b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
                 own = pdf["k"].to_numpy()
-                s = np.round(q @ b.T, digits)
-                s[ids[:, None] == own[None, :]] = -np.inf
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                top = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
-            n = best_s.shape[1]
-            keep = np.isfinite(best_s).ravel()
-            yield pd.DataFrame({"query": np.repeat(ids, n)[keep], "neighbor": best_i.ravel()[keep], "similarity": best_s.ravel()[keep]})
+                for at, p in enumerate(parts):
+                    s = np.round(q[p] @ b.T, digits)
+                    s[ids[p][:, None] == own[None, :]] = -np.inf
+                    best_s = np.concatenate([best[at][0], s], axis=1)
+                    best_i = np.concatenate([best[at][1], np.broadcast_to(own, s.shape)], axis=1)
+                    if best_s.shape[1] > 4 * k:  # the best few alone are put in order
+                        some = np.argpartition(-best_s, k - 1, axis=1)[:, : k]
+                        least = np.take_along_axis(best_s, some, 1).min(axis=1, keepdims=True)
+                        wide = max(k, int((best_s >= least).sum(axis=1).max()))  # with all that tie for the last place
+                        some = np.argpartition(-best_s, min(wide, best_s.shape[1]) - 1, axis=1)[:, :wide]
+                        best_s, best_i = np.take_along_axis(best_s, some, 1), np.take_along_axis(best_i, some, 1)
+                    top = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+                    best[at] = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
+            for (best_s, best_i), p in zip(best, parts):
+                keep = np.isfinite(best_s).ravel()
+                yield pd.DataFrame({"query": np.repeat(ids[p], best_s.shape[1])[keep], "neighbor": best_i.ravel()[keep], "similarity": best_s.ravel()[keep]})
 
         part = base.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, "query long, neighbor long, similarity double")
         out = part if out is None else out.unionByName(part)
@@ -55,12 +63,12 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", ve
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, block: int):
+def _blocks(queries: DataFrame, key: str, vector: str):
     ids, rows = [], []
     for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == block:
+        if 8 * len(ids) * len(rows[0]) >= HELD_BYTES:
             yield np.array(ids, np.int64), _unit(rows)
             ids, rows = [], []
     if ids:
