@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
-LEAST, MEAN, MOST = 1024, 4096, 32_768
+LEAST, MEAN, MOST = 2048, 8192, 32_768
 #: The gear hash of a position depends on so many bytes up to it.
 WINDOW = 32
 #: Payloads of a run (media that are put together side by side) hold about this many bytes.
@@ -33,7 +33,8 @@ RUN_BYTES = 1 << 20
 HOT = 1000
 #: Chunks that the compression dictionary is trained on, its bytes, and digests that a task remembers as sent.
 DICTIONARY_CHUNKS, DICTIONARY_BYTES, SEEN = 1000, 112_640, 1 << 18
-LEVEL = 6
+#: Of the compression.
+LEVEL = 9
 #: Bytes of chunks in a bucket of the store, at most about.
 BUCKET_BYTES = 1 << 28
 HEADER = "<4sI4s4sIHHIIHH4sI"
@@ -116,7 +117,7 @@ def feature(payload: bytes) -> str:
 
 @dataclass
 class Stored:
-    """media: run, k, n_bytes, payload_bytes, media_sha256, first, digests, parts; chunks: digest, size, data (compressed).
+    """media: run, k, n_bytes, payload_bytes, media_sha256, first, digests, parts; chunks: digest, data (compressed).
 
     A run numbers its chunks from 0 as it meets them: a row's digests are those it meets first, from number `first` on,
     and parts are the numbers of all its chunks in order.
@@ -148,7 +149,7 @@ def unpacker(dictionary: bytes):
 
 
 def cut_chunks(docs: DataFrame, text: str, pack: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
-    """digest, size, data of the chunks of every text; a task sends a chunk again only once it has met SEEN others."""
+    """digest, data of the chunks of every text; a task sends a chunk again only once it has met SEEN others."""
 
     def run(batches):
         table, send, seen = gear(), pack(), set()
@@ -159,9 +160,9 @@ def cut_chunks(docs: DataFrame, text: str, pack: Callable[[], Callable[[bytes],
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(d)
-                    yield {"digest": d, "size": len(c), "data": send(c)}
+                    yield {"digest": d, "data": send(c)}
 
-    return common.map_dicts(docs.select(F.col(text).cast("string").alias("t")), run, "digest binary, size int, data binary")
+    return common.map_dicts(docs.select(F.col(text).cast("string").alias("t")), run, "digest binary, data binary")
 
 
 def train_dictionary(docs: DataFrame, text: str) -> bytes:
@@ -221,7 +222,7 @@ def store_chunks(docs: DataFrame, text: str, dictionary: bytes, earlier: Stored
     cut = cut_chunks(docs, text, lambda: packer(shared.value).compress)
     if earlier:
         cut = cut.join(earlier.chunks.select("digest"), "digest", "left_anti")
-    one = cut.groupBy("digest").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    one = cut.groupBy("digest").agg(F.first("data").alias("data"))
     one.write.format("parquet").bucketBy(buckets, "digest").options(path=path, compression="zstd").saveAsTable(table)
 
 
