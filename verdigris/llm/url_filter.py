@@ -173,14 +173,12 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
         if not model.names:
             return model
         width = range(len(model.names))
-        binned = known.select("y", "w", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n")).withColumn("margin", F.lit(model.prior)).persist()
-        binned.count()
+        binned = known.select("y", "w", *model.binned({x: F.col(x) for x in names})).groupBy(*[f"f{i}" for i in width]).agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n")).withColumn("margin", F.lit(model.prior))
+        binned = common.written(binned, "margins")
         known.unpersist()
-        try:
-            for _ in range(n_trees):
-                binned = grow(model, binned, depth, rate, l2)
-        finally:
-            binned.unpersist()
+        for _ in range(n_trees):
+            binned = grow(model, binned, depth, rate, l2)
+        common.drop_written(binned)
         return model
     finally:
         sample.unpersist()
@@ -189,7 +187,8 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", n_trees:
 def grow(model: Boosted, binned: DataFrame, depth: int, rate: float, l2: float) -> DataFrame:
     """Adds one tree; each level is one aggregation to (leaf, feature, bin) sums of gradients and hessians.
 
-    binned, which is cached, has the margin under the trees so far; it is let go, and the table with the new tree's margin cached.
+    binned, a stored table, has the margin under the trees so far; the table with the new tree's margin takes its place, so no plan
+    holds more than one tree.
     """
     p = 1 / (1 + F.exp(-F.col("margin")))
     data = binned.withColumn("g", F.col("y") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
@@ -227,9 +226,8 @@ def grow(model: Boosted, binned: DataFrame, depth: int, rate: float, l2: float)
                 grew = True
         if not grew:
             break
-    out = binned.withColumn("margin", F.col("margin") + model.value(len(model.trees) - 1)).persist()
-    out.count()
-    binned.unpersist()
+    out = common.written(binned.withColumn("margin", F.col("margin") + model.value(len(model.trees) - 1)), "margins")
+    common.drop_written(binned)
     return out
 
 
