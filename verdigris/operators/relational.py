@@ -118,11 +118,12 @@ def islands(df: DataFrame, by: list[str], start: str, end: str, chunk_rows: int
 
     Rows that begin at one place are one row first; then scans by chunks, so a group may hold all rows.
     """
+    total = df.count()
     one = df.groupBy(*by, start).agg(F.max(end).alias(end))
-    seen = scan(one, by, [start], {"reach_": ("max", F.col(end))}, chunk_rows=chunk_rows)
+    seen = scan(one, by, [start], {"reach_": ("max", F.col(end))}, chunk_rows=chunk_rows, total=total)
     begins = F.when(F.col("reach_").isNull() | (F.col(start) > F.col("reach_") + 1), F.col(start))
     # an island is known by where it begins: the greatest beginning up to a row
-    marked = scan(seen.withColumn("begin_", begins), by, [start], {"island_": ("max", F.col("begin_"))}, chunk_rows=chunk_rows)
+    marked = scan(seen.withColumn("begin_", begins), by, [start], {"island_": ("max", F.col("begin_"))}, chunk_rows=chunk_rows, total=total)
     return marked.groupBy(*by, F.coalesce("begin_", "island_").alias("island_")).agg(F.max(end).alias(end)).select(*by, F.col("island_").alias(start), end)
 
 

@@ -34,13 +34,14 @@ def _at_or_below(x: Column, table: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(PARTS.bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), step, lambda s: s["lo"])
 
 
-def chunked(df: DataFrame, by: list[str], order: str, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, bool]:
+def chunked(df: DataFrame, by: list[str], order: str, chunk_rows: int = CHUNK_ROWS, total: int | None = None) -> tuple[DataFrame, bool]:
     """df plus chunk_, which never falls along a group's order and is null outside large groups; whether there is a large one.
 
-    order is a number, date or time; rows that agree in it share a chunk. The bounds (a row a large group) are broadcast.
+    order is a number, date or time; rows that agree in it share a chunk. total is a number of rows that df surely does not
+    exceed, counted here if it isn't given. The bounds (a row a large group) are broadcast.
     """
     none = df.withColumn("chunk_", F.lit(None).cast("int"))
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= chunk_rows:
         return none, False
     large = df.groupBy(*by).agg(F.count("*").alias("n_")).where(F.col("n_") > max(chunk_rows, total // PARTS))
@@ -57,7 +58,7 @@ def chunked(df: DataFrame, by: list[str], order: str, chunk_rows: int = CHUNK_RO
     return df.join(F.broadcast(cuts), _same(by, names), "left").withColumn("chunk_", at).select(*df.columns, "chunk_"), True
 
 
-def scan(df: DataFrame, by: list[str], order: list[str], before: dict[str, tuple[str, Column]], totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def scan(df: DataFrame, by: list[str], order: list[str], before: dict[str, tuple[str, Column]], totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK_ROWS, total: int | None = None) -> DataFrame:
     """df plus, for each name in `before`, the "sum" or "max" of a column over the rows before it in its group, null for the
     first; and for each in `totals` the sum over its whole group.
 
@@ -65,7 +66,7 @@ def scan(df: DataFrame, by: list[str], order: list[str], before: dict[str, tuple
     """
     totals = totals or {}
     agg = {"sum": F.sum, "max": F.max}
-    rows, large = chunked(df, by, order[0], chunk_rows)
+    rows, large = chunked(df, by, order[0], chunk_rows, total)
     part = Window.partitionBy(*by, "chunk_")
     up_to = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.select("*", *[agg[op](c).over(up_to).alias(n) for n, (op, c) in before.items()], *[F.sum(c).over(part).alias(n) for n, c in totals.items()])
