@@ -382,15 +382,22 @@ def overlaps_any(start, end, ranges) -> Column:
 
 
 def merge_ranges(ranges) -> Column:
-    """Overlapping or adjacent [start, end] ranges become one; the array's order does not matter."""
-    r = F.array_sort(_c(ranges))
+    """Overlapping or adjacent [start, end] ranges become one; the array's order does not matter.
+
+    Nulls come last. A range that covers nothing (no end, or one before its start) joins the one that reaches it, else it stays
+    as it is; one without start stays only if nothing has an end.
+    """
+    end = lambda x: F.when(x["start"].isNotNull(), x["end"])
+    keyed = F.transform(_c(ranges), lambda x: F.struct(x["start"].isNull().alias("a"), x["start"].alias("start"), end(x).isNull().alias("b"), end(x).alias("end")))
+    r = F.transform(F.array_sort(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     empty = F.slice(r, 1, 0)
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
         joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["end"] + 1, grown).otherwise(F.concat(acc, F.array(x)))
+        meets = (x["start"] <= last["end"] + 1) | (x["start"].isNull() & F.exists(acc, lambda y: y["end"].isNotNull()))
+        return F.when(F.size(acc) == 0, F.array(x)).when(meets, grown).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(r, empty, step)
 

@@ -159,14 +159,16 @@ def _(t: Tables):
 
 
 def _lines(t: Tables):
-    return t.lineitem.select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("start_line"), (F.col("l_partkey") + F.col("l_quantity").cast("long") % 5).alias("end_line"))
+    return t.lineitem.select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("start_line"), (F.col("l_partkey") + F.rint("l_quantity").cast("long") % 5).alias("end_line"))
 
 
 @query("u7_merge_ranges_array", "WITH x AS (SELECT l_suppkey AS g, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) % 5 AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x), i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), r AS (SELECT g, min(s) AS s, max(e) AS e FROM i GROUP BY g, k) SELECT g AS supplier, count(*) AS n_ranges, CAST(sum(e - s + 1) AS BIGINT) AS covered FROM r GROUP BY g")
 def _(t: Tables):
     g = _lines(t).groupBy("supplier").agg(F.collect_list(F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"))).alias("r"))
     m = g.select("supplier", E.merge_ranges("r").alias("r"))
-    return m.select("supplier", F.size("r").cast("long").alias("n_ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1).alias("covered"))
+    sizes = F.filter(F.transform("r", lambda x: x["end"] - x["start"] + 1), lambda n: n.isNotNull())
+    covered = F.when(F.size(sizes) > 0, F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n))
+    return m.select("supplier", F.size("r").cast("long").alias("n_ranges"), covered.alias("covered"))
 
 
 @query("j21_interval_overlap", "WITH r AS (SELECT l_suppkey AS g, l_partkey AS s, l_partkey + 2 AS e FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_partkey + 3 AS s, l_partkey + 5 AS e FROM lineitem) SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS check_sum FROM x WHERE EXISTS (SELECT 1 FROM r WHERE r.g = x.g AND x.s <= r.e AND r.s <= x.e)")
