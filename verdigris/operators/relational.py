@@ -117,14 +117,24 @@ def islands(df: DataFrame, by: list[str], start: str, end: str, chunk_rows: int
     """U7 on rows: overlapping or adjacent [start, end] rows of a group become one, by gaps and islands.
 
     Rows that begin at one place are one row first; then scans by chunks, so a group may hold all rows.
+    Nulls come last along a group. A row that covers nothing (no end, or one before its start) joins the island that reaches it,
+    else it stays as it is, once for each copy; one without start stays only if its group has no end at all.
     """
     total = df.count()
-    one = df.groupBy(*by, start).agg(F.max(end).alias(end))
-    seen = scan(one, by, [start], {"reach_": ("max", F.col(end))}, chunk_rows=chunk_rows, total=total)
-    begins = F.when(F.col("reach_").isNull() | (F.col(start) > F.col("reach_") + 1), F.col(start))
+    s, e = F.col(start), F.col(end)
+    real = F.coalesce(e >= s - 1, F.lit(False))
+    rows = df.select(*by, start, F.when(s.isNotNull(), e).alias(end))
+    one = rows.groupBy(*by, start, real.alias("real_"), F.when(~real, e).alias("low_")).agg(F.max(end).alias(end), F.count("*").alias("n_"))
+    seen = scan(one, by, [start, e.asc_nulls_last()], {"reach_": ("max", e)}, {"ends_": e.isNotNull().cast("long")}, chunk_rows, total)
+    apart = lambda reach: reach.isNull() | (s > reach + 1)
+    kept = seen.where(F.col("real_") | F.when(s.isNull(), F.col("ends_") == 0).otherwise(apart(F.greatest("reach_", end))))
+    begins = F.when(F.col("real_") & apart(F.col("reach_")), s)
     # an island is known by where it begins: the greatest beginning up to a row
-    marked = scan(seen.withColumn("begin_", begins), by, [start], {"island_": ("max", F.col("begin_"))}, chunk_rows=chunk_rows, total=total)
-    return marked.groupBy(*by, F.coalesce("begin_", "island_").alias("island_")).agg(F.max(end).alias(end)).select(*by, F.col("island_").alias(start), end)
+    marked = scan(kept.withColumn("begin_", begins), by, [start], {"island_": ("max", F.col("begin_"))}, chunk_rows=chunk_rows, total=total)
+    island = F.when(F.col("real_"), F.coalesce("begin_", "island_")).otherwise(s)
+    out = marked.groupBy(*by, island.alias("island_"), "real_", "low_").agg(F.max(end).alias(end), F.max("n_").alias("n_"))
+    copies = F.explode(F.when(F.col("real_"), F.array(F.lit(1))).otherwise(F.array_repeat(F.lit(1), F.col("n_").cast("int"))))
+    return out.select(*by, F.col("island_").alias(start), end, copies.alias("copy_")).drop("copy_")
 
 
 def range_semi_join(df: DataFrame, ranges: DataFrame, by: list[str], start: str, end: str, width: int = 64) -> DataFrame:

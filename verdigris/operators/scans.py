@@ -58,11 +58,11 @@ def chunked(df: DataFrame, by: list[str], order: str, chunk_rows: int = CHUNK_RO
     return df.join(F.broadcast(cuts), _same(by, names), "left").withColumn("chunk_", at).select(*df.columns, "chunk_"), True
 
 
-def scan(df: DataFrame, by: list[str], order: list[str], before: dict[str, tuple[str, Column]], totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK_ROWS, total: int | None = None) -> DataFrame:
+def scan(df: DataFrame, by: list[str], order: list[str | Column], before: dict[str, tuple[str, Column]], totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK_ROWS, total: int | None = None) -> DataFrame:
     """df plus, for each name in `before`, the "sum" or "max" of a column over the rows before it in its group, null for the
     first; and for each in `totals` the sum over its whole group.
 
-    One shuffle of the rows. The first column of order is a number, date or time.
+    One shuffle of the rows. The first column of order is the name of a number, date or time.
     """
     totals = totals or {}
     agg = {"sum": F.sum, "max": F.max}
