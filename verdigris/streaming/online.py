@@ -69,10 +69,15 @@ def tally_rates(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CELLS]).select("*", *rates())
 
 
-def windowed(stream: DataFrame, ts: str, width: str, late: str, keys: list[str], value: str) -> DataFrame:
-    """An extension: counts and sums per event-time window, in append mode: a window comes out once, when the watermark has
-    passed its end, and rows later than the watermark are left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+def windowed(stream: DataFrame, ts: str, width: str, late: str | None, keys: list[str], value: str) -> DataFrame:
+    """An extension: counts and sums per event-time window. In append mode a window comes out once, when the watermark has
+    passed its end, and rows later than the watermark are left out. Without `late`, for complete mode: every window and every
+    row, whenever it comes; rows without a time have a window of their own, whose start is null."""
+    if late is not None:
+        return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+    at = F.coalesce(F.col(ts), F.timestamp_seconds(F.lit(0)))  # window() leaves nulls out
+    counted = stream.groupBy(F.window(at, width).alias("w"), F.col(ts).isNotNull().alias("timed_"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return counted.select(F.when(F.col("timed_"), F.col("w.start")).alias("start"), *keys, "n", "total")
 
 
 def upsert_batches(stream: DataFrame, table: KeyedTable, checkpoint: str, compact_every: int = 8):
