@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from .ranking import rank_by_value
 
-#: Queries that a task compares at a time, and bytes of query vectors that it holds: one scan of the base serves as many.
+#: Queries that a task compares at a time, and bytes of query vectors (or of tokens' vectors) that it holds: one scan of the base serves as many.
 BLOCK, HELD_BYTES = 4096, 64 << 20
 
 
@@ -200,18 +200,23 @@ def node_embeddings(tokens: DataFrame, vectors: DataFrame, node: list[str], toke
 
 
 def node_features(nodes: DataFrame, tokens: DataFrame, vectors: DataFrame, node: list[str], types: list[str], size: int, kind: str = "type", token: str = "token", vector: str = "vector") -> DataFrame:
-    """G1: nodes plus `features`: one of types as 0s and a 1, then the mean vector of the node's tokens.
+    """G1: nodes (a row each) plus `features`: one of types as 0s and a 1, then the mean vector of the node's tokens.
 
-    A token without a vector counts with zeros; a node without tokens has zeros. Sums are taken per dimension where the tokens
-    lie, so a node with many is no task's own.
+    A token without a vector counts with zeros; a node without tokens has zeros. What is shuffled is a node's distinct tokens with
+    their counts, never a vector, so a node with many tokens has a row for each word at most. The vectors that tokens ask for meet
+    them where a node's rows lie: broadcast where they take HELD_BYTES at most, else by a join.
+    Vectors have `size` numbers; nulls in them count as 0.
     """
-    counted = tokens.groupBy(*node).agg(F.count("*").alias("n_"))
-    long = tokens.join(vectors, token).select(*node, F.posexplode(vector).alias("d", "x"))
-    sums = long.groupBy(*node, "d").agg(F.sum(F.col("x").cast("double")).alias("s")).groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("s_"))
-    mean = F.coalesce(F.transform("s_", lambda x: x["s"] / F.col("n_")), F.array_repeat(F.lit(0.0), size))
-    one = F.array(*[(F.col(kind) == x).cast("double") for x in types])
-    joined = nodes.join(counted, node, "left").join(sums, node, "left")
-    return joined.select(*nodes.columns, F.concat(one, mean).alias("features"))
+    bags = tokens.groupBy(*node, token).agg(F.count("*").alias("n_"))
+    words = tokens.select(token).distinct()
+    used = vectors.join(words, token, "left_semi").groupBy(token).agg(F.array(*[F.sum(F.get(vector, F.lit(i)).cast("double")) for i in range(size)]).alias("v_"))
+    few = words.count() * size * 8 <= HELD_BYTES
+    rows = nodes.join(bags, node, "left").join(F.broadcast(used) if few else used, token, "left")
+    one = [(F.first(kind) == x).cast("double") for x in types]
+    # one array column and one aggregation: as columns of their own, the numbers make methods too long for the JVM to compile
+    mean = [F.coalesce(F.sum(F.get("v_", F.lit(i)) * F.col("n_")) / F.sum("n_"), F.lit(0.0)) for i in range(size)]
+    rest = [F.first(c).alias(c) for c in nodes.columns if c not in node]
+    return rows.groupBy(*node).agg(*rest, F.array(*one, *mean).alias("features")).select(*nodes.columns, "features")
 
 
 def word_vectors(df: DataFrame, tokens: str, size: int = 128, seed: int = 42):
